@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import line_dedup
+from ledgertide.llm import line_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_token_output": token_output.op6_token_output,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
 
