@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import line_dedup, token_output
+from ledgertide.llm import line_dedup, ngram_jaccard, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
         "op6_token_output": token_output.op6_token_output,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
@@ -18,5 +19,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_jaccard.OP2_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
     }
