@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 
 from ledgertide.llm.bytekit import FOLDED_VALUES, NOT_SPACE, Slice, ngram_hashes, prefix_hashes, runs, slices, span_hashes
 from ledgertide.llm.components import connected_components
+from ledgertide.llm.filters import FILTER_BITS, frequency_filters, holds
 from ledgertide.llm.shared import Scratch, group_starts, grouped, table
 
 SHINGLE = 5
 PERCENT = 80
 HOT = 64
-KEY_BITS = 40
-FILTER_BITS = 27
 BLOCK_SHINGLES = 300_000
 _U = np.uint64
 
@@ -85,62 +84,6 @@ def folded(bits: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _bit(filter_bytes: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    at = hashes >> _U(64 - bits)
-    return (filter_bytes[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1
-
-
-def frequency_filters(docs: DataFrame, size: int, hot: int, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps of 2**bits, indexed by the hash's first bits: some shingle there is held
-    by two documents or more; by more than hot."""
-    # a bucket gets about as much as a quarter of one input partition gives
-    split = max(8, min(20, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
-    low = KEY_BITS - split
-    span = bits - split
-
-    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held)) >> _U(64 - KEY_BITS)
-        cuts = np.searchsorted(keys, np.arange(1 << split, dtype=_U) << _U(low))
-        rest = (keys & _U((1 << low) - 1)).astype(np.uint32)
-        parts = np.split(rest, cuts[1:])
-        some = [i for i, p in enumerate(parts) if len(p)]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["bucket", "keys"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in batches:
-            for piece in slices(batch.column(0)):
-                for own in shingle_arrays(piece, size):
-                    held.append(own)
-                    count += len(own)
-                if count > 4_000_000:
-                    yield pack(held)
-                    held, count = [], 0
-        if count:
-            yield pack(held)
-
-    def marks(index: np.ndarray) -> bytes:
-        out = np.zeros(1 << span, bool)
-        out[index] = True
-        return np.packbits(out, bitorder="little").tobytes()
-
-    def count(group: pa.Table) -> pa.Table:
-        keys = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("keys")]))
-        starts = group_starts([keys])
-        often = np.diff(np.append(starts, len(keys)))
-        cell = (keys[starts] >> np.uint32(low - span)).astype(np.int64)
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "repeated": [marks(cell[often > 1])], "hot": [marks(cell[often > hot])]})
-
-    packed = docs.select("text").mapInArrow(gather, "bucket int, keys binary")
-    rows = packed.groupBy("bucket").applyInArrow(count, "bucket int, repeated binary, hot binary").collect()  # 2 * 2**bits / 8 bytes at most
-    out = np.zeros((2, 1 << bits >> 3), np.uint8)
-    step = 1 << span >> 3
-    for r in rows:
-        out[0, r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(r.repeated, np.uint8)
-        out[1, r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(r.hot, np.uint8)
-    return out[0], out[1]
-
-
 def enough(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
@@ -197,7 +140,7 @@ def verify(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
     yield batch.select(["a", "b", "copies_a", "copies_b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def block_links(part: pa.Table, percent: int, rank_of) -> tuple[list, list]:
+def block_links(part: pa.Table, percent: int) -> tuple[list, list]:
     """All links of one pair of blocks of a hot tile: (node, links) and a spanning forest."""
     key = _U(part["key"][0].as_py() & 0xFFFFFFFFFFFFFFFF)
     n, node, copies, home, block = (part[c].to_numpy() for c in ("n", "node", "copies", "home", "block"))
@@ -263,13 +206,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    filters = spark.sparkContext.broadcast(frequency_filters(docs, size, hot, filter_bits))
+
+    def all_shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for piece in slices(batch.column(0)):
+            yield from shingle_arrays(piece, size)
+
+    filters = spark.sparkContext.broadcast(frequency_filters(docs.select("text"), all_shingles, (1, hot), filter_bits))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def rank(hashes: np.ndarray) -> np.ndarray:
         """0: no other document has it; 2: hot; 1: between."""
         repeated, many = filters.value
-        return _bit(repeated, hashes, filter_bits) + _bit(many, hashes, filter_bits)
+        return holds(repeated, hashes, filter_bits) + holds(many, hashes, filter_bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +285,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             for a, b in zip(starts, [*starts[1:], part.num_rows], strict=True):
                 if b - a < 2:
                     continue
-                counts, forest = block_links(part.slice(a, b - a), percent, rank)
+                counts, forest = block_links(part.slice(a, b - a), percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in counts] + [x[0] for x in forest], pa.int64()), pa.array([None] * len(counts) + [x[1] for x in forest], pa.int64()), pa.array([x[1] for x in counts] + [None] * len(forest), pa.int64())],
                     ["a", "b", "links"],
@@ -367,10 +315,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
   FROM words),
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
