@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import line_dedup, ngram_jaccard, token_output
+from ledgertide.llm import line_dedup, ngram_jaccard, repeats, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
         "op6_token_output": token_output.op6_token_output,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_suffix_dedup": repeats.op10_suffix_dedup,
     }
 
 
