@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import line_dedup, ngram_jaccard, repeats, token_output
+from ledgertide.llm import host_rules, line_dedup, mixing, ngram_jaccard, repeats, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
+        "op5_quality_rules": host_rules.op5_quality_rules,
         "op6_token_output": token_output.op6_token_output,
+        "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_dedup": repeats.op10_suffix_dedup,
     }
@@ -21,5 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": ngram_jaccard.OP2_SQL,
+        "op5_quality_rules": host_rules.OP5_SQL,
+        "op8_mixing": mixing.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
     }
