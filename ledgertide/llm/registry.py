@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import host_rules, line_dedup, mixing, ngram_jaccard, repeats, token_output
+from ledgertide.llm import decontaminate, host_rules, licenses, line_dedup, mixing, ngram_jaccard, quality_model, repeats, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality_model.op1_quality_classifier,
         "op2_ngram_jaccard_join": ngram_jaccard.op2_ngram_jaccard_join,
+        "op3_url_filter": url_filter.op3_url_filter,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_quality_rules": host_rules.op5_quality_rules,
         "op6_token_output": token_output.op6_token_output,
+        "op7_license_scan": licenses.op7_license_scan,
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_dedup": repeats.op10_suffix_dedup,
