@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgertide.llm.bytekit import FOLDED_VALUES, NOT_SPACE, Slice, ngram_hashes, prefix_hashes, runs, slices, span_hashes
@@ -333,3 +333,18 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(leas
        coalesce(counts.n, 0) AS n_links
 FROM sets LEFT JOIN least_of ON doc_id = least_of.x LEFT JOIN counts ON doc_id = counts.x
 """
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without the near duplicates: of each component
+    the document with the smallest doc_id stays.  Of rows that share that doc_id one stays
+    (the first by text)."""
+    judged = jaccard_components(docs)
+    scratch = Scratch(docs.sparkSession, "kept")
+    judged = scratch.save(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone")), "judged")
+    gone = judged.where("gone").select(F.col("doc_id").alias("gone id"))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone id")), "left_anti")
+    if not judged.where("rows > 1 AND NOT gone").head(1):
+        return kept
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return kept.withColumn("place among equals", place).where(F.col("place among equals") == 1).select(*docs.columns)
