@@ -3,7 +3,7 @@
 1. Every window of ``length`` bytes picks the smallest hash among its inner grams of half
    that length (leftmost on ties): its anchor.  The choice depends on the window's bytes
    alone, so equal windows have equal anchors at equal offsets, and a text has about one
-   anchor in a hundred bytes.
+   anchor in a hundred bytes.  Stretches that repeat themselves are known in the same pass.
 2. Equal texts become one class.  A bitmap of fixed size over all classes' anchors tells
    which may occur twice; only these carry on, with the bytes that their windows span.
 3. All occurrences of an anchor meet in one place and their suffixes are sorted: mergesort
@@ -36,38 +36,69 @@ _U = np.uint64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def anchors(piece: Slice, length: int) -> list[np.ndarray]:
-    """Each text's anchors: hash of the gram, its place, and the least and greatest distance
-    back to the windows that picked it."""
+def _sliding_least(order: np.ndarray, width: int, starts: np.ndarray) -> np.ndarray:
+    """The smallest of order[s : s + width] for each start."""
+    full = np.full(-(-len(order) // width) * width, np.iinfo(_U).max, _U)
+    full[: len(order)] = order
+    blocks = full.reshape(-1, width)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[starts]
+    return np.minimum(behind, np.minimum.accumulate(blocks, axis=1).ravel()[starts + width - 1])
+
+
+def anchors(piece: Slice, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its anchors (hash of the gram, its place, and the least and greatest
+    distance back to the windows that picked it) and its own repeats (begin, end).
+
+    Where the smallest hash stands several times in a window, the first or last is picked,
+    the one with the longer stretch outside.  Windows inside a stretch that repeats itself
+    with a period equal those one period before; they are known as repeats at once and
+    their anchor is left out: equal windows at the stretch's beginning stand for it.
+    """
     gram = length // 2
     width = length - gram + 1
     n = len(piece.data)
     sizes = np.diff(piece.offsets)
-    none = np.zeros(0, ANCHOR)
+    none = np.zeros(0, ANCHOR), np.zeros((0, 2), np.int64)
     if n < length or sizes.max() < length:
         return [none] * len(piece)
     prefix = prefix_hashes(piece.data)
     grams = mix((prefix[gram:] - prefix[:-gram]) * powers(_INVERSE, n + 1)[: n - gram + 1])
-    rel = np.arange(n) - np.repeat(piece.offsets[:-1], sizes)
-    order = (grams & _U(0xFFFFFFFF00000000)) | rel[: len(grams)].astype(_U)
-    full = np.full(-(-len(order) // width) * width, np.iinfo(_U).max, _U)
-    full[: len(order)] = order
-    blocks = full.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    rel = (np.arange(len(grams)) - np.repeat(piece.offsets[:-1], sizes)[: len(grams)]).astype(_U)
+    high, low = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
     starts_of = [np.arange(a, a + s - length + 1) for a, s in zip(piece.offsets, sizes, strict=False) if s >= length]
     starts = np.concatenate(starts_of)
-    least = np.minimum(behind[starts], ahead[starts + width - 1])
     text = np.repeat(np.flatnonzero(sizes >= length), [len(s) for s in starts_of])
-    first = group_starts([least, text])
-    last = np.append(first[1:], len(least)) - 1
-    out = np.zeros(len(first), ANCHOR)
-    out["pos"] = least[first] & _U(0xFFFFFFFF)
-    at = out["pos"] + piece.offsets[text[first]]
-    out["gram"] = grams[at]
-    out["lo"], out["hi"] = at - starts[last], at - starts[first]
-    cuts = np.searchsorted(text[first], np.arange(len(piece) + 1))
-    return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    since = starts - piece.offsets[text]
+    left = (_sliding_least((grams & high) | rel, width, starts) & low).astype(np.int64)
+    right = (low - (_sliding_least((grams & high) | (low - rel), width, starts) & low)).astype(np.int64)
+    picked = np.where(left - since > since + width - 1 - right, left, right) + piece.offsets[text]
+    first = group_starts([picked, text])
+    last = np.append(first[1:], len(picked)) - 1
+    at, begin, stop, owner = picked[first], starts[first], starts[last], text[first]
+    # the period that a gram's places in a text suggest: their smallest distance
+    order = np.lexsort((at, grams[at], owner))
+    same = (grams[at][order][1:] == grams[at][order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    group = np.concatenate([[0], np.cumsum(~same)])
+    gaps = np.full(group[-1] + 1, n)
+    apart = np.diff(at[order])
+    np.minimum.at(gaps, group[1:][same & (apart > 0)], apart[same & (apart > 0)])
+    period = np.empty(len(at), np.int64)
+    period[order] = gaps[group]
+    own: list[list[tuple[int, int]]] = [[] for _ in range(len(piece))]
+    keep = np.ones(len(at), bool)
+    raw = piece.data
+    for i in np.flatnonzero(period < gram).tolist():
+        d, base = int(period[i]), int(piece.offsets[owner[i]])
+        a, b = int(begin[i]) - d, int(stop[i]) + length
+        if a >= base and np.array_equal(raw[a : b - d], raw[a + d : b]):
+            own[owner[i]].append((a - base, b - base))
+            keep[i] = False
+    at, begin, stop, owner = at[keep], begin[keep], stop[keep], owner[keep]
+    out = np.zeros(len(at), ANCHOR)
+    out["pos"], out["gram"] = at - piece.offsets[owner], grams[at]
+    out["lo"], out["hi"] = at - stop, at - begin
+    cuts = np.searchsorted(owner, np.arange(len(piece) + 1))
+    return [(out[a:b], np.array(merge_spans(o), np.int64).reshape(-1, 2)) for a, b, o in zip(cuts[:-1], cuts[1:], own, strict=True)]
 
 
 class Suffixes:
@@ -78,23 +109,31 @@ class Suffixes:
         sizes = np.array([len(c) for c in contexts])
         begins = np.cumsum(sizes) - sizes
         self.at = begins + before  # of the anchors
+        self.before = before
         self.room = sizes - before  # bytes from there on
-        self.prefix = prefix_hashes(self.data)
-        self.scale = powers(_INVERSE, len(self.prefix))
-
-    def hashes(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return (self.prefix[starts + lengths] - self.prefix[starts]) * self.scale[starts]
+        # exponents count from each context's own beginning, so that the tables of powers stay small
+        top = int(sizes.max(initial=0)) + 1
+        self.scale = powers(_INVERSE, top)
+        self.prefix = np.zeros(len(self.data) + 1, _U)
+        terms = BYTE_VALUES[self.data]
+        terms *= powers(_BASE, top)[np.arange(len(self.data)) - np.repeat(begins, sizes)]
+        np.cumsum(terms, out=self.prefix[1:])
+
+    def hashes(self, i: np.ndarray, back: np.ndarray | int, lengths: np.ndarray) -> np.ndarray:
+        """Of the lengths bytes from back bytes before anchor i."""
+        starts = self.at[i] - back
+        return (self.prefix[starts + lengths] - self.prefix[starts]) * self.scale[self.before[i] - back]
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common bytes of the suffixes at anchors i and j, by binary search."""
         low, high = np.zeros(len(i), np.int64), np.minimum(self.room[i], self.room[j])
         for _ in range(int(high.max(initial=0)).bit_length()):
             middle = (low + high + 1) // 2
-            same = self.hashes(self.at[i], middle) == self.hashes(self.at[j], middle)
+            same = self.hashes(i, 0, middle) == self.hashes(j, 0, middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
-    def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def precedes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether suffix i comes before suffix j (shorter first, then by index)."""
         common = self.extension(i, j)
         end_i, end_j = common == self.room[i], common == self.room[j]
@@ -122,7 +161,7 @@ class Suffixes:
                 if not len(go):
                     break
                 middle = (low[go] + high[go]) // 2
-                less = self.before(order[middle], order[live[go]])
+                less = self.precedes(order[middle], order[live[go]])
                 low[go] = np.where(less, middle + 1, low[go])
                 high[go] = np.where(less, high[go], middle)
             place = np.arange(n)
@@ -146,7 +185,6 @@ def matched_offsets(contexts: list[bytes], before: np.ndarray, group: np.ndarray
         same = np.flatnonzero(g[1:] == g[:-1])
         common[same + 1] = suffixes.extension(order[same], order[same + 1])
         _confirm(suffixes, order[same], order[same + 1], np.zeros(len(same), np.int64), common[same + 1])
-    at = suffixes.at[order]
     dense = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
     least, most = np.full(n, -1), np.full(n, -1)
     for found, offsets, own in ((most, range(int(hi.max(initial=-1)), -1, -1), lambda o: hi >= o), (least, range(0, int(hi.max(initial=-1)) + 1), lambda o: lo <= o)):
@@ -165,7 +203,7 @@ def matched_offsets(contexts: list[bytes], before: np.ndarray, group: np.ndarray
             run = np.cumsum(np.concatenate([[0], ~((common[rows[1:]] >= length - o) & (dense[rows[1:]] == dense[rows[:-1]]))]))
             fit = (lo[rows] <= o) & (hi[rows] >= o)
             rows, run = rows[fit], run[fit]
-            left = suffixes.hashes(at[rows] - o, np.full(len(rows), o))
+            left = suffixes.hashes(order[rows], o, np.full(len(rows), o))
             key = mix(left + run.astype(_U) * _U(0x9E3779B97F4A7C15))
             by = np.argsort(key, kind="stable")
             twin = np.flatnonzero((key[by][1:] == key[by][:-1]) & (run[by][1:] == run[by][:-1]))
@@ -209,16 +247,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch.column(1)):
+            for piece in slices(batch.column(1), 1 << 20):
                 found = anchors(piece, length)
                 digests = [hashlib.sha256(piece.bytes_of(i)).hexdigest() for i in range(len(piece))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.rows.start, len(piece)), pa.array(np.diff(piece.offsets)), pa.array(digests), pa.array([x.tobytes() if len(x) else None for x in found], pa.binary())],
-                    ["doc_id", "n_bytes", "sha256", "anchors"],
+                    [batch.column(0).slice(piece.rows.start, len(piece)), pa.array(np.diff(piece.offsets)), pa.array(digests), pa.array([x.tobytes() if len(x) else None for x, _ in found], pa.binary()), pa.array([o.tobytes() if len(o) else None for _, o in found], pa.binary())],
+                    ["doc_id", "n_bytes", "sha256", "anchors", "own"],
                 )
 
-    rows = scratch.save(docs.mapInArrow(scan, f"doc_id {doc_type}, n_bytes long, sha256 string, anchors binary"), "rows")
-    classes = rows.where("anchors IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"))
+    rows = scratch.save(docs.mapInArrow(scan, f"doc_id {doc_type}, n_bytes long, sha256 string, anchors binary, own binary"), "rows")
+    classes = rows.where("anchors IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("own").alias("own"))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -233,20 +271,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
             for x in batch.column("anchors"):
                 own = np.frombuffer(x.as_buffer(), ANCHOR)
                 own = own[holds(repeated.value, own["gram"], filter_bits) > 0]
-                kept.append(own.tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([*batch.select(["node", "rep", "sha256"]).columns, pa.array(kept, pa.binary())], ["node", "rep", "sha256", "anchors"])
+                kept.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.select(["node", "rep", "sha256", "own"]).columns, pa.array(kept, pa.binary())], ["node", "rep", "sha256", "own", "anchors"])
 
-    able = classes.select("node", "rep", "sha256", "anchors").mapInArrow(select, f"node long, rep {doc_type}, sha256 string, anchors binary").where("anchors IS NOT NULL")
+    able = classes.select("node", "rep", "sha256", "own", "anchors").mapInArrow(select, f"node long, rep {doc_type}, sha256 string, own binary, anchors binary").where("length(anchors) > 0 OR own IS NOT NULL")
     able = scratch.save(able, "able")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only the texts that their row means, where doc_ids repeat."""
         for batch in batches:
             right = [hashlib.sha256(t.as_buffer() if t.is_valid else b"").hexdigest() == s.as_py() for t, s in zip(batch.column("text"), batch.column("sha256"), strict=True)]
-            yield batch.select(["node", "text", "anchors"]).filter(pa.array(right, pa.bool_()))
+            yield batch.select(["node", "text", "own", "anchors"]).filter(pa.array(right, pa.bool_()))
 
-    texts = docs.join(able, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "anchors", "sha256")
-    texts = scratch.save(texts.mapInArrow(owned, "node long, text string, anchors binary"), "texts")
+    texts = docs.join(able, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "own", "anchors", "sha256")
+    texts = scratch.save(texts.mapInArrow(owned, "node long, text string, own binary, anchors binary"), "texts")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,14 +293,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for i in range(len(piece)):
                     raw = piece.bytes_of(i)
-                    own = np.frombuffer(batch.column(2)[piece.rows.start + i].as_buffer(), ANCHOR)
+                    own = np.frombuffer(batch.column("anchors")[piece.rows.start + i].as_buffer(), ANCHOR)
                     node = nodes[piece.rows.start + i].as_py()
                     for gram, pos, lo, hi in zip(own["gram"].view(np.int64).tolist(), own["pos"].tolist(), own["lo"].tolist(), own["hi"].tolist(), strict=True):
                         for column, value in zip(out, (gram, node, pos, lo, hi, raw[pos - hi : pos - lo + length]), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())], ["gram", "node", "pos", "lo", "hi", "context"])
 
-    found = texts.mapInArrow(occurrences, "gram long, node long, pos long, lo int, hi int, context binary")
+    found = texts.select("node", "text", "anchors").mapInArrow(occurrences, "gram long, node long, pos long, lo int, hi int, context binary")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,14 +335,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged, kept = [], []
-            for text, own in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                runs = merge_spans([(s["begin"], s["stop"]) for s in own])
+            for text, found, own in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                local = np.frombuffer(own or b"", np.int64).reshape(-1, 2).tolist()
+                runs = merge_spans([(s["begin"], s["stop"]) for s in found or []] + [(a, b) for a, b in local])
                 merged.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(hashlib.sha256(without(text.as_buffer().to_pybytes(), runs)).hexdigest())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, kind), pa.array(kept, pa.string())], ["node", "spans", "kept"])
 
-    some = texts.join(spans, "node").select("node", "text", "spans").mapInArrow(cut, "node long, spans array<struct<start: bigint, end: bigint>>, kept string").dropDuplicates(["node"])
+    some = texts.join(spans, "node", "left").where("own IS NOT NULL OR spans IS NOT NULL").select("node", "text", "spans", "own").mapInArrow(cut, "node long, spans array<struct<start: bigint, end: bigint>>, kept string").dropDuplicates(["node"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     result = classes.select("sha256", "node", "copies", "n_bytes").join(some, "node", "left").select(
         "sha256",
