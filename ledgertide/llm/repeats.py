@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def anchors(piece: Slice, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     with a period equal those one period before; they are known as repeats at once and
     their anchor is left out: equal windows at the stretch's beginning stand for it.
     """
-    gram = length // 2
+    gram = 3 * length // 8
     width = length - gram + 1
     n = len(piece.data)
     sizes = np.diff(piece.offsets)
@@ -263,14 +264,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
         for x in batch.column(0):
             yield np.frombuffer(x.as_buffer(), ANCHOR)["gram"]
 
-    repeated = spark.sparkContext.broadcast(frequency_filters(classes.select("anchors"), grams, (1,), filter_bits)[0])
+    def mixed_grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for own in grams(batch):
+            yield mix(own)
+
+    # two bitmaps by independent bits: hardly any anchor passes both that has no twin
+    repeated = spark.sparkContext.broadcast([frequency_filters(classes.select("anchors"), keys, (1,), filter_bits)[0] for keys in (grams, mixed_grams)])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
             for x in batch.column("anchors"):
                 own = np.frombuffer(x.as_buffer(), ANCHOR)
-                own = own[holds(repeated.value, own["gram"], filter_bits) > 0]
+                own = own[(holds(repeated.value[0], own["gram"], filter_bits) & holds(repeated.value[1], mix(own["gram"]), filter_bits)) > 0]
                 kept.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.select(["node", "rep", "sha256", "own"]).columns, pa.array(kept, pa.binary())], ["node", "rep", "sha256", "own", "anchors"])
 
@@ -343,7 +349,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, kind), pa.array(kept, pa.string())], ["node", "spans", "kept"])
 
-    some = texts.join(spans, "node", "left").where("own IS NOT NULL OR spans IS NOT NULL").select("node", "text", "spans", "own").mapInArrow(cut, "node long, spans array<struct<start: bigint, end: bigint>>, kept string").dropDuplicates(["node"])
+    def span_nodes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix(batch.column(0).to_numpy().view(_U))
+
+    # texts without any repeat needn't be shuffled to learn that
+    touched = spark.sparkContext.broadcast(frequency_filters(spans.select("node"), span_nodes, (0,), min(filter_bits, 24))[0])
+
+    def affected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = holds(touched.value, mix(batch.column(0).to_numpy().view(_U)), min(filter_bits, 24)) > 0
+            yield batch.filter(pc.or_(pa.array(hit), batch.column("own").is_valid()))
+
+    affected_texts = texts.select("node", "text", "own").mapInArrow(affected, "node long, text string, own binary")
+    some = affected_texts.join(spans, "node", "left").where("own IS NOT NULL OR spans IS NOT NULL").select("node", "text", "spans", "own").mapInArrow(cut, "node long, spans array<struct<start: bigint, end: bigint>>, kept string").dropDuplicates(["node"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     result = classes.select("sha256", "node", "copies", "n_bytes").join(some, "node", "left").select(
         "sha256",
