@@ -172,3 +172,14 @@ def conserves_value(source: Column, target: Column, fee: Column) -> Column:
     """target within source less the fee and source; unknown or senseless values pass."""
     known = (source > 0) & (target > 0) & (fee >= 0) & (fee < 1)
     return F.when(F.coalesce(known, F.lit(False)), (target <= source) & (target >= source * (1 - fee))).otherwise(F.lit(True))
+
+
+def reply_class(text: Column) -> Column:
+    """What an answer to a letter says, by its first matching keyword class."""
+    low = F.lower(text)
+    return (
+        F.when(low.rlike(r"\b(frozen|freeze|blocked)\b"), "freeze")
+        .when(low.rlike(r"\b(unable|cannot|decline)\b"), "declined")
+        .when(low.rlike(r"\b(received|thank|thanks)\b"), "acknowledged")
+        .otherwise("other")
+    )

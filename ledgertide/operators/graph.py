@@ -97,9 +97,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
 def decayed_exposure(edges: DataFrame, sources: DataFrame, decay: float, hops: int, least: float) -> DataFrame:
     """source, node, hop, weight: value that comes from risky sources (column node), times decay a hop
     and shared by the onward edges' parts of all outflow; the best path counts, none visits a node
-    twice, and what is below ``least`` is dropped.  edges: src, dst, usd (double)."""
-    totals = edges.groupBy("src").agg(F.sum("usd").alias("out_total"))
-    shared = settle(edges.join(totals, "src").select("src", "dst", "usd", "out_total"))
+    twice, and what is below ``least`` is dropped.  edges: src, dst, usd."""
+    totals = edges.groupBy("src").agg(F.sum("usd").cast("double").alias("out_total"))
+    shared = settle(edges.join(totals, "src").select("src", "dst", F.col("usd").cast("double").alias("usd"), "out_total"))
     mark = lambda c: F.concat(F.lit("|"), F.col(c).cast("string"), F.lit("|"))
     first = shared.join(sources.select(F.col("node").alias("src")), "src", "left_semi").where("src <> dst")
     first = first.select(F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1).alias("hop"), (F.col("usd") * decay).alias("weight"), F.concat(mark("src"), mark("dst")).alias("path")).where(F.col("weight") >= least)

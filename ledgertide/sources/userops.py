@@ -1,0 +1,28 @@
+"""Bundles of user operations, taken apart by a table function."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def split_bundle(bundle: str | None) -> Iterator[tuple[int, str, int]]:
+    """(index, sender, value) of "sender,value;sender,value"; broken operations are left out."""
+    for i, part in enumerate((bundle or "").split(";")):
+        sender, _, value = part.partition(",")
+        if sender and value.isdigit():
+            yield i, sender, int(value)
+
+
+class _Split:
+    def eval(self, bundle: str):  # noqa: ANN201
+        yield from split_bundle(bundle)
+
+
+def operations(bundles: DataFrame) -> DataFrame:
+    """(tx, bundle) -> tx, index, sender, value, a row for each operation."""
+    spark = bundles.sparkSession
+    spark.udtf.register("ledgertide_operations", F.udtf(_Split, returnType="index int, sender string, value long"))
+    return spark.sql("SELECT tx, index, sender, value FROM {bundles} b, LATERAL ledgertide_operations(b.bundle)", bundles=bundles)

@@ -1,0 +1,128 @@
+"""Operators on small inputs whose results are known, and those that SQL can't express."""
+
+from __future__ import annotations
+
+import datetime
+from itertools import combinations
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from ledgertide.functions import expressions as X
+from ledgertide.operators import graph as G
+from ledgertide.operators import joins as J
+from ledgertide.operators.subsets import input_subsets, subsets
+from ledgertide.sources import landing, userops
+from ledgertide.streaming import monitor
+
+
+def got(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def day(n):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+
+
+def test_within_has_each_pair_once(spark):
+    left = spark.createDataFrame([(1, day(d), d) for d in range(0, 40, 3)], "k int, lt timestamp_ntz, l int")
+    right = spark.createDataFrame([(1, day(d), d) for d in range(0, 40)], "k int, rt timestamp_ntz, r int")
+    pairs = J.within(left, right, ["k"], "lt", "rt", 5).select("l", "r")
+    assert got(pairs) == sorted((a, b) for a in range(0, 40, 3) for b in range(40) if 0 <= b - a <= 5)
+
+
+def test_bfs_stops_at_closed_nodes(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1)], "src int, dst int")
+    seeds = spark.createDataFrame([(1,)], "node int")
+    assert got(G.bfs(edges, seeds, 9)) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert got(G.bfs(edges, seeds, 9, spark.createDataFrame([(3,)], "node int"))) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_components_of_a_path_and_a_pair(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 101), (5, 5)], "a int, b int")
+    assert got(G.components(edges)) == [(k, 0) for k in range(21)] + [(100, 100), (101, 100)]
+
+
+def test_components_without_edges(spark):
+    assert got(G.components(spark.createDataFrame([], "a int, b int"))) == []
+
+
+def test_strong_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7)], "src int, dst int")
+    assert got(G.strong_components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+
+
+def test_peel_chain_and_cycle(spark):
+    edges = spark.createDataFrame([(1, 2, 90), (1, 50, 10), (2, 3, 80), (2, 51, 10), (3, 4, 70), (3, 52, 10), (8, 9, 60), (8, 53, 5), (9, 8, 60), (9, 54, 5)], "src int, dst int, usd int")
+    assert got(G.peel_chains(G.peel_links(edges, 60), 3, 5)) == [(1, 4, 3, "low")]
+
+
+def test_equal_split_is_no_peel(spark):
+    edges = spark.createDataFrame([(1, 2, 50), (1, 3, 50)], "src int, dst int, usd int")
+    assert got(G.peel_links(edges, 60)) == []
+
+
+def test_exposure_keeps_the_best_path(spark):
+    edges = spark.createDataFrame([(1, 2, 100.0), (1, 3, 1000.0), (3, 2, 500.0), (2, 4, 50.0)], "src int, dst int, usd double")
+    found = {r.node: (r.hop, round(r.weight, 6)) for r in G.decayed_exposure(edges, spark.createDataFrame([(1,)], "node int"), 0.5, 3, 1.0).collect()}
+    assert found == {2: (2, 250.0), 3: (1, 500.0), 4: (3, 125.0)}
+
+
+@pytest.mark.parametrize("until,since,at,hit", [(None, None, 5, True), (4, None, 5, False), (5, None, 5, True), (None, 6, 5, False)])
+def test_label_bounds(spark, until, since, at, hit):
+    row = spark.createDataFrame([(day(0), since and day(since), until and day(until), day(at))], "added_at timestamp_ntz, valid_from timestamp_ntz, valid_until timestamp_ntz, t timestamp_ntz")
+    assert row.select(J.label_in_force({c: F.col(c) for c in ("added_at", "valid_from", "valid_until")}, F.col("t"))).first()[0] is hit
+
+
+def test_subsets_against_brute_force(spark):
+    inputs, target = [3, 5, 8, 13, 2], 13
+    brute = [list(c) for n in range(1, 6) for c in combinations(range(5), n) if 13 <= sum(inputs[i] for i in c) <= 14]
+    assert subsets(inputs, target, 1, 5, 1000) == brute
+    rows = spark.createDataFrame([(1, inputs, target), (2, None, 4), (3, [], 4)], "tx long, inputs array<long>, target long")
+    assert [r.subset for r in input_subsets(rows, 1, 5, 1000).collect()] == ["|".join(map(str, c)) for c in brute]
+
+
+def test_user_operations(spark):
+    rows = spark.createDataFrame([(1, "a,5;b,6"), (2, None), (3, "bad;c,7")], "tx int, bundle string")
+    assert got(userops.operations(rows)) == [(1, 0, "a", 5), (1, 1, "b", 6), (3, 1, "c", 7)]
+
+
+def test_sanctions_merge_sets_removal_once(spark):
+    old = spark.createDataFrame([("x", "eth", "N", "1", "d", None), ("y", "eth", "N", "2", "d", "before")], landing.SANCTION_SCHEMA)
+    new = spark.createDataFrame([("z", "eth", "N", "3", "d", None)], landing.SANCTION_SCHEMA)
+    merged = {r.address: r.removed_at_utc for r in landing.merge_sanctions(old, new, F.lit("now")).collect()}
+    assert merged == {"x": "now", "y": "before", "z": None}
+
+
+def test_address_expressions(spark):
+    row = spark.createDataFrame([("  0x" + "AB" * 20 + " ", None)], "a string, b string")
+    assert row.select(X.canonical_key(F.col("a")), X.canonical_key(F.col("b"))).first()[:] == ("0x" + "ab" * 20, "")
+    assert row.select(X.scaled_amount(F.lit("5"), F.lit(3)), X.csv_guard(F.lit("=1+1")), X.significant_digits(F.lit("0.01200"))).first()[:] == ("0.005", "'=1+1", 2)
+
+
+def write_events(folder, rows):
+    table = pa.table({"event_id": pa.array([r[0] for r in rows], pa.int64()), "user_id": pa.array([r[1] for r in rows], pa.int64()), "ts": pa.array([r[2] for r in rows], pa.timestamp("us")), "event_type": pa.array([r[3] for r in rows]), "value": pa.array([r[4] for r in rows], pa.float64())})
+    pq.write_table(table, folder / f"{rows[0][0]:04d}.parquet")
+
+
+def test_streams(spark, tmp_path):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    write_events(folder, [(1, 7, day(0), "click", 10.0), (2, 7, day(1), "click", 15.0), (3, 8, day(1), "view", 1.0)])
+    write_events(folder, [(4, 7, day(2), "click", 15.5), (5, 8, day(2), "view", 40.0)])
+    stream = monitor.landed(spark, str(folder), 1)
+    changes = monitor.run_to_files(monitor.snapshot_changes(stream, 5.0), str(tmp_path / "out"), str(tmp_path / "c1"))
+    assert got(changes.select("user_id", "event_id", "delta")) == [(7, 2, 5.0), (8, 5, 39.0)]
+    counts = monitor.run_to_table(monitor.hourly(stream), "hours", str(tmp_path / "c2"), "complete")
+    assert counts.agg(F.sum("n")).first()[0] == 5
+    alerts = monitor.run_to_table(monitor.first_alerts(monitor.landed(spark, str(folder)), "10 days"), "alerts", str(tmp_path / "c3"))
+    assert alerts.count() == 2
+
+
+def test_cursor_replays_only_what_is_new(spark):
+    activities = spark.createDataFrame([("a", "t1", 1), ("a", "t2", 2), ("b", "t3", 3)], "address string, tx string, ord int")
+    cursors = spark.createDataFrame([("a", 1), ("b", None)], "address string, cursor_ord int")
+    assert [r.tx for r in monitor.after_cursor(activities, cursors).collect()] == ["t2"]
+    assert got(monitor.next_cursors(activities, cursors)) == [("a", 2), ("b", 3)]
