@@ -6,7 +6,7 @@ a lost or repeated task never touches another's files; the manifest that the suc
 attempts return says which files count.  Reading goes by Spark's binaryFile source.
 
 The tokenizers library encodes.  Word-level BPE (white space dropped, every unit ending
-in a marked token) is encoded once for each distinct unit of a slice of texts and then
+in a marked token) is encoded once for each distinct unit that a worker meets and then
 spread over its places; other tokenizers encode whole texts.
 """
 
@@ -32,6 +32,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 TOKENS_PER_SHARD = 2_000_000
 ENCODE_BYTES = 6 << 20
+#: A worker keeps the ids of so many units between slices, and then begins anew.
+KNOWN_UNITS = 400_000
 #: Words with these bytes go to the whole tokenizer: its normaliser, contractions or
 #: special tokens may change them in ways that their parts don't show.
 HARD = byte_class((0x80, 0xFF), (0x00, 0x1F), (0x7F, 0x7F), (0x27, 0x27), (0x3C, 0x3C))
@@ -62,28 +64,70 @@ class Encoder:
             self.last = np.zeros(1 << self.bits, bool)
             for token, i in self.full.get_vocab().items():
                 self.last[i] = token.endswith("</w>")
+            self.zero = self.full.token_to_id("0</w>")
+            self.forget()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, units: list[bytes]) -> list[np.ndarray]:
-        texts = [u.decode("utf-8", "replace") for u in units]
-        plain = [i for i, u in enumerate(units) if not HARD[np.frombuffer(u, np.uint8)].any()] if len(units) < 64 else np.flatnonzero(~self._hard(units)).tolist()
-        out: list = [None] * len(units)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
-            pieces = np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
-            if len(pieces) == len(part):
-                for i, piece in zip(part, pieces, strict=True):
-                    out[i] = piece
+    def hard_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of single words, by the whole tokenizer.  Words are joined by the digit 0, which is a
+        unit of its own and whose id parts them again; a word that has a 0 or might be a special
+        token, or a run whose parts don't add up, is encoded word by word."""
+        out: list = [None] * len(words)
+        joined = [i for i, w in enumerate(words) if "0" not in w and "<" not in w]
+        runs_ = [joined[k : k + 250] for k in range(0, len(joined), 250)]
+        for run, ids in zip(runs_, self.whole([" 0 ".join([words[i] for i in run]) for run in runs_]), strict=True):
+            ids = np.array(ids, np.int32)
+            cuts = np.flatnonzero(ids == self.zero)
+            if len(cuts) == len(run) - 1:
+                for i, a, b in zip(run, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                    out[i] = ids[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(rest), 5000):
-            part = rest[at : at + 5000]
-            for i, ids in zip(part, self.whole([texts[i] for i in part]), strict=True):
-                out[i] = np.array(ids, np.int64)
+        for i, ids in zip(rest, self.whole([words[i] for i in rest]), strict=True):
+            out[i] = np.array(ids, np.int32)
         return out
 
+    def units(self, units: list[bytes]) -> np.ndarray:
+        """Where the units' ids lie in the pool; units that it doesn't have yet are encoded."""
+        if len(self.place) > KNOWN_UNITS or self.held > 4 * KNOWN_UNITS:
+            self.forget()
+        new = [u for u in units if u not in self.place]
+        if new:
+            hard = self._hard(new)
+            rest = [u for u, h in zip(new, hard.tolist(), strict=True) if h]
+            plain = [u for u, h in zip(new, hard.tolist(), strict=True) if not h]
+            for at in range(0, len(plain), 2000):
+                part = plain[at : at + 2000]
+                ids = np.array(self.plain.encode_batch_fast([" ".join([u.decode() for u in part])], add_special_tokens=False)[0].ids, np.int32)
+                stops = np.flatnonzero(self.last[ids]) + 1
+                if len(stops) == len(part):
+                    self._keep(part, ids, np.diff(stops, prepend=0))
+                else:
+                    rest += part
+            for at in range(0, len(rest), 5000):
+                part = rest[at : at + 5000]
+                each = self.hard_words([u.decode("utf-8", "replace") for u in part])
+                self._keep(part, np.concatenate(each).astype(np.int32), np.array([len(x) for x in each]))
+            self.begin, self.size, self.pool = (np.concatenate(x) for x in (self.begins, self.sizes, self.pools))
+            self.begins, self.sizes, self.pools = [self.begin], [self.size], [self.pool]
+        return np.array([self.place[u] for u in units], np.int64)
+
+    def forget(self) -> None:
+        """An empty pool; the end id has place 0."""
+        self.place: dict[bytes, int] = {}
+        self.begin, self.size, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end_id], np.int32)
+        self.begins, self.sizes, self.pools = [self.begin], [self.size], [self.pool]
+        self.held = 1
+
+    def _keep(self, units: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.place) + 1
+        self.place.update(zip(units, range(first, first + len(units)), strict=True))
+        self.begins.append(self.held + np.cumsum(lengths) - lengths)
+        self.sizes.append(lengths)
+        self.pools.append(ids)
+        self.held += len(ids)
+
     @staticmethod
     def _hard(units: list[bytes]) -> np.ndarray:
         lengths = np.array([len(u) for u in units])
@@ -116,20 +160,15 @@ class Encoder:
             offsets = np.append(begins, len(kept)).astype(np.int64)
             array = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.where(whole, kept, FOLD[kept]))])
             coded = array.dictionary_encode()
-            known = self.units(coded.dictionary.to_pylist())
-            index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            index = self.units(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
             position = np.concatenate([[0], np.cumsum(inside)])
             text_units = np.searchsorted(begins, position[piece.offsets])
         else:
-            known, index, text_units = [], np.zeros(0, np.int64), np.zeros(len(piece) + 1, np.int64)
-        known.append(np.array([self.end_id], np.int64))
-        index = np.insert(index, text_units[1:], len(known) - 1)
-        lengths = np.array([len(x) for x in known])
-        base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate(known)
-        spread = lengths[index]
+            index, text_units = np.zeros(0, np.int64), np.zeros(len(piece) + 1, np.int64)
+        index = np.insert(index, text_units[1:], 0)
+        spread = self.size[index]
         stops = np.cumsum(spread)
-        ids = flat[np.repeat(base[index] - (stops - spread), spread) + np.arange(stops[-1] if len(stops) else 0)]
+        ids = self.pool[np.repeat(self.begin[index] - (stops - spread), spread) + np.arange(stops[-1] if len(stops) else 0)]
         return ids, stops[text_units[1:] + np.arange(len(piece))]
 
 
