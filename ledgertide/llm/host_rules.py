@@ -132,19 +132,25 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all their columns) that judge keeps.  The measures are computed twice,
-    so that no text is shuffled."""
+    """The rows of docs (all their columns) that judge keeps.
+
+    The rows are written once with their measures, which cost far more than a copy of the
+    text, and read again when the hosts' rates are known; no text is shuffled.
+    """
     scratch = Scratch(docs.sparkSession, "hosts")
-    measured = docs.select("source", measures(F.col("text")).alias("m")).select("source", "m.*")
-    bad = scratch.save(host_rates(measured).where("rejected").select(F.col("source").alias("rejected_host")), "rejected")
-    names = docs.columns
-    m = F.col("measures of the text")
+    own = "measures"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    host = own + "_host"
+    measured = scratch.save(docs.withColumn(own, measures(F.col("text"))), "measured")
+    m = F.col(own)
+    bad = scratch.save(host_rates(measured.select("source", f"{own}.*")).where("rejected").select(F.col("source").alias(host)), "rejected")
     failed = rule_failures({c: m[c] for c in MEASURES})
-    kept = docs.withColumn("measures of the text", measures(F.col("text"))).where(~(failed["short"] | failed["repetitive"])).select(*(docs[c] for c in names))
+    kept = measured.where(~(failed["short"] | failed["repetitive"])).select(*docs.columns)
     if not bad.head(1):
         return kept
     small = bad.count() <= 50_000
-    return kept.join(F.broadcast(bad) if small else bad, F.col("source") == F.col("rejected_host"), "left_anti")
+    return kept.join(F.broadcast(bad) if small else bad, F.col("source") == F.col(host), "left_anti")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
