@@ -4,12 +4,14 @@ Numbers, units and names become typed placeholders, so that a question asked aga
 other values has the same template.  Windows of template tokens are hashed; a document's
 windows pass a bitmap of fixed size made from the benchmark's, and the survivors meet
 them in a hash join on the whole hash.  Along one diagonal (place in the document less
-place in the item) the slots must map one to one: the same value always to the same.  An
-item leaks into a document if the consistent windows cover half of the item's or more.
+place in the item) each of the item's slot values stands for one value of the document,
+the one that most windows give it; windows that have another are dropped, the rest stay.
+An item leaks into a document if the windows that stay cover half of the item's or more.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.llm.bytekit import FOLDED_VALUES, Slice, byte_class, ngram_hashes, prefix_hashes, runs, slices, span_hashes
 from ledgertide.llm.filters import frequency_filters, holds
-from ledgertide.llm.shared import Scratch, join_small, table
+from ledgertide.llm.shared import Scratch, arrow_map, join_small, table
 
 WINDOW = 8
 LITERALS = 4
@@ -115,12 +117,38 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW, literals: int = LITER
     return benchmark.select("item_id", "text").mapInArrow(run, f"window long, item_id {item_type}, item_pos long, width int, n_windows long, item_slots array<string>")
 
 
+def agreeing(windows: list[list[tuple[str, str]]]) -> list[bool]:
+    """Of the windows of one diagonal, each a list of slots (item's value, document's value),
+    those that agree: each item value has the document value that most windows give it
+    (of equals its own, else the smallest).  A window that gives one value two has no vote."""
+    votes: dict[str, Counter] = {}
+    for slots in windows:
+        own = dict(slots)
+        if all(own[a] == b for a, b in slots):
+            for a, b in own.items():
+                votes.setdefault(a, Counter())[b] += 1
+    chosen = {a: min(c, key=lambda b: (-c[b], b != a, b)) for a, c in votes.items()}
+    return [all(chosen.get(a) == b for a, b in slots) for slots in windows]
+
+
+def _judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Lines with their windows -> places of the windows that agree, and same: no slot of the
+    line has another value."""
+    places, same = [], []
+    for windows in batch.column(batch.num_columns - 1).to_pylist():
+        slots = [[(s["a"], s["b"]) for s in w["slots"]] for w in windows]
+        places.append([w["item_pos"] for w, good in zip(windows, agreeing(slots), strict=True) if good])
+        same.append(all(a == b for w in slots for a, b in w))
+    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(places, pa.list_(pa.int64())), pa.array(same, pa.bool_())], [*batch.schema.names[:-1], "places", "same"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, text) and (item_id, text) -> a row for each document and item that leaks into it:
     doc_id, item_id, n_matched, n_windows, verbatim (no slot has another value).
 
     Texts are taken whole.  Null and empty texts match nothing.  Rows that share a doc_id
-    are one document; a null doc_id or item_id is kept as such.  Other columns are ignored.
+    are one document, but slots agree within a text; a null doc_id or item_id is kept as
+    such.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     items = scratch.save(item_windows(benchmark, size), "items")
@@ -137,6 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: f
             for piece in slices(batch.column(1)):
                 starts, ends, kinds, hashes, first = template(piece)
                 owner = np.repeat(np.arange(len(piece)), np.diff(first))
+                texts = span_hashes(prefix_hashes(piece.data), piece.offsets[:-1], piece.offsets[1:]).view(np.int64)
                 found: list[tuple] = []
                 for width in widths:
                     grams = ngram_hashes(hashes, width)
@@ -145,18 +174,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: f
                     found += [(int(g), int(owner[p]), int(p - first[owner[p]]), width, _slots(piece, starts, ends, kinds, p, p + width)) for p, g in zip(at.tolist(), grams[at].view(np.int64).tolist(), strict=True)]
                 rows = pa.array([piece.rows.start + x[1] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in found], pa.int64()), batch.column(0).take(rows), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.list_(pa.string()))],
-                    ["window", "doc_id", "doc_pos", "width", "doc_slots"],
+                    [pa.array([x[0] for x in found], pa.int64()), batch.column(0).take(rows), pa.array([int(texts[x[1]]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.list_(pa.string()))],
+                    ["window", "doc_id", "text_hash", "doc_pos", "width", "doc_slots"],
                 )
 
-    seen = docs.select("doc_id", "text").mapInArrow(run, f"window long, doc_id {doc_type}, doc_pos long, width int, doc_slots array<string>")
+    seen = docs.select("doc_id", "text").mapInArrow(run, f"window long, doc_id {doc_type}, text_hash long, doc_pos long, width int, doc_slots array<string>")
     pairs = join_small(seen, items, ["window", "width"], "inner")
-    pairs = pairs.select("doc_id", "item_id", "n_windows", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
-    lines = pairs.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one_way = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
-    other_way = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
-    lines = lines.where(one_way & other_way).withColumn("same", F.forall("slots", lambda s: s["a"] == s["b"]))
-    found = lines.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.bool_and("same").alias("verbatim"))
+    pairs = pairs.select("doc_id", "item_id", "n_windows", "text_hash", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos", F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
+    lines = pairs.groupBy("doc_id", "item_id", "n_windows", "text_hash", "diagonal").agg(F.collect_set(F.struct("item_pos", "slots")).alias("windows"))  # an item's own at most
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    lines = arrow_map(lines.select("doc_id", "item_id", "n_windows", "windows"), _judge, f"doc_id {doc_type}, item_id {item_type}, n_windows long, places array<long>, same boolean")
+    found = lines.where(F.size("places") > 0).groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.bool_and("same").alias("verbatim"))
     return found.where(F.col("n_matched") >= coverage * F.col("n_windows")).select("doc_id", "item_id", "n_matched", "n_windows", "verbatim")
 
 

@@ -193,6 +193,10 @@ def test_wavelet():
     assert WaveletShard(encode(np.zeros(0, np.int64), [], np.zeros(0), 16)).decode().tolist() == []
 
 
+def text_words(seed):
+    return " ".join(random.Random(seed).choice(LOREM) for _ in range(20))
+
+
 ITEM = "A train leaves the old station and travels 40 km in 2 hours while Anna counts 7 red wagons and 9 blue wagons before it stops."
 
 
@@ -215,6 +219,29 @@ def test_slots_must_map_one_to_one(spark):
     assert {r.doc_id for r in decontaminate.leaks(docs, items).collect()} == {1}
 
 
+def test_slots_drop_only_their_windows(spark):
+    gap = "and then walk along the quiet river until the big stone bridge comes in sight"
+    long = f"Take 5 apples {gap} {text_words(1)} and take 5 pears {gap} {text_words(2)} and take 5 plums {gap}"
+    two = "If the farmer has 3 goats and the baker has 5 goats how many goats do both have when they meet"
+    edited_slot = "5 plums".join(long.rsplit("5 plums", 1)).replace("5 plums", "6 plums")
+    coinciding, split = two.replace("3", "4").replace("5", "4"), two.replace("3", "5")
+    twice = "Add 5 to the first jar and then add 5 to the second jar"
+    docs = frame(spark, [(1, edited_slot), (2, coinciding), (3, split), (None, two.replace("3", "8")), (None, two.replace("5", "9")), (None, twice.replace("5", "7"))])
+    items = spark.createDataFrame([(1, long), (2, two), (3, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows, r.verbatim) for r in decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (None, 2), (None, 3)}
+    n_matched, n_windows, verbatim = got[1, 1]
+    assert n_windows - 8 <= n_matched < n_windows and not verbatim
+    assert got[2, 2][0] == got[2, 2][1] and got[None, 3][0] == got[None, 3][1]
+
+
+def test_agreeing_windows():
+    five = lambda *values: [("1:5", v) for v in values]
+    assert decontaminate.agreeing([five("1:5"), five("1:5", "1:6"), five("1:6"), five("1:5"), []]) == [True, False, False, True, True]
+    assert decontaminate.agreeing([five("1:4"), five("1:5")]) == [False, True] and decontaminate.agreeing([five("1:1", "1:2")]) == [False]
+    assert decontaminate.agreeing([[("1:3", "1:4"), ("1:5", "1:4")]]) == [True]
+
+
 def test_quality(spark):
     rows = [(k, text_of(k, 60) if k % 4 else "buy now!! " + " ".join(f"{w}$$$" for w in text_of(k, 50).split())) for k in range(400)] + [(900, None), (901, ""), (None, "text")]
     labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(400)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
