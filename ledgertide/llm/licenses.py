@@ -2,8 +2,9 @@
 
 The rules are regular expressions made from families of licenses, their versions and the
 forms in which texts name them.  A rule runs only on texts that hold one of its keywords
-as a word; a detection whose interval lies inside another's of a higher or equal priority
-is suppressed.  Besides, the places of the base phrases are counted on all texts, by
+as a run of ASCII letters (less a v before a digit), which every match of its pattern has;
+a detection whose interval lies inside another's of a higher or equal priority is
+suppressed.  Besides, the places of the base phrases are counted on all texts, by
 hashes of consecutive words that are then compared in full.
 """
 
@@ -22,31 +23,32 @@ from ledgertide.llm.bytekit import FOLD, FOLDED_VALUES, byte_class, prefix_hashe
 from ledgertide.llm.shared import table
 
 WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
+LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: label, full name (regex), short name (regex), SPDX stem, URL path, versions, keywords
 FAMILIES = [
-    ("gpl", r"gnu\s+general\s+public\s+licen[sc]e", r"(?:gnu\s+)?gpl", "GPL", r"gnu\.org/licenses/(?:old-licenses/)?gpl", ("1.0", "2.0", "3.0"), "gnu gpl gplv1 gplv2 gplv3"),
-    ("lgpl", r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[sc]e", r"lgpl", "LGPL", r"gnu\.org/licenses/(?:old-licenses/)?lgpl", ("2.0", "2.1", "3.0"), "gnu lesser lgpl lgplv2 lgplv3"),
-    ("agpl", r"gnu\s+affero\s+general\s+public\s+licen[sc]e", r"agpl", "AGPL", r"gnu\.org/licenses/agpl", ("1.0", "3.0"), "affero agpl agplv3"),
+    ("gpl", r"gnu\s+general\s+public\s+licen[sc]e", r"(?:gnu\s+)?gpl", "GPL", r"gnu\.org/licenses/(?:old-licenses/)?gpl", ("1.0", "2.0", "3.0"), "gnu gpl"),
+    ("lgpl", r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[sc]e", r"lgpl", "LGPL", r"gnu\.org/licenses/(?:old-licenses/)?lgpl", ("2.0", "2.1", "3.0"), "gnu lgpl"),
+    ("agpl", r"gnu\s+affero\s+general\s+public\s+licen[sc]e", r"agpl", "AGPL", r"gnu\.org/licenses/agpl", ("1.0", "3.0"), "gnu affero agpl"),
     ("gfdl", r"gnu\s+free\s+documentation\s+licen[sc]e", r"gfdl", "GFDL", r"gnu\.org/licenses/fdl", ("1.1", "1.2", "1.3"), "gnu gfdl fdl"),
     ("apache", r"apache\s+(?:software\s+)?licen[sc]e", r"apache|asl", "Apache", r"apache\.org/licenses/license", ("1.0", "1.1", "2.0"), "apache asl"),
     ("mpl", r"mozilla\s+public\s+licen[sc]e", r"mpl", "MPL", r"mozilla\.org/(?:mpl|en-us/mpl)/", ("1.0", "1.1", "2.0"), "mozilla mpl"),
     ("epl", r"eclipse\s+public\s+licen[sc]e", r"epl", "EPL", r"eclipse\.org/legal/epl", ("1.0", "2.0"), "eclipse epl"),
-    ("cddl", r"common\s+development\s+and\s+distribution\s+licen[sc]e", r"cddl", "CDDL", r"opensource\.org/licenses/cddl", ("1.0", "1.1"), "cddl distribution"),
-    ("eupl", r"european\s+union\s+public\s+licen[sc]e", r"eupl", "EUPL", r"joinup\.ec\.europa\.eu/[\w/]*eupl", ("1.0", "1.1", "1.2"), "european eupl"),
-    ("artistic", r"artistic\s+licen[sc]e", r"artistic", "Artistic", r"opensource\.org/licenses/artistic-license", ("1.0", "2.0"), "artistic"),
+    ("cddl", r"common\s+development\s+and\s+distribution\s+licen[sc]e", r"cddl", "CDDL", r"opensource\.org/licenses/cddl", ("1.0", "1.1"), "cddl distribution opensource"),
+    ("eupl", r"european\s+union\s+public\s+licen[sc]e", r"eupl", "EUPL", r"joinup\.ec\.europa\.eu/[\w/]*eupl", ("1.0", "1.1", "1.2"), "european eupl joinup"),
+    ("artistic", r"artistic\s+licen[sc]e", r"artistic", "Artistic", r"opensource\.org/licenses/artistic-license", ("1.0", "2.0"), "artistic opensource"),
     ("ofl", r"(?:sil\s+)?open\s+font\s+licen[sc]e", r"ofl", "OFL", r"scripts\.sil\.org/ofl", ("1.0", "1.1"), "font ofl sil"),
     ("bsl", r"boost\s+software\s+licen[sc]e", r"bsl", "BSL", r"boost\.org/license", ("1.0",), "boost bsl"),
     ("zpl", r"zope\s+public\s+licen[sc]e", r"zpl", "ZPL", r"zope\.org/resources/zpl", ("1.1", "2.0", "2.1"), "zope zpl"),
     ("psf", r"python\s+(?:software\s+foundation\s+)?licen[sc]e", r"psf", "PSF", r"python\.org/psf/license", ("2.0",), "python psf"),
-    ("odbl", r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[sc]e", r"odbl", "ODbL", r"opendatacommons\.org/licenses/odbl", ("1.0",), "database odbl"),
-    ("osl", r"open\s+software\s+licen[sc]e", r"osl", "OSL", r"opensource\.org/licenses/osl", ("1.0", "1.1", "2.0", "2.1", "3.0"), "osl software"),
-    ("ms-pl", r"microsoft\s+(?:public|reciprocal)\s+licen[sc]e", r"ms-[pr]l", "MS", r"opensource\.org/licenses/ms-[pr]l", (), "microsoft ms"),
-    ("mit", r"mit\s+licen[sc]e|licen[sc]ed?\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?mit", r"mit/x11|expat", "MIT", r"opensource\.org/licenses/mit", (), "mit expat"),
-    ("isc", r"isc\s+licen[sc]e", r"isc-style", "ISC", r"opensource\.org/licenses/isc", (), "isc"),
+    ("odbl", r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database\s+licen[sc]e", r"odbl", "ODbL", r"opendatacommons\.org/licenses/odbl", ("1.0",), "database odbl opendatacommons"),
+    ("osl", r"open\s+software\s+licen[sc]e", r"osl", "OSL", r"opensource\.org/licenses/osl", ("1.0", "1.1", "2.0", "2.1", "3.0"), "osl software opensource"),
+    ("ms-pl", r"microsoft\s+(?:public|reciprocal)\s+licen[sc]e", r"ms-[pr]l", "MS", r"opensource\.org/licenses/ms-[pr]l", (), "microsoft ms opensource"),
+    ("mit", r"mit\s+licen[sc]e|licen[sc]ed?\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?mit", r"mit/x11|expat", "MIT", r"opensource\.org/licenses/mit", (), "mit expat opensource"),
+    ("isc", r"isc\s+licen[sc]e", r"isc-style", "ISC", r"opensource\.org/licenses/isc", (), "isc opensource"),
     ("zlib", r"zlib(?:/libpng)?\s+licen[sc]e", r"zlib/libpng", "Zlib", r"zlib\.net/zlib_license", (), "zlib"),
-    ("unlicense", r"(?:the\s+)?unlicen[sc]e", r"unlicen[sc]ed", "Unlicense", r"unlicense\.org", (), "unlicense unlicence unlicensed"),
+    ("unlicense", r"(?:the\s+)?unlicen[sc]e", r"unlicen[sc]ed", "Unlicense", r"unlicense\.org", (), "unlicense unlicence unlicensed unlicenced"),
     ("wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[sc]e", r"wtfpl", "WTFPL", r"wtfpl\.net", (), "wtfpl want"),
     ("postgresql", r"postgresql\s+licen[sc]e", r"postgres-style", "PostgreSQL", r"postgresql\.org/about/licence", (), "postgresql postgres"),
 ]
@@ -108,7 +110,7 @@ def rules() -> tuple[Rule, ...]:
         add(f"cc-{kind}", NAME, "creative", rf"creative\s+commons\s+{spelled}")
     add("cc0", SPDX, "spdx", r"spdx-license-identifier:\s*cc0-1\.0")
     add("cc0", URL, "creativecommons", r"(?:https?://)?(?:www\.)?creativecommons\.org/publicdomain/zero/1\.0/?")
-    add("cc0", NAME, "cc0", r"cc0(?:[-\s]1\.0)?")
+    add("cc0", NAME, "cc", r"cc0(?:[-\s]1\.0)?")
     add("public-domain", NAME, "domain", r"(?:in|into|to)\s+the\s+public\s+domain")
     add("proprietary", NAME, "rights", r"all\s+rights\s+reserved")
     add("copyright", GENERAL, "copyright", r"copyright\s+(?:\(c\)\s*)?(?:19|20)\d\d")
@@ -116,20 +118,25 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
-def detect(text: str, words: set[str]) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, priority) of what stays, by start; words: the text's keywords."""
-    low = text.translate(_LOWER)
-    found = [(m.start(), m.end(), r.label, r.priority) for r in rules() if r.keywords & words for m in r.pattern.finditer(low)]
-    found.sort(key=lambda d: (d[0], -d[1], -d[3], d[2]))
-    kept: list[tuple[int, int, str, int]] = []
-    for d in found:
+def outermost(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Of (start, end, label, priority) those that lie in no other's interval of a higher or equal
+    priority, by start; of equal intervals and priorities the first label stays."""
+    furthest = [-1] * (SPDX + 1)  # the greatest end so far of each priority or a higher one
+    kept = []
+    for d in sorted(found, key=lambda d: (d[0], -d[1], -d[3], d[2])):
         # only what begins no later and ends no earlier can contain it
-        if not any(k[1] >= d[1] and k[3] >= d[3] and (k[0], k[1]) != (d[0], d[1]) or k[:2] == d[:2] and k[3] >= d[3] for k in kept[-40:]):
-            kept = [k for k in kept if not (d[0] <= k[0] and k[1] <= d[1] and k[3] <= d[3])]
+        if furthest[d[3]] < d[1]:
             kept.append(d)
+            furthest[: d[3] + 1] = [max(d[1], e) for e in furthest[: d[3] + 1]]
     return kept
 
 
+def detect(text: str, words: set[str]) -> list[tuple[int, int, str, int]]:
+    """(start, end, label, priority) of what stays, by start; words: the text's keywords."""
+    low = text.translate(_LOWER)
+    return outermost([(m.start(), m.end(), r.label, r.priority) for r in rules() if r.keywords & words for m in r.pattern.finditer(low)])
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -160,7 +167,8 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 starts, ends, first = runs(piece, WORD)
-                words = span_hashes(prefix_hashes(piece.data, FOLDED_VALUES), starts, ends)
+                prefix = prefix_hashes(piece.data, FOLDED_VALUES)
+                words = span_hashes(prefix, starts, ends)
                 owner = np.repeat(np.arange(len(piece)), np.diff(first))
                 places: dict[int, list[int]] = {}
                 base: dict[int, set[str]] = {}
@@ -173,11 +181,15 @@ def scan(docs: DataFrame) -> DataFrame:
                         if all(FOLD[piece.data[starts[i + k] : ends[i + k]]].tobytes() == spelled[k].encode() for k in range(len(parts))):
                             places.setdefault(int(owner[i]), []).append(i - int(first[owner[i]]))
                             base.setdefault(int(owner[i]), set()).add(label)
-                spot = np.searchsorted(ordered, words)
+                begins, stops, first_run = runs(piece, LETTER)
+                after = np.append(piece.data, 0)[stops]
+                stops = stops - ((FOLD[piece.data[stops - 1]] == ord("v")) & (after >= 0x30) & (after <= 0x39))
+                letters = span_hashes(prefix, begins, stops)
+                spot = np.searchsorted(ordered, letters)
                 spot[spot == len(ordered)] = 0
-                hit = np.flatnonzero(ordered[spot] == words)
+                hit = np.flatnonzero(ordered[spot] == letters)
                 has: dict[int, set[str]] = {}
-                for i, k in zip(owner[hit].tolist(), by_hash[spot[hit]].tolist(), strict=True):
+                for i, k in zip(np.repeat(np.arange(len(piece)), np.diff(first_run))[hit].tolist(), by_hash[spot[hit]].tolist(), strict=True):
                     has.setdefault(i, set()).add(keywords[k])
                 out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 for i in range(len(piece)):

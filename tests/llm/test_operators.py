@@ -299,6 +299,28 @@ def test_licenses(odd, spark):
     assert sorted(repr((r.doc_id, r.n_words)) for r in wide) == want
 
 
+def test_license_gate_passes_what_rules_match(odd, spark):
+    names = "GPL3 LGPL3 AGPL3 Apache2 MPLv2 EPL2 gplV3+ LGPLv2.1 OSL3.0 CDDL1.1 EUPLv1.2 ZPL2 cc0 CC0-1.0".split()
+    texts = [f"Released under {n}." for n in names] + ["\u201cMIT License\u201d", "\u6f22Apache license 2\u5b57", "an unlicenced licence", "_mit license_", "v2mit license", "GPL", "v3", "mplv", "9v9"]
+    texts += ["gnu.org/licenses/agplx", "opensource.org/licenses/mitx", "opensource.org/licenses/cddlx", "opendatacommons.org/licenses/odblx", "joinup.ec.europa.eu/fooeupl", "https://www.opensource.org/licenses/iscx", "opensource.org/licenses/oslx"]
+    every = {k for r in licenses.rules() for k in r.keywords}
+    rows = [*enumerate(texts), *((100 + k, t) for k, (_, t) in enumerate(odd_rows()))]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {k: licenses.detect(t or "", every) for k, t in rows}
+    assert got[0][0][2] == "gpl-3.0" and all(got[k] for k in range(len(names) + 4))
+
+
+def test_outermost_detections():
+    r = random.Random(5)
+    for _ in range(30):
+        found = list({(a, a + r.randrange(1, 60), r.choice("abc"), r.randrange(1, 7)) for a in (r.randrange(80) for _ in range(150))})
+        ranks = lambda d: (d[0], -d[1], -d[3], d[2])
+        hidden = {d for d in found for k in found if k[0] <= d[0] and d[1] <= k[1] and k[3] >= d[3] and ranks(k) < ranks(d)}
+        assert licenses.outermost(found) == sorted(set(found) - hidden, key=ranks)
+    many = [(0, 1000, "a", 2), *((k, 1001 + k, "b", 1) for k in range(1, 60)), (70, 80, "c", 2)]
+    assert (70, 80, "c", 2) not in licenses.outermost(many)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 200)]
