@@ -3,10 +3,11 @@ language models.
 
 Both models are variable-order Markov models over the bytes of host and path: the counts
 of each context of 0 to ``ORDER`` bytes are backed by those of the next shorter one with
-weight ``MU`` (Dirichlet smoothing).  They learn from every URL on which a rule decides,
-hashed into tables of fixed size; a tenth of those URLs is kept apart, and the bound of
-the difference of mean log-likelihoods that best parts its accepted from its rejected is
-the verdict's.
+weight ``MU`` (Dirichlet smoothing).  They learn from every URL on which a rule decides;
+a byte with its context is a whole number, so that counts are exact tables that grow with
+the input, joined to the n-grams of the pages.  A tenth of the labelled URLs is kept apart,
+and the bound of the difference of mean log-likelihoods that best parts its accepted from
+its rejected is the verdict's.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.bytekit import Slice, mix, slices
-from ledgertide.llm.shared import fold_ascii, table
+from ledgertide.llm.bytekit import Slice, slices
+from ledgertide.llm.shared import Scratch, fold_ascii, table
 
 #: (verdict, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ORDER = 5
-CELLS = 1 << 18
+#: A byte plus one, or 0 before the text.
+BYTE_BITS = 9
+#: Rows that are scored together.
+CHUNK_ROWS = 5000
 MU = 4.0
 BINS = 4000
 REACH = 10.0
-_U = np.uint64
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -50,90 +53,101 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return name, verdict
 
 
-def contexts(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(ORDER + 1, n) cells of each byte with its context, and of the context alone; contexts
-    begin with the text.  The byte 0 stands before each text."""
-    data = piece.data.astype(_U) + _U(1)
+def grams(piece: Slice) -> np.ndarray:
+    """Each byte with the ORDER bytes before it in its text, the byte in the lowest BYTE_BITS."""
+    data = piece.data.astype(np.int64) + 1
     n = len(data)
     since = np.arange(n) - np.repeat(piece.offsets[:-1], np.diff(piece.offsets))
-    whole, alone = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
-    context = np.zeros(n, _U)
-    for k in range(ORDER + 1):
-        if k:
-            back = np.zeros(n, _U)
-            back[k:] = data[:-k] if k < n else back[k:]
-            back[since < k] = 0
-            context = context * _U(0x100000001B3) + back + _U(1)
-        salt = _U(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        whole[k] = (mix(context * _U(0xC2B2AE3D27D4EB4F) + data + salt) % _U(CELLS)).astype(np.int64) + k * CELLS
-        alone[k] = (mix(context + salt + _U(77)) % _U(CELLS)).astype(np.int64) + k * CELLS
-    return whole, alone
-
-
-def count_tables(texts: DataFrame) -> np.ndarray:
-    """texts: (label int 0 or 1, text) -> counts (2 labels, 2: byte with context or context
-    alone, (ORDER + 1) * CELLS), of all rows.  Tasks send the cells that they saw, summed."""
-    size = (ORDER + 1) * CELLS
-    chunk = CELLS // 4
+    out = data.copy()
+    for k in range(1, min(ORDER, n - 1) + 1):
+        out[k:] |= np.where(since[k:] >= k, data[:-k], 0) << (k * BYTE_BITS)
+    return out
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """texts: (label int 0 or 1, text) -> gram, c0, c1: how often each gram stands in each label's
+    texts, of all rows."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(4 * size, np.int64)
         for batch in batches:
             labels = batch.column(0).to_numpy()
             for piece in slices(batch.column(1)):
-                if not len(piece.data):
-                    continue
-                label = np.repeat(labels[piece.rows], np.diff(piece.offsets)).astype(np.int64)
-                for which, cells in enumerate(contexts(piece)):
-                    for row in cells:
-                        held += np.bincount(label * 2 * size + which * size + row, minlength=4 * size)
-        seen = np.flatnonzero(held)
-        cuts = np.searchsorted(seen, np.arange(0, 4 * size + 1, chunk))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own = seen[cuts[c] : cuts[c + 1]]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "cells": pa.array([(own - c * chunk).astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([held[own].tobytes()], pa.binary())})
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(chunk)
-        for cells, counts in zip(group["cells"].to_pylist(), group["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.int64)
-        return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    rows = texts.mapInArrow(gather, "chunk int, cells binary, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # of fixed size
-    out = np.zeros(4 * size, np.float32)
-    for r in rows:
-        out[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.counts, np.float32)
-    return out.reshape(2, 2, size)
-
-
-def mean_likelihood(counts: np.ndarray, whole: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """log P of each byte under one model (counts: its two tables)."""
-    p = np.full(whole.shape[1], 1 / 256)
+                label = np.repeat(labels[piece.rows], np.diff(piece.offsets))
+                own, at = np.unique(grams(piece), return_inverse=True)
+                counts = [np.bincount(at[label == which], minlength=len(own)).astype(np.int64) for which in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, counts)], ["gram", "c0", "c1"])
+
+    return texts.mapInArrow(gather, "gram long, c0 long, c1 long").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def likelihoods(needed: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """needed (gram, distinct) and counts -> gram, p0, p1: the probability of its byte after its
+    context under each model.  From the shortest context on; what no text has counts 0."""
+    cut = lambda c, k: F.col(c).bitwiseAND((1 << (k + 1) * BYTE_BITS) - 1)
+    wanted, seen = {ORDER: needed}, {ORDER: counts}
+    for k in range(ORDER - 1, -1, -1):
+        wanted[k] = scratch.save(wanted[k + 1].select(cut("gram", k).alias("gram")).distinct(), f"wanted{k}")
+        seen[k] = scratch.save(seen[k + 1].groupBy(cut("gram", k).alias("gram")).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), f"seen{k}")
+    known = None
     for k in range(ORDER + 1):
-        p = (counts[0][whole[k]] + MU * p) / (counts[1][alone[k]] + MU)
-    return np.log(p)
-
+        context = F.shiftright("gram", BYTE_BITS).alias("context")
+        alone = seen[k].groupBy(context).agg(F.sum("c0").alias("a0"), F.sum("c1").alias("a1"))
+        rows = wanted[k].join(seen[k], "gram", "left").withColumn("context", context).join(alone, "context", "left").withColumn("shorter", cut("gram", k - 1) if k else F.lit(0))
+        if known is None:
+            rows = rows.withColumn("p0", F.lit(1 / 256)).withColumn("p1", F.lit(1 / 256))
+        else:
+            rows = rows.join(known.withColumnRenamed("gram", "shorter"), "shorter")
+        count = lambda c: F.coalesce(c, F.lit(0))
+        p = [((count(f"c{m}") + MU * F.col(f"p{m}")) / (count(f"a{m}") + MU)).alias(f"p{m}") for m in (0, 1)]
+        known = scratch.save(rows.select("gram", *p), f"known{k}")
+    return known
+
+
+def ratios(pages: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """pages (any columns, text) and labelled (label, text) -> the columns of pages but text, and
+    ratio: mean log-likelihood under the accepted less that under the rejected (0 for an empty
+    text).  Rows are cut into chunks, each of which meets its own grams' likelihoods."""
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields]
+    kept = [c for c in pages.columns if c != "text"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, chunk))], [*batch.schema.names, "chunk"])
+                chunk += 1
 
-def ratios(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(page_id, ..., text last) -> the same columns but text, and ratio: mean log-likelihood under
-    the accepted less that under the rejected (0 for an empty text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    kept = [f for f in texts.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    chunked = scratch.save(pages.mapInArrow(number, ", ".join([*columns, "chunk long"])), "chunked")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for piece in slices(batch.column(at)):
-                whole, alone = contexts(piece)
-                gain = mean_likelihood(shared.value[1], whole, alone) - mean_likelihood(shared.value[0], whole, alone)
-                sums = np.concatenate([[0.0], np.cumsum(gain)])
-                sizes = np.diff(piece.offsets)
-                ratio = (sums[piece.offsets[1:]] - sums[piece.offsets[:-1]]) / np.maximum(sizes, 1)
-                part = batch.slice(piece.rows.start, len(piece))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(batch.num_columns) if i != at), pa.array(ratio, pa.float64())], [*(f.name for f in kept), "ratio"])
-
-    return texts.mapInArrow(run, f"{schema}, ratio double")
+            for piece in slices(batch.column(1)):
+                chunk = np.repeat(batch.column(0).to_numpy()[piece.rows], np.diff(piece.offsets))
+                all_grams = grams(piece)
+                for c in np.unique(chunk):
+                    own = np.unique(all_grams[chunk == c])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c)), pa.array(own)], ["chunk", "gram"])
+
+    used = scratch.save(chunked.select("chunk", "text").mapInArrow(gather, "chunk long, gram long"), "used")
+    counts = scratch.save(count_grams(labelled), "counts")
+    needed = scratch.save(used.select("gram").distinct(), "needed")
+    known = likelihoods(needed, counts, scratch).select("gram", (F.log("p1") - F.log("p0")).alias("gain"))
+    gains = used.join(known, "gram").select("chunk", "gram", "gain")
+
+    def score(rows: pa.Table, own: pa.Table) -> pa.Table:
+        order = np.argsort(own["gram"].to_numpy())
+        table_, gain = own["gram"].to_numpy()[order], own["gain"].to_numpy()[order]
+        ratio = np.zeros(rows.num_rows)
+        for piece in slices(rows["text"]):
+            sums = np.concatenate([[0.0], np.cumsum(gain[np.searchsorted(table_, grams(piece))])])
+            ratio[piece.rows] = (sums[piece.offsets[1:]] - sums[piece.offsets[:-1]]) / np.maximum(np.diff(piece.offsets), 1)
+        return rows.select(kept).append_column("ratio", pa.array(ratio))
+
+    schema = ", ".join([c for c, name in zip(columns, pages.columns, strict=True) if name != "text"] + ["ratio double"])
+    return chunked.groupBy("chunk").cogroup(gains.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def calibrate(ratio: DataFrame) -> float:
@@ -163,10 +177,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     split = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("url"), F.lit(10)).alias("fold"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), RULES if rules is None else rules)
     split = split.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), "fold", F.concat("host", "path").alias("text"))
-    labelled = split.where("ruled IS NOT NULL").withColumn("label", (F.col("ruled") == "allow").cast("int"))
-    counts = count_tables(labelled.where("fold <> 0").select("label", "text"))
-    bound = calibrate(ratios(labelled.where("fold = 0").select("label", "text"), counts))
-    judged = ratios(split.select("page_id", "host", "path", "rule", "ruled", "text"), counts)
+    label = (F.col("ruled") == "allow").cast("int").alias("label")
+    scratch = Scratch(pages.sparkSession, "urls")
+    judged = scratch.save(ratios(split, split.where("ruled IS NOT NULL AND fold <> 0").select(label, "text"), scratch), "judged")
+    bound = calibrate(judged.where("ruled IS NOT NULL AND fold = 0").select(label, "ratio"))
     by_model = F.when((F.col("host") != "") & (F.col("ratio") >= bound), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "ratio")
 

@@ -283,6 +283,32 @@ def test_url_model(spark):
     assert [r.verdict for r in got[-2:]] == ["block", "allow"]
 
 
+def test_url_counts_are_exact(spark):
+    """Every ratio against plain dictionaries, and no hash shared by unrelated n-grams."""
+    r = random.Random(8)
+    urls = [f"http://{''.join(r.choice('abcdefgh\u00e9') for _ in range(12))}.{r.choice(['net', 'org', 'de'])}/fr/{r.randrange(99)}" for _ in range(150)] + [None, "", "http://a.net/"]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3))
+    held = {r.u for r in spark.createDataFrame([(u,) for u in urls], "u string").where("pmod(xxhash64(u), 10) = 0").collect()}
+    rows = sorted(got.collect())
+    assert [r.page_id for r in rows] == list(range(len(urls)))
+    whole, alone = ({0: {}, 1: {}} for _ in range(2))
+    text = {r.page_id: (r.host + r.path).encode() for r in rows}
+    steps = lambda t: ((k, t[max(0, i - k) : i] if i >= k else (k - i, t[:i]), t[i]) for i in range(len(t)) for k in range(6))
+    for row in rows:
+        if row.rule and urls[row.page_id] not in held:
+            label = int(row.verdict == "allow")
+            for k, c, b in steps(text[row.page_id]):
+                whole[label][k, c, b] = whole[label].get((k, c, b), 0) + 1
+                alone[label][k, c] = alone[label].get((k, c), 0) + 1
+    for row in rows:
+        total = [0.0, 0.0]
+        for label in (0, 1):
+            for k, c, b in steps(text[row.page_id]):
+                p = ((whole[label].get((k, c, b), 0)) + 4 * (p if k else 1 / 256)) / (alone[label].get((k, c), 0) + 4)
+                total[label] += np.log(p) if k == 5 else 0
+        assert row.ratio == pytest.approx((total[1] - total[0]) / max(1, len(text[row.page_id])), abs=1e-9)
+
+
 def test_licenses(odd, spark):
     rows = [(1, "Under the GNU  General Public\nLicense, version 2.0."), (2, "SPDX-License-Identifier: Apache-2.0"), (3, "CC BY-SA 4.0; cc by"), (4, "The MIT License. Mit License!"), (5, "Éapache license"), (6, None), (7, "All rights reserved. © Copyright 2020 X"), (8, "licensed under CC BY-NC 4.0.")]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
