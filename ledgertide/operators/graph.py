@@ -6,6 +6,7 @@ lost executor costs a read.  Only row counts come to the driver.
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, closed: DataFrame | None = None) -> DataFrame:
-    """node, depth (int) of what the seeds (column node) reach over edges (src, dst) in max_depth steps.
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, closed: DataFrame | None = None) -> DataFrame:
+    """node, depth (int) of what the seeds (column node) reach over edges (src, dst) in max_depth steps
+    (None: in any number, until a step reaches nothing new).
     Nodes in closed (node) are reached but not followed."""
     visited = frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         going = frontier.join(closed.select("node"), "node", "left_anti") if closed is not None else frontier
         reached = edges.join(going.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = settle(reached.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
@@ -143,21 +145,39 @@ def peel_links(edges: DataFrame, percent: int) -> DataFrame:
     return nodes.where((F.col("n") >= 2) & (F.col("top") * 100 >= F.col("total") * percent)).select("src", "dst")
 
 
-def peel_chains(links: DataFrame, least: int, sure: int, most: int = 64) -> DataFrame:
-    """head, hops, tail, confidence of the chains of links that begin where no link ends; a walk
-    stops before a node that it has met, or after ``most`` links."""
-    links = settle(links)
-    heads = links.join(links.select(F.col("dst").alias("src")), "src", "left_anti")
-    mark = lambda c: F.concat(F.lit("|"), F.col(c).cast("string"), F.lit("|"))
-    walk = settle(heads.select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.lit(1).alias("hops"), F.concat(mark("src"), mark("dst")).alias("path")))
-    done = walk
-    for hops in range(2, most + 1):
-        step = walk.join(links.toDF("tail", "next"), "tail").where(~F.contains("path", mark("next")))
-        walk = settle(step.select("head", F.col("next").alias("tail"), F.lit(hops).alias("hops"), F.concat("path", mark("next")).alias("path")))
-        if walk.isEmpty():
+def follow(links: DataFrame, rounds: int) -> DataFrame:
+    """src, dst, hops: where links (src, dst; one of each src) lead from each src, up to 2**rounds of
+    them one after another; every round doubles the steps."""
+    ahead = settle(links.select("src", "dst", F.lit(1).cast("long").alias("hops")))
+    for _ in range(rounds):
+        if ahead.join(links.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty():
             break
-        done = settle(done.join(walk.select("head"), "head", "left_anti").unionByName(walk))
-    return done.where(F.col("hops") >= least).select("head", "tail", "hops", F.when(F.col("hops") >= sure, "medium").otherwise("low").alias("confidence"))
+        after = ahead.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("hops").alias("more"))
+        ahead = settle(ahead.join(after, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    return ahead
+
+
+def peel_chains(links: DataFrame, least: int, sure: int) -> DataFrame:
+    """head, hops, tail, confidence of the chains of links (one of each src) that begin where no link
+    ends; a walk stops before a node that it has met.
+
+    After more steps than there are links only cycles are left.  Chains end where they enter
+    one, and then go round it once, to the node before the entry.
+    """
+    links = settle(links)
+    rounds = links.count().bit_length()
+    ends = follow(links, rounds)
+    round_about = settle(ends.join(links.select(F.col("src").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("node")).distinct())
+    if not round_about.isEmpty():
+        on_cycle = round_about.withColumnRenamed("node", "src")
+        ring = settle(links.join(on_cycle, "src", "left_semi"))
+        named = components(ring.toDF("a", "b"))
+        sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        entries = ring.select(F.col("dst"), F.col("src").alias("before")).join(named.join(sizes, "component").select(F.col("node").alias("dst"), "size"), "dst", "left")
+        ends = follow(settle(links.join(on_cycle, "src", "left_anti")), rounds).join(entries, "dst", "left")
+        ends = ends.select("src", F.coalesce("before", "dst").alias("dst"), (F.col("hops") + F.coalesce("size", F.lit(1)) - 1).alias("hops"))
+    chains = ends.join(links.select(F.col("dst").alias("src")), "src", "left_anti").where(F.col("hops") >= least)
+    return chains.select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.col("hops").cast("int").alias("hops"), F.when(F.col("hops") >= sure, "medium").otherwise("low").alias("confidence"))
 
 
 def top_edges(edges: DataFrame, n: int, order: list) -> DataFrame:

@@ -149,7 +149,7 @@ def g16(spark, sf):
   SELECT node, CAST(coalesce(depth, (SELECT max(depth) FROM d) + 1) AS INTEGER) AS depth FROM a LEFT JOIN d USING (node)""")
 def g17(spark, sf):
     edges = G.settle(_edges(spark, sf, 90000))
-    found = G.bfs(edges, _seeds(spark, sf, "s_suppkey = 1"), 6)
+    found = G.bfs(edges, _seeds(spark, sf, "s_suppkey = 1"), None)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(found.select("node")).distinct()
     beyond = found.agg((F.max("depth") + 1).alias("beyond"))  # one row
     return nodes.join(found, "node", "left").crossJoin(F.broadcast(beyond)).select("node", F.coalesce("depth", "beyond").alias("depth"))
@@ -221,7 +221,7 @@ def g22(spark, sf):
 
 @query("g23_unreachable_destinations", f"""WITH RECURSIVE {T}, {E.format(92000)}, {reach_sql('s_suppkey % 3 = 0', 12)} SELECT DISTINCT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT node FROM r)""")
 def g23(spark, sf):
-    found = G.bfs(_edges(spark, sf, 92000), _seeds(spark, sf, "s_suppkey % 3 = 0"), 12)
+    found = G.bfs(_edges(spark, sf, 92000), _seeds(spark, sf, "s_suppkey % 3 = 0"), None)
     return _seeds(spark, sf, "true").join(found, "node", "left_anti")
 
 

@@ -59,6 +59,13 @@ def test_peel_chain_and_cycle(spark):
     assert got(G.peel_chains(G.peel_links(edges, 60), 3, 5)) == [(1, 4, 3, "low")]
 
 
+def test_walks_have_no_cap(spark):
+    path = [(k, k + 1) for k in range(14)]
+    assert got(G.bfs(spark.createDataFrame(path, "src int, dst int"), spark.createDataFrame([(0,)], "node int"), None)) == [(k, k) for k in range(15)]
+    links = [(k, k + 1) for k in range(70)] + [(200, 201), (201, 202), (202, 203), (203, 204), (204, 202), (300, 301), (301, 301), (400, 201)]
+    assert got(G.peel_chains(spark.createDataFrame(links, "src int, dst int"), 1, 5)) == [(0, 70, 70, "medium"), (200, 204, 4, "low"), (300, 301, 1, "low"), (400, 204, 4, "low")]
+
+
 def test_equal_split_is_no_peel(spark):
     edges = spark.createDataFrame([(1, 2, 50), (1, 3, 50)], "src int, dst int, usd int")
     assert got(G.peel_links(edges, 60)) == []
