@@ -203,7 +203,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     never the smallest unless a component has no other.  Shingles are compared as 64-bit
     hashes, whole sets as 128-bit digests.  Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    return judged_rows(docs, size, percent, hot, filter_bits, block_shingles).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def judged_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, filter_bits: int = FILTER_BITS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The columns of ``jaccard_components``, text_hash (xxhash64 of text), and component: the same
+    number in all rows that links join, whatever their doc_ids; null without a shingle."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
 
@@ -236,11 +242,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
                     bits.append(bitmap(own) if some else None)
                     sets.append(own.tobytes() if some else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.rows.start, len(piece)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, bits, sets))],
-                    ["doc_id", "n", "s1", "s2", "keys", "bits", "shingles"],
+                    [batch.column(0).slice(piece.rows.start, len(piece)), batch.column(2).slice(piece.rows.start, len(piece)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, bits, sets))],
+                    ["doc_id", "text_hash", "n", "s1", "s2", "keys", "bits", "shingles"],
                 )
 
-    rows = scratch.save(docs.mapInArrow(sketch, f"doc_id {doc_type}, n long, s1 long, s2 long, keys binary, bits binary, shingles binary"), "rows")
+    rows = scratch.save(docs.mapInArrow(sketch, f"doc_id {doc_type}, text_hash long, n long, s1 long, s2 long, keys binary, bits binary, shingles binary"), "rows")
     classes = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("keys", "bits", "shingles")))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     able = classes.where("keys IS NOT NULL")
@@ -299,12 +305,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
     named = scratch.save(roots.join(classes.select("node", "least"), "node"), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    named = named.join(least, "root").select("node", "root", "component_id")
     result = classes.select("s1", "s2", "node", "least", "copies").join(named, "node", "left").join(counts, "node", "left")
-    result = result.select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    result = result.select("s1", "s2", F.coalesce("root", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     result = scratch.save(result, "result")
-    joined = rows.select("doc_id", "n", "s1", "s2").join(result, ["s1", "s2"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    joined = rows.select("doc_id", "text_hash", "n", "s1", "s2").join(result, ["s1", "s2"], "left")
+    return joined.select("doc_id", "text_hash", "component", F.col("n").alias("n_shingles"), F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,3 +354,29 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return kept
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("place among equals", place).where(F.col("place among equals") == 1).select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without the near duplicates: of each component
+    one row stays, one with the smallest doc_id (a null only where there is no other).
+
+    A row goes by its own doc_id and text, so that rows that share a doc_id, or have none,
+    are kept where no link joins them.  Rows without a link always stay.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    linked = judged_rows(docs).where("n_links > 0").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    linked = scratch.save(linked, "linked")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).select("first.doc_id", "first.text_hash")
+    first = scratch.save(first, "first")
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.select(F.col("doc_id").alias("own id"), F.col("text_hash").alias("own text"))
+        return left.join(other, left["doc_id"].eqNullSafe(other["own id"]) & (F.xxhash64(left["text"]) == other["own text"]), how)
+
+    same = linked["doc_id"].eqNullSafe(first["doc_id"]) & (linked["text_hash"] == first["text_hash"])
+    gone = scratch.save(linked.join(first, same, "left_anti"), "gone")
+    kept = meet(docs, gone, "left_anti")
+    twice = scratch.save(linked.where("rows > 1").join(first, same, "left_semi"), "twice")
+    if twice.isEmpty():
+        return kept
+    return meet(kept, twice, "left_anti").unionByName(meet(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from plain import FOLD, jaccard, lines, measures, repeats
 
+import corpus_pipeline
 from ledgertide.llm import components, decontaminate, host_rules, licenses, line_dedup, mixing, ngram_jaccard, quality_model, token_output, url_filter
 from ledgertide.llm import repeats as suffixes
 from ledgertide.llm.shared import Scratch
@@ -84,6 +85,17 @@ def test_keep_one(odd):
     assert sorted(map(repr, ids)) == sorted(repr(d) for d in {d for d, _ in rows} - gone)
 
 
+def test_keep_rows_goes_by_row(spark):
+    a, b, c, d = (text_of(300 + k, 60) for k in range(4))
+    rows = [(None, a), (None, b), (None, edited(b, 1)), (None, None), (None, None), (7, c), (7, d), (7, d), (8, c), (9, ""), (9, "")]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == DOCS.replace(",", "").split()[::2]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    one = [x for x in got if x in rows[1:3]]
+    assert len(one) == 1
+    assert sorted(map(repr, got)) == sorted(map(repr, [*one, rows[0], *rows[3:7], *rows[9:]]))
+
+
 @pytest.mark.parametrize("length,most", [(400, 20_000), (40, 20_000), (40, 3)])
 def test_repeats(odd, length, most):
     rows = odd_rows()
