@@ -22,13 +22,21 @@ def holds(filter_bytes: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -
     return (filter_bytes[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1
 
 
+def at_most(keys: np.ndarray, most: int) -> np.ndarray:
+    """Sorted keys with no more than ``most`` copies of each."""
+    keep = np.ones(len(keys), bool)
+    keep[most:] = keys[most:] != keys[: max(0, len(keys) - most)]
+    return keys[keep]
+
+
 def frequency_filters(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], more_than: tuple[int, ...], bits: int = FILTER_BITS) -> list[np.ndarray]:
     """For each bound one bitmap of 2**bits, indexed by the first bits of a key: set where
     some key has more than so many occurrences in the table.  Never a bit too few; bits
     too many where keys share their first bits (counts go by the first KEY_BITS).
 
-    A task sorts and packs its keys (five bytes or fewer each), so that what is shuffled is
-    a few arrays per task and key range; the driver gets the bitmaps, of fixed size, alone.
+    A task sorts and packs its keys (five bytes or fewer each), with no more copies of one in
+    a chunk than the bounds tell apart, so that what is shuffled is a few arrays per task
+    and key range, also where all rows share a key; the driver gets the bitmaps, of fixed size, alone.
     """
     # a range gets about as much as a quarter of one input partition gives
     split = max(8, min(20, (4 * df.rdd.getNumPartitions() - 1).bit_length()))
@@ -36,7 +44,7 @@ def frequency_filters(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
     span = bits - split
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held)) >> _U(64 - KEY_BITS)
+        keys = at_most(np.sort(np.concatenate(held)) >> _U(64 - KEY_BITS), max(more_than) + 1)
         cuts = np.searchsorted(keys, np.arange(1 << split, dtype=_U) << _U(low))
         parts = np.split((keys & _U((1 << low) - 1)).astype(np.uint32), cuts[1:])
         some = [i for i, p in enumerate(parts) if len(p)]

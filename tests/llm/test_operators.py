@@ -7,7 +7,7 @@ import pytest
 from plain import FOLD, jaccard, lines, measures, repeats
 
 import corpus_pipeline
-from ledgertide.llm import components, decontaminate, host_rules, licenses, line_dedup, mixing, ngram_jaccard, quality_model, token_output, url_filter
+from ledgertide.llm import components, decontaminate, filters, host_rules, licenses, line_dedup, mixing, ngram_jaccard, quality_model, token_output, url_filter
 from ledgertide.llm import repeats as suffixes
 from ledgertide.llm.shared import Scratch
 from ledgertide.llm.wavelet import WaveletShard, encode
@@ -76,6 +76,19 @@ def test_jaccard_threshold_is_exact():
         assert b - a <= 1
 
 
+def test_frequency_filters_keep_few_copies(spark):
+    keys = np.sort(np.random.default_rng(2).integers(0, 40, 900).astype(np.uint64))
+    for most in (1, 3, 2000):
+        own = filters.at_most(keys, most)
+        assert own.tolist() == sorted(k for k in set(keys.tolist()) for _ in range(min(most, (keys == k).sum())))
+    assert len(filters.at_most(keys[:0], 2)) == 0
+    counts = {1: 1, 2: 2, 3: 3, 4: 900}
+    rows = spark.createDataFrame([(k << 50,) for k, n in counts.items() for _ in range(n)], "k long").repartition(3)
+    found = filters.frequency_filters(rows, lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)]), (0, 1, 2), 20)
+    for bound, marks in enumerate(found):
+        assert {k for k in range(1, 9) if filters.holds(marks, np.array([k << 50], np.uint64), 20)[0]} == {k for k, n in counts.items() if n > bound}
+
+
 def test_keep_one(odd):
     rows = odd_rows()
     kept = ngram_jaccard.keep_one(odd)
