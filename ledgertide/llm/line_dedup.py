@@ -1,8 +1,9 @@
 """Operator 9, line dedup: explode normalised lines, hash, count distinct documents per
 hash, drop lines over the threshold, reassemble by position.
 
-Only 24 bytes a line are shuffled for the counts (the hash has 128 bits, so that even
-10**12 lines have no expected collision); a line that a third of all documents hold is
+Only 24 bytes a line are shuffled for the counts (a BLAKE2b digest of 128 bits, so that
+equal digests are equal lines: 10**12 lines make no collision that one might expect, and
+no structure of their bytes makes one); a line that a third of all documents hold is
 pre-aggregated before the shuffle, and the join back to its holders is one that AQE
 splits.  Texts are shuffled once, when a document meets the lines that it loses.
 """
@@ -10,13 +11,14 @@ splits.  Texts are shuffled once, when a document meets the lines that it loses.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.bytekit import FOLDED_VALUES, NOT_SPACE, OTHER_BASE, Slice, prefix_hashes, runs, slices, span_hashes
+from ledgertide.llm.bytekit import FOLD, NOT_SPACE, Slice, runs, slices
 from ledgertide.llm.shared import Scratch, arrow_map, table
 
 MIN_CHARS = 20
@@ -40,8 +42,8 @@ def split_lines(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def line_keys(piece: Slice, min_chars: int) -> tuple[np.ndarray, ...]:
-    """Lines as split_lines has them, which of them are long enough, and the two hashes of
-    each line's key (meaningless where it's too short)."""
+    """Lines as split_lines has them, which of them are long enough, and the two halves of the
+    digest of each line's key (0 where it's too short)."""
     starts, ends, first = split_lines(piece)
     word_starts, word_ends, _ = runs(piece, NOT_SPACE)
     a, b = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
@@ -50,9 +52,12 @@ def line_keys(piece: Slice, min_chars: int) -> tuple[np.ndarray, ...]:
     hi = np.where(some, np.append(word_ends, 0)[b - 1], starts)
     points = np.concatenate([[0], np.cumsum((piece.data & 0xC0) != 0x80)])
     keep = points[hi] - points[lo] >= min_chars
-    one = span_hashes(prefix_hashes(piece.data, FOLDED_VALUES), lo, hi).view(np.int64)
-    two = span_hashes(prefix_hashes(piece.data, FOLDED_VALUES, OTHER_BASE), lo, hi, OTHER_BASE).view(np.int64)
-    return starts, ends, first, keep, one, two
+    low = memoryview(FOLD[piece.data])
+    halves = np.zeros((len(starts), 2), np.int64)
+    at = np.flatnonzero(keep)
+    digests = b"".join([blake2b(low[a:b], digest_size=16).digest() for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)])
+    halves[at] = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return starts, ends, first, keep, halves[:, 0], halves[:, 1]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
