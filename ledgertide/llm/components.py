@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.llm.shared import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(a long, b long) -> (node, root): root is the smallest node of node's component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), each written to the
     scratch folder; the number of rounds grows with the logarithm of a component's size.
     A node of huge degree is met by its pre-aggregated minimum only.  Self links and
-    nulls are ignored; nodes without a link don't come back.
+    nulls are ignored; nodes without a link don't come back.  It runs until nothing
+    changes.
     """
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     mark = None
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -32,6 +35,4 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,21 +2,24 @@
 counts bound the overlap from above, then exact intersection of sorted arrays.
 
 1. A pass over all texts counts the documents of every shingle (sorted, packed keys per
-   task, summed per key range) into two bitmaps of fixed size: shingles held by two
-   documents or more, and by more than ``HOT``.
-2. A second pass makes each document's sorted shingle array.  Texts with equal arrays
-   become one class.  In the order (held once, held more often, hot; then by hash) a
-   class's first n - ceil(0.8 n) + 1 shingles must hold one of any linked class's, so
-   only these, and of these only those held twice, are its tile keys.  The bitmaps only
-   set the order and drop shingles that no other document has, so a crowded bitmap costs
-   time, never a link.
-3. Tiles of other keys hold HOT classes at most: all their pairs of fitting size pass the
-   bit-count bound or go; the distinct survivors meet their arrays and are intersected.
+   task, summed per key range) into one bitmap of fixed size: the shingles that more than
+   ``HOT`` documents hold.  A key range that would fill its part of the bitmap takes a
+   higher bound, so that the bitmap says as much at any size of the corpus.
+2. A second pass gives each document's digest, tile keys and bitmap signature; texts with
+   equal sets become one class.  In the order (not hot, hot; then by hash) a class's first
+   n - ceil(0.8 n) + 1 shingles must hold one of any linked class's: these are its tile
+   keys.  The order may be any, so a crowded bitmap costs time, never a link.
+3. Tiles of other keys are small: their pairs whose sizes fit, and whose places of the key
+   leave enough behind it, pass the bit-count bound or go.  The survivors' arrays are made
+   in a third pass over the texts, for these classes alone, and intersected.
 4. Tiles of hot keys are cut by size band and then into blocks of bounded volume; every
    pair of blocks is one unit of work that carries the arrays, and checks a pair of
    classes only where the key is the first that both have.  It returns counts and a
    spanning forest, not all pairs.
 5. Components by large-star/small-star.
+
+A word is hashed by a digest of its bytes (``bytekit.word_hashes``), so that no structure of
+a text makes two words alike.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.bytekit import FOLDED_VALUES, NOT_SPACE, Slice, ngram_hashes, prefix_hashes, runs, slices, span_hashes
+from ledgertide.llm.bytekit import FOLD, NOT_SPACE, Slice, mix, ngram_hashes, runs, slices, word_hashes
 from ledgertide.llm.components import connected_components
 from ledgertide.llm.filters import FILTER_BITS, frequency_filters, holds
 from ledgertide.llm.shared import Scratch, group_starts, grouped, table
@@ -38,13 +41,15 @@ SHINGLE = 5
 PERCENT = 80
 HOT = 64
 BLOCK_SHINGLES = 300_000
+#: The hot keys fill at most this share of their bitmap.
+FILL = 1 / 16
 _U = np.uint64
 
 
 def shingle_arrays(piece: Slice, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as a sorted array of 64-bit hashes."""
     starts, ends, first = runs(piece, NOT_SPACE)
-    words = span_hashes(prefix_hashes(piece.data, FOLDED_VALUES), starts, ends)
+    words = word_hashes(FOLD[piece.data], starts, ends)
     grams = ngram_hashes(words, size)
     for i in range(len(piece)):
         a, b = first[i], first[i + 1]
@@ -95,40 +100,38 @@ def bounded(differing: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int =
 
 
 def cold_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of the same key whose sizes fit and whose bit counts leave enough overlap."""
+    """Pairs of the same key whose sizes fit and that can be alike if this is their first common
+    key: what comes before it in the two orders then has nothing in common."""
     for part in grouped(batches, ["key"]):
-        key, n, node = (part[c].to_numpy() for c in ("key", "n", "node"))
-        bits = part["bits"].to_pylist()
-        width = np.array([len(b) for b in bits])
-        sized: dict[int, np.ndarray] = {}
-        lag = 1
+        key, n, node, place = (part[c].to_numpy() for c in ("key", "n", "node", "place"))
+        rest = n - place  # the shingles from the key on
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        while True:
-            a = np.flatnonzero(key[lag:] == key[:-lag]) if lag < len(key) else np.zeros(0, np.int64)
+        for lag in range(1, len(key)):
+            a = np.flatnonzero(key[lag:] == key[:-lag])
             if not len(a):
                 break
             b = a + lag
-            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b = a[fit], b[fit]
-            least = np.minimum(width[a], width[b])
-            for w in np.unique(least):
-                if w not in sized:
-                    rows = np.flatnonzero(width >= w)
-                    index = np.full(len(bits), -1)
-                    index[rows] = np.arange(len(rows))
-                    sized[w] = (index, folded([bits[i] for i in rows], int(w)))
-                index, rows = sized[w]
-                x, y = a[least == w], b[least == w]
-                differing = np.bitwise_count(rows[index[x]] ^ rows[index[y]]).sum(1, dtype=np.int64)
-                ok = bounded(differing, n[x], n[y], percent)
-                found.append((node[x[ok]], node[y[ok]]))
-            lag += 1
+            ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & enough(np.minimum(rest[a], rest[b]), n[a], n[b], percent)
+            found.append((node[a[ok]], node[b[ok]]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def likely(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bit counts leave enough overlap: a, b, na, nb, bits_a, bits_b -> a, b."""
+    na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+    bits = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+    width = np.array([[len(b) for b in side] for side in bits]).reshape(2, -1).min(0)
+    ok = np.zeros(batch.num_rows, bool)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        x, y = (folded([side[i] for i in at], int(w)) for side in bits)
+        ok[at] = bounded(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), na[at], nb[at], percent)
+    yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
 def verify(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose arrays are alike: a, b, copies_a, copies_b, sa, sb -> the first four."""
     keep = []
@@ -206,83 +209,96 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     return judged_rows(docs, size, percent, hot, filter_bits, block_shingles).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def judged_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, filter_bits: int = FILTER_BITS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def judged_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, filter_bits: int = FILTER_BITS, block_shingles: int = BLOCK_SHINGLES, scratch: Scratch | None = None) -> DataFrame:
     """The columns of ``jaccard_components``, text_hash (xxhash64 of text), and component: the same
-    number in all rows that links join, whatever their doc_ids; null without a shingle."""
+    number in all rows that links join, whatever their doc_ids; null without a shingle.
+    Of the tables in scratch only two narrow ones are left, which the result reads."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
 
     def all_shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for piece in slices(batch.column(0)):
             yield from shingle_arrays(piece, size)
 
-    filters = spark.sparkContext.broadcast(frequency_filters(docs.select("text"), all_shingles, (1, hot), filter_bits))
+    crowded = spark.sparkContext.broadcast(frequency_filters(docs.select("text"), all_shingles, (hot,), filter_bits, FILL)[0])
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def rank(hashes: np.ndarray) -> np.ndarray:
-        """0: no other document has it; 2: hot; 1: between."""
-        repeated, many = filters.value
-        return holds(repeated, hashes, filter_bits) + holds(many, hashes, filter_bits)
+    def is_hot(hashes: np.ndarray) -> np.ndarray:
+        return holds(crowded.value, hashes, filter_bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column(1)):
-                n, s1, s2, keys, bits, sets = [], [], [], [], [], []
+                n, s1, s2, keys, bits = [], [], [], [], []
                 for own in shingle_arrays(piece, size):
                     n.append(len(own))
-                    digest = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64) if len(own) else (None, None)
-                    s1.append(digest[0])
-                    s2.append(digest[1])
-                    level = rank(own)
-                    order = np.argsort(level, kind="stable")[: len(own) + (-percent * len(own)) // 100 + 1] if len(own) else []
-                    own_keys = own[order][level[order] > 0] if len(own) else own
-                    some = len(own_keys) > 0
-                    keys.append(own_keys.tobytes() if some else None)
-                    bits.append(bitmap(own) if some else None)
-                    sets.append(own.tobytes() if some else None)
+                    one, two = digest(own) if len(own) else (None, None)
+                    s1.append(one)
+                    s2.append(two)
+                    first = np.argsort(is_hot(own), kind="stable")[: len(own) + (-percent * len(own)) // 100 + 1]
+                    keys.append(own[first].tobytes() if len(own) else None)
+                    bits.append(bitmap(own) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.rows.start, len(piece)), batch.column(2).slice(piece.rows.start, len(piece)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, bits, sets))],
-                    ["doc_id", "text_hash", "n", "s1", "s2", "keys", "bits", "shingles"],
+                    [batch.column(0).slice(piece.rows.start, len(piece)), batch.column(2).slice(piece.rows.start, len(piece)), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, bits))],
+                    ["doc_id", "text_hash", "n", "s1", "s2", "keys", "bits"],
                 )
 
-    rows = scratch.save(docs.mapInArrow(sketch, f"doc_id {doc_type}, text_hash long, n long, s1 long, s2 long, keys binary, bits binary, shingles binary"), "rows")
-    classes = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("keys", "bits", "shingles")))
+    sketches = scratch.save(docs.mapInArrow(sketch, f"doc_id {doc_type}, text_hash long, n long, s1 long, s2 long, keys binary, bits binary"), "sketches")
+    classes = sketches.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "keys", "bits")))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    able = classes.where("keys IS NOT NULL")
+    rows = scratch.save(sketches.select("doc_id", "text_hash", "n", "s1", "s2"), "rows")
+    scratch.drop("sketches")
 
     edges_of_bands = band_edges(percent)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [np.frombuffer(x.as_buffer(), _U) for x in batch.column("keys")]
-            owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            flat = np.concatenate(keys)
-            n = batch.column("n").to_numpy()
-            band = np.searchsorted(edges_of_bands, n, "right").astype(np.int32)
-            rows = batch.select(["node", "n", "bits"]).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(rank(flat) == 2), pa.array(band[owner]), *rows.columns], ["key", "hot", "band", "node", "n", "bits"])
-
-    keyed = able.select("node", "n", "bits", "keys").mapInArrow(explode, "key long, hot boolean, band int, node long, n long, bits binary")
-    keyed = scratch.save(keyed, "keyed")
-
-    cold = keyed.where("NOT hot").select("key", "n", "node", "bits").repartition("key").sortWithinPartitions("key", "n")
-    pairs = cold.mapInArrow(lambda it: cold_pairs(it, percent), "a long, b long").distinct()
-    arrays = able.select("node", "copies", "shingles")
-    pairs = pairs.join(arrays.toDF("a", "copies_a", "sa"), "a").join(arrays.toDF("b", "copies_b", "sb"), "b")
-    links = pairs.mapInArrow(lambda it: (out for b in it for out in verify(b, percent)), "a long, b long, copies_a long, copies_b long")
-    links = scratch.save(links, "links")
+    def keyed(hot_ones: bool) -> DataFrame:
+        """A row a tile key that is hot, or isn't: key, band, node, n, place (in the order)."""
 
-    tiles = keyed.where("hot").select("key", "node", "n", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "band")
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = [np.frombuffer(x.as_buffer(), _U) for x in batch.column("keys")]
+                sizes = np.array([len(k) for k in keys])
+                flat = np.concatenate(keys)
+                at = np.flatnonzero(is_hot(flat) == hot_ones)
+                owner = np.repeat(np.arange(len(keys)), sizes)[at]
+                place = at - (np.cumsum(sizes) - sizes)[owner]
+                n = batch.column("n").to_numpy()[owner]
+                band = np.searchsorted(edges_of_bands, n, "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(band), batch.column("node").take(pa.array(owner)), pa.array(n), pa.array(place.astype(np.int32))], ["key", "band", "node", "n", "place"])
+
+        return classes.select("node", "n", "keys").mapInArrow(explode, "key long, band int, node long, n long, place int")
+
+    cold = keyed(False).select("key", "n", "node", "place").repartition("key").sortWithinPartitions("key", "n")
+    pairs = scratch.save(cold.mapInArrow(lambda it: cold_pairs(it, percent), "a long, b long").distinct(), "pairs")
+    signed = classes.select("node", "n", "bits")
+    pairs = pairs.join(signed.toDF("a", "na", "bits_a"), "a").join(signed.toDF("b", "nb", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    candidates = scratch.save(pairs.mapInArrow(lambda it: (out for b in it for out in likely(b, percent)), "a long, b long"), "candidates")
+    scratch.drop("pairs")
+
+    tiles = scratch.save(keyed(True).select("key", "band", "node", "n"), "hot")
+    tiles = tiles.select("key", "node", "n", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "band")
     tiles = tiles.withColumn("home", F.col("band") == F.col("tile"))
     volume = tiles.groupBy("key", "tile").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"), F.max("home").alias("any"), F.count(F.lit(1)).alias("members"))
     volume = scratch.save(volume.where("any AND members > 1").select("key", "tile", "blocks"), "volume")
-    tiles = tiles.join(volume, ["key", "tile"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    tiles = scratch.save(tiles.join(volume, ["key", "tile"]).select("key", "tile", "blocks", "home", "node", "n"), "tiles")
+    scratch.drop("hot", "volume")
+
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(tiles.select("node")).distinct()
+    wanted = scratch.save(classes.join(wanted, "node", "left_semi").select("s1", "s2", "node", "copies"), "wanted")
+    arrays = scratch.save(_arrays(docs.select("text"), wanted, size, filter_bits), "arrays")
+
+    found = candidates.join(arrays.toDF("a", "copies_a", "sa"), "a").join(arrays.toDF("b", "copies_b", "sb"), "b")
+    links = found.mapInArrow(lambda it: (out for b in it for out in verify(b, percent)), "a long, b long, copies_a long, copies_b long")
+    links = scratch.save(links, "links")
+    scratch.drop("candidates", "wanted")
+
+    tiles = tiles.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.select("key", "tile", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "home", "node", "n")
-    tiles = tiles.join(able.select("node", "copies", "bits", "keys", "shingles"), "node")
+    tiles = tiles.join(classes.select("node", "bits", "keys"), "node").join(arrays, "node")
     unit = ["key", "tile", "bi", "bj"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +314,7 @@ def judged_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ho
                 )
 
     dense = scratch.save(tiles.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(work, "a long, b long, links long"), "dense")
+    scratch.drop("tiles", "arrays")
 
     edges = links.select("a", "b").union(dense.where("b IS NOT NULL").select("a", "b"))
     roots = connected_components(edges, scratch)
@@ -309,10 +326,45 @@ def judged_rows(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ho
     result = classes.select("s1", "s2", "node", "least", "copies").join(named, "node", "left").join(counts, "node", "left")
     result = result.select("s1", "s2", F.coalesce("root", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     result = scratch.save(result, "result")
-    joined = rows.select("doc_id", "text_hash", "n", "s1", "s2").join(result, ["s1", "s2"], "left")
+    scratch.drop("classes", "links", "dense", "named")
+    joined = rows.join(result, ["s1", "s2"], "left")
     return joined.select("doc_id", "text_hash", "component", F.col("n").alias("n_shingles"), F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole set."""
+    one, two = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
+    return one, two
+
+
+def _arrays(texts: DataFrame, wanted: DataFrame, size: int, filter_bits: int) -> DataFrame:
+    """wanted (s1, s2, node, copies) -> node, copies, shingles: the sorted arrays of these classes,
+    made again from the texts.  A task gives a class once, whatever its copies."""
+
+    def first_digests(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix(batch.column(0).to_numpy().view(_U))
+
+    known = texts.sparkSession.sparkContext.broadcast(frequency_filters(wanted.select("s1"), first_digests, (0,), filter_bits)[0])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
+        for batch in batches:
+            for piece in slices(batch.column(0)):
+                out: list[tuple[int, int, bytes]] = []
+                for own in shingle_arrays(piece, size):
+                    key = digest(own)
+                    if not len(own) or key in given or not holds(known.value, mix(np.array(key[:1]).view(_U)), filter_bits)[0]:
+                        continue
+                    given.add(key)
+                    out.append((*key, own.tobytes()))
+                if len(given) > 1_000_000:
+                    given.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["s1", "s2", "shingles"])
+
+    made = texts.mapInArrow(make, "s1 long, s2 long, shingles binary").groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
+    return made.join(wanted, ["s1", "s2"]).select("node", "copies", "shingles")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -341,21 +393,6 @@ FROM sets LEFT JOIN least_of ON doc_id = least_of.x LEFT JOIN counts ON doc_id =
 """
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, without the near duplicates: of each component
-    the document with the smallest doc_id stays.  Of rows that share that doc_id one stays
-    (the first by text)."""
-    judged = jaccard_components(docs)
-    scratch = Scratch(docs.sparkSession, "kept")
-    judged = scratch.save(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone")), "judged")
-    gone = judged.where("gone").select(F.col("doc_id").alias("gone id"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone id")), "left_anti")
-    if not judged.where("rows > 1 AND NOT gone").head(1):
-        return kept
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("place among equals", place).where(F.col("place among equals") == 1).select(*docs.columns)
-
-
 def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, without the near duplicates: of each component
     one row stays, one with the smallest doc_id (a null only where there is no other).
@@ -363,9 +400,10 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     A row goes by its own doc_id and text, so that rows that share a doc_id, or have none,
     are kept where no link joins them.  Rows without a link always stay.
     """
-    scratch = Scratch(docs.sparkSession, "kept")
-    linked = judged_rows(docs).where("n_links > 0").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    scratch, work = Scratch(docs.sparkSession, "kept"), Scratch(docs.sparkSession, "jaccard")
+    linked = judged_rows(docs, scratch=work).where("n_links > 0").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     linked = scratch.save(linked, "linked")
+    work.end()
     first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")).select("first.doc_id", "first.text_hash")
     first = scratch.save(first, "first")
 

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -25,15 +26,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset
-    (tests in local mode), a temporary folder that is set as such."""
+    """The folder that the cluster names in spark.checkpoint.dir.  Where that is unset, local
+    mode (as in tests) sets a temporary folder as such; a cluster must name a shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") if re.match(r"\w+:", root) else "file://" + root.rstrip("/")
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside lose their shuffle files when they end, not when
+    the driver happens to collect garbage; right for what is run once."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -47,16 +65,21 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._end)
+        atexit.register(self._at_exit)
+
+    def end(self) -> None:
+        """Deletes all tables."""
+        remove(self.spark, self.path)
 
-    def _end(self) -> None:
+    def _at_exit(self) -> None:
         try:
-            remove(self.spark, self.path)
+            self.end()
         except Exception:  # noqa: BLE001  the session may be gone by then
             pass
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        with freeing_shuffles(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

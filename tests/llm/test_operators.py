@@ -76,26 +76,37 @@ def test_jaccard_threshold_is_exact():
         assert b - a <= 1
 
 
-def test_frequency_filters_keep_few_copies(spark):
-    keys = np.sort(np.random.default_rng(2).integers(0, 40, 900).astype(np.uint64))
-    for most in (1, 3, 2000):
-        own = filters.at_most(keys, most)
-        assert own.tolist() == sorted(k for k in set(keys.tolist()) for _ in range(min(most, (keys == k).sum())))
-    assert len(filters.at_most(keys[:0], 2)) == 0
+def test_frequency_filters(spark):
     counts = {1: 1, 2: 2, 3: 3, 4: 900}
     rows = spark.createDataFrame([(k << 50,) for k, n in counts.items() for _ in range(n)], "k long").repartition(3)
-    found = filters.frequency_filters(rows, lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)]), (0, 1, 2), 20)
-    for bound, marks in enumerate(found):
-        assert {k for k in range(1, 9) if filters.holds(marks, np.array([k << 50], np.uint64), 20)[0]} == {k for k, n in counts.items() if n > bound}
-
-
-def test_keep_one(odd):
-    rows = odd_rows()
-    kept = ngram_jaccard.keep_one(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    gone = {d for (d, _), (_, c, _) in zip(rows, jaccard(rows), strict=True) if d != c}
-    assert sorted(map(repr, ids)) == sorted(repr(d) for d in {d for d, _ in rows} - gone)
+    keys = lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)])
+    has = lambda marks, n: {k for k in range(n) if filters.holds(marks, np.array([k << 50], np.uint64), 20)[0]}
+    for bound, marks in enumerate(filters.frequency_filters(rows, keys, (0, 1, 2), 20)):
+        assert has(marks, 9) == {k for k, n in counts.items() if n > bound}
+    many = spark.createDataFrame([(k << 50,) for k in range(1, 200) for _ in range(1 + (k % 5 == 0) * 20)], "k long").repartition(3)
+    # each range of 2**12 bits has 12 or 13 of the frequent keys, the last one of them
+    assert has(filters.frequency_filters(many, keys, (1,), 20, 8 / 4096)[0], 200) == {195}
+    assert has(filters.frequency_filters(many, keys, (1,), 20, 64 / 4096)[0], 200) == set(range(5, 200, 5))
+    numbers = np.array([0, 5, 1 << 31, 7], np.uint32)
+    assert filters.unsqueezed(filters.squeezed(numbers), 4).tolist() == numbers.tolist()
+
+
+def thue_morse(n, a, b):
+    """Strings of this kind collide under polynomial hashes modulo 2**64."""
+    return "".join(b if k.bit_count() % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_structured_words_and_lines_stay_apart(spark, size):
+    t, u = thue_morse(size, "a", "b"), thue_morse(size, "b", "a")
+    rows = [(1, t), (2, u), (3, f"{t}\n{u}\n{t}x"), (4, t), (5, u + " " + t), (6, t + " " + u)]
+    got = ngram_jaccard.jaccard_components(frame(spark, rows)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, ((d, *x) for (d, _), x in zip(rows, jaccard(rows), strict=True))))
+    rows = [(1, t), (2, u), (3, t + "x"), (4, t)]
+    got = line_dedup.dedup_lines(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    got = suffixes.repeated_spans(frame(spark, rows[:3]), 400).collect()
+    assert sorted(repr((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], r.kept_sha256)) for r in got) == sorted(repr((d, n, [tuple(s) for s in spans], kept)) for (d, _), (n, spans, kept) in zip(rows, repeats([t for _, t in rows[:3]], 400), strict=False))
 
 
 def test_keep_rows_goes_by_row(spark):
@@ -398,7 +409,7 @@ def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string")
     for df in (
         ngram_jaccard.jaccard_components(empty),
-        ngram_jaccard.keep_one(empty),
+        ngram_jaccard.keep_rows(empty),
         suffixes.repeated_spans(empty),
         line_dedup.dedup_lines(empty),
         host_rules.judge(empty),
