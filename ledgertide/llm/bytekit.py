@@ -7,12 +7,11 @@ of a partition.  Equal strings have equal hashes on every machine and in every b
 Polynomial hashes are modulo 2**64 over a fixed random byte table.  Long strings of a
 special structure (Thue-Morse words of 1,024 bytes and more) collide under them, so
 they only choose candidates that are compared afterwards; what decides by itself takes
-``word_hashes``, which are digests.
+``word_hashes``.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,32 +144,19 @@ def runs(piece: Slice, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, piece.offsets)
 
 
-_digests: dict[bytes, int] = {}
-KNOWN_WORDS = 500_000
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit BLAKE2b digest of the bytes of each span (in order, apart from each other).  A
-    worker keeps the digests of so many words and then begins anew."""
-    n = len(starts)
-    if not n:
-        return np.zeros(0, _U)
+    """Tabulation hashes of the bytes of each span (in order, apart from each other): the sum of
+    a pseudo-random number for each byte at its place.  Two different spans differ in a number
+    that is independent of the others, so they collide with a chance of 2**-64, whatever
+    their structure."""
     lengths = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    kept = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
-    coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))]).dictionary_encode()
-    if len(_digests) > KNOWN_WORDS:
-        _digests.clear()
-    found = np.empty(len(coded.dictionary), _U)
-    for i, word in enumerate(coded.dictionary.to_pylist()):
-        value = _digests.get(word)
-        if value is None:
-            value = _digests[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        found[i] = value
-    return found[coded.indices.to_numpy(zero_copy_only=False)]
+    place = np.arange(len(data))
+    if len(starts):
+        place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
+    sums = np.empty(len(data) + 1, _U)
+    sums[0] = 0
+    np.cumsum(mix((place.astype(_U) << _U(8) | data) + _U(0xA0761D6478BD642F)), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + lengths.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

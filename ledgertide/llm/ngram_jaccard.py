@@ -18,8 +18,8 @@ counts bound the overlap from above, then exact intersection of sorted arrays.
    spanning forest, not all pairs.
 5. Components by large-star/small-star.
 
-A word is hashed by a digest of its bytes (``bytekit.word_hashes``), so that no structure of
-a text makes two words alike.
+Words are hashed by tabulation (``bytekit.word_hashes``), so that no structure of a text
+makes two of them alike.
 """
 
 from __future__ import annotations
