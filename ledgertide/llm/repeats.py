@@ -4,15 +4,19 @@
    that length (leftmost on ties): its anchor.  The choice depends on the window's bytes
    alone, so equal windows have equal anchors at equal offsets, and a text has about one
    anchor in a hundred bytes.  Stretches that repeat themselves are known in the same pass.
-2. Equal texts become one class.  A bitmap of fixed size over all classes' anchors tells
-   which may occur twice; only these carry on, with the bytes that their windows span.
+2. Equal texts become one class.  The anchors of all classes are counted by their hash;
+   those that occur twice or more carry on, with the bytes that their windows span.
 3. All occurrences of an anchor meet in one place and their suffixes are sorted: mergesort
    whose comparisons find the common extension by binary search over prefix polynomial
    hashes.  Windows at offset o are equal if a run of neighbours has extensions of
    length - o bytes to the right and the o bytes to the left have one hash; claimed
-   matches are then compared byte by byte.
-4. An anchor with more than ``most`` occurrences goes another way: its windows' hashes are
-   counted as rows (pre-aggregated, so no key's rows meet in one task).
+   matches are then compared byte by byte.  Where a hash has misled, the groups at hand
+   are judged by their bytes alone.
+4. An anchor with more than ``most`` occurrences is dealt anew before it is sorted: by
+   offset in cells of some width, and by the bytes that all windows of a cell have in
+   common.  Occurrences with the same bytes around them (by their digest) match and go on
+   as one.  Cells that are still crowded become narrower; in the narrowest a window is its
+   own key, so every group that is sorted is bounded, however common a passage is.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.bytekit import _BASE, BYTE_VALUES, OTHER_BASE, Slice, mix, powers, prefix_hashes, slices, span_hashes
+from ledgertide.llm.bytekit import _BASE, BYTE_VALUES, Slice, mix, powers, prefix_hashes, slices
 from ledgertide.llm.filters import FILTER_BITS, frequency_filters, holds
 from ledgertide.llm.shared import Scratch, group_starts, grouped, table
 
 LENGTH = 400
-MOST = 20_000
+#: Occurrences of an anchor that are sorted in one place.
+MOST = 2_000
+#: Widths of the cells, in offsets, by which more are dealt.
+CELLS = (32, 4, 1)
 ANCHOR = np.dtype([("gram", "<u8"), ("pos", "<u4"), ("lo", "<u2"), ("hi", "<u2")])
 _U = np.uint64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -174,9 +181,37 @@ class Suffixes:
         return order
 
 
+class Collision(Exception):
+    """Two different strings have the same polynomial hash."""
+
+
 def matched_offsets(contexts: list[bytes], before: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each occurrence the least and greatest offset o in lo..hi whose window, which
     begins o bytes before the anchor, equals another's of its group (-1: none does)."""
+    try:
+        return _by_suffixes(contexts, before, group, lo, hi, length)
+    except Collision:
+        return _by_bytes(contexts, before, group, lo, hi, length)
+
+
+def _by_bytes(contexts: list[bytes], before: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``matched_offsets`` without any hash of ours, one offset of one group at a time."""
+    least, most = np.full(len(contexts), -1), np.full(len(contexts), -1)
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        for o in range(int(lo[own].min()), int(hi[own].max()) + 1):
+            alike: dict[bytes, list[int]] = {}
+            for i in own[(lo[own] <= o) & (o <= hi[own])].tolist():
+                at = int(before[i]) - o
+                alike.setdefault(contexts[i][at : at + length], []).append(i)
+            for rows in alike.values():
+                if len(rows) > 1:
+                    most[rows] = o
+                    least[rows] = np.where(least[rows] < 0, o, least[rows])
+    return least, most
+
+
+def _by_suffixes(contexts: list[bytes], before: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(contexts)
     suffixes = Suffixes(contexts, before)
     order = suffixes.order(group)
@@ -229,7 +264,7 @@ def _confirm(suffixes: Suffixes, i: np.ndarray, j: np.ndarray, back: np.ndarray,
         a = np.repeat(suffixes.at[i[part]] - back[part], size) + steps
         b = np.repeat(suffixes.at[j[part]] - back[part], size) + steps
         if not np.array_equal(suffixes.data[a], suffixes.data[b]):
-            raise RuntimeError("two different strings have the same 64-bit polynomial hash")
+            raise Collision
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -238,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
 
     A byte goes if some ``length``-byte string that covers it starts anywhere else too, in
     the same text or another; strings never cross texts and are judged on the input.  All
-    occurrences go.  Null and empty texts have no bytes.  Rows are judged one by one, also
+    occurrences go.  Null and empty texts have no bytes; equal texts repeat as a whole.  Rows are judged one by one, also
     where doc_ids repeat or are null.  Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
@@ -260,37 +295,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
     classes = rows.where("anchors IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("own").alias("own"))
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for x in batch.column(0):
-            yield np.frombuffer(x.as_buffer(), ANCHOR)["gram"]
-
-    def mixed_grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for own in grams(batch):
-            yield mix(own)
-
-    # two bitmaps by independent bits: hardly any anchor passes both that has no twin
-    repeated = spark.sparkContext.broadcast([frequency_filters(classes.select("anchors"), keys, (1,), filter_bits)[0] for keys in (grams, mixed_grams)])
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x in batch.column("anchors"):
-                own = np.frombuffer(x.as_buffer(), ANCHOR)
-                own = own[(holds(repeated.value[0], own["gram"], filter_bits) & holds(repeated.value[1], mix(own["gram"]), filter_bits)) > 0]
-                kept.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.select(["node", "rep", "sha256", "own"]).columns, pa.array(kept, pa.binary())], ["node", "rep", "sha256", "own", "anchors"])
-
-    able = classes.select("node", "rep", "sha256", "own", "anchors").mapInArrow(select, f"node long, rep {doc_type}, sha256 string, own binary, anchors binary").where("length(anchors) > 0 OR own IS NOT NULL")
+            own = [np.frombuffer(x.as_buffer(), ANCHOR) for x in batch.column(1)]
+            flat = np.concatenate(own) if own else np.zeros(0, ANCHOR)
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
+            yield pa.RecordBatch.from_arrays([pa.array(flat["gram"].view(np.int64)), node, *(pa.array(flat[c].astype(t)) for c, t in (("pos", np.int64), ("lo", np.int32), ("hi", np.int32)))], ["gram", "node", "pos", "lo", "hi"])
+
+    all_anchors = classes.select("node", "anchors").mapInArrow(spread, "gram long, node long, pos long, lo int, hi int")
+    repeated = scratch.save(all_anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    held = all_anchors.join(repeated.select("gram"), "gram").groupBy("node").agg(F.collect_list(F.struct("gram", "pos", "lo", "hi")).alias("held"))
+    held = scratch.save(held, "held")
+    able = classes.select("node", "rep", "sha256", "own").join(held, "node", "left").where("held IS NOT NULL OR own IS NOT NULL")
     able = scratch.save(able, "able")
+    scratch.drop("held")
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only the texts that their row means, where doc_ids repeat."""
         for batch in batches:
             right = [hashlib.sha256(t.as_buffer() if t.is_valid else b"").hexdigest() == s.as_py() for t, s in zip(batch.column("text"), batch.column("sha256"), strict=True)]
-            yield batch.select(["node", "text", "own", "anchors"]).filter(pa.array(right, pa.bool_()))
+            yield batch.select(["node", "text", "own", "held"]).filter(pa.array(right, pa.bool_()))
 
-    texts = docs.join(able, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "own", "anchors", "sha256")
-    texts = scratch.save(texts.mapInArrow(owned, "node long, text string, own binary, anchors binary"), "texts")
+    held_type = "array<struct<gram: bigint, pos: bigint, lo: int, hi: int>>"
+    texts = docs.join(able, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "own", "held", "sha256")
+    texts = scratch.save(texts.mapInArrow(owned, f"node long, text string, own binary, held {held_type}"), "texts")
+    scratch.drop("able")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,24 +328,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for i in range(len(piece)):
                     raw = piece.bytes_of(i)
-                    own = np.frombuffer(batch.column("anchors")[piece.rows.start + i].as_buffer(), ANCHOR)
                     node = nodes[piece.rows.start + i].as_py()
-                    for gram, pos, lo, hi in zip(own["gram"].view(np.int64).tolist(), own["pos"].tolist(), own["lo"].tolist(), own["hi"].tolist(), strict=True):
-                        for column, value in zip(out, (gram, node, pos, lo, hi, raw[pos - hi : pos - lo + length]), strict=True):
+                    for x in batch.column("held")[piece.rows.start + i].as_py() or ():
+                        pos, lo, hi = x["pos"], x["lo"], x["hi"]
+                        for column, value in zip(out, (x["gram"], node, pos, lo, hi, raw[pos - hi : pos - lo + length]), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.binary())], ["gram", "node", "pos", "lo", "hi", "context"])
 
-    found = texts.select("node", "text", "anchors").mapInArrow(occurrences, "gram long, node long, pos long, lo int, hi int, context binary")
+    found = texts.select("node", "text", "held").mapInArrow(occurrences, "gram long, node long, pos long, lo int, hi int, context binary")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.concatenate([np.frombuffer(x.as_buffer(), ANCHOR)["gram"] for x in batch.column(0)]) if batch.num_rows else np.zeros(0, _U)
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
-
-    crowded = able.select("anchors").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("gram")
-    crowded = scratch.save(crowded, "crowded")
-    any_crowded = bool(crowded.head(1))
+    crowded = scratch.save(repeated.where(F.col("n") > most).select("gram"), "crowded")
+    any_crowded = not crowded.isEmpty()
     normal = found.join(crowded, "gram", "left_anti") if any_crowded else found
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +354,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
             pos = part["pos"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(part["node"].to_numpy()[ok]), pa.array((pos - farthest)[ok]), pa.array((pos - least)[ok] + length)], ["node", "begin", "stop"])
 
-    spans = normal.repartition("gram").sortWithinPartitions("gram").mapInArrow(search, "node long, begin long, stop long")
+    sort_suffixes = lambda rows: rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(search, "node long, begin long, stop long")
+    spans = sort_suffixes(normal)
     if any_crowded:
-        spans = spans.union(_crowded_spans(found.join(crowded, "gram", "left_semi"), length))
+        crowd = found.join(crowded, "gram", "left_semi")
+        for width in CELLS:
+            alike, few, crowd = dealt_anew(crowd, width, length, most, scratch)
+            spans = spans.union(alike).union(sort_suffixes(few))
+            if crowd is None:
+                break
     spans = spans.groupBy("node").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     spans = scratch.save(spans, "spans")
 
@@ -369,29 +397,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
         F.when(F.col("copies") > 1, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("kept")).alias("kept"),
     )
     result = scratch.save(result.where("spans IS NOT NULL"), "result")
-    joined = rows.select("doc_id", "n_bytes", "sha256").join(result, "sha256", "left")
+    narrow = scratch.save(rows.select("doc_id", "n_bytes", "sha256"), "narrow")
+    scratch.drop("rows", "classes", "texts", "spans", "repeated", "crowded", *(f"{x}{w}" for x in ("cells", "sets", "still") for w in CELLS))
+    joined = narrow.join(result, "sha256", "left")
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
     return joined.select("doc_id", "n_bytes", F.coalesce("spans", empty).alias("spans"), "sha256", F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
-def _crowded_spans(found: DataFrame, length: int) -> DataFrame:
-    """The spans of anchors with very many occurrences: one row a window with 128 bits of
-    hash, counted with pre-aggregation and joined back."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                gram, node, pos, lo, hi = (batch.column(k)[i].as_py() for k in range(5))
-                data = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint8)
-                starts = np.arange(hi - lo + 1)
-                one, two = (span_hashes(prefix_hashes(data, BYTE_VALUES, base), starts, starts + length, base).view(np.int64) for base in (_BASE, OTHER_BASE))
-                m = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * m), pa.array(one), pa.array(two), pa.array([node] * m), pa.array([pos] * m), pa.array(hi - starts)], ["gram", "h1", "h2", "node", "pos", "o"])
-
-    rows = found.select("gram", "node", "pos", "lo", "hi", "context").mapInArrow(windows, "gram long, h1 long, h2 long, node long, pos long, o long")
-    twice = rows.groupBy("gram", "h1", "h2").count().where("count > 1").select("gram", "h1", "h2")
-    spans = rows.join(twice, ["gram", "h1", "h2"]).groupBy("node", "pos").agg(F.min("o").alias("least"), F.max("o").alias("farthest"))
-    return spans.select("node", (F.col("pos") - F.col("farthest")).alias("begin"), (F.col("pos") - F.col("least") + length).alias("stop"))
+def cells(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Each occurrence once for each cell of offsets that it reaches into, under a key made of
+    the cell and the bytes that all its windows share, and with a digest of its bytes there."""
+    names = ["gram", "node", "pos", "lo", "hi", "context", "d1", "d2"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    for batch in batches:
+        out: list[tuple] = []
+        for gram, node, pos, lo, hi, context in zip(*(batch.column(c).to_pylist() for c in names[:6]), strict=True):
+            for cell in range(lo // width, hi // width + 1):
+                # offsets count back from the anchor, which stands hi bytes into the context
+                least, most = max(lo, cell * width), min(hi, cell * width + width - 1)
+                core = context[hi - cell * width : hi - (cell * width + width - 1) + length]
+                own = context[hi - most : hi - least + length]
+                key = hashlib.blake2b(core, digest_size=8, salt=gram.to_bytes(8, "little", signed=True), person=cell.to_bytes(8, "little")).digest()
+                whole = hashlib.blake2b(own, digest_size=16).digest()
+                out.append((int.from_bytes(key, "little", signed=True), node, pos, least, most, own, *(int.from_bytes(whole[k : k + 8], "little", signed=True) for k in (0, 8))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
+
+
+def dealt_anew(crowd: DataFrame, width: int, length: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Occurrences of crowded anchors -> the spans of those with the same bytes around them; one
+    of each such set (and all others) where no more than ``most`` share a key; the rest."""
+    kind = "gram long, node long, pos long, lo int, hi int, context binary, d1 long, d2 long"
+    rows = scratch.save(crowd.mapInArrow(lambda it: cells(it, width, length), kind), f"cells{width}")
+    same = ["gram", "lo", "hi", "d1", "d2"]
+    sets = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "pos")).alias("one"))
+    sets = scratch.save(sets, f"sets{width}")
+    alike = rows.join(sets.where("n > 1").select(*same), same).select("node", (F.col("pos") - F.col("hi")).alias("begin"), (F.col("pos") - F.col("lo") + length).alias("stop"))
+    ones = rows.join(sets.select(*same, "one.node", "one.pos"), [*same, "node", "pos"]).select("gram", "node", "pos", "lo", "hi", "context").dropDuplicates(["gram", "node", "pos", "lo", "hi"])
+    still = scratch.save(sets.groupBy("gram").count().where(F.col("count") > most).select("gram"), f"still{width}")
+    if width == 1 or still.isEmpty():  # a window of its own key has no other in its group
+        return alike, ones, None
+    return alike, ones.join(still, "gram", "left_anti"), ones.join(still, "gram", "left_semi")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

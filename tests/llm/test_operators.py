@@ -120,7 +120,7 @@ def test_keep_rows_goes_by_row(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, [*one, rows[0], *rows[3:7], *rows[9:]]))
 
 
-@pytest.mark.parametrize("length,most", [(400, 20_000), (40, 20_000), (40, 3)])
+@pytest.mark.parametrize("length,most", [(400, 20_000), (40, 20_000), (40, 3), (100, 2)])
 def test_repeats(odd, length, most):
     rows = odd_rows()
     want = sorted(repr((d, n, [tuple(s) for s in spans], kept)) for (d, _), (n, spans, kept) in zip(rows, repeats([t for _, t in rows], length), strict=True))
@@ -128,6 +128,21 @@ def test_repeats(odd, length, most):
     assert sorted(repr((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], r.kept_sha256)) for r in got) == want
 
 
+def test_repeats_survive_hash_collisions(monkeypatch):
+    r = random.Random(4)
+    core = bytes(r.randrange(97, 101) for _ in range(30))
+    contexts = [bytes(r.randrange(97, 99) for _ in range(10)) + core + bytes(r.randrange(97, 99) for _ in range(10)) for _ in range(40)] + [b"a" * 10 + core + b"b" * 10] * 2
+    n = len(contexts)
+    # a window of 36 bytes that begins o bytes before the core, o in 0..6
+    given = (contexts, np.full(n, 10), np.arange(n) // 14, np.zeros(n, np.int64), np.full(n, 6), 36)
+    want = suffixes._by_bytes(*given)
+    assert (want[0] >= 0).any() and all((a == b).all() for a, b in zip(suffixes.matched_offsets(*given), want, strict=True))
+    monkeypatch.setattr(suffixes.Suffixes, "hashes", lambda self, i, back, lengths: np.zeros(len(i), np.uint64))
+    with pytest.raises(suffixes.Collision):
+        suffixes._by_suffixes(*given)
+    assert all((a == b).all() for a, b in zip(suffixes.matched_offsets(*given), want, strict=True))
+
+
 def test_remove_repeats(spark):
     rows = [(1, "abcdefghij" + "UNIQUE"), (2, "xx" + "abcdefghij"), (3, None)]
     got = {r.doc_id: r.text for r in suffixes.remove_repeats(frame(spark, rows), 8).collect()}
