@@ -7,6 +7,9 @@ them in a hash join on the whole hash.  Along one diagonal (place in the documen
 place in the item) each of the item's slot values stands for one value of the document,
 the one that most windows give it; windows that have another are dropped, the rest stay.
 An item leaks into a document if the windows that stay cover half of the item's or more.
+The tokens of windows with one hash are compared too.  Items of which a template says too
+little (no window has ``LITERALS`` plain words) must be there with their own values, and
+items of fewer tokens than that must be the whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.bytekit import FOLDED_VALUES, Slice, byte_class, ngram_hashes, prefix_hashes, runs, slices, span_hashes
+from ledgertide.llm.bytekit import FOLD, FOLDED_VALUES, Slice, byte_class, ngram_hashes, prefix_hashes, runs, slices, span_hashes
 from ledgertide.llm.filters import frequency_filters, holds
 from ledgertide.llm.shared import Scratch, arrow_map, join_small, table
 
@@ -87,11 +90,18 @@ def _slots(piece: Slice, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray
     return [f"{kinds[k]}:{piece.data[starts[k] : ends[k]].tobytes().decode('utf-8', 'replace').lower()}" for k in range(a, b) if kinds[k]]
 
 
+def _spelled(piece: Slice, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray, a: int, b: int) -> str:
+    """The template of tokens a..b: words in lower case, placeholders as their kind."""
+    return " ".join(f"<{kinds[k]}>" if kinds[k] else FOLD[piece.data[starts[k] : ends[k]]].tobytes().decode("utf-8", "replace") for k in range(a, b))
+
+
 def item_windows(benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item_id, text) -> window (hash), item_id, item_pos, width, n_windows, item_slots.
+    """(item_id, text) -> window (hash), item_id, item_pos, width, n_windows, item_slots, item_template,
+    exact (slots must have the item's values), alone (the item must be the whole text).
 
     Windows with fewer than ``literals`` plain words are left out unless the item has no
-    other; an item with fewer tokens than ``size`` is one window; one without a token has none.
+    other: then it is exact, and alone if it has fewer than ``literals`` tokens.  An item with
+    fewer tokens than ``size`` is one window; one without a token has none.
     """
     item_type = benchmark.schema["item_id"].dataType.simpleString()
 
@@ -106,15 +116,16 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW, literals: int = LITER
                     if not width:
                         continue
                     plain = np.convolve(kinds[a:b] == 0, np.ones(width, int), "valid")
-                    places = np.flatnonzero(plain >= literals) if (plain >= literals).any() else np.arange(len(plain))
+                    exact = not (plain >= literals).any()
+                    places = np.arange(len(plain)) if exact else np.flatnonzero(plain >= literals)
                     grams = ngram_hashes(hashes[a:b], width).view(np.int64)
                     item = batch.column(0)[piece.rows.start + i].as_py()
-                    out += [(int(grams[p]), item, int(p), width, len(places), _slots(piece, starts, ends, kinds, a + p, a + p + width)) for p in places]
-                names = ["window", "item_id", "item_pos", "width", "n_windows", "item_slots"]
-                kinds_ = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+                    out += [(int(grams[p]), item, int(p), width, len(places), _slots(piece, starts, ends, kinds, a + p, a + p + width), _spelled(piece, starts, ends, kinds, a + p, a + p + width), exact, exact and b - a < literals) for p in places]
+                names = ["window", "item_id", "item_pos", "width", "n_windows", "item_slots", "item_template", "exact", "alone"]
+                kinds_ = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds_)], names)
 
-    return benchmark.select("item_id", "text").mapInArrow(run, f"window long, item_id {item_type}, item_pos long, width int, n_windows long, item_slots array<string>")
+    return benchmark.select("item_id", "text").mapInArrow(run, f"window long, item_id {item_type}, item_pos long, width int, n_windows long, item_slots array<string>, item_template string, exact boolean, alone boolean")
 
 
 def agreeing(windows: list[list[tuple[str, str]]]) -> list[bool]:
@@ -148,7 +159,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: f
 
     Texts are taken whole.  Null and empty texts match nothing.  Rows that share a doc_id
     are one document, but slots agree within a text; a null doc_id or item_id is kept as
-    such.  Other columns are ignored.
+    such; repeated items count once.  Other columns are ignored, whatever their names;
+    empty tables give an empty one.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     items = scratch.save(item_windows(benchmark, size), "items")
@@ -171,15 +183,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: f
                     grams = ngram_hashes(hashes, width)
                     at = np.flatnonzero(holds(known.value, grams, FILTER_BITS))
                     at = at[owner[at] == owner[at + width - 1]]
-                    found += [(int(g), int(owner[p]), int(p - first[owner[p]]), width, _slots(piece, starts, ends, kinds, p, p + width)) for p, g in zip(at.tolist(), grams[at].view(np.int64).tolist(), strict=True)]
+                    found += [(int(g), int(owner[p]), int(p - first[owner[p]]), width, _slots(piece, starts, ends, kinds, p, p + width), _spelled(piece, starts, ends, kinds, p, p + width)) for p, g in zip(at.tolist(), grams[at].view(np.int64).tolist(), strict=True)]
                 rows = pa.array([piece.rows.start + x[1] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in found], pa.int64()), batch.column(0).take(rows), pa.array([int(texts[x[1]]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.list_(pa.string()))],
-                    ["window", "doc_id", "text_hash", "doc_pos", "width", "doc_slots"],
+                    [pa.array([x[0] for x in found], pa.int64()), batch.column(0).take(rows), pa.array([int(texts[x[1]]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.list_(pa.string())), pa.array([x[5] for x in found], pa.string()), pa.array([int(first[x[1] + 1] - first[x[1]]) for x in found], pa.int64())],
+                    ["window", "doc_id", "text_hash", "doc_pos", "width", "doc_slots", "doc_template", "doc_tokens"],
                 )
 
-    seen = docs.select("doc_id", "text").mapInArrow(run, f"window long, doc_id {doc_type}, text_hash long, doc_pos long, width int, doc_slots array<string>")
-    pairs = join_small(seen, items, ["window", "width"], "inner")
+    seen = docs.select("doc_id", "text").mapInArrow(run, f"window long, doc_id {doc_type}, text_hash long, doc_pos long, width int, doc_slots array<string>, doc_template string, doc_tokens long")
+    pairs = join_small(seen, items, ["window", "width"], "inner").where("item_template = doc_template AND (NOT exact OR item_slots = doc_slots) AND (NOT alone OR doc_tokens = width)")
     pairs = pairs.select("doc_id", "item_id", "n_windows", "text_hash", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), "item_pos", F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"))
     lines = pairs.groupBy("doc_id", "item_id", "n_windows", "text_hash", "diagonal").agg(F.collect_set(F.struct("item_pos", "slots")).alias("windows"))  # an item's own at most
     item_type = benchmark.schema["item_id"].dataType.simpleString()
@@ -189,11 +201,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: f
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, into which no item leaks."""
+    """The rows of docs, with all their columns, into which no item leaks.
+
+    A row goes by its own text (known by a 64-bit hash), so rows that share a doc_id, or have
+    none, are judged apart, and equal texts alike.  Null and empty texts stay.
+    """
     scratch = Scratch(docs.sparkSession, "leaks")
-    bad = scratch.save(leaks(docs, benchmark).select(F.col("doc_id").alias("leaking id")).distinct(), "bad")
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = scratch.save(leaks(by_text, benchmark).select(F.col("doc_id").alias("leaking text")).distinct(), "bad")
     small = bad.count() <= 50_000
-    return docs.join(F.broadcast(bad) if small else bad, docs["doc_id"].eqNullSafe(F.col("leaking id")), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, F.xxhash64(docs["text"]) == bad["leaking text"], "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ follow-the-regularised-leader (FTRL-proximal) updates, scored as sparse dot prod
 Units are runs of letters, digits and non-ASCII bytes, and runs of other signs, in their
 own case; a unit that repeats the one before it becomes one fixed token.  Uni- and bigrams are hashed into ``BUCKETS`` weights.  The model is
 fitted on a bounded sample (``max_train`` labelled rows, those with the smallest hash of
-doc_id, whatever the corpus's size); every document is scored in one pass without a
-shuffle of texts.
+doc_id, whatever the corpus's size).  A third of the sample calibrates: its margins under
+a model of the other two thirds give the slope and offset (Platt) that make a score a
+probability, also where most labels are of one class.  Every document is scored in one
+pass without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ MAX_TRAIN = 8_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
+#: The value of the feature that every text has.
+BIAS = 0.3
 LETTERS = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 SIGNS = byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: Stands for a unit that is the same as the one before.
@@ -72,7 +76,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
 
     for _ in range(epochs):
         for index, values, label in examples:
-            at, x = np.concatenate([index, bias]), np.append(values, 0.3)
+            at, x = np.concatenate([index, bias]), np.append(values, BIAS)
             w = weights(at)
             g = (sigmoid(float(w @ x)) - label) * x
             squared = n[at] + g * g
@@ -81,6 +85,36 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
     return weights(np.arange(BUCKETS + 1))
 
 
+def platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through the margins (Newton steps, with Platt's
+    smoothed targets); 1 and 0 where one class is missing."""
+    good, bad = int(labels.sum()), int((1 - labels).sum())
+    if not good or not bad:
+        return 1.0, 0.0
+    target = np.where(labels > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    x = np.stack([margins, np.ones(len(margins))])
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = sigmoid(w @ x)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - target))
+        w = w - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
+def calibrated(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights from all examples, scaled by the slope and offset that every third one gives
+    under a model of the rest."""
+    rest, third = [x for i, x in enumerate(examples) if i % 3], examples[::3]
+    trial = train(rest)
+    margins = np.array([float(trial[index] @ values) + BIAS * trial[BUCKETS] for index, values, _ in third])
+    slope, offset = platt(margins, np.array([label for _, _, label in third]))
+    weights = slope * train(examples)
+    weights[BUCKETS] += offset / BIAS
+    return weights
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -88,12 +122,15 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
     """The model's weights (float32), from labelled rows that aren't held out.
 
-    Rows without a label or doc_id are skipped; a doc_id that repeats counts each time.
-    Without any label all weights are 0.
+    Rows without a label or doc_id are skipped; doc_id may be of any type.  Of labels that say
+    the same of a doc_id, and of documents that share one, one counts (the text with the
+    smallest hash), so that no repetition makes the sample grow.  Without any label all
+    weights are 0.  Other columns are ignored, whatever their names.
     """
-    chosen = labels.select(F.col("doc_id").alias("labelled"), "quality").where(F.col("quality").isNotNull() & F.col("labelled").isNotNull() & ~held_out(F.col("labelled")))
-    chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("labelled", "text", "quality")
+    chosen = labels.select(F.col("doc_id").alias("labelled"), "quality").where(F.col("quality").isNotNull() & F.col("labelled").isNotNull() & ~held_out(F.col("labelled"))).distinct()
+    chosen = chosen.withColumn("turn", F.xxhash64(F.col("labelled").cast("string"))).orderBy("turn", "labelled", "quality").limit(max_train)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy("turn", "labelled", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("turn", "text", "quality")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,19 +138,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.nd
                 both = list(features(piece))
                 part = batch.slice(piece.rows.start, len(piece))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), part.column(2).cast(pa.int32()), pa.array([x.astype(np.int32).tobytes() for x, _ in both], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in both], pa.binary())],
-                    ["doc_id", "quality", "buckets", "values"],
+                    [part.column(0), part.column(2).cast(pa.int32()), pa.array([x.astype(np.int32).tobytes() for x, _ in both], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in both], pa.binary())],
+                    ["turn", "quality", "buckets", "values"],
                 )
 
     def learn(group: pa.Table) -> pa.Table:
-        ids = group["doc_id"].to_numpy().astype(np.uint64)
-        order = np.lexsort((ids, ids * np.uint64(0x9E3779B97F4A7C15)))  # the same order wherever it runs
-        quality, index, values = (group[c].to_pylist() for c in ("quality", "buckets", "values"))
+        turn, quality, index, values = (group[c].to_pylist() for c in ("turn", "quality", "buckets", "values"))
+        order = sorted(range(len(turn)), key=lambda i: (turn[i], quality[i], index[i]))  # the same wherever it runs
         examples = [(np.frombuffer(index[i], np.int32).astype(np.int64), np.frombuffer(values[i], np.float32).astype(float), int(quality[i] > 0)) for i in order]
-        return pa.table({"weights": pa.array([train(examples).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"weights": pa.array([calibrated(examples).astype(np.float32).tobytes()], pa.binary())})
 
-    # at most max_train rows (and the repetitions of their doc_ids) meet in this group
-    model = rows.mapInArrow(featurise, "doc_id long, quality int, buckets binary, values binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "weights binary").collect()
+    # at most max_train rows meet in this group
+    model = rows.mapInArrow(featurise, "turn long, quality int, buckets binary, values binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "weights binary").collect()
     return np.frombuffer(model[0].weights, np.float32) if model else np.zeros(BUCKETS + 1, np.float32)
 
 
@@ -128,7 +164,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 sums = np.array([float(w[index] @ values) for index, values in features(piece)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.rows.start, len(piece)), pa.array(sigmoid(sums + 0.3 * float(w[BUCKETS])), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.rows.start, len(piece)), pa.array(sigmoid(sums + BIAS * float(w[BUCKETS])), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, score double")
 

@@ -179,13 +179,15 @@ def encoder(tokenizer: str, end_id: int) -> Encoder:
     return Encoder(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer), end_id)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, tokens_per_shard: int = TOKENS_PER_SHARD, by_id: bool = True) -> DataFrame:
     """Encodes (doc_id, text), writes the shards below ``folder`` (a URI that every executor
     reaches) and returns their manifest: file, part, seq, n_docs, n_tokens, in whose order
-    (part, seq) the doc_ids ascend.  Evaluating it again writes files again: save it.
+    (part, seq) the doc_ids ascend; without ``by_id`` the rows keep the order that docs has,
+    unshuffled.  Evaluating it again writes files again: save it.
 
     A null or empty text is the end id alone; a null doc_id comes first; rows with the same
-    doc_id stay apart, next to each other.  An empty table gives no shard.
+    doc_id stay apart, with ``by_id`` next to each other.  Other columns are ignored, whatever
+    their names.  An empty table gives no shard.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +225,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         if ends:
             yield flush()
 
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ranged.mapInArrow(write, "file string, part int, seq int, n_docs long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if by_id:
+        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(write, "file string, part int, seq int, n_docs long, n_tokens long")
 
 
 def shard_starts(manifest: DataFrame) -> DataFrame:
@@ -269,11 +273,11 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return joined.select("file", "content", "shard_start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
-def token_output(docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER, end_id: int = END_ID, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
+def token_output(docs: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER, end_id: int = END_ID, tokens_per_shard: int = TOKENS_PER_SHARD, by_id: bool = True) -> DataFrame:
     """Writes the shards and reads them back (see write_shards, read_shards)."""
     scratch = Scratch(docs.sparkSession, "tokens")
     folder = folder or f"{scratch.path}/shards"
-    manifest = scratch.save(write_shards(docs, folder, tokenizer, end_id, tokens_per_shard), "manifest")
+    manifest = scratch.save(write_shards(docs, folder, tokenizer, end_id, tokens_per_shard, by_id), "manifest")
     return read_shards(manifest, folder)
 
 

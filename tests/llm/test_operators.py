@@ -262,6 +262,34 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and {3, 4, 5, 6} <= {r.doc_id for r in kept.collect()} and 2 not in {r.doc_id for r in kept.collect()}
 
 
+def test_leaking_windows_against_plain_search(spark):
+    """Items and texts of plain words only: a window fits where its words stand in a row."""
+    r = random.Random(6)
+    pick = lambda n: [r.choice(LOREM) for _ in range(n)]
+    items = [pick(n) for n in (8, 9, 14, 30, 40, 5, 4)]
+    docs = [pick(60) for _ in range(12)]
+    for k, item in enumerate(items):
+        docs += [pick(20) + item + pick(20), pick(5) + item[: len(item) * 2 // 3] + pick(9) + item[len(item) // 2 :], item]
+    has = lambda text, w: any(text[i : i + len(w)] == w for i in range(len(text)))
+    want = set()
+    for d, text in enumerate(docs):
+        for k, item in enumerate(items):
+            windows = [item[i : i + 8] for i in range(max(1, len(item) - 7))]
+            n = sum(has(text, w) for w in windows)
+            if n and 2 * n >= len(windows):
+                want.add((d, k, n, len(windows), True))
+    made = decontaminate.leaks(frame(spark, [(d, " ".join(t)) for d, t in enumerate(docs)]), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string"))
+    assert {tuple(x) for x in made.collect()} == want
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "What is 3 + 5?"), (3, "1 2 3 4 5 6 7 8 9"), (4, "the whole")], "item_id long, text string")
+    docs = frame(spark, [(1, "yes, of course, yes"), (2, "YES!"), (3, "so what is 3 + 5 then"), (4, "so what is 4 + 5 then"), (5, "1 2 3 4 5 6 7 8 9 10"), (6, "9 8 7 6 5 4 3 2 1 0"), (7, "the whole"), (8, "the whole of it")])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(2, 1), (3, 2), (5, 3), (7, 4)}
+    kept = decontaminate.without_leaks(frame(spark, [(None, "YES!"), (None, "no"), (7, "the whole"), (7, "the part")]), items)
+    assert sorted(r.text for r in kept.collect()) == ["no", "the part"]
+
+
 def test_slots_must_map_one_to_one(spark):
     item = "Add 5 and 5 and then take 5 away from the sum of 5 and 5 to get the last number of all"
     same, broken = item.replace("5", "7"), "Add 1 and 2 and then take 3 away from the sum of 4 and 6 to get the last number of all"
@@ -306,6 +334,37 @@ def test_quality(spark):
     assert not quality_model.fit(docs, labels.limit(0)).any()
 
 
+def test_scores_are_sparse_dot_products(spark):
+    from ledgertide.llm.bytekit import ngram_hashes, prefix_hashes, span_hashes
+
+    one = lambda raw: span_hashes(prefix_hashes(np.frombuffer(raw, np.uint8)), np.array([0]), np.array([len(raw)]))[0]
+    weights = np.random.default_rng(1).normal(size=quality_model.BUCKETS + 1).astype(np.float32)
+    rows = [(k, t) for k, (_, t) in enumerate(odd_rows())] + [(90, "a, b, b, b!! \u00e9t\u00e9 x--y")]
+    got = {r.doc_id: r.score for r in quality_model.score(frame(spark, rows), weights).collect()}
+    for k, text in rows:
+        units = [one(x) for x in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode())]
+        units = [quality_model.AGAIN if i and units[i - 1] == u else u for i, u in enumerate(units)]
+        counts = {}
+        for u in [*units, *ngram_hashes(np.array(units, np.uint64), 2)]:
+            counts[int(u) % quality_model.BUCKETS] = counts.get(int(u) % quality_model.BUCKETS, 0) + 1
+        values = {b: 1 + np.log(n) for b, n in counts.items()}
+        length = np.sqrt(sum(v * v for v in values.values()))
+        margin = sum(float(weights[b]) * v / length for b, v in values.items()) + quality_model.BIAS * float(weights[-1])
+        assert got[k] == pytest.approx(quality_model.sigmoid(margin), abs=1e-9)
+
+
+def test_scores_are_calibrated(spark):
+    """One label in six is bad: scores must part at the threshold, not only rank."""
+    bad = lambda k: k % 6 == 0
+    rows = [(str(k), text_of(k, 60) if not bad(k) else "buy now!! " + text_of(k, 50)) for k in range(600)]
+    docs = spark.createDataFrame(rows + rows[:200], "doc_id string, text string").repartition(3)
+    labels = spark.createDataFrame([(str(k), int(not bad(k))) for k in range(600)] * 2, "doc_id string, quality int")
+    got = quality_model.score(docs, quality_model.fit(docs, labels)).collect()
+    held = [r for r in got if zlib.crc32(r.doc_id.encode()) % 5 == 0]
+    assert sum((r.score >= quality_model.THRESHOLD) == (not bad(int(r.doc_id))) for r in held) >= 0.98 * len(held) > 50
+    assert quality_model.platt(np.array([1.0, 2.0]), np.array([1, 1])) == (1.0, 0.0)
+
+
 def test_urls(spark):
     urls = ["http://A.example.net/en/1?x", "https://x.net/de", "http://example.com/de/1#t", "http://sub.org/fr/2", "ftp://other.org/es/3", "no host", None, "", "http://example.networks/en/", "http://net", "://net/x", "http://u.net:80/a?b://c"]
     urls += [f"http://site{k}.example.org/fr/{k}" for k in range(60)] + [f"http://casino{k}.net/win/{k}" for k in range(60)]
@@ -376,6 +435,20 @@ def test_licenses(odd, spark):
     assert sorted(repr((r.doc_id, r.n_words)) for r in wide) == want
 
 
+def test_base_phrases_against_plain_search(spark):
+    r = random.Random(9)
+    vocabulary = "gnu general public license apache cc by mit x".split()
+    rows = [(k, r.choice([" ", "-", "\n. "]).join(r.choice(vocabulary) for _ in range(r.randrange(40)))) for k in range(60)]
+    rows += [(100, "GNU General Public License, " * 3), (101, "the MIT\u00e9 license mit license"), (102, None)]
+    got = {x.doc_id: x for x in licenses.scan(frame(spark, rows)).collect()}
+    for k, text in rows:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(FOLD))
+        places = sorted((i, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        assert (got[k].n_words, got[k].n_base) == (len(words), len(places))
+        assert (got[k].first_word, got[k].last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert got[k].base_labels == ",".join(sorted({x for _, x in places})) and set(got[k].base_labels.split(",")) - {""} <= set(got[k].labels.split(","))
+
+
 def test_license_gate_passes_what_rules_match(odd, spark):
     names = "GPL3 LGPL3 AGPL3 Apache2 MPLv2 EPL2 gplV3+ LGPLv2.1 OSL3.0 CDDL1.1 EUPLv1.2 ZPL2 cc0 CC0-1.0".split()
     texts = [f"Released under {n}." for n in names] + ["\u201cMIT License\u201d", "\u6f22Apache license 2\u5b57", "an unlicenced licence", "_mit license_", "v2mit license", "GPL", "v3", "mplv", "9v9"]
@@ -418,6 +491,56 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_texts_of_a_megabyte(spark):
+    big = text_of(1, 150_000)
+    assert len(big) > 10**6
+    rows = [(1, big), (2, edited(big, 3, 50)), (3, "MIT license " * 90_000), (4, text_of(2, 90)), (5, big)]
+    docs = frame(spark, rows)
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    near = by_id(ngram_jaccard.jaccard_components(docs))
+    assert {k: (r.component_id, r.n_links) for k, r in near.items()} == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (4, 0), 5: (1, 2)}
+    spans = by_id(suffixes.repeated_spans(docs))
+    assert [tuple(s) for s in spans[1].spans] == [(0, len(big))] and [tuple(s) for s in spans[3].spans] == [(0, 12 * 90_000)] and not spans[4].spans
+    assert spans[2].spans and sum(s.end - s.start for s in spans[2].spans) > 0.9 * len(big)
+    found = by_id(licenses.scan(docs))
+    assert found[3].n_base == 90_000 and found[3].labels == "mit" and len(found[3].spans) == 90_000
+    assert by_id(host_rules.judge(docs))[1].n_words == 150_000
+    lost = by_id(line_dedup.dedup_lines(docs))
+    assert [lost[k].n_dropped > 10_000 for k in (1, 2, 4, 5)] == [True, True, False, False]
+    items = spark.createDataFrame([(1, " ".join(big.split()[70_000:70_040]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, items).collect()} == {1, 2, 5}
+    assert by_id(token_output.token_output(docs))[4].n_tokens > 90
+    assert all(0 < r.score < 1 for r in quality_model.score(docs, np.zeros(quality_model.BUCKETS + 1, np.float32)).collect())
+
+
+def test_extra_columns_with_clashing_names(spark, odd):
+    from pyspark.sql import functions as F
+
+    names = ["replica", "shuffle_key", "measures", "text_", "gone id", "labelled", "window", "n", "gram", "sha256", "component_id", "leaking text", "own id", "chunk", "mean", "parts", "host", "rule", "turn"]
+    more = odd.select("*", *(F.lit("x").alias(c) for c in names))
+    items = spark.createDataFrame([(1, text_of(3, 81)[:200], "x", 2)], "item_id long, text string, doc_id string, window int")
+    labels = spark.createDataFrame([(d, d % 2, "x") for d in range(8)], "doc_id long, quality int, text string")
+    pages = lambda df: df.select(F.coalesce("doc_id", F.lit(-1)).alias("page_id"), F.concat(F.lit("http://a.org/fr/"), F.col("source")).alias("url"), *[c for c in df.columns if c != "doc_id"])
+    rows = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    for run in (
+        ngram_jaccard.jaccard_components,
+        suffixes.repeated_spans,
+        line_dedup.dedup_lines,
+        host_rules.judge,
+        lambda d: token_output.token_output(d).drop("file"),
+        lambda d: decontaminate.leaks(d, items),
+        lambda d: quality_model.score(d, quality_model.fit(d, labels)),
+        lambda d: url_filter.judge_urls(pages(d)),
+        licenses.scan,
+        lambda d: ngram_jaccard.keep_rows(d).select("doc_id", F.length("text")).where("doc_id <> 60 OR doc_id IS NULL"),
+        lambda d: host_rules.keep_good(d).select("doc_id"),
+        lambda d: decontaminate.without_leaks(d, items).select("doc_id"),
+        lambda d: mixing.mix(d).select("doc_id", "source"),
+    ):
+        assert rows(run(more)) == rows(run(odd))
+    assert ngram_jaccard.keep_rows(more).columns == host_rules.keep_good(more).columns == mixing.mix(more).columns == more.columns
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -37,6 +37,29 @@ def plain_counts(docs):
     return out
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, replica string, measures int"
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls in any column, empty texts, repeated rows and ids, columns with the stages' own names."""
+    long, other = (" ".join(f"w{(k * j) % 997}" for k in range(120)) for j in (7, 13))
+    item = table(spark, DATA, "benchmark").orderBy("item_id").first().text
+    rows = [(1, long), (1, long), (2, long + " end"), (None, other), (None, f"{long[:300]} {item} {other[:300]}"), (None, None), (4, ""), (5, " \n"), (6, "few words")]
+    docs = spark.createDataFrame([(d, t, None, None if d == 2 else "s", None, "r", k) for k, (d, t) in enumerate(rows)], ODD)
+    good = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert good.columns == docs.columns and sorted(r.measures for r in good.collect()) == [0, 1, 2, 3, 4]
+    one = [r.measures for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
+    assert len(set(one) & {0, 1}) == 1 and 2 not in one and set(range(3, 9)) <= set(one)
+    clean = corpus_pipeline.decontamination(spark, docs, DATA)
+    assert clean.columns == docs.columns and sorted(r.measures for r in clean.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
+    mixed = corpus_pipeline.source_mixing(spark, docs, DATA)
+    assert mixed.columns == docs.columns and {r.replica for r in mixed.collect()} == {"r"}
+    made = corpus_pipeline.tokens(spark, docs, DATA).orderBy("start").collect()
+    assert [r.doc_id for r in made] == [d for d, _ in rows] and [made[k].n_tokens for k in (5, 6, 7)] == [1, 1, 1]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).collect() == [], name
+
+
 def test_stages(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -62,4 +85,6 @@ def test_stages(spark):
     got = corpus_pipeline.run(spark, DATA).collect()
     assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
     got.sort(key=lambda r: r.start)
+    near = sum(abs(a.doc_id - b.doc_id) <= 1 for a, b in zip(got[:-1], got[1:], strict=True))
+    assert near < 0.1 * len(got)  # the shuffle's order, not that of the ids
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
