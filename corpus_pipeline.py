@@ -1,7 +1,11 @@
 """From raw documents to token files: five stages, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
-all but the last return the columns of documents.
+all but the last return the columns of documents, and any further ones that docs has.
+Rows are judged one by one: repeated doc_ids, null doc_ids and repeated rows stay several
+rows wherever nothing below says otherwise.  An empty table gives an empty one.
+
+A stage's result is meant to be written once, so shuffle files go when their query ends.
 """
 
 from __future__ import annotations
@@ -11,32 +15,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgertide.llm import decontaminate, host_rules, mixing, ngram_jaccard, token_output
-from ledgertide.llm.shared import Scratch, table
+from ledgertide.llm.shared import FREE_SHUFFLES, Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules, or their host's record, reject go."""
+    """Documents that the rules, or their host's record, reject go.
+
+    Null, empty and blank texts have no words and go.  A null source is no host: such a
+    document goes by its own failures only.  Copies get one verdict if they share a source.
+    """
+    spark.conf.set(FREE_SHUFFLES, "true")
     return host_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: one with the smallest doc_id, a null
+    one only where there is no other; of repeated rows with that doc_id one.  Null, empty
+    and blank texts are near nothing and all stay."""
+    spark.conf.set(FREE_SHUFFLES, "true")
     return ngram_jaccard.keep_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each by its own text whatever its doc_id; null and
+    empty texts hold none, nor does any text a null or empty item."""
+    spark.conf.set(FREE_SHUFFLES, "true")
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document by its source's mean repetition, in random order."""
+    """Copies of each document by its source's mean repetition, in random order.  A null source
+    counts as ''; rows that share doc_id and source are drawn alike; texts don't matter."""
+    spark.conf.set(FREE_SHUFFLES, "true")
     return mixing.mix(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, file of every copy, read back from the shards."""
-    return token_output.token_output(docs)
+    """doc_id, start, n_tokens, ids_crc32, file of every copy, read back from the shards, which
+    keep the order that the stage before dealt.  A null or empty text is the end id alone."""
+    spark.conf.set(FREE_SHUFFLES, "true")
+    return token_output.token_output(docs, by_id=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
