@@ -3,6 +3,8 @@ inside whole-stage code generation."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,15 +45,18 @@ def is_confusable(symbol: Column) -> Column:
 
 
 def shape_similarity(a: Column, b: Column) -> Column:
-    """0.48 for equal first four, 0.48 for equal last four, 0.04 by matches of the seven middle
-    characters after the prefix; 1 when equal."""
-    hits = sum((F.substring(a, k, 1) == F.substring(b, k, 1)).cast("int") for k in range(5, 12))
+    """How alike two EVM addresses look in a wallet, which shows their ends: after 0x, 0.48 for equal
+    first four digits, 0.48 for equal last four, 0.04 by matches of the digits 8 to 14.  1 for the same
+    address, whatever its case; 0 for what isn't one or is shorter than eight digits."""
+    x, y = (F.regexp_replace(F.lower(F.trim(c)), "^0x", "") for c in (a, b))
+    hits = sum((F.substring(x, k, 1) == F.substring(y, k, 1)).cast("int") for k in range(8, 15))
     score = (
-        F.when(F.substring(a, 1, 4) == F.substring(b, 1, 4), 0.48).otherwise(0.0)
-        + F.when(F.right(a, F.lit(4)) == F.right(b, F.lit(4)), 0.48).otherwise(0.0)
-        + hits * F.lit(0.04) / 7
+        F.when(F.left(x, F.lit(4)) == F.left(y, F.lit(4)), 0.48).otherwise(0.0)
+        + F.when(F.right(x, F.lit(4)) == F.right(y, F.lit(4)), 0.48).otherwise(0.0)
+        + F.when((F.length(x) >= 14) & (F.length(y) >= 14), hits * F.lit(0.04) / 7).otherwise(0.0)
     )
-    return F.when(a == b, F.lit(1.0)).otherwise(F.round(score, 6))
+    fit = x.rlike("^[0-9a-f]+$") & y.rlike("^[0-9a-f]+$")
+    return F.when(F.coalesce(fit, F.lit(False)) & (x == y), 1.0).when(F.coalesce(fit & (F.length(x) >= 8) & (F.length(y) >= 8), F.lit(False)), F.round(score, 6)).otherwise(0.0)
 
 
 def significant_digits(amount: Column) -> Column:
@@ -61,6 +66,10 @@ def significant_digits(amount: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(point, r"\.", ""), r"^0+", "")).cast("long")
 
 
+#: Whole amounts that people choose.
+ROUND_AMOUNTS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000, 100000, 250000, 500000, 1000000)
+
+
 def looks_round(amount: Column, values: tuple[int, ...]) -> Column:
     return (amount == F.floor(amount)) & amount.cast("long").isin(*values)
 
@@ -150,36 +159,88 @@ def explorer_url(chain: Column, address: Column) -> Column:
     return url
 
 
-def abi_word(calldata: Column, slot: int) -> Column:
-    """The 32-byte word of an ABI call (after 0x and the selector), as hexadecimal digits."""
-    return F.lower(F.substring(calldata, 11 + 64 * slot, 64))
-
-
-def abi_address(calldata: Column, slot: int) -> Column:
-    """The word as an address, if its twelve leading bytes are zero and the rest isn't."""
-    word = abi_word(calldata, slot)
-    fits = (F.length(word) == 64) & word.rlike("^0{24}[0-9a-f]{40}$") & ~word.rlike("^0{64}$")
-    return F.when(fits, F.concat(F.lit("0x"), F.right(word, F.lit(40))))
-
-
-def abi_uint(calldata: Column, slot: int) -> Column:
-    """The word as a long, if it fits in 15 hexadecimal digits."""
-    word = abi_word(calldata, slot)
-    return F.when((F.length(word) == 64) & word.rlike("^0{49}"), F.conv(F.right(word, F.lit(15)), 16, 10).cast("long"))
-
-
 def conserves_value(source: Column, target: Column, fee: Column) -> Column:
     """target within source less the fee and source; unknown or senseless values pass."""
     known = (source > 0) & (target > 0) & (fee >= 0) & (fee < 1)
     return F.when(F.coalesce(known, F.lit(False)), (target <= source) & (target >= source * (1 - fee))).otherwise(F.lit(True))
 
 
-def reply_class(text: Column) -> Column:
-    """What an answer to a letter says, by its first matching keyword class."""
+# Phrases of answers to letters.
+RETURNED_NOT = (
+    "no funds", "not returned", "not been returned", "have not returned", "haven't returned", "have not yet returned", "not yet returned", "yet to return", "did not return",
+    "were not returned", "unable to return", "cannot return", "won't return", "will not return", "have not", "nothing returned", "no recovery", "not recovered", "unable to recover",
+)
+RETURNED = ("returned to the victim", "returned to victim", "funds returned", "have returned", "remitted to", "refunded to the victim", "refunded the victim", "sent back to the victim")
+PARTIAL = ("partially frozen", "partial freeze", "partially froze", "froze part", "some of the funds", "a portion of")
+FROZEN = (
+    "have frozen", "has been frozen", "been frozen", "funds frozen", "account frozen", "is frozen", "are frozen", "placed a hold", "placed on hold", "full freeze",
+    "frozen the", "frozen all", "frozen $", "successfully frozen", "assets have been frozen", "we froze",
+)
+FROZEN_NOT = ("not frozen", "cannot freeze", "unable to freeze", "could not freeze", "will not freeze", "won't freeze", "not be able to freeze", "decline to freeze", "refuse to freeze")
+DECLINED = (
+    "unable to assist", "cannot assist", "we decline", "declined", "will not be able", "no action will be taken", "outside our jurisdiction", "not able to freeze", "cannot freeze",
+    "closed without action", "require a court order", "requires a court order", "valid legal process", "will not freeze", "won't freeze", "refuse to freeze", "decline to freeze",
+)
+ACKNOWLEDGED = (
+    "received your request", "acknowledge receipt", "we acknowledge", "under review", "investigating", "will investigate", "looking into", "reference number", "case number", "ticket",
+    "our compliance team will",
+)
+FROZEN_ANCHORS = ("frozen", "froze", "hold", "held")
+RETURNED_ANCHORS = ("returned", "remitted", "refunded", "sent back")
+DOLLARS = r"\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
+
+
+def _says(low: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in phrases))
+
+
+def _amount_after(text: Column, anchors: tuple[str, ...]) -> Column:
+    """The first dollar amount at or after the earliest anchor; without an anchor the only amount."""
     low = F.lower(text)
-    return (
-        F.when(low.rlike(r"\b(frozen|freeze|blocked)\b"), "freeze")
-        .when(low.rlike(r"\b(unable|cannot|decline)\b"), "declined")
-        .when(low.rlike(r"\b(received|thank|thanks)\b"), "acknowledged")
-        .otherwise("other")
+    places = [F.nullif(F.instr(low, a), F.lit(0)) for a in anchors]
+    first = F.array_min(F.array(*places))
+    every = F.regexp_extract_all(text, F.lit(DOLLARS), F.lit(1))
+    after = F.regexp_extract_all(F.substring(text, first, F.length(text)), F.lit(DOLLARS), F.lit(1))
+    chosen = F.when(first.isNotNull(), F.get(after, F.lit(0))).when(F.size(every) == 1, F.get(every, F.lit(0)))
+    return F.regexp_replace(chosen, ",", "").try_cast("decimal(20,2)")
+
+
+def reply_class(text: Column) -> Column:
+    """struct(outcome, confidence, frozen_usd, returned_usd, review) that an answer to a letter says.  Strong
+    outcomes need an explicit phrase that isn't negated; anything else is acknowledged, with low
+    confidence unless it says so."""
+    raw = F.coalesce(text, F.lit(""))
+    low = F.lower(raw)
+    returned = ~_says(low, RETURNED_NOT) & (_says(low, RETURNED) | (F.contains(low, F.lit("returned")) & F.contains(low, F.lit("victim"))))
+    placed, refused = _says(low, FROZEN), _says(low, FROZEN_NOT)
+    outcome = F.when(returned, "returned_to_victim").when(_says(low, PARTIAL) | (placed & refused), "partial_freeze").when(placed, "full_freeze").when(_says(low, DECLINED), "declined").otherwise("acknowledged")
+    strong = outcome != "acknowledged"
+    return F.struct(
+        outcome.alias("outcome"),
+        F.when(strong | _says(low, ACKNOWLEDGED), "high").otherwise("low").alias("confidence"),
+        F.when(outcome.isin("partial_freeze", "full_freeze"), _amount_after(raw, FROZEN_ANCHORS)).alias("frozen_usd"),
+        F.when(outcome == "returned_to_victim", _amount_after(raw, RETURNED_ANCHORS)).alias("returned_usd"),
+        strong.alias("review"),
     )
+
+
+def canonical_json(fields: Column) -> Column:
+    """A map of names to JSON values (text) as an object with sorted keys and no white space, its
+    non-ASCII characters escaped."""
+    keys = F.array_sort(F.map_keys(fields))
+    members = F.transform(keys, lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), fields[k]))
+    joined = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    units = F.transform(F.split(joined, ""), lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.concat(F.lit("\\u"), F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(.{4})(?=.)", "$1\\\\u")))))
+    return F.array_join(units, "")
+
+
+def amount_is_zero(raw: Column) -> Column:
+    """Exactly zero, as digits, decimal or 0x hexadecimal; blank or unreadable amounts aren't."""
+    s = F.lower(F.trim(raw))
+    return F.coalesce(s.rlike(r"^0x0+$") | s.rlike(r"^[+-]?(0+(\.0*)?|\.0+)(e[+-]?\d+)?$"), F.lit(False))
+
+
+def finite(value: Column) -> Column:
+    """The value, or null for NaN and infinities."""
+    v = value.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)

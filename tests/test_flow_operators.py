@@ -14,7 +14,7 @@ from ledgertide.functions import expressions as X
 from ledgertide.operators import graph as G
 from ledgertide.operators import joins as J
 from ledgertide.operators.subsets import input_subsets, subsets
-from ledgertide.sources import landing, userops
+from ledgertide.sources import landing
 from ledgertide.streaming import monitor
 
 
@@ -91,11 +91,6 @@ def test_subsets_against_brute_force(spark):
     assert [r.subset for r in input_subsets(rows, 1, 5, 1000).collect()] == ["|".join(map(str, c)) for c in brute]
 
 
-def test_user_operations(spark):
-    rows = spark.createDataFrame([(1, "a,5;b,6"), (2, None), (3, "bad;c,7")], "tx int, bundle string")
-    assert got(userops.operations(rows)) == [(1, 0, "a", 5), (1, 1, "b", 6), (3, 1, "c", 7)]
-
-
 def test_sanctions_merge_sets_removal_once(spark):
     old = spark.createDataFrame([("x", "eth", "N", "1", "d", None), ("y", "eth", "N", "2", "d", "before")], landing.SANCTION_SCHEMA)
     new = spark.createDataFrame([("z", "eth", "N", "3", "d", None)], landing.SANCTION_SCHEMA)
