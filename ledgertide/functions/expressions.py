@@ -244,3 +244,41 @@ def finite(value: Column) -> Column:
     """The value, or null for NaN and infinities."""
     v = value.cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
+def fixture_reason(victim: Column) -> Column:
+    """Why a case is a test fixture, by its victim's name; '' for a real one."""
+    name = F.trim(victim)
+    return F.when(name.isNull(), "no victim record").when(name == "", "empty name").when(F.lower(name).rlike(r"\b(test|validation|demo|fixture|sample)\b"), "test name").otherwise("")
+
+
+def safe_url(url: Column) -> Column:
+    """The url if it is relative or of a harmless scheme, else '#'."""
+    u = F.trim(url)
+    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    return F.when((scheme == "") | scheme.isin("http", "https", "mailto"), u).otherwise("#")
+
+
+def confirmation(sources: Column, trusted: tuple[str, ...], impact: Column, strict: Column) -> Column:
+    """struct(confidence, accepted) of a label that distinct sources propose.  Where it has little impact one
+    source will do; else it takes sources of two tiers, or two with a trusted one; strict chains
+    always take a trusted one."""
+    n = F.size(sources)
+    high = F.exists(sources, lambda x: x.isin(*trusted))
+    both = high & F.exists(sources, lambda x: ~x.isin(*trusted))
+    enough = both | (high & (n >= 2))
+    confidence = F.when(~impact, F.when(n >= 2, "medium").otherwise("low")).when(strict & ~high, "low").when(enough, "high").when(high, "medium").otherwise("low")
+    return F.struct(confidence.alias("confidence"), (~impact | (enough & ~(strict & ~high))).alias("accepted"))
+
+
+def freshness(updated: Column, sla: Column, now: Column) -> Column:
+    """struct(age_days, status) against a number of days (30 where it says none)."""
+    age = F.greatest(F.datediff(now, updated), F.lit(0)).cast("long")
+    days = F.coalesce(F.nullif(sla, F.lit(0)), F.lit(30))
+    return F.struct(F.when(updated.isNotNull(), age).alias("age_days"), F.when(updated.isNull(), "unknown").when(age > 2 * days, "critical").when(age > days, "stale").otherwise("fresh").alias("status"))
+
+
+def exhibit_letter(place: Column) -> Column:
+    """0, 1, ... as A, B, ... Z, AA, ... ZZ."""
+    letter = lambda n: F.char(n + 65)
+    return F.concat(F.when(place >= 26, letter(F.floor(place / 26) - 1)).otherwise(F.lit("")), letter(place % 26))

@@ -96,6 +96,29 @@ def read_sanctions_xml(spark: SparkSession, path: str, row_tag: str = "sdnEntry"
     return ids.where("i.idType LIKE 'Digital Currency Address%'").select(F.col("i.idNumber").alias("address"), F.regexp_extract("i.idType", r"- (\w+)$", 1).alias("chain"), "sdn_entry_name", "sdn_entry_id")
 
 
+def sanctions_entities(records: DataFrame) -> DataFrame:
+    """(body JSON of an entity whose properties are lists) -> address, name (the first), entity: a row a wallet."""
+    schema = "id string, schema string, properties struct<name: array<string>, publicKey: array<string>>"
+    found = records.select(F.from_json("body", schema).alias("e")).where("e.schema = 'CryptoWallet'")
+    return found.select(F.explode("e.properties.publicKey").alias("address"), F.get("e.properties.name", F.lit(0)).alias("name"), F.col("e.id").alias("entity")).where("address <> ''")
+
+
+#: What feeds call the columns that a label needs.
+ALIASES = {"address": ("address", "addr", "wallet"), "category": ("category", "type", "tag"), "source": ("source", "provider")}
+
+
+def attribution_rows(rows: DataFrame) -> DataFrame:
+    """Feed rows by whatever names -> address, category, source, outcome: kept, or why it is skipped."""
+    pick = lambda to: F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in ALIASES[to] if c in rows.columns), F.lit(None).cast("string")).alias(to)
+    named = rows.select(*map(pick, ALIASES))
+    return named.withColumn("outcome", F.when(F.col("address").isNull(), "no address").when(F.col("category").isNull(), "no category").otherwise("kept"))
+
+
+def event_feeds(feeds: dict[str, DataFrame], since: Column) -> DataFrame:
+    """Feeds (observed_at, title) as one table with the feed's name, from a time on."""
+    return reduce(DataFrame.unionByName, (t.select(F.lit(name).alias("feed"), "observed_at", "title") for name, t in feeds.items())).where(F.col("observed_at") >= since)
+
+
 def write_transfers_csv(transfers: DataFrame, path: str) -> None:
     """CSV for spreadsheets: no cell can be taken for a formula."""
     text = {f.name for f in transfers.schema.fields if f.dataType.typeName() == "string"}
