@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, checkpointed under spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """df, checkpointed under spark.checkpoint.dir.  Where that is unset, local mode takes a temporary
+    folder; a cluster must name one that all machines share."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local") or not root and context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="ledgertide-"))
     return df.checkpoint()
 

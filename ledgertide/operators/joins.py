@@ -7,6 +7,8 @@ two buckets is made.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +17,26 @@ from ledgertide.functions.expressions import decayed_confidence
 DAY_ZERO = "1970-01-01"
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, days: int) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, days: int, near: tuple[str, str, float] | None = None) -> DataFrame:
     """Pairs of equal keys with 0 <= right_time - left_time <= days, as column ``days``.  But for
-    keys the column names must differ."""
+    keys the column names must differ.
+
+    near: (left value, right value, percent) where pairs of which the right value is farther
+    than that from the left one are of no use: values are dealt over bands of their
+    logarithm too, so that a key of few values (a symbol, an exchange) isn't quadratic.
+    """
     width = days + 1
     bucket = lambda c: F.floor(F.datediff(F.col(c), F.lit(DAY_ZERO)) / width)
     spread = left.withColumn("bucket", F.explode(F.array(bucket(left_time), bucket(left_time) + 1)))
-    pairs = spread.join(right.withColumn("bucket", bucket(right_time)), [*keys, "bucket"])
-    return pairs.withColumn("days", F.datediff(right_time, left_time)).where(F.col("days").between(0, days)).drop("bucket")
-
-
-def renamed(df: DataFrame, prefix: str, keep: dict[str, str]) -> DataFrame:
-    """All columns with a prefix; those in keep under the name given."""
-    return df.select(*(F.col(c).alias(keep.get(c, prefix + c)) for c in df.columns))
+    other, on = right.withColumn("bucket", bucket(right_time)), [*keys, "bucket"]
+    if near is not None:
+        mine, theirs, percent = near
+        size = log((100 + percent) / (100 - percent)) * 1.000001 + 1e-9
+        low = F.floor((F.ln(F.col(mine).cast("double") * (100 - percent) / 100) - 1e-9) / size)
+        spread = spread.where(F.col(mine) > 0).withColumn("band", F.explode(F.array(low, low + 1)))
+        other, on = other.where(F.col(theirs) > 0).withColumn("band", F.floor(F.ln(F.col(theirs).cast("double")) / size)), [*on, "band"]
+    pairs = spread.join(other, on)
+    return pairs.withColumn("days", F.datediff(right_time, left_time)).where(F.col("days").between(0, days)).drop("bucket", "band")
 
 
 def parts_per_million(part: Column, whole: Column) -> Column:
@@ -118,7 +127,7 @@ def split_matches(inbound: DataFrame, outbound: DataFrame, days: int, percent: i
 def bridge_matches(deposits: DataFrame, withdrawals: DataFrame, days: int, percent: int, near_ppm: int = 1000) -> DataFrame:
     """The withdrawal of the same symbol on another chain that fits a deposit best, by difference and
     delay; medium if it's clean (half of the tolerance) and no other is within near_ppm, else low."""
-    pairs = within(deposits, withdrawals, ["symbol"], "i_time", "o_time", days).where("i_chain <> o_chain")
+    pairs = within(deposits, withdrawals, ["symbol"], "i_time", "o_time", days, ("i_usd", "o_usd", percent)).where("i_chain <> o_chain")
     pairs = pairs.withColumn("ppm", parts_per_million(F.col("o_usd") - F.col("i_usd"), F.col("i_usd"))).where(F.col("ppm") <= percent * 10_000)
     each = ["i_tx", "i_log", "i_token", "i_src", "i_dst"]
     pairs = pairs.withColumn("least", F.min("ppm").over(Window.partitionBy(*each)))
@@ -159,7 +168,7 @@ def sweep_attribution(transfers: DataFrame, exchanges: DataFrame, ratio_percent:
 def continuity(deposits: DataFrame, withdrawals: DataFrame, tiers: list[tuple[int, int]], keep: int) -> DataFrame:
     """Withdrawals of the same exchange after a deposit, by tiers (days, percent), the tightest first;
     keep of each deposit by value."""
-    pairs = within(deposits, withdrawals, ["exchange"], "i_time", "o_time", max(d for d, _ in tiers)).where("days > 0")
+    pairs = within(deposits, withdrawals, ["exchange"], "i_time", "o_time", max(d for d, _ in tiers), ("i_usd", "o_usd", max(p for _, p in tiers))).where("days > 0")
     ppm = parts_per_million(F.col("o_usd") - F.col("i_usd"), F.col("i_usd"))
     tier = F.lit(None).cast("int")
     for k, (days, percent) in reversed(list(enumerate(tiers, 1))):

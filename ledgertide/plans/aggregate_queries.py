@@ -221,7 +221,7 @@ def a28(spark, sf):
     won = F.count_if(F.col("outcome_type").isin(*WINS))
     prior = sent.join(outcomes(spark, sf), "letter_id").groupBy("issuer").agg(((won + 1) / (F.count(F.lit(1)) + 2)).alias("prior"))
     weight = F.expr("CASE tier WHEN 'F' THEN 0.9D WHEN 'P' THEN 0.6D ELSE 0.4D END")
-    return sent.join(F.broadcast(prior), "issuer").groupBy("case_id").agg(F.round(F.sum(F.col("requested_usd").cast("double") * F.col("prior") * weight), 2).alias("expected"), A.money(F.sum("requested_usd")).alias("requested"))
+    return sent.join(prior, "issuer").groupBy("case_id").agg(F.round(F.sum(F.col("requested_usd").cast("double") * F.col("prior") * weight), 2).alias("expected"), A.money(F.sum("requested_usd")).alias("requested"))
 
 
 @query("a29_firm_volume", f"""WITH {O}, {BEST}, c AS (SELECT issuer, case_id, bool_or({WON}) AS won, sum(coalesce(frozen_usd, returned_usd, 0)) AS usd, count(*) AS n FROM letters LEFT JOIN best USING (letter_id) GROUP BY issuer, case_id)
@@ -273,13 +273,15 @@ def a35(spark, sf):
     return legs.groupBy("cluster").agg(F.count_distinct("leg.a").alias("n_members"), A.money(F.sum("leg.usd")).alias("usd"), F.min("leg.a").alias("first_member"))
 
 
-@query("a36_class_action", f"""WITH {T}, p AS (SELECT DISTINCT case_id, dst FROM t WHERE usd > 95000), s AS (SELECT a.case_id AS x, b.case_id AS y, count(*) AS shared FROM p a JOIN p b ON a.dst = b.dst AND a.case_id < b.case_id GROUP BY ALL)
+@query("a36_class_action", f"""WITH {T}, p AS (SELECT DISTINCT case_id, dst FROM t WHERE usd > 10), k AS (SELECT dst FROM p GROUP BY dst HAVING count(*) <= 50), s AS (SELECT a.case_id AS x, b.case_id AS y, count(*) AS shared FROM p a JOIN p b ON a.dst = b.dst AND a.case_id < b.case_id JOIN k ON a.dst = k.dst GROUP BY ALL)
   SELECT x, y, shared FROM s WHERE shared >= 2""")
 def a36(spark, sf):
-    # per address the (few) cases, paired inside the row: no self-join of the pairs
-    cases = transfers(spark, sf).where("usd > 95000").groupBy("dst").agg(F.array_sort(F.collect_set("case_id")).alias("cases"))
-    pairs = cases.select(F.explode(F.flatten(F.transform("cases", lambda a: F.transform(F.filter("cases", lambda b: b > a), lambda b: F.struct(a.alias("x"), b.alias("y")))))).alias("p"))
-    return pairs.groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    """Addresses of more than 50 cases are infrastructure and link none of them."""
+    pairs = transfers(spark, sf).where("usd > 10").select("case_id", "dst").distinct()
+    few = pairs.groupBy("dst").count().where("count <= 50").select("dst")
+    pairs = pairs.join(few, "dst", "left_semi")
+    both = pairs.withColumnRenamed("case_id", "x").join(pairs.withColumnRenamed("case_id", "y"), "dst").where("x < y")
+    return both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
 @query("a37_internal_blacklist", f"""WITH {T}, {L} SELECT t.dst, chain, count(DISTINCT case_id) AS n_cases, bool_or(usd > 90000) AND NOT bool_or(coalesce(category, '') = 'exchange') AS armed, arg_max(case_id, (usd, case_id)) AS top_case

@@ -10,6 +10,8 @@ from ledgertide.operators.subsets import input_subsets
 from ledgertide.plans.domain import L, R, T, high_risk, labels, load, transfers
 from ledgertide.plans.registry import query
 
+#: Transfers of less are dust and make no edge.
+FLOOR = 10
 E = "e AS (SELECT DISTINCT src, dst FROM t WHERE usd > {0})"
 
 
@@ -25,23 +27,23 @@ def reach_sql(seeds: str, depth: int, more: str = "") -> str:
     return f"r AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE {seeds} UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < {depth}{more})"
 
 
-@query("g1_trace", f"WITH RECURSIVE {T}, {E.format(90000)}, {reach_sql('s_suppkey % 17 = 0', 4)} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+@query("g1_trace", f"WITH RECURSIVE {T}, {E.format(FLOOR)}, {reach_sql('s_suppkey % 17 = 0', 4)} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
 def g1(spark, sf):
-    return G.bfs(_edges(spark, sf, 90000), _seeds(spark, sf, "s_suppkey % 17 = 0"), 4)
+    return G.bfs(_edges(spark, sf, FLOOR), _seeds(spark, sf, "s_suppkey % 17 = 0"), 4)
 
 
-@query("g2_one_hop_expansion", f"WITH {T}, c AS (SELECT src, count(*) AS n_out FROM t GROUP BY src) SELECT src, dst, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd, any_value(n_out) > 60 AS is_service FROM t JOIN c USING (src) WHERE src % 10 = 3 GROUP BY src, dst")
+@query("g2_one_hop_expansion", f"WITH {T}, c AS (SELECT src, count(*) AS n_out FROM t GROUP BY src) SELECT src, dst, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd, any_value(n_out) > 60 AS is_service FROM t JOIN c USING (src) GROUP BY src, dst")
 def g2(spark, sf):
-    out = transfers(spark, sf).where("src % 10 = 3").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd"))
+    out = transfers(spark, sf).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd"))
     service = out.groupBy("src").agg((F.sum("n") > 60).alias("is_service"))
     return out.join(service, "src").select("src", "dst", "n", "usd", "is_service")
 
 
-@query("g3_service_cut", f"""WITH RECURSIVE {T}, {E.format(90000)}, s AS (SELECT src FROM t GROUP BY src HAVING count(*) > 60),
+@query("g3_service_cut", f"""WITH RECURSIVE {T}, {E.format(FLOOR)}, s AS (SELECT src FROM t GROUP BY src HAVING count(*) > 60),
   {reach_sql('s_suppkey % 5 = 0', 4, ' AND node NOT IN (SELECT src FROM s)')} SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
 def g3(spark, sf):
     service = transfers(spark, sf).groupBy(F.col("src").alias("node")).count().where("count > 60").select("node")
-    return G.bfs(_edges(spark, sf, 90000), _seeds(spark, sf, "s_suppkey % 5 = 0"), 4, service)
+    return G.bfs(_edges(spark, sf, FLOOR), _seeds(spark, sf, "s_suppkey % 5 = 0"), 4, service)
 
 
 @query("g4_traced_inbound", f"""WITH {T}, p AS (SELECT *, CASE WHEN token % 10 <> 0 THEN usd END AS price FROM t),
@@ -62,7 +64,7 @@ def g6(spark, sf):
     return hits.groupBy("src", "dst", "token").agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd")).withColumn("burn", F.col("dst") % 50 == 0)
 
 
-CROSS = """e AS (SELECT DISTINCT chain || ':' || src AS src, chain || ':' || dst AS dst FROM t WHERE usd > 85000
+CROSS = """e AS (SELECT DISTINCT chain || ':' || src AS src, chain || ':' || dst AS dst FROM t WHERE usd > 10
   UNION SELECT a.c || ':' || s_suppkey, b.c || ':' || s_suppkey FROM supplier, (VALUES ('A'), ('N'), ('R')) a(c), (VALUES ('A'), ('N'), ('R')) b(c) WHERE s_suppkey % 7 = 0 AND a.c <> b.c)"""
 
 
@@ -70,7 +72,7 @@ CROSS = """e AS (SELECT DISTINCT chain || ':' || src AS src, chain || ':' || dst
   SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
 def g8(spark, sf):
     at = lambda c, a: F.concat(F.col(c), F.lit(":"), F.col(a).cast("string"))
-    same = transfers(spark, sf).where("usd > 85000").select(at("chain", "src").alias("src"), at("chain", "dst").alias("dst")).distinct()
+    same = transfers(spark, sf).where("usd > 10").select(at("chain", "src").alias("src"), at("chain", "dst").alias("dst")).distinct()
     chains = [(a, b) for a in "ANR" for b in "ANR" if a != b]
     bridge = load(spark, sf, "supplier").where("s_suppkey % 7 = 0").select(F.explode(F.array(*(F.struct(F.concat(F.lit(a + ":"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit(b + ":"), F.col("s_suppkey").cast("string")).alias("dst")) for a, b in chains))).alias("e")).select("e.*")
     seeds = load(spark, sf, "supplier").where("s_suppkey % 5 = 0").select(F.concat(F.lit("A:"), F.col("s_suppkey").cast("string")).alias("node"))
@@ -83,21 +85,29 @@ def components_sql(links: str, name: str = "c") -> str:
   {name} AS (SELECT a AS node, min(b) AS component FROM {name}_r GROUP BY a)"""
 
 
-@query("g10_case_clusters", f"""WITH RECURSIVE {T}, legs AS (SELECT DISTINCT src, dst, block_time FROM t WHERE usd > 95000), few AS (SELECT src FROM legs GROUP BY src HAVING count(DISTINCT dst) BETWEEN 2 AND 20),
+def pair_components_sql(links: str, name: str = "c") -> str:
+    """The same over edges of few receivers: receivers that share a sender, or pay each other, are closed
+    first (a small table), and senders join one of theirs."""
+    return f"""{name}_d AS (SELECT DISTINCT x.b AS a, y.b AS b FROM {links} x JOIN {links} y ON x.a = y.a UNION SELECT a, b FROM {links} WHERE a IN (SELECT b FROM {links}) UNION SELECT b, a FROM {links} WHERE a IN (SELECT b FROM {links})),
+  {name}_r(a, b) AS (SELECT a, b FROM {name}_d UNION SELECT r.a, d.b FROM {name}_r r JOIN {name}_d d ON r.b = d.a), {name}_t AS (SELECT a, min(b) AS root FROM {name}_r GROUP BY a),
+  {name}_m AS (SELECT a AS node, root FROM {name}_t UNION SELECT l.a, t.root FROM {links} l JOIN {name}_t t ON l.b = t.a), {name}_w AS (SELECT root, min(node) AS component FROM {name}_m GROUP BY root), {name} AS (SELECT node, component FROM {name}_m JOIN {name}_w USING (root))"""
+
+
+@query("g10_case_clusters", f"""WITH RECURSIVE {T}, legs AS (SELECT DISTINCT src, dst, block_time FROM t WHERE usd > 10), few AS (SELECT src FROM legs GROUP BY src HAVING count(DISTINCT dst) BETWEEN 2 AND 20),
   links AS (SELECT DISTINCT x.dst AS a, y.dst AS b FROM legs x JOIN legs y ON x.src = y.src AND x.dst < y.dst AND abs(date_diff('day', x.block_time, y.block_time)) <= 60 WHERE x.src IN (SELECT src FROM few)),
   {components_sql("links")} SELECT * FROM c""")
 def g10(spark, sf):
-    legs = transfers(spark, sf).where("usd > 95000").select("src", "dst", "block_time").distinct()
+    legs = transfers(spark, sf).where("usd > 10").select("src", "dst", "block_time").distinct()
     return G.components(G.group_links(legs, ["src"], "dst", "block_time", 60, 20))
 
 
-@query("g11_evidence_clusters", f"""WITH RECURSIVE {T}, links AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 101000), high AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 102000), {components_sql("links")}, {components_sql("high", "h")},
+@query("g11_evidence_clusters", f"""WITH RECURSIVE {T}, links AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 10), high AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 50000 AND chain = 'A'), {pair_components_sql("links")}, {pair_components_sql("high", "h")},
   m AS (SELECT c.component, c.node, coalesce(h.component, -c.node - 1) AS hc FROM c LEFT JOIN h ON c.node = h.node)
   SELECT component, count(*) AS n, 'cluster_' || substr(sha256(component || ':' || count(*) || ':' || CAST(sum(CAST('0x' || substr(md5(CAST(node AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT)), 1, 8) AS name,
   CASE WHEN count(DISTINCT hc) = 1 THEN 'high' ELSE 'medium' END AS confidence FROM m GROUP BY component""")
 def g11(spark, sf):
-    pairs = lambda least: _edges(spark, sf, least).toDF("a", "b")
-    every, high = G.components(pairs(101000)), G.components(pairs(102000)).withColumnRenamed("component", "hc")
+    every = G.components(_edges(spark, sf, FLOOR).toDF("a", "b"))
+    high = G.components(transfers(spark, sf).where("usd > 50000 AND chain = 'A'").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()).withColumnRenamed("component", "hc")
     joined = every.join(high, "node", "left").withColumn("hc", F.coalesce("hc", -F.col("node") - 1))
     piece = F.conv(F.substring(F.md5(F.col("node").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     rolled = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(piece).alias("s"), F.min("hc").alias("lo"), F.max("hc").alias("hi"))
@@ -105,12 +115,12 @@ def g11(spark, sf):
     return rolled.select("component", "n", name.alias("name"), F.when(F.col("lo") == F.col("hi"), "high").otherwise("medium").alias("confidence"))
 
 
-@query("g12_cluster_names", f"""WITH RECURSIVE {T}, {L}, links AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 102000), {components_sql("links")},
+@query("g12_cluster_names", f"""WITH RECURSIVE {T}, {L}, links AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 10), {pair_components_sql("links")},
   o AS (SELECT component, t.dst, count(*) AS n FROM t JOIN c ON t.src = c.node GROUP BY ALL), p AS (SELECT o.* FROM o LEFT JOIN c ON o.dst = c.node AND o.component = c.component WHERE c.node IS NULL),
   q AS (SELECT component, name, category, row_number() OVER (PARTITION BY component ORDER BY CASE category WHEN 'exchange' THEN 3 WHEN 'bridge' THEN 1 WHEN 'defi' THEN 1 ELSE 0 END DESC, n DESC, dst) AS place FROM p JOIN labels ON dst = address)
   SELECT component, name, CASE WHEN category = 'exchange' THEN 'medium' ELSE 'low' END AS confidence FROM q WHERE place = 1""")
 def g12(spark, sf):
-    members = G.settle(G.components(_edges(spark, sf, 102000).toDF("a", "b")))
+    members = G.settle(G.components(_edges(spark, sf, FLOOR).toDF("a", "b")))
     out = transfers(spark, sf).join(members.withColumnRenamed("node", "src"), "src").groupBy("component", "dst").agg(F.count(F.lit(1)).alias("n"))
     outside = out.join(members.withColumnRenamed("node", "dst"), ["component", "dst"], "left_anti").join(labels(spark, sf).withColumnRenamed("address", "dst"), "dst")
     rank = F.when(F.col("category") == "exchange", 3).when(F.col("category").isin("bridge", "defi"), 1).otherwise(0)
@@ -118,44 +128,44 @@ def g12(spark, sf):
     return best.select("component", "b.name", F.when(F.col("b.category") == "exchange", "medium").otherwise("low").alias("confidence"))
 
 
-@query("g13_multi_chain_addresses", f"WITH {T} SELECT src, count(DISTINCT chain) AS n_chains, string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains FROM t WHERE usd > 60000 GROUP BY src HAVING count(DISTINCT chain) >= 2")
+@query("g13_multi_chain_addresses", f"WITH {T} SELECT src, count(DISTINCT chain) AS n_chains, string_agg(DISTINCT chain, ',' ORDER BY chain) AS chains FROM t WHERE usd > 10 GROUP BY src HAVING count(DISTINCT chain) >= 2")
 def g13(spark, sf):
-    per = transfers(spark, sf).where("usd > 60000").groupBy("src").agg(F.array_sort(F.collect_set("chain")).alias("c"))  # as many as there are chains
+    per = transfers(spark, sf).where("usd > 10").groupBy("src").agg(F.array_sort(F.collect_set("chain")).alias("c"))  # as many as there are chains
     return per.where(F.size("c") >= 2).select("src", F.size("c").cast("long").alias("n_chains"), F.array_join("c", ",").alias("chains"))
 
 
-@query("g14_cluster_merge", f"""WITH RECURSIVE {T}, links AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 101000), {components_sql("links")}, old AS (SELECT node, node % 40 AS cluster FROM c),
+@query("g14_cluster_merge", f"""WITH RECURSIVE {T}, links AS (SELECT DISTINCT src AS a, dst AS b FROM t WHERE usd > 10), {pair_components_sql("links")}, old AS (SELECT node, node % 40 AS cluster FROM c),
   k AS (SELECT src AS a, dst AS b FROM (SELECT DISTINCT c.component + 1000000 AS src, old.cluster AS dst FROM c JOIN old USING (node))), {components_sql("k", "z")} SELECT node AS cluster, component AS merged FROM z WHERE node < 1000000""")
 def g14(spark, sf):
-    members = G.settle(G.components(_edges(spark, sf, 101000).toDF("a", "b")))
+    members = G.settle(G.components(_edges(spark, sf, FLOOR).toDF("a", "b")))
     old = members.select("node", (F.col("node") % 40).alias("cluster"))
     ties = members.join(old, "node").select((F.col("component") + 1_000_000).alias("a"), F.col("cluster").alias("b")).distinct()
     return G.components(ties).where("node < 1000000").select(F.col("node").alias("cluster"), F.col("component").alias("merged"))
 
 
-@query("g15_value_cycles", f"""WITH RECURSIVE {T}, {E.format(94000)}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
+@query("g15_value_cycles", f"""WITH RECURSIVE {T}, {E.format(FLOOR)}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
   SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1""")
 def g15(spark, sf):
-    return G.strong_components(_edges(spark, sf, 94000))
+    return G.strong_components(_edges(spark, sf, FLOOR))
 
 
-@query("g16_consolidation_hubs", f"WITH {T} SELECT dst, count(DISTINCT src) AS n_sources, CAST(sum(usd) AS DOUBLE) AS usd FROM t WHERE usd > 80000 GROUP BY dst HAVING count(DISTINCT src) >= 3")
+@query("g16_consolidation_hubs", f"WITH {T} SELECT dst, count(DISTINCT src) AS n_sources, CAST(sum(usd) AS DOUBLE) AS usd FROM t WHERE usd > 10 GROUP BY dst HAVING count(DISTINCT src) >= 3")
 def g16(spark, sf):
-    hubs = transfers(spark, sf).where("usd > 80000").groupBy("dst").agg(F.count_distinct("src").alias("n_sources"), money(F.sum("usd")).alias("usd"))
+    hubs = transfers(spark, sf).where("usd > 10").groupBy("dst").agg(F.count_distinct("src").alias("n_sources"), money(F.sum("usd")).alias("usd"))
     return hubs.where("n_sources >= 3")
 
 
-@query("g17_depth_from_seed", f"""WITH RECURSIVE {T}, {E.format(90000)}, {reach_sql('s_suppkey = 1', 6)}, d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node), a AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT node FROM d)
+@query("g17_depth_from_seed", f"""WITH RECURSIVE {T}, {E.format(FLOOR)}, {reach_sql('s_suppkey = 1', 6)}, d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node), a AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT node FROM d)
   SELECT node, CAST(coalesce(depth, (SELECT max(depth) FROM d) + 1) AS INTEGER) AS depth FROM a LEFT JOIN d USING (node)""")
 def g17(spark, sf):
-    edges = G.settle(_edges(spark, sf, 90000))
+    edges = G.settle(_edges(spark, sf, FLOOR))
     found = G.bfs(edges, _seeds(spark, sf, "s_suppkey = 1"), None)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(found.select("node")).distinct()
     beyond = found.agg((F.max("depth") + 1).alias("beyond"))  # one row
     return nodes.join(found, "node", "left").crossJoin(F.broadcast(beyond)).select("node", F.coalesce("depth", "beyond").alias("depth"))
 
 
-WEIGHTED = "w AS (SELECT src, dst, CAST(sum(usd) AS DOUBLE) AS usd FROM t WHERE usd > 85000 GROUP BY src, dst), g AS (SELECT w.*, tot FROM w JOIN (SELECT src, CAST(sum(CAST(usd AS DECIMAL(20,4))) AS DOUBLE) AS tot FROM w GROUP BY src) USING (src))"
+WEIGHTED = "w AS (SELECT src, dst, CAST(sum(usd) AS DOUBLE) AS usd FROM t WHERE usd > 10 GROUP BY src, dst), g AS (SELECT w.*, tot FROM w JOIN (SELECT src, CAST(sum(CAST(usd AS DECIMAL(20,4))) AS DOUBLE) AS tot FROM w GROUP BY src) USING (src))"
 
 
 def step_sql(h: int) -> str:
@@ -168,7 +178,7 @@ def step_sql(h: int) -> str:
 @query("g18_indirect_exposure", f"""WITH {T}, {R}, {WEIGHTED}, f1 AS (SELECT src AS source, dst AS node, 1 AS hop, usd * 0.7 AS weight, '|' || src || '||' || dst || '|' AS path FROM g WHERE src IN (SELECT address FROM high_risk) AND usd * 0.7 >= 1000), b1 AS (SELECT * FROM f1),
   {step_sql(2)}, {step_sql(3)} SELECT source, node, CAST(hop AS INTEGER) AS hop, CAST(floor(weight) AS BIGINT) AS weight FROM b3""")
 def g18(spark, sf):
-    pairs = transfers(spark, sf).where("usd > 85000").groupBy("src", "dst").agg(F.sum("usd").cast("decimal(20,4)").alias("usd"))
+    pairs = transfers(spark, sf).where("usd > 10").groupBy("src", "dst").agg(F.sum("usd").cast("decimal(20,4)").alias("usd"))
     risky = high_risk(spark, sf).select(F.col("address").alias("node"))
     return G.decayed_exposure(pairs, risky, 0.7, 3, 1000.0).withColumn("weight", F.floor("weight"))
 
@@ -176,14 +186,14 @@ def g18(spark, sf):
 HOPS = [1.0, 0.5, 0.25, 0.125]
 
 
-@query("g19_label_exposure", f"""WITH {T}, {R}, p AS (SELECT src, dst, sum(usd) AS usd FROM t WHERE usd > 92000 GROUP BY src, dst), v AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 9 = 0), h AS (SELECT address FROM high_risk),
+@query("g19_label_exposure", f"""WITH {T}, {R}, p AS (SELECT src, dst, sum(usd) AS usd FROM t WHERE usd > 10 GROUP BY src, dst), v AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 9 = 0), h AS (SELECT address FROM high_risk),
   d AS (SELECT src AS victim, CAST(sum(usd) AS DOUBLE) AS drained FROM p WHERE src IN (SELECT node FROM v) GROUP BY src),
   s1 AS (SELECT v.node AS victim, dst, usd FROM v JOIN p ON p.src = v.node), s2 AS (SELECT victim, p.dst, p.usd FROM (SELECT DISTINCT victim, dst FROM s1) x JOIN p ON p.src = x.dst),
   s3 AS (SELECT victim, p.dst, p.usd FROM (SELECT DISTINCT victim, dst FROM s2) x JOIN p ON p.src = x.dst), s4 AS (SELECT victim, p.dst, p.usd FROM (SELECT DISTINCT victim, dst FROM s3) x JOIN p ON p.src = x.dst),
   y AS ({" UNION ALL ".join(f"SELECT victim, CAST(sum(usd) AS DOUBLE) * {w} AS value FROM s{k} WHERE dst IN (SELECT address FROM h) GROUP BY victim" for k, w in enumerate(HOPS, 1))})
   SELECT victim, round(sum(value) / any_value(drained), 6) AS exposure FROM y JOIN d USING (victim) GROUP BY victim""")
 def g19(spark, sf):
-    pairs = G.settle(transfers(spark, sf).where("usd > 92000").groupBy("src", "dst").agg(F.sum("usd").alias("usd")))
+    pairs = G.settle(transfers(spark, sf).where("usd > 10").groupBy("src", "dst").agg(F.sum("usd").alias("usd")))
     return G.label_exposure(pairs, _seeds(spark, sf, "s_suppkey % 9 = 0"), high_risk(spark, sf).select(F.col("address").alias("node")), HOPS)
 
 
@@ -209,19 +219,19 @@ def g21(spark, sf):
     return out.join(risk, "node", "left").crossJoin(F.broadcast(cut))
 
 
-@query("g22_hop_tree", f"""WITH RECURSIVE {T}, p AS (SELECT src, dst, sum(usd) AS usd FROM t WHERE usd > 85000 GROUP BY src, dst), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY usd DESC, dst) AS place FROM p),
+@query("g22_hop_tree", f"""WITH RECURSIVE {T}, p AS (SELECT src, dst, sum(usd) AS usd FROM t WHERE usd > 10 GROUP BY src, dst), k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY usd DESC, dst) AS place FROM p),
   e AS (SELECT src, dst FROM k WHERE place <= 5), {reach_sql('s_suppkey = 2', 6)}, d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
   SELECT e.src, e.dst, CAST(depth + 1 AS INTEGER) AS depth FROM e JOIN d ON e.src = d.node WHERE depth < 6""")
 def g22(spark, sf):
-    pairs = transfers(spark, sf).where("usd > 85000").groupBy("src", "dst").agg(F.sum("usd").alias("usd"))
+    pairs = transfers(spark, sf).where("usd > 10").groupBy("src", "dst").agg(F.sum("usd").alias("usd"))
     edges = G.settle(G.top_edges(pairs, 5, [F.desc("usd"), "dst"]).select("src", "dst"))
     found = G.bfs(edges, _seeds(spark, sf, "s_suppkey = 2"), 6).where("depth < 6")
     return edges.join(found.select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth")), "src")
 
 
-@query("g23_unreachable_destinations", f"""WITH RECURSIVE {T}, {E.format(92000)}, {reach_sql('s_suppkey % 3 = 0', 12)} SELECT DISTINCT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT node FROM r)""")
+@query("g23_unreachable_destinations", f"""WITH RECURSIVE {T}, {E.format(FLOOR)}, {reach_sql('s_suppkey % 3 = 0', 12)} SELECT DISTINCT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT node FROM r)""")
 def g23(spark, sf):
-    found = G.bfs(_edges(spark, sf, 92000), _seeds(spark, sf, "s_suppkey % 3 = 0"), None)
+    found = G.bfs(_edges(spark, sf, FLOOR), _seeds(spark, sf, "s_suppkey % 3 = 0"), None)
     return _seeds(spark, sf, "true").join(found, "node", "left_anti")
 
 

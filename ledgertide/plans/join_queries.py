@@ -80,32 +80,32 @@ def _legs(spark, sf, side, node, where):
 PPM = "CAST(floor(abs(CAST(o_{0} - i_{0} AS DOUBLE)) * 1000000 / CAST(i_{0} AS DOUBLE)) AS BIGINT)"
 
 
-@query("j7_value_matching", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 80000")}), o AS ({legs_sql("o", "src", "usd > 60000")}),
+@query("j7_value_matching", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 10")}), o AS ({legs_sql("o", "src", "usd > 10")}),
   p AS (SELECT *, i_symbol = o_symbol AS same, CASE WHEN i_symbol = o_symbol THEN {PPM.format("amt")} ELSE {PPM.format("usd")} END AS ppm
         FROM i JOIN o USING (node) WHERE date_diff('day', i_time, o_time) BETWEEN 1 AND 30 AND i_tx <> o_tx),
   f AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY same DESC, ppm, o_time, o_tx, o_log, o_token, o_dst, o_usd) AS place FROM p WHERE ppm <= 20000 WINDOW w AS (PARTITION BY node, i_tx, i_log, i_token, i_src, i_time, i_usd))
   SELECT node, i_tx, i_log, i_token, i_src, o_tx, o_log, o_token, o_dst, same, ppm, place, n, CASE WHEN n = 1 AND same THEN 'medium' ELSE 'low' END AS confidence, n > 1 AS ambiguous FROM f WHERE place <= 3""")
 def j7(spark, sf):
-    return J.value_matches(_legs(spark, sf, "i", "dst", "usd > 80000"), _legs(spark, sf, "o", "src", "usd > 60000"), 30, 2)
+    return J.value_matches(_legs(spark, sf, "i", "dst", "usd > 10"), _legs(spark, sf, "o", "src", "usd > 10"), 30, 2)
 
 
-@query("j8_split_matching", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 90000")}), o AS ({legs_sql("o", "src", "usd > 0")}),
+@query("j8_split_matching", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 10")}), o AS ({legs_sql("o", "src", "usd > 10")}),
   p AS (SELECT *, sum(o_usd) OVER (PARTITION BY node, i_tx, i_log, i_token, i_src, i_time, i_usd ORDER BY o_usd DESC, o_time, o_tx, o_log, o_token, o_dst ROWS UNBOUNDED PRECEDING) AS running
         FROM i JOIN o USING (node) WHERE date_diff('day', i_time, o_time) BETWEEN 1 AND 60 AND i_tx <> o_tx AND o_usd <= i_usd),
   g AS (SELECT node, i_tx, i_log, i_token, i_src, i_time, i_usd, count(*) AS legs, max(running) AS total FROM p WHERE (running - o_usd) * 100 < i_usd * 90 GROUP BY ALL)
   SELECT node, i_tx, i_log, i_token, i_src, legs, CAST(total AS DOUBLE) AS usd FROM g WHERE legs BETWEEN 2 AND 8 AND total * 100 BETWEEN i_usd * 90 AND i_usd * 110""")
 def j8(spark, sf):
-    return J.split_matches(_legs(spark, sf, "i", "dst", "usd > 90000"), _legs(spark, sf, "o", "src", "usd > 0"), 60, 10, 8)
+    return J.split_matches(_legs(spark, sf, "i", "dst", "usd > 10"), _legs(spark, sf, "o", "src", "usd > 10"), 60, 10, 8)
 
 
 def _crossing(spark, sf):
-    i = transfers(spark, sf).where("usd > 70000 AND dst % 7 = 0").selectExpr("token % 5 AS symbol", "tx_hash AS i_tx", "log_index AS i_log", "token AS i_token", "src AS i_src", "dst AS i_dst", "block_time AS i_time", "usd AS i_usd", "chain AS i_chain").distinct()
-    o = transfers(spark, sf).where("usd > 60000 AND dst % 7 <> 0").selectExpr("token % 5 AS symbol", "tx_hash AS o_tx", "log_index AS o_log", "token AS o_token", "src AS o_src", "dst AS o_dst", "block_time AS o_time", "usd AS o_usd", "chain AS o_chain").distinct()
+    i = transfers(spark, sf).where("usd > 10 AND dst % 7 = 0").selectExpr("token % 5 AS symbol", "tx_hash AS i_tx", "log_index AS i_log", "token AS i_token", "src AS i_src", "dst AS i_dst", "block_time AS i_time", "usd AS i_usd", "chain AS i_chain").distinct()
+    o = transfers(spark, sf).where("usd > 10 AND dst % 7 <> 0").selectExpr("token % 5 AS symbol", "tx_hash AS o_tx", "log_index AS o_log", "token AS o_token", "src AS o_src", "dst AS o_dst", "block_time AS o_time", "usd AS o_usd", "chain AS o_chain").distinct()
     return i, o
 
 
-CROSSING = """i AS (SELECT DISTINCT token % 5 AS symbol, tx_hash AS i_tx, log_index AS i_log, token AS i_token, src AS i_src, dst AS i_dst, block_time AS i_time, usd AS i_usd, chain AS i_chain FROM t WHERE usd > 70000 AND dst % 7 = 0),
-  o AS (SELECT DISTINCT token % 5 AS symbol, tx_hash AS o_tx, log_index AS o_log, token AS o_token, src AS o_src, dst AS o_dst, block_time AS o_time, usd AS o_usd, chain AS o_chain FROM t WHERE usd > 60000 AND dst % 7 <> 0)"""
+CROSSING = """i AS (SELECT DISTINCT token % 5 AS symbol, tx_hash AS i_tx, log_index AS i_log, token AS i_token, src AS i_src, dst AS i_dst, block_time AS i_time, usd AS i_usd, chain AS i_chain FROM t WHERE usd > 10 AND dst % 7 = 0),
+  o AS (SELECT DISTINCT token % 5 AS symbol, tx_hash AS o_tx, log_index AS o_log, token AS o_token, src AS o_src, dst AS o_dst, block_time AS o_time, usd AS o_usd, chain AS o_chain FROM t WHERE usd > 10 AND dst % 7 <> 0)"""
 
 
 @query("j9_bridge_matching", f"""WITH {T}, {CROSSING},
@@ -126,10 +126,10 @@ def j10(spark, sf):
     return pairs.where("i_chain <> o_chain AND o_usd <= i_usd").groupBy("i_tx", "i_dst", "i_src").agg(F.count(F.lit(1)).alias("n"), F.min("o_time").alias("first_mint"), money(F.sum("o_usd")).alias("usd"))
 
 
-@query("j11_pool_disbursement", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 70000 AND dst % 13 = 0")}), o AS ({legs_sql("o", "src", "src % 13 = 0")})
+@query("j11_pool_disbursement", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 10 AND dst % 13 = 0")}), o AS ({legs_sql("o", "src", "src % 13 = 0")})
   SELECT node, i_tx, i_src, i_log, i_token, count(*) AS n, min(o_time) AS first_out FROM i JOIN o USING (node) WHERE date_diff('day', i_time, o_time) BETWEEN 0 AND 30 AND {PPM.format("usd")} <= 50000 GROUP BY ALL""")
 def j11(spark, sf):
-    pairs = J.within(_legs(spark, sf, "i", "dst", "usd > 70000 AND dst % 13 = 0"), _legs(spark, sf, "o", "src", "src % 13 = 0"), ["node"], "i_time", "o_time", 30)
+    pairs = J.within(_legs(spark, sf, "i", "dst", "usd > 10 AND dst % 13 = 0"), _legs(spark, sf, "o", "src", "src % 13 = 0"), ["node"], "i_time", "o_time", 30)
     pairs = pairs.where(J.parts_per_million(F.col("o_usd") - F.col("i_usd"), F.col("i_usd")) <= 50000)
     return pairs.groupBy("node", "i_tx", "i_src", "i_log", "i_token").agg(F.count(F.lit(1)).alias("n"), F.min("o_time").alias("first_out"))
 
@@ -177,16 +177,16 @@ def j16(spark, sf):
 TIERS = [(3, 1), (15, 3), (40, 5)]
 
 
-@query("j17_exchange_continuity", f"""WITH {T}, i AS (SELECT DISTINCT dst AS exchange, tx_hash AS i_tx, log_index AS i_log, token AS i_token, src AS i_src, block_time AS i_time, usd AS i_usd FROM t WHERE dst % 11 = 0 AND usd > 70000),
-  o AS (SELECT DISTINCT src AS exchange, tx_hash AS o_tx, log_index AS o_log, token AS o_token, dst AS o_dst, block_time AS o_time, usd AS o_usd FROM t WHERE src % 11 = 0 AND usd > 60000),
+@query("j17_exchange_continuity", f"""WITH {T}, i AS (SELECT DISTINCT dst AS exchange, tx_hash AS i_tx, log_index AS i_log, token AS i_token, src AS i_src, block_time AS i_time, usd AS i_usd FROM t WHERE dst % 11 = 0 AND usd > 10),
+  o AS (SELECT DISTINCT src AS exchange, tx_hash AS o_tx, log_index AS o_log, token AS o_token, dst AS o_dst, block_time AS o_time, usd AS o_usd FROM t WHERE src % 11 = 0 AND usd > 10),
   p AS (SELECT *, {PPM.format("usd")} AS ppm, date_diff('day', i_time, o_time) AS days FROM i JOIN o USING (exchange) WHERE date_diff('day', i_time, o_time) BETWEEN 1 AND 40),
   q AS (SELECT *, CASE WHEN days <= 3 AND ppm <= 10000 THEN 1 WHEN days <= 15 AND ppm <= 30000 THEN 2 WHEN ppm <= 50000 THEN 3 END AS tier FROM p),
   r AS (SELECT *, row_number() OVER (PARTITION BY exchange, i_tx, i_log, i_token, i_src ORDER BY tier, o_usd DESC, days, o_tx, o_log, o_token, o_dst) AS place FROM q WHERE tier IS NOT NULL)
   SELECT exchange, i_tx, i_log, i_token, i_src, o_tx, o_log, o_token, o_dst, tier, place FROM r WHERE place <= 5""")
 def j17(spark, sf):
     t = transfers(spark, sf)
-    i = t.where("dst % 11 = 0 AND usd > 70000").selectExpr("dst AS exchange", "tx_hash AS i_tx", "log_index AS i_log", "token AS i_token", "src AS i_src", "block_time AS i_time", "usd AS i_usd").distinct()
-    o = t.where("src % 11 = 0 AND usd > 60000").selectExpr("src AS exchange", "tx_hash AS o_tx", "log_index AS o_log", "token AS o_token", "dst AS o_dst", "block_time AS o_time", "usd AS o_usd").distinct()
+    i = t.where("dst % 11 = 0 AND usd > 10").selectExpr("dst AS exchange", "tx_hash AS i_tx", "log_index AS i_log", "token AS i_token", "src AS i_src", "block_time AS i_time", "usd AS i_usd").distinct()
+    o = t.where("src % 11 = 0 AND usd > 10").selectExpr("src AS exchange", "tx_hash AS o_tx", "log_index AS o_log", "token AS o_token", "dst AS o_dst", "block_time AS o_time", "usd AS o_usd").distinct()
     return J.continuity(i, o, TIERS, 5)
 
 
@@ -304,27 +304,30 @@ def j32(spark, sf):
     return pairs.groupBy("i_tx", "i_src", "i_dst").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_time") < F.col("i_time")).alias("n_before"), F.count_if(F.col("o_usd") > F.col("i_usd")).alias("n_larger"))
 
 
-@query("j33_drainer", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 60000")}), o AS ({legs_sql("o", "src", "usd > 40000")}),
+@query("j33_drainer", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 10")}), o AS ({legs_sql("o", "src", "usd > 10")}),
   p AS (SELECT i.*, o_dst, o_usd FROM i JOIN o ON i.node = o.node AND i_symbol = o_symbol AND abs(date_diff('day', i_time, o_time)) <= 20),
   g AS (SELECT node, i_symbol AS symbol, i_src, i_tx, i_log, i_token, i_time, i_usd, bool_or(o_dst = i_src) AS returned, count(*) FILTER (WHERE o_usd * 100 >= i_usd * 80 AND o_dst <> i_src) AS n_forwards FROM p GROUP BY ALL)
   SELECT node, symbol, i_src, i_tx, i_log, i_token, n_forwards FROM g WHERE NOT returned AND n_forwards > 0""")
 def j33(spark, sf):
-    i = _legs(spark, sf, "i", "dst", "usd > 60000").withColumnRenamed("i_symbol", "symbol")
-    o = _legs(spark, sf, "o", "src", "usd > 40000").withColumnRenamed("o_symbol", "symbol")
+    i = _legs(spark, sf, "i", "dst", "usd > 10").withColumnRenamed("i_symbol", "symbol")
+    o = _legs(spark, sf, "o", "src", "usd > 10").withColumnRenamed("o_symbol", "symbol")
     return J.drainer_legs(i, o, 20, 80)
 
 
-@query("j34_bridge_round_trip", f"""WITH {T}, a AS (SELECT DISTINCT chain, src AS sender, dst AS bridge, block_time AS out_time, tx_hash AS out_tx FROM t WHERE dst % 7 = 0 AND usd > 90000),
-  b AS (SELECT DISTINCT chain, src AS bridge_in, dst AS recipient, block_time AS in_time, tx_hash AS in_tx FROM t WHERE src % 7 = 0 AND usd > 60000)
+@query("j34_bridge_round_trip", f"""WITH {T}, a AS (SELECT DISTINCT chain, src AS sender, dst AS bridge, block_time AS out_time, tx_hash AS out_tx FROM t WHERE dst % 7 = 0 AND usd > 10),
+  b AS (SELECT DISTINCT chain, src AS bridge_in, dst AS recipient, block_time AS in_time, tx_hash AS in_tx FROM t WHERE src % 7 = 0 AND usd > 10)
   SELECT chain, sender, recipient, count(*) AS n FROM a JOIN b USING (chain) WHERE date_diff('day', out_time, in_time) BETWEEN 1 AND 6 AND sender <> recipient GROUP BY ALL""")
 def j34(spark, sf):
-    t = transfers(spark, sf)
-    out = t.where("dst % 7 = 0 AND usd > 90000").selectExpr("chain", "src AS sender", "dst AS bridge", "block_time AS out_time", "tx_hash AS out_tx").distinct()
-    back = t.where("src % 7 = 0 AND usd > 60000").selectExpr("chain", "src AS bridge_in", "dst AS recipient", "block_time AS in_time", "tx_hash AS in_tx").distinct()
-    return J.within(out, back, ["chain"], "out_time", "in_time", 6).where("days > 0 AND sender <> recipient").groupBy("chain", "sender", "recipient").agg(F.count(F.lit(1)).alias("n"))
+    """Each side is counted by its party and day before they meet."""
+    t = transfers(spark, sf).where("usd > 10")
+    out = t.where("dst % 7 = 0").select("chain", F.col("src").alias("sender"), F.col("dst").alias("bridge"), F.col("block_time").alias("out_time"), F.col("tx_hash").alias("out_tx")).distinct()
+    back = t.where("src % 7 = 0").select("chain", F.col("src").alias("bridge_in"), F.col("dst").alias("recipient"), F.col("block_time").alias("in_time"), F.col("tx_hash").alias("in_tx")).distinct()
+    out = out.groupBy("chain", "sender", "out_time").agg(F.count(F.lit(1)).alias("n_out"))
+    back = back.groupBy("chain", "recipient", "in_time").agg(F.count(F.lit(1)).alias("n_back"))
+    return J.within(out, back, ["chain"], "out_time", "in_time", 6).where("days > 0 AND sender <> recipient").groupBy("chain", "sender", "recipient").agg(F.sum(F.col("n_out") * F.col("n_back")).alias("n"))
 
 
-@query("j35_demixing", f"""WITH {T}, i AS (SELECT DISTINCT dst AS pool, tx_hash AS i_tx, log_index AS i_log, token AS i_token, src AS i_address, block_time AS i_time, token % 10 AS i_relayer, CAST(amt AS BIGINT) AS i_gas FROM t WHERE dst % 13 = 0 AND usd > 60000),
+@query("j35_demixing", f"""WITH {T}, i AS (SELECT DISTINCT dst AS pool, tx_hash AS i_tx, log_index AS i_log, token AS i_token, src AS i_address, block_time AS i_time, token % 10 AS i_relayer, CAST(amt AS BIGINT) AS i_gas FROM t WHERE dst % 13 = 0 AND usd > 10),
   o AS (SELECT DISTINCT src AS pool, tx_hash AS o_tx, log_index AS o_log, token AS o_token, dst AS o_address, block_time AS o_time, token % 10 AS o_relayer, CAST(amt AS BIGINT) AS o_gas FROM t WHERE src % 13 = 0),
   p AS (SELECT *, first_value(o_tx) OVER (PARTITION BY pool, i_tx, i_log, i_token, i_address ORDER BY o_time, o_tx) AS nearest FROM i JOIN o USING (pool) WHERE date_diff('day', i_time, o_time) BETWEEN 1 AND 60),
   s AS (SELECT *, CASE WHEN i_address = o_address THEN 100 ELSE 0 END + CASE WHEN i_relayer = o_relayer THEN 25 ELSE 0 END + CASE WHEN i_gas = o_gas THEN 20 ELSE 0 END + CASE WHEN o_tx = nearest THEN 5 ELSE 0 END AS score FROM p),
@@ -332,7 +335,7 @@ def j34(spark, sf):
   SELECT pool, i_tx, i_log, i_token, i_address, o_tx, o_log, o_token, o_address, CAST(score AS BIGINT) AS score, place FROM r WHERE place <= 5""")
 def j35(spark, sf):
     t = transfers(spark, sf)
-    i = t.where("dst % 13 = 0 AND usd > 60000").selectExpr("dst AS pool", "tx_hash AS i_tx", "log_index AS i_log", "token AS i_token", "src AS i_address", "block_time AS i_time", "token % 10 AS i_relayer", "CAST(amt AS BIGINT) AS i_gas").distinct()
+    i = t.where("dst % 13 = 0 AND usd > 10").selectExpr("dst AS pool", "tx_hash AS i_tx", "log_index AS i_log", "token AS i_token", "src AS i_address", "block_time AS i_time", "token % 10 AS i_relayer", "CAST(amt AS BIGINT) AS i_gas").distinct()
     o = t.where("src % 13 = 0").selectExpr("src AS pool", "tx_hash AS o_tx", "log_index AS o_log", "token AS o_token", "dst AS o_address", "block_time AS o_time", "token % 10 AS o_relayer", "CAST(amt AS BIGINT) AS o_gas").distinct()
     return J.demix_candidates(i, o, 60, 5)
 

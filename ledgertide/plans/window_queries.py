@@ -50,10 +50,10 @@ def w6(spark, sf):
     return i.join(o, "node", "full")
 
 
-@query("w7_time_window_pairs", f"""WITH {T}, l AS (SELECT DISTINCT src, dst, block_time FROM t WHERE usd > 90000) SELECT least(x.dst, y.dst) AS a, greatest(x.dst, y.dst) AS b, count(*) AS n FROM l x JOIN l y ON x.src = y.src AND x.dst <> y.dst
+@query("w7_time_window_pairs", f"""WITH {T}, l AS (SELECT DISTINCT src, dst, block_time FROM t WHERE usd > 10) SELECT least(x.dst, y.dst) AS a, greatest(x.dst, y.dst) AS b, count(*) AS n FROM l x JOIN l y ON x.src = y.src AND x.dst <> y.dst
   AND date_diff('day', x.block_time, y.block_time) BETWEEN 0 AND 30 GROUP BY ALL""")
 def w7(spark, sf):
-    legs = transfers(spark, sf).where("usd > 90000").select("src", "dst", "block_time").distinct()
+    legs = transfers(spark, sf).where("usd > 10").select("src", "dst", "block_time").distinct()
     pairs = J.within(legs.toDF("src", "x", "x_time"), legs.toDF("src", "y", "y_time"), ["src"], "x_time", "y_time", 30).where("x <> y")
     return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
