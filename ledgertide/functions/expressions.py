@@ -282,3 +282,31 @@ def exhibit_letter(place: Column) -> Column:
     """0, 1, ... as A, B, ... Z, AA, ... ZZ."""
     letter = lambda n: F.char(n + 65)
     return F.concat(F.when(place >= 26, letter(F.floor(place / 26) - 1)).otherwise(F.lit("")), letter(place % 26))
+
+
+def is_burn(address: Column) -> Column:
+    """The zero address, and those that end in dead after zeros."""
+    return F.coalesce(F.lower(F.trim(address)).rlike(r"^0x0{36,}(0{4}|dead|0001)$"), F.lit(False))
+
+
+def traverses(depth: Column, max_depth: int, address: Column, category: Column, is_contract: Column) -> Column:
+    """Whether a trace follows a transfer to its receiver: within the depth, not into a burn or a
+    placeholder, not into a service that mixes many users' funds, not into a contract."""
+    service = F.coalesce(category.isin("exchange", "exchange_deposit", "exchange_hot_wallet", "mixer", "bridge"), F.lit(False))
+    return (depth + 1 < max_depth) & ~is_burn(address) & ~is_placeholder(address) & ~service & ~F.coalesce(is_contract, F.lit(False))
+
+
+#: Chains by the names that texts give them.
+CHAIN_NAMES = ("arbitrum", "avalanche", "base", "bitcoin", "bsc", "ethereum", "optimism", "polygon", "solana", "tron")
+
+
+def entities(text: Column) -> Column:
+    """struct(addresses, tx_hashes, severity, chains) of free text: distinct EVM addresses and transaction
+    hashes, each in lower case; severity by the largest dollar amount (100 million critical, 10 million
+    high, one million medium)."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = lambda n: F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![0-9a-z])(0x[0-9a-f]{{{n}}})(?![0-9a-z])"), F.lit(1)))
+    millions = F.array_max(F.transform(F.regexp_extract_all(low, F.lit(r"\$\s?([0-9]+(?:\.[0-9]+)?)\s?(?:m\b|million)"), F.lit(1)), lambda x: x.cast("double")))
+    severity = F.when(millions >= 100, "critical").when(millions >= 10, "high").when(millions >= 1, "medium").otherwise("low")
+    chains = F.filter(F.array(*(F.lit(c) for c in CHAIN_NAMES)), lambda c: F.array_contains(F.split(low, "[^a-z]+"), c))
+    return F.struct(found(40).alias("addresses"), found(64).alias("tx_hashes"), severity.alias("severity"), chains.alias("chains"))

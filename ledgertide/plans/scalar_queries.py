@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgertide.functions import expressions as X
+from ledgertide.functions.checksums import chain_family
 from ledgertide.operators.aggregates import money
-from ledgertide.plans.domain import T, load, transfers
+from ledgertide.plans.domain import L, T, labels, load, transfers
 from ledgertide.plans.registry import query
 from ledgertide.sources import landing
 
@@ -24,10 +25,24 @@ def p1(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", X.canonical_key(raw).alias("key"))
 
 
-@query("p2_chain_by_shape", f"SELECT CASE WHEN c_custkey % 4 = 0 THEN 'unknown' WHEN c_custkey % 4 = 1 THEN 'move' ELSE 'evm' END AS family, count(*) AS n FROM customer GROUP BY ALL")
+#: Public examples of each family.
+EXAMPLES = [
+    ("bitcoin", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"), ("bitcoin", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy"), ("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"), ("bitcoin", "bc1p5cyxnuxmeuwuvkwfem96lqzszd02n6xdcjrs20cac6yqjjwudpxqkedrcr"),
+    ("tron", "TNUC9Qb1rRpS5CbWLmNMxXBjyFoydXjWFR"), ("stellar", "GA7QYNF7SOWQ3GLR2BGMZEHXAVIRZA4KVWLTJJFC7MGXUA74P7UJVSGZ"), ("ton", "EQCD39VS5jcptHL8vMjEXrzGaRcCVYto7HUn4bpAOg8xqB2N"), ("solana", "So11111111111111111111111111111111111111112"),
+]
+
+
+@query("p2_chain_families", f"""WITH e(i, family) AS (VALUES {", ".join(f"({i}, '{f}')" for i, (f, _) in enumerate(EXAMPLES))}), a AS (SELECT c_custkey, c_custkey // 2 % 10 AS i, c_custkey % 2 = 1 AS broken FROM customer)
+  SELECT c_custkey, CASE WHEN a.i = 8 THEN 'evm' WHEN a.i = 9 THEN 'move' WHEN broken THEN 'unknown' ELSE family END AS family FROM a LEFT JOIN e USING (i)""")
 def p2(spark, sf):
-    address = F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).when(F.col("c_custkey") % 4 == 1, X.move_address(evm("c_custkey"))).otherwise(evm("c_custkey"))
-    return load(spark, sf, "customer").groupBy(X.chain_by_shape(address).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    """Also F17: real addresses, each also with its middle character changed; where there is no checksum, one too few."""
+    shown = F.element_at(F.array(*(F.lit(a) for _, a in EXAMPLES)), (F.col("i") + 1).cast("int"))
+    middle = F.floor(F.length("shown") / 2).cast("int")
+    other = F.when(F.col("i") == 7, F.substring("shown", F.lit(1), F.length("shown") - 1)).otherwise(F.concat(F.substring("shown", F.lit(1), middle), F.when(F.substring("shown", middle + 1, F.lit(1)).isin("q", "Q", "7"), F.when(F.col("i") == 5, "A").otherwise("z")).otherwise(F.when(F.col("i") == 5, "7").otherwise("q")), F.substring("shown", middle + 2, F.length("shown"))))
+    rows = load(spark, sf, "customer").select("c_custkey", (F.floor(F.col("c_custkey") / 2) % 10).alias("i"))
+    rows = rows.withColumn("shown", F.when(F.col("i") == 8, evm("c_custkey")).when(F.col("i") == 9, X.move_address(evm("c_custkey"))).otherwise(F.when(F.col("i") < 8, shown)))
+    address = F.when((F.col("c_custkey") % 2 == 1) & (F.col("i") < 8), other).otherwise(F.col("shown"))
+    return rows.select("c_custkey", chain_family(address).alias("family"))
 
 
 @query("p3_inclusion", f"WITH {T}, p AS (SELECT *, CASE WHEN token % 10 <> 0 THEN usd END AS price FROM t) SELECT chain, count(*) AS n FROM p WHERE NOT coalesce(price < 10000, false) AND NOT (price IS NULL AND amt < 5) GROUP BY chain")
@@ -37,10 +52,26 @@ def p3(spark, sf):
     return rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p5_sinks", f"WITH {T} SELECT CASE WHEN dst % 50 = 0 THEN 'burn' WHEN dst % 13 = 0 THEN 'mixer' ELSE 'other' END AS sink, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd FROM t GROUP BY ALL")
+@query("p5_sinks", f"""WITH {T}, pools AS (SELECT s_suppkey AS dst FROM supplier WHERE s_suppkey % 13 = 0), a AS (SELECT t.*, t.dst % 50 = 0 AS burn, t.dst IN (SELECT dst FROM pools) AS pool FROM t)
+  SELECT CASE WHEN burn THEN 'burn' WHEN pool THEN 'mixer' ELSE 'other' END AS sink, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd FROM a GROUP BY ALL""")
 def p5(spark, sf):
-    sink = F.when(F.col("dst") % 50 == 0, "burn").when(F.col("dst") % 13 == 0, "mixer").otherwise("other")
-    return transfers(spark, sf).groupBy(sink.alias("sink")).agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd"))
+    """Also P6: burn addresses by their form (all zeros, or dead at the end), mixers by their table of pools."""
+    address = F.when(F.col("dst") % 100 == 0, F.lit("0x" + "0" * 40)).when(F.col("dst") % 50 == 0, F.lit("0x" + "0" * 36 + "dEaD")).otherwise(evm("dst"))
+    pools = load(spark, sf, "supplier").where("s_suppkey % 13 = 0").select(F.col("s_suppkey").alias("dst"), F.lit(True).alias("pool"))
+    sink = F.when(X.is_burn(address), "burn").when(F.col("pool"), "mixer").otherwise("other")
+    return transfers(spark, sf).join(pools, "dst", "left").groupBy(sink.alias("sink")).agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd"))
+
+
+@query("p4_traversal", f"""WITH {T}, {L}, a AS (SELECT t.*, category, log_index % 3 AS depth FROM t LEFT JOIN labels ON dst = address)
+  SELECT chain, count(*) AS n FROM a WHERE depth + 1 < 3 AND dst % 50 <> 0 AND coalesce(category, '') NOT IN ('exchange', 'mixer', 'bridge') AND dst % 9 <> 0 GROUP BY chain""")
+def p4(spark, sf):
+    """Which transfers' receivers are followed: not beyond the depth, not into burns or placeholders, not into
+    exchanges, mixers and bridges, not into contracts."""
+    known = labels(spark, sf).select(F.col("address").alias("dst"), "category")
+    address = F.when(F.col("dst") % 50 == 0, F.lit("0x" + "0" * 40)).otherwise(evm("dst"))
+    rows = transfers(spark, sf).join(known, "dst", "left")
+    go = X.traverses(F.col("log_index") % 3, 3, address, F.col("category"), F.col("dst") % 9 == 0)
+    return rows.where(go).groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p13_spam_contracts", "WITH s AS (SELECT l_partkey AS token, count(*) AS n, bool_or(l_quantity >= 49) AS phish FROM lineitem GROUP BY l_partkey), k AS (SELECT token FROM s WHERE n >= 20 AND phish) SELECT l_partkey IN (SELECT token FROM k) AS spam, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -91,13 +122,11 @@ def f19(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", X.explorer_url(chain, evm("c_custkey")).alias("url"))
 
 
-ENTITY = r"[a-z0-9._+-]+@[a-z0-9-]+\.[a-z.]+"
-
-
-@query("f20_entities", f"SELECT conv_id, turn, role, len(regexp_extract_all(text, '{ENTITY}')) AS n_mails, array_to_string(list_distinct(regexp_extract_all(text, '[0-9]{{4,}}')), '|') <> '' AS has_number FROM conversations")
+@query("f20_entities", f"""SELECT c_custkey, 1::BIGINT AS n_addresses, {EVM.format("c_custkey")} AS address, '0x' || sha256(CAST(c_custkey AS VARCHAR)) AS tx_hash, CASE c_custkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN c_custkey % 2 = 0 THEN 'arbitrum,ethereum' ELSE '' END AS chains FROM customer""")
 def f20(spark, sf):
-    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
-    return load(spark, sf, "conversations").select("conv_id", "turn", "role", F.size(found(ENTITY)).cast("long").alias("n_mails"), (F.size(F.array_distinct(found("[0-9]{4,}"))) > 0).alias("has_number"))
+    """Addresses, transactions, amount by severity and chains in free text; an address inside a hash is none."""
+    text = F.concat(F.lit("Drained: "), evm("c_custkey"), F.lit(" twice, "), evm("c_custkey"), F.lit(" in 0x"), F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256), F.when(F.col("c_custkey") % 3 == 0, " for $120M").when(F.col("c_custkey") % 3 == 1, " for $2.5 million").otherwise(""), F.when(F.col("c_custkey") % 2 == 0, " on Ethereum and Arbitrum.").otherwise("."))
+    return load(spark, sf, "customer").select("c_custkey", X.entities(text).alias("e")).select("c_custkey", F.size("e.addresses").cast("long").alias("n_addresses"), F.get("e.addresses", F.lit(0)).alias("address"), F.get("e.tx_hashes", F.lit(0)).alias("tx_hash"), "e.severity", F.array_join("e.chains", ",").alias("chains"))
 
 
 @query("f22_content_hash", "SELECT doc_id, sha256(source || '|' || lang || '|' || coalesce(text, '')) AS hash FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
