@@ -6,6 +6,7 @@ lost executor costs a read.  Only row counts come to the driver.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -28,15 +29,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, closed: DataF
     """node, depth (int) of what the seeds (column node) reach over edges (src, dst) in max_depth steps
     (None: in any number, until a step reaches nothing new).
     Nodes in closed (node) are reached but not followed."""
-    visited = frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    found = [frontier]  # each step is written once; many are joined to one now and then
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         going = frontier.join(closed.select("node"), "node", "left_anti") if closed is not None else frontier
         reached = edges.join(going.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        visited = reduce(DataFrame.unionByName, found)
         frontier = settle(reached.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        visited = settle(visited.unionByName(frontier))
-    return visited
+        found.append(frontier)
+        if len(found) > 16:
+            found = [settle(reduce(DataFrame.unionByName, found))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def components(edges: DataFrame) -> DataFrame:

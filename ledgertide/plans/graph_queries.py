@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.operators import graph as G
 from ledgertide.operators.aggregates import money
+from ledgertide.operators.joins import swap_outputs
 from ledgertide.operators.subsets import input_subsets
 from ledgertide.plans.domain import L, R, T, high_risk, labels, load, transfers
 from ledgertide.plans.registry import query
@@ -256,3 +257,24 @@ def g26(spark, sf):
     t = transfers(spark, sf)
     both = t.where("usd > 40000").unionByName(t.where("chain = 'A'")).dropDuplicates()
     return both.groupBy("src").agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd"))
+
+
+@query("g7_swap_continuation", f"""WITH RECURSIVE {T}, legs AS (SELECT DISTINCT tx_hash AS tx, log_index AS log, token, src, dst, usd FROM t), k AS (SELECT tx, token, bool_or(log = 1) AS given, sum(usd) AS total, arg_max(dst, (usd, -dst)) AS receiver FROM legs GROUP BY tx, token),
+  r0 AS (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY total DESC, token) AS place FROM k WHERE NOT given AND total > 0), e AS (SELECT DISTINCT l.src, r0.receiver AS dst FROM legs l JOIN r0 USING (tx) WHERE log = 1 AND place = 1), {reach_sql('s_suppkey % 5 = 0', 3)}
+  SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+def g7(spark, sf):
+    """What a traced address swaps goes on at whoever got the swap's output, in three rounds."""
+    legs = transfers(spark, sf).select(F.col("tx_hash").alias("tx"), F.col("log_index").alias("log"), "token", "src", "dst", "usd").distinct()
+    outputs = swap_outputs(legs.withColumnRenamed("dst", "receiver").withColumn("is_input", F.col("log") == 1))
+    swaps = legs.where("log = 1").select("tx", "src").distinct().join(outputs.select("tx", F.col("receiver").alias("dst")), "tx").select("src", "dst").distinct()
+    return G.bfs(G.settle(swaps), _seeds(spark, sf, "s_suppkey % 5 = 0"), 3)
+
+
+@query("g27_multi_chain_pivot", f"""WITH RECURSIVE {T}, e AS (SELECT DISTINCT chain, src, dst FROM t WHERE usd > 10), r AS (SELECT c.chain, s_suppkey AS node, 0 AS depth FROM supplier, (VALUES ('N'), ('R')) c(chain) WHERE s_suppkey = 7 UNION SELECT r.chain, e.dst, depth + 1 FROM r JOIN e ON e.chain = r.chain AND e.src = r.node WHERE depth < 2)
+  SELECT chain, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY chain, node""")
+def g27(spark, sf):
+    """A hub of one chain is traced on every other in one walk, whose nodes carry their chain."""
+    at = lambda c: F.struct("chain", F.col(c).alias("address"))
+    edges = transfers(spark, sf).where(f"usd > {FLOOR}").select(at("src").alias("src"), at("dst").alias("dst")).distinct()
+    hub = load(spark, sf, "supplier").where("s_suppkey = 7").select(F.explode(F.array(F.lit("N"), F.lit("R"))).alias("chain"), F.col("s_suppkey").alias("a")).select(at("a").alias("node"))
+    return G.bfs(edges, hub, 2).select("node.chain", F.col("node.address").alias("node"), "depth")

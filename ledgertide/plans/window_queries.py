@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgertide.functions.expressions import shape_similarity
 from ledgertide.operators import joins as J
 from ledgertide.operators.aggregates import money
 from ledgertide.plans.domain import L, O, R, S, T, high_risk, labels, letters, load, outcomes, snapshots, transfers
@@ -89,11 +90,17 @@ def w11(spark, sf):
 @query("w12_address_poisoning", f"""WITH {T}, o AS (SELECT src AS victim, dst AS known, min(block_time) AS since FROM t GROUP BY ALL), i AS (SELECT dst AS victim, src AS sender, min(block_time) AS seen_at FROM t WHERE usd < 5000 GROUP BY ALL)
   SELECT victim, sender, arg_min(known, (since, known)) AS imitated, count(*) AS n FROM i JOIN o USING (victim) WHERE since < seen_at AND known <> sender AND known % 50 = sender % 50 AND sender NOT IN (SELECT known FROM o x WHERE x.victim = i.victim) GROUP BY ALL""")
 def w12(spark, sf):
+    """Small inflows from an address that looks like one that the victim had paid.  Addresses (whose ends go by the
+    remainder of 50) meet by the ends that a wallet shows, and are then compared."""
     t = transfers(spark, sf)
+    ends = lambda c: F.lpad(F.lower(F.hex(F.col(c) % 50)), 4, "0")
+    address = lambda c: F.concat(F.lit("0x"), ends(c), F.substring(F.sha2(F.col(c).cast("string").cast("binary"), 256), 1, 32), ends(c))
+    shown = lambda c: F.concat(F.substring(c, 3, 4), F.right(F.col(c), F.lit(4)))
     out = t.groupBy(F.col("src").alias("victim"), F.col("dst").alias("known")).agg(F.min("block_time").alias("since"))
     inward = t.where("usd < 5000").groupBy(F.col("dst").alias("victim"), F.col("src").alias("sender")).agg(F.min("block_time").alias("seen_at"))
-    inward = inward.join(out.select("victim", F.col("known").alias("sender")), ["victim", "sender"], "left_anti").withColumn("shape", F.col("sender") % 50)
-    pairs = inward.join(out.withColumn("shape", F.col("known") % 50), ["victim", "shape"]).where("since < seen_at AND known <> sender")
+    inward = inward.join(out.select("victim", F.col("known").alias("sender")), ["victim", "sender"], "left_anti").withColumn("theirs", address("sender")).withColumn("ends", shown("theirs"))
+    pairs = inward.join(out.withColumn("mine", address("known")).withColumn("ends", shown("mine")), ["victim", "ends"])
+    pairs = pairs.where(F.col("since") < F.col("seen_at")).where(shape_similarity(F.col("theirs"), F.col("mine")).between(0.95, 0.9999999))
     return pairs.groupBy("victim", "sender").agg(F.min_by("known", F.struct("since", "known")).alias("imitated"), F.count(F.lit(1)).alias("n"))
 
 

@@ -125,6 +125,23 @@ def write_transfers_csv(transfers: DataFrame, path: str) -> None:
     transfers.select(*(csv_guard(F.col(c)).alias(c) if c in text else F.col(c) for c in transfers.columns)).write.option("header", True).csv(path)
 
 
+def write_cases(transfers: DataFrame, path: str) -> None:
+    """A JSON document a case, with its transfers inside; ``read_cases`` reads it again."""
+    cases = transfers.groupBy("case_id", "seed_address").agg(F.collect_list(F.struct(*(c for c in transfers.columns if c not in ("case_id", "seed_address")))).alias("transfers"))  # a case's own
+    cases.write.json(path)
+
+
+def write_findings(findings: DataFrame, path: str) -> None:
+    """The same rows as CSV and as JSON lines, in two folders."""
+    write_transfers_csv(findings, f"{path}/csv")
+    findings.write.json(f"{path}/json")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Audit rows are only ever added."""
+    rows.write.mode("append").parquet(path)
+
+
 def capped_candidates(new: DataFrame, old: DataFrame, keys: list[str], day: str, order: list, cap: int) -> DataFrame:
     """New candidates, at most ``cap`` a day (the feature's own daily cap)."""
     place = F.row_number().over(Window.partitionBy(day).orderBy(*order))

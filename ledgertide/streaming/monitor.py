@@ -6,7 +6,7 @@ checkpoint folder, so that a run that is stopped goes on where it was.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +73,20 @@ def next_cursors(activities: DataFrame, cursors: DataFrame) -> DataFrame:
     return cursors.join(newest, "address", "left").select("address", F.greatest("cursor_ord", "newest").alias("cursor_ord"))
 
 
+def rescreen(watchlist: DataFrame, known: str, alerts: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step: of the sanctioned addresses in a batch those that the last state (a Parquet folder)
+    doesn't have are joined to the watchlist; alerts are appended, and the state with them.  A batch that
+    runs again finds its own rows known, and adds nothing."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("address").distinct().join(spark.read.parquet(known), "address", "left_anti").persist()
+        new.join(watchlist, "address").withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(alerts)
+        new.write.mode("append").parquet(known)
+        new.unpersist()
+
+    return step
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs what has landed into an in-memory table (for tests and small results)."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

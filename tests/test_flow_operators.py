@@ -128,3 +128,62 @@ def test_cursor_replays_only_what_is_new(spark):
     cursors = spark.createDataFrame([("a", 1), ("b", None)], "address string, cursor_ord int")
     assert [r.tx for r in monitor.after_cursor(activities, cursors).collect()] == ["t2"]
     assert got(monitor.next_cursors(activities, cursors)) == [("a", 2), ("b", 3)]
+
+
+def test_pending_hits_sessions_and_rescreen(spark, tmp_path):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    write_events(folder, [(1, 7, day(0), "click", 1.0), (2, 8, day(0), "click", 1.0)])
+    write_events(folder, [(3, 7, day(1), "click", 1.0), (4, 9, day(1), "click", 1.0)])
+    stream = monitor.landed(spark, str(folder), 1)
+    watched = spark.createDataFrame([(7,), (9,)], "address long")
+    hits = monitor.run_to_files(monitor.pending_hits(stream, watched), str(tmp_path / "hits"), str(tmp_path / "c1"))
+    assert got(hits.select("event_id", "address")) == [(1, 7), (3, 7), (4, 9)]
+    sessions = monitor.run_to_table(monitor.sessions(stream), "sessions", str(tmp_path / "c2"), "complete")
+    assert sorted(r.n for r in sessions.collect()) == [1, 1, 1, 1]
+    known, alerts = str(tmp_path / "known"), str(tmp_path / "alerts")
+    spark.createDataFrame([(8,)], "address long").write.parquet(known)
+    additions = stream.select(F.col("user_id").alias("address"))
+    for _ in range(2):
+        additions.writeStream.foreachBatch(monitor.rescreen(watched, known, alerts)).option("checkpointLocation", str(tmp_path / f"c{_ + 3}")).trigger(availableNow=True).start().awaitTermination()
+    assert got(spark.read.parquet(alerts).select("address")) == [(7,), (9,)]
+    assert got(spark.read.parquet(known)) == [(7,), (8,), (9,)]
+
+
+def test_landing_files_come_back(spark, tmp_path):
+    token = F.struct(F.lit("ethereum").alias("chain"), F.lit("0xc").alias("contract"), F.lit("USDC").alias("symbol"), F.lit(6).alias("decimals"))
+    rows = spark.createDataFrame([("c1", "0xs", "t1", "0xa"), ("c1", "0xs", "t2", "0xb"), ("c2", "0xs", "t3", "=0xa")], "case_id string, seed_address string, transfer_id string, to_address string").withColumn("token", token)
+    landing.write_cases(rows, str(tmp_path / "cases"))
+    back = spark.read.json(str(tmp_path / "cases")).select("case_id", F.explode("transfers").alias("t")).select("case_id", "t.transfer_id", "t.token.symbol")
+    assert got(back) == [("c1", "t1", "USDC"), ("c1", "t2", "USDC"), ("c2", "t3", "USDC")]
+    (tmp_path / "one.json").write_text('{"case_id": "c9", "seed_address": "0xs",\n "transfers": [{"transfer_id": "t", "to_address": "0xb"}]}')
+    assert [(r.case_id, r.transfer_id, r.to_address) for r in landing.read_cases(spark, str(tmp_path / "one.json")).collect()] == [("c9", "t", "0xb")]
+    for name, entries in {"old": '[{"address": "a", "name": "first"}, {"address": "b", "name": "kept"}]', "new": '[{"address": "a", "name": "second"}]'}.items():
+        (tmp_path / f"{name}.json").write_text(entries)
+    assert got(landing.read_labels(spark, [str(tmp_path / "old.json"), str(tmp_path / "new.json")]).select("address", "name")) == [("a", "second"), ("b", "kept")]
+    (tmp_path / "sdn.csv").write_text("address,chain,sdn_entry_name,sdn_entry_id,listing_date,removed_at_utc\n0xa,eth,N,1,2020,\n")
+    assert landing.read_sanctions(spark, str(tmp_path / "sdn.csv")).first()[:3] == ("0xa", "eth", "N")
+    (tmp_path / "sdn.xml").write_text("<list><sdnEntry><uid>5</uid><lastName>X</lastName><idList><id><idType>Digital Currency Address - XBT</idType><idNumber>1A</idNumber></id><id><idType>Passport</idType><idNumber>9</idNumber></id></idList></sdnEntry></list>")
+    assert got(landing.read_sanctions_xml(spark, str(tmp_path / "sdn.xml"))) == [("1A", "XBT", "X", "5")]
+    landing.write_findings(rows.drop("token"), str(tmp_path / "findings"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "findings/csv")).where("transfer_id = 't3'").first().to_address == "'=0xa"
+    assert spark.read.json(str(tmp_path / "findings/json")).count() == 3
+    for _ in range(2):
+        landing.append_log(rows.drop("token"), str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 6
+
+
+def test_value_bands_lose_no_pair(spark):
+    values = [round(1.013**k, 4) for k in range(400)] + [0.0]
+    left = spark.createDataFrame([(1, day(0), v) for v in values], "k int, lt timestamp_ntz, l double")
+    right = spark.createDataFrame([(1, day(1), v) for v in values], "k int, rt timestamp_ntz, r double")
+    near = lambda df: got(df.where("l > 0 AND abs(r - l) <= 0.05 * l").select("l", "r"))
+    assert near(J.within(left, right, ["k"], "lt", "rt", 2, ("l", "r", 5))) == near(J.within(left, right, ["k"], "lt", "rt", 2))
+
+
+def test_checksums():
+    from ledgertide.functions import checksums as K
+
+    assert K.sound("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4") and not K.sound("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5")
+    assert K.base58_payload("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa")[0] == 0 and K.base58_payload("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb") is None
+    assert K.bech32_constant("A12UEL5L") == 1 and K.bech32_constant("a1lqfn3a") == K.BECH32M and K.bech32_constant("A12uEL5L") is None
