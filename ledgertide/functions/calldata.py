@@ -23,9 +23,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def clean(calldata: Column) -> Column:
     """Trimmed, in lower case, with 0x; null unless it is a selector and hexadecimal digits."""
-    data = F.lower(F.trim(calldata))
-    data = F.when(F.startswith(data, F.lit("0x")), data).otherwise(F.concat(F.lit("0x"), data))
-    return F.when(data.rlike("^0x[0-9a-f]{8,}$"), data)
+    bare = F.regexp_replace(F.lower(F.trim(calldata)), "^0x", "")
+    return F.concat(F.lit("0x"), F.nullif(F.regexp_extract(bare, "^[0-9a-f]{8,}$", 0), F.lit("")))
 
 
 def selector(data: Column) -> Column:
@@ -187,13 +186,16 @@ SAFE_CALLS = {
 
 def safe_change(calldata: Column) -> Column:
     """struct(method, prev_owner, old_owner, new_owner, threshold), null for other calls."""
-    data = clean(calldata)
-    out = F.lit(None)
-    for code, (method, *owners, threshold) in SAFE_CALLS.items():
-        fields = [(F.lit(None).cast("string") if s is None else as_address(word(data, s))).alias(n) for n, s in zip(("prev_owner", "old_owner", "new_owner"), owners, strict=True)]
-        number = (F.lit(None).cast("long") if threshold is None else as_small(word(data, threshold))).alias("threshold")
-        out = F.when(selector(data) == code, F.struct(F.lit(method).alias("method"), *fields, number)).otherwise(out)
-    return out
+
+    def read(data: Column) -> Column:
+        out = F.lit(None)
+        for code, (method, *owners, threshold) in SAFE_CALLS.items():
+            fields = [(F.lit(None).cast("string") if s is None else as_address(word(data, s))).alias(n) for n, s in zip(("prev_owner", "old_owner", "new_owner"), owners, strict=True)]
+            number = (F.lit(None).cast("long") if threshold is None else as_small(word(data, threshold))).alias("threshold")
+            out = F.when(selector(data) == code, F.struct(F.lit(method).alias("method"), *fields, number)).otherwise(out)
+        return out
+
+    return let(clean(calldata), read)
 
 
 #: Selectors of deposit, submit, wrap; and of withdraw, unwrap.
@@ -204,11 +206,13 @@ UNWRAPS = ("0x2e1a7d4d", "0xde0e9a3e")
 def wrap_event(calldata: Column, value: Column) -> Column:
     """struct(direction, amount DECIMAL) of a call to a wrapper contract: a wrap's amount is the value
     sent, or else the first word; an unwrap's is the first word.  Null without an amount."""
-    data = clean(calldata)
-    said = as_number(word(data, 0))
-    wrap, unwrap = selector(data).isin(*WRAPS), selector(data).isin(*UNWRAPS)
-    amount = F.when(wrap & (value > 0), value.cast(NUMBER)).when(wrap | unwrap, said)
-    return F.when(amount > 0, F.struct(F.when(wrap, "wrap").otherwise("unwrap").alias("direction"), amount.alias("amount")))
+
+    def read(data: Column) -> Column:
+        wrap, unwrap = selector(data).isin(*WRAPS), selector(data).isin(*UNWRAPS)
+        amount = F.when(wrap & (value > 0), value.cast(NUMBER)).when(wrap | unwrap, as_number(word(data, 0)))
+        return let(amount, lambda n: F.when(n > 0, F.struct(F.when(wrap, "wrap").otherwise("unwrap").alias("direction"), n.alias("amount"))))
+
+    return let(clean(calldata), read)
 
 
 #: Entry points and selectors of bundled operations.
@@ -218,8 +222,9 @@ MOST_OPS = 1024
 
 
 def _word_at(data: Column, byte: Column) -> Column:
-    """The word that begins so many bytes after the selector."""
-    at = F.substring(data, (11 + 2 * byte).cast("int"), F.lit(64))
+    """The word that begins so many bytes after the selector; data: the digits as bytes, of which a part is
+    found without walking over all before it."""
+    at = F.substring(data, (11 + 2 * byte).cast("int"), F.lit(64)).cast("string")
     return F.when(F.length(at) == 64, at)
 
 
@@ -234,7 +239,7 @@ def user_operations(to: Column, calldata: Column) -> Column:
         def one(i: Column) -> Column:
             def body(at: Column) -> Column:
                 size = as_small(_word_at(data, at["inner"]))
-                return let(F.struct(at["base"].alias("base"), F.substring(data, (75 + 2 * at["inner"]).cast("int"), (2 * size).cast("int")).alias("body"), size.alias("size")), lambda y: F.struct(
+                return let(F.struct(at["base"].alias("base"), F.substring(data, (75 + 2 * at["inner"]).cast("int"), (2 * size).cast("int")).cast("string").alias("body"), size.alias("size")), lambda y: F.struct(
                     i.cast("int").alias("index"), as_address(_word_at(data, y["base"])).alias("sender"), F.when(F.length(y["body"]) == 2 * y["size"], F.concat(F.lit("0x"), y["body"])).alias("call")))
 
             base = begin + 32 + as_small(_word_at(data, begin + 32 + 32 * i))
@@ -244,7 +249,7 @@ def user_operations(to: Column, calldata: Column) -> Column:
 
     def checked(data: Column) -> Column:
         valid = F.lower(F.trim(to)).isin(*ENTRY_POINTS) & (selector(data) == HANDLE_OPS)
-        return F.when(valid, let(F.struct(data.alias("data"), as_small(word(data, 0)).alias("begin")), of))
+        return F.when(valid, let(F.struct(data.cast("binary").alias("data"), as_small(word(data, 0)).alias("begin")), of))
 
     return F.coalesce(let(clean(calldata), checked), F.array().cast(kind))
 

@@ -85,8 +85,10 @@ def f12(spark, sf):
     at = [96, 96 + sizes[0], 96 + sizes[0] + sizes[1]]
     bundle = F.concat(F.lit("0x1fad948c"), word(F.lit(64)), word(F.lit(9)), word(F.lit(3)), *(word(F.lit(a)) for a in at), *ops)
     to = F.when(F.col("o_orderkey") % 5 == 0, F.lit("0x" + "12" * 20)).otherwise(F.lit(C.ENTRY_POINTS[0]))
-    found = load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), F.explode(C.user_operations(to, bundle)).alias("op"))
-    return found.select("tx", "op.index", C.inner_transfer(F.col("op.sender"), F.col("op.call")).alias("t")).where("t IS NOT NULL").select("tx", "index", "t.*")
+    calls = load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), to.alias("to"), bundle.alias("calldata"))
+    found = calls.select("tx", F.explode(C.user_operations(F.col("to"), F.col("calldata"))).alias("op"))
+    moved = found.select("tx", "op.index", F.explode(F.array(C.inner_transfer(F.col("op.sender"), F.col("op.call")))).alias("t"))
+    return moved.where("t IS NOT NULL").select("tx", "index", "t.*")
 
 
 @query("f13_safe_owner_changes", f"""SELECT o_orderkey, ['swapOwner', 'addOwnerWithThreshold', 'removeOwner', 'changeThreshold'][o_orderkey % 5 + 1] AS method, CASE WHEN o_orderkey % 5 IN (0, 2) THEN '0x' || {HEX40.format('o_custkey + 1')} END AS prev_owner,
@@ -97,7 +99,8 @@ def f13(spark, sf):
     three = word(F.lit(3))
     made = [call("0xe318b52b", a, b, c), call("0x0d582f13", a, three), call("0xf8dc5dd9", a, b, three), call("0x694e80c3", a), call("0xa9059cbb", a, b)]
     rows = load(spark, sf, "orders").withColumn("turn", F.col("o_orderkey") % 5)
-    return rows.select("o_orderkey", C.safe_change(by_turn("turn", made)).alias("s")).where("s IS NOT NULL").select("o_orderkey", "s.*")
+    calls = rows.select("o_orderkey", by_turn("turn", made).alias("calldata"))
+    return calls.select("o_orderkey", F.explode(F.array(C.safe_change(F.col("calldata")))).alias("s")).where("s IS NOT NULL").select("o_orderkey", "s.*")
 
 
 @query("f14_wrap_events", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'unwrap' ELSE 'wrap' END AS direction, CAST(CASE o_orderkey % 4 WHEN 1 THEN o_custkey + 1 ELSE o_custkey * 2 + 1 END AS DECIMAL(38,0)) AS amount, CASE WHEN o_orderkey % 4 = 3 THEN 'WETH' ELSE 'ETH' END AS spent
@@ -108,7 +111,7 @@ def f14(spark, sf):
     n = word(F.col("o_custkey") * 2 + 1)
     made = by_turn("turn", [call("0xa9059cbb", n, n), F.lit("0xd0e30db0"), call("0xea598cb0", n), call("0x2e1a7d4d", n)])
     value = F.when(F.col("turn") == 1, F.col("o_custkey") + 1).otherwise(F.lit(0))
-    found = rows.join(F.broadcast(wrappers), "wrapper").select("o_orderkey", "native", "wrapped", C.wrap_event(made, value).alias("w")).where("w IS NOT NULL")
+    found = rows.join(F.broadcast(wrappers), "wrapper").select("o_orderkey", "native", "wrapped", F.explode(F.array(C.wrap_event(made, value))).alias("w")).where("w IS NOT NULL")
     return found.select("o_orderkey", "w.direction", "w.amount", F.when(F.col("w.direction") == "wrap", F.col("native")).otherwise(F.col("wrapped")).alias("spent"))
 
 
