@@ -100,15 +100,29 @@ def issuer_priors(letters: DataFrame, strongest: DataFrame, wins: tuple[str, ...
     return joined.groupBy("issuer", "tier").agg(n.alias("n"), won.alias("wins"), F.round((won + alpha) / (n + alpha + beta), 9).alias("posterior"), F.round(F.avg(hours), 6).alias("mean_hours"), F.median(hours).alias("median_hours"))
 
 
-def trimmed(values: DataFrame, group: list[str], value: str, least: int, share: int = 10) -> DataFrame:
+def trimmed(values: DataFrame, group: list[str], value: str, least: int, share: int = 10, cells: int = 256) -> DataFrame:
     """Mean and median without the n // share smallest and largest (one at least) of each group; plain
-    below least values."""
-    by = Window.partitionBy(*group)
-    # only the bounds of the rows to keep are needed, so ties can stand in any order
-    placed = values.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy(value)))
+    below least values.  Nulls are no values.
+
+    A group's distinct values are ranked cell by cell; the cells' bounds are approximate
+    quantiles, so that no group is one task, and the ranks are exact.
+    """
+    filled = values.where(F.col(value).isNotNull())
+    bounds = filled.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [k / cells for k in range(1, cells)], 100 * cells).alias("bounds"))
+    tied = filled.groupBy(*group, value).agg(F.count(F.lit(1)).alias("times")).join(bounds, group)
+    tied = tied.withColumn("cell", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
+    before = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tied.groupBy(*group, "cell").agg(F.sum("times").alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
+    inside = Window.partitionBy(*group, "cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = tied.withColumn("upto", F.sum("times").over(inside)).join(starts, [*group, "cell"])
+    low, high = F.col("start") + F.col("upto") - F.col("times"), F.col("start") + F.col("upto")
     cut = F.when(F.col("n") < least, 0).otherwise(F.greatest(F.floor(F.col("n") / share), F.lit(1)))
-    kept = placed.where((F.col("place") > cut) & (F.col("place") <= F.col("n") - cut))
-    return kept.groupBy(*group, "n").agg(F.round(F.avg(value), 6).alias("trimmed_mean"), F.round(F.median(value), 6).alias("trimmed_median"))
+    kept = F.least(high, F.col("n") - cut) - F.greatest(low, cut)
+    at = lambda place: F.max(F.when((low < place) & (place <= high), F.col(value)))
+    # both ends lose as many, so the middle stays where it is
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    mean = F.sum(F.when(kept > 0, F.col(value) * kept)) / F.sum(F.when(kept > 0, kept))
+    return placed.groupBy(*group, "n").agg(F.round(mean, 6).alias("trimmed_mean"), F.round(middle, 6).alias("trimmed_median")).where("trimmed_mean IS NOT NULL")
 
 
 def win_interval(letters_outcomes: DataFrame, wins: tuple[str, ...]) -> DataFrame:

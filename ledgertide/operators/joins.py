@@ -89,6 +89,26 @@ def two_sided_exposure(transfers: DataFrame, high_risk: DataFrame) -> DataFrame:
     return out.unionByName(inflow)
 
 
+def next_spend(outputs: DataFrame, spends: DataFrame) -> DataFrame:
+    """outputs (account, at and others) with column ``next``: tx of the account's first spend (account,
+    at, tx) at that time or later, the smallest of one time; null where none follows.
+
+    An account's rows are dealt over months, so that a busy one isn't one task; what follows
+    a month is carried back to it in a table of a row for each account and month.
+    """
+    month = F.trunc("at", "month")
+    uses = spends.groupBy("account", "at").agg(F.min("tx").alias("tx")).withColumn("month", month)
+    rows = outputs.withColumn("month", month).withColumn("use", F.lit(False))
+    first = uses.groupBy("account", "month").agg(F.min_by("tx", "at").alias("first"))
+    months = rows.select("account", "month").distinct().join(first, ["account", "month"], "full")
+    back = Window.partitionBy("account").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select("account", "month", F.last("first", ignorenulls=True).over(back).alias("later"))
+    here = Window.partitionBy("account", "month").orderBy(F.desc("at"), F.desc("use")).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(uses.withColumn("use", F.lit(True)), allowMissingColumns=True)
+    placed = both.withColumn("soon", F.last("tx", ignorenulls=True).over(here)).where("NOT use")
+    return placed.join(months, ["account", "month"], "left").select(*outputs.columns, F.coalesce("soon", "later").alias("next"))
+
+
 LEG = ["time", "tx", "log", "token", "dst"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.operators import graph as G
 from ledgertide.operators.aggregates import money
-from ledgertide.operators.joins import swap_outputs
+from ledgertide.operators.joins import next_spend, swap_outputs
 from ledgertide.operators.subsets import input_subsets
 from ledgertide.plans.domain import L, R, T, high_risk, labels, load, transfers
 from ledgertide.plans.registry import query
@@ -198,13 +198,18 @@ def g19(spark, sf):
     return G.label_exposure(pairs, _seeds(spark, sf, "s_suppkey % 9 = 0"), high_risk(spark, sf).select(F.col("address").alias("node")), HOPS)
 
 
-@query("g20_peel_chains", f"""WITH RECURSIVE {T}, p AS (SELECT src % 400 AS src, dst, sum(usd) AS usd FROM t WHERE usd > 97000 GROUP BY ALL),
-  l AS (SELECT src, arg_max(dst, (usd, -dst)) AS dst FROM p GROUP BY src HAVING count(*) >= 2 AND max(usd) * 100 >= sum(usd) * 30),
+@query("g20_peel_chains", f"""WITH RECURSIVE {T}, s AS (SELECT o_custkey AS account, o_orderdate AS at, min(o_orderkey) AS tx FROM orders GROUP BY ALL),
+  p AS (SELECT t.tx_hash AS src, coalesce(s.tx, -t.dst) AS dst, sum(usd) AS usd FROM t ASOF LEFT JOIN s ON t.dst = s.account AND t.block_time <= s.at WHERE usd > 10 AND t.tx_hash <> coalesce(s.tx, -t.dst) GROUP BY ALL),
+  l AS (SELECT src, arg_max(dst, (usd, -dst)) AS dst FROM p GROUP BY src HAVING count(*) >= 2 AND max(usd) * 100 >= sum(usd) * 60),
   w AS (SELECT src AS head, dst AS tail, 1 AS hops, [src, dst] AS path FROM l WHERE src NOT IN (SELECT dst FROM l) UNION ALL SELECT head, l.dst, hops + 1, list_append(path, l.dst) FROM w JOIN l ON l.src = w.tail WHERE NOT list_contains(path, l.dst)),
   m AS (SELECT head, arg_max(tail, hops) AS tail, max(hops) AS hops FROM w GROUP BY head) SELECT head, tail, CAST(hops AS INTEGER) AS hops, CASE WHEN hops >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM m WHERE hops >= 3""")
 def g20(spark, sf):
-    edges = transfers(spark, sf).where("usd > 97000").select((F.col("src") % 400).alias("src"), "dst", "usd")
-    return G.peel_chains(G.peel_links(edges, 30), 3, 5)
+    """Chains of transactions: a transfer leads to the next transaction of its receiver, who keeps it
+    (a node of minus the account) where none follows."""
+    outputs = transfers(spark, sf).where(f"usd > {FLOOR}").select(F.col("tx_hash").alias("src"), F.col("dst").alias("account"), F.col("block_time").alias("at"), "usd")
+    spends = load(spark, sf, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("tx"))
+    edges = next_spend(outputs, spends).select("src", F.coalesce("next", -F.col("account")).alias("dst"), "usd").where("src <> dst")
+    return G.peel_chains(G.peel_links(edges, 60), 3, 5)
 
 
 @query("g21_operator_graph", f"""WITH {T}, {R}, n AS (SELECT node, sum(usd) AS usd FROM (SELECT src AS node, usd FROM t UNION ALL SELECT dst, usd FROM t) GROUP BY node), k AS (SELECT *, row_number() OVER (ORDER BY usd DESC, node) AS place, count(*) OVER () AS c FROM n)
