@@ -12,6 +12,8 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgertide.operators.joins import split_legs, value_matches
+
 
 def settle(df: DataFrame) -> DataFrame:
     """df, checkpointed under spark.checkpoint.dir.  Where that is unset, local mode takes a temporary
@@ -127,6 +129,42 @@ def decayed_exposure(edges: DataFrame, sources: DataFrame, decay: float, hops: i
     return best.drop("path")
 
 
+def _side(legs: DataFrame, side: str, node: str, other: str) -> DataFrame:
+    """legs as seen from their node, the other columns prefixed."""
+    return legs.select(F.col(node).alias("node"), F.col(other).alias(f"{side}_{other}"), *(F.col(c).alias(f"{side}_{c}") for c in ("tx", "log", "token", "time", "symbol", "amt", "usd")))
+
+
+def value_frontier(legs: DataFrame, seeds: DataFrame, service: DataFrame, rounds: int, days: int, percent: int, split_percent: int, most: int) -> DataFrame:
+    """node, depth (int), way: where the money of the seeds (node) goes over distinct legs (src, dst, tx,
+    log, token, time, symbol, amt, usd).
+
+    Seeds, and nodes that aren't in service (node), pass on all their outflows.  From a
+    service node only the outflows go on that match an inflow by which it was reached, and
+    where none does, the legs of that inflow's split.  A node is entered once, by all legs
+    of its round; way is seed, or the first of all, match and split that led to it.
+    """
+    keys, onward = ["node", "i_tx", "i_log", "i_token", "i_src"], ["node", "o_tx", "o_log", "o_token", "o_dst"]
+    found = settle(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit("seed").alias("way")))
+    open_nodes, arrived = found.select("node"), None
+    for depth in range(1, rounds + 1):
+        going = legs.join(open_nodes.select(F.col("node").alias("src")), "src", "left_semi").withColumn("way", F.lit("all"))
+        if arrived is not None:
+            inbound = settle(_side(arrived.drop("way").distinct(), "i", "dst", "src").join(service.select("node"), "node", "left_semi"))
+            outbound = _side(legs, "o", "src", "dst").join(inbound.select("node"), "node", "left_semi")
+            matches = settle(value_matches(inbound, outbound, days, percent))
+            splits = split_legs(inbound.join(matches, keys, "left_anti"), outbound, days, split_percent, most)
+            chosen = matches.select(*onward, F.lit("match").alias("way")).unionByName(splits.select(*onward, F.lit("split").alias("way"))).distinct()
+            chosen = chosen.toDF("src", "tx", "log", "token", "dst", "way")
+            going = going.unionByName(legs.join(chosen, ["src", "tx", "log", "token", "dst"]).select(*going.columns))
+        arrived = settle(going.join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select(*going.columns))
+        if arrived.isEmpty():
+            break
+        reached = arrived.groupBy(F.col("dst").alias("node")).agg(F.lit(depth).alias("depth"), F.min("way").alias("way"))
+        found = settle(found.unionByName(reached.select("node", "depth", "way")))
+        open_nodes = arrived.select(F.col("dst").alias("node")).distinct().join(service.select("node"), "node", "left_anti")
+    return found
+
+
 def label_exposure(edges: DataFrame, victims: DataFrame, risky: DataFrame, hop_weights: list[float]) -> DataFrame:
     """victim, exposure: over the steps from each victim (node), the hop's weight times the value of
     edges into risky nodes, of the victim's own outflow.  A node is visited once a hop."""

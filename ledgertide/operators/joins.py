@@ -131,17 +131,22 @@ def value_matches(inbound: DataFrame, outbound: DataFrame, days: int, percent: i
     return best.select("node", "i_tx", "i_log", "i_token", "i_src", "o_tx", "o_log", "o_token", "o_dst", "same", F.col("ppm").cast("long").alias("ppm"), "place", "n", F.when(sure, "medium").otherwise("low").alias("confidence"), (F.col("n") > 1).alias("ambiguous"))
 
 
-def split_matches(inbound: DataFrame, outbound: DataFrame, days: int, percent: int, most: int) -> DataFrame:
+def split_legs(inbound: DataFrame, outbound: DataFrame, days: int, percent: int, most: int) -> DataFrame:
     """The largest outflows after an inflow, taken until their sum reaches percent below it: a
-    split if the sum is then within percent of it and two to ``most`` legs make it."""
+    split if the sum (``total``) is then within percent of it and two to ``most`` legs make it."""
     pairs = within(inbound, outbound, ["node"], "i_time", "o_time", days).where("days > 0 AND i_tx <> o_tx AND o_usd <= i_usd")
-    each = ["node", "i_tx", "i_log", "i_token", "i_src", "i_time", "i_usd"]
-    by = Window.partitionBy(*each).orderBy(F.desc("o_usd"), "o_time", "o_tx", "o_log", "o_token", "o_dst").rowsBetween(Window.unboundedPreceding, 0)
-    running = pairs.withColumn("running", F.sum("o_usd").over(by))
+    all_of = Window.partitionBy("node", "i_tx", "i_log", "i_token", "i_src", "i_time", "i_usd")
+    running = F.sum("o_usd").over(all_of.orderBy(F.desc("o_usd"), "o_time", "o_tx", "o_log", "o_token", "o_dst").rowsBetween(Window.unboundedPreceding, 0))
     low, high = F.col("i_usd") * (100 - percent), F.col("i_usd") * (100 + percent)
-    taken = running.where((F.col("running") - F.col("o_usd")) * 100 < low)
-    found = taken.groupBy(*each).agg(F.count(F.lit(1)).alias("legs"), F.max("running").alias("total"))
-    return found.where((F.col("legs") >= 2) & (F.col("legs") <= most) & (F.col("total") * 100 >= low) & (F.col("total") * 100 <= high)).select("node", "i_tx", "i_log", "i_token", "i_src", "legs", F.col("total").cast("double").alias("usd"))
+    taken = pairs.withColumn("running", running).where((F.col("running") - F.col("o_usd")) * 100 < low)
+    taken = taken.withColumn("legs", F.count(F.lit(1)).over(all_of)).withColumn("total", F.max("running").over(all_of))
+    return taken.where((F.col("legs") >= 2) & (F.col("legs") <= most) & (F.col("total") * 100 >= low) & (F.col("total") * 100 <= high))
+
+
+def split_matches(inbound: DataFrame, outbound: DataFrame, days: int, percent: int, most: int) -> DataFrame:
+    """The splits of ``split_legs``, a row for each inflow."""
+    found = split_legs(inbound, outbound, days, percent, most).select("node", "i_tx", "i_log", "i_token", "i_src", "i_time", "i_usd", "legs", "total").distinct()
+    return found.select("node", "i_tx", "i_log", "i_token", "i_src", "legs", F.col("total").cast("double").alias("usd"))
 
 
 def bridge_matches(deposits: DataFrame, withdrawals: DataFrame, days: int, percent: int, near_ppm: int = 1000) -> DataFrame:

@@ -57,6 +57,31 @@ def g4(spark, sf):
     return found.select("dst", (-F.coalesce("big.t", "unpriced.t", "priced.t")).alias("followed"), (-F.col("unpriced.t")).alias("also"))
 
 
+def frontier_sql(h: int) -> str:
+    """CTEs of round h > 1: pairs, matches, splits, followed legs, arrivals, nodes so far."""
+    each, out = "node, i_tx, i_log, i_token, i_src, i_time, i_usd", "node AS src, o_dst AS dst, o_tx AS tx, o_log AS log, o_token AS token, o_time AS time, o_symbol AS symbol, o_amt AS amt, o_usd AS usd"
+    ppm = "CAST(floor(abs(CAST(o.{0} - i.{0} AS DOUBLE)) * 1000000 / CAST(i.{0} AS DOUBLE)) AS BIGINT)"
+    return f"""i{h} AS (SELECT DISTINCT src, dst, tx, log, token, time, symbol, amt, usd FROM a{h - 1} WHERE dst IN (SELECT node FROM service)),
+  p{h} AS (SELECT i.dst AS node, i.src AS i_src, i.tx AS i_tx, i.log AS i_log, i.token AS i_token, i.time AS i_time, i.usd AS i_usd, o.dst AS o_dst, o.tx AS o_tx, o.log AS o_log, o.token AS o_token, o.time AS o_time, o.symbol AS o_symbol, o.amt AS o_amt, o.usd AS o_usd,
+    i.symbol = o.symbol AS same, CASE WHEN i.symbol = o.symbol THEN {ppm.format("amt")} ELSE {ppm.format("usd")} END AS ppm FROM i{h} i JOIN g o ON o.src = i.dst AND date_diff('day', i.time, o.time) BETWEEN 1 AND 30 AND i.tx <> o.tx),
+  m{h} AS (SELECT * FROM p{h} WHERE ppm <= 20000 QUALIFY row_number() OVER (PARTITION BY {each} ORDER BY same DESC, ppm, o_time, o_tx, o_log, o_token, o_dst, o_usd) <= 3),
+  x{h} AS (SELECT *, sum(o_usd) OVER (PARTITION BY {each} ORDER BY o_usd DESC, o_time, o_tx, o_log, o_token, o_dst ROWS UNBOUNDED PRECEDING) AS running FROM p{h} p WHERE o_usd <= i_usd
+    AND NOT EXISTS (SELECT 1 FROM m{h} m WHERE m.node = p.node AND m.i_tx = p.i_tx AND m.i_log = p.i_log AND m.i_token = p.i_token AND m.i_src = p.i_src)),
+  y{h} AS (SELECT *, count(*) OVER w AS legs, max(running) OVER w AS total FROM x{h} WHERE (running - o_usd) * 100 < i_usd * 90 WINDOW w AS (PARTITION BY {each})),
+  f{h} AS (SELECT *, 'all' AS way FROM g WHERE src IN (SELECT dst FROM a{h - 1}) AND src NOT IN (SELECT node FROM service) UNION SELECT {out}, 'match' FROM m{h} UNION SELECT {out}, 'split' FROM y{h} WHERE legs BETWEEN 2 AND 8 AND total * 100 BETWEEN i_usd * 90 AND i_usd * 110),
+  a{h} AS (SELECT * FROM f{h} WHERE dst NOT IN (SELECT node FROM v{h - 1})), v{h} AS (SELECT * FROM v{h - 1} UNION ALL SELECT dst, {h}, min(way) FROM a{h} GROUP BY dst)"""
+
+
+@query("g5_value_frontier", f"""WITH {T}, g AS (SELECT DISTINCT src, dst, tx_hash AS tx, log_index AS log, token, block_time AS time, token % 5 AS symbol, amt, usd FROM t WHERE usd > 10), service AS (SELECT src AS node FROM t GROUP BY src HAVING count(*) > 30),
+  v0 AS (SELECT DISTINCT s_suppkey AS node, 0 AS depth, 'seed' AS way FROM supplier WHERE s_suppkey % 17 = 0), a1 AS (SELECT *, 'all' AS way FROM g WHERE src IN (SELECT node FROM v0) AND dst NOT IN (SELECT node FROM v0)), v1 AS (SELECT * FROM v0 UNION ALL SELECT dst, 1, min(way) FROM a1 GROUP BY dst),
+  {", ".join(frontier_sql(h) for h in (2, 3))} SELECT node, CAST(depth AS INTEGER) AS depth, way FROM v3""")
+def g5(spark, sf):
+    flows = transfers(spark, sf)
+    legs = flows.where(f"usd > {FLOOR}").selectExpr("src", "dst", "tx_hash AS tx", "log_index AS log", "token", "block_time AS time", "token % 5 AS symbol", "amt", "usd").distinct()
+    service = flows.groupBy(F.col("src").alias("node")).count().where("count > 30").select("node")
+    return G.value_frontier(G.settle(legs), _seeds(spark, sf, "s_suppkey % 17 = 0"), G.settle(service), 3, 30, 2, 10, 8)
+
+
 @query("g6_terminals", f"""WITH {T}, {L}, m AS (SELECT address, true AS labelled FROM labels) SELECT src, dst, token, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd, dst % 50 = 0 AS burn
   FROM t LEFT JOIN m ON dst = address WHERE coalesce(labelled, false) OR dst % 50 = 0 GROUP BY src, dst, token""")
 def g6(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import statistics
 from itertools import combinations
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgertide.functions import expressions as X
+from ledgertide.operators import aggregates as A
 from ledgertide.operators import graph as G
 from ledgertide.operators import joins as J
 from ledgertide.operators.subsets import input_subsets, subsets
@@ -187,3 +189,33 @@ def test_checksums():
     assert K.sound("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4") and not K.sound("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5")
     assert K.base58_payload("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa")[0] == 0 and K.base58_payload("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb") is None
     assert K.bech32_constant("A12UEL5L") == 1 and K.bech32_constant("a1lqfn3a") == K.BECH32M and K.bech32_constant("A12uEL5L") is None
+
+
+def test_value_frontier_follows_matches_and_splits_at_services(spark):
+    """1 pays services 2 and 3 and the plain node 4; 2 passes the amount on, 3 splits it, both hold other outflows."""
+    columns = "src int, dst int, tx int, log int, token int, time date, symbol int, amt int, usd int"
+    day = lambda d: datetime.date(2020, 1, d)
+    flows = [(1, 2, 1, 1, 1, 1, 100), (1, 3, 2, 1, 1, 1, 100), (1, 4, 3, 1, 1, 1, 7), (2, 5, 4, 1, 1, 2, 99), (2, 6, 5, 1, 1, 2, 50), (3, 7, 6, 1, 1, 3, 60), (3, 8, 7, 1, 1, 3, 40), (3, 9, 8, 1, 1, 3, 20), (4, 10, 9, 1, 1, 4, 900), (2, 11, 10, 1, 1, 1, 100)]
+    legs = spark.createDataFrame([(a, b, tx, log, token, day(d), 1, v, v) for a, b, tx, log, token, d, v in flows], columns)
+    nodes = lambda *n: spark.createDataFrame([(x,) for x in n], "node int")
+    found = G.value_frontier(legs, nodes(1), nodes(2, 3), 3, 30, 2, 10, 8)
+    assert got(found) == [(1, 0, "seed"), (2, 1, "all"), (3, 1, "all"), (4, 1, "all"), (5, 2, "match"), (7, 2, "split"), (8, 2, "split"), (10, 2, "all")]
+
+
+def test_next_spend_crosses_months_and_takes_the_same_moment(spark):
+    day = lambda m, d: datetime.date(2020, m, d)
+    outputs = spark.createDataFrame([("a", day(1, 5)), ("a", day(1, 20)), ("a", day(4, 1)), ("a", day(9, 2)), ("b", day(1, 1))], "account string, at date")
+    spends = spark.createDataFrame([("a", day(1, 5), 9), ("a", day(1, 5), 8), ("a", day(1, 10), 1), ("a", day(6, 1), 2), ("a", day(6, 30), 3), ("c", day(1, 1), 4)], "account string, at date, tx int")
+    assert {(r.account, r.at.month, r.at.day): r.next for r in J.next_spend(outputs, spends).collect()} == {("a", 1, 5): 8, ("a", 1, 20): 2, ("a", 4, 1): 2, ("a", 9, 2): None, ("b", 1, 1): None}
+
+
+def test_trimmed_ranks_agree_with_sorting(spark):
+    values = {"ties": [1.0] * 500 + [2.0, 3.0], "spread": [float(i * i % 997) for i in range(700)], "few": [4.0, 1.0], "five": [5.0, 1.0, 9.0, 2.0, 2.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("few", None), ("none", None)], "g string, v double")
+    for cells in (2, 256):
+        found = {r.g: (r.n, r.trimmed_mean, r.trimmed_median) for r in A.trimmed(rows, ["g"], "v", 5, cells=cells).collect()}
+        for g, vs in values.items():
+            cut = 0 if len(vs) < 5 else max(len(vs) // 10, 1)
+            kept = sorted(vs)[cut : len(vs) - cut]
+            assert found[g] == (len(vs), round(statistics.fmean(kept), 6), round(statistics.median(kept), 6))
+        assert set(found) == set(values)
