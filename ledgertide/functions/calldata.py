@@ -336,3 +336,36 @@ def ibc_sends(events: Column, zone: Column) -> Column:
 
     sent = F.transform(parsed, one)
     return F.filter(sent, lambda s: (s["port"] == "transfer") & (s["sender"] != "") & (s["receiver"] != "") & (s["denom"] != "") & s["amount"].rlike(r"^0*[1-9]\d*$"))
+
+
+# Logs by which value is parked in a position and leaves it.  Kind, role, topic, the words
+# that name the position, the receiver and the amounts; t1 is the first topic after the event's, d0 the first word of data.
+POSITION_EVENTS = [
+    ("lp", "park", "0x3067048beee31b25b2f1681f88dac838c8bba36af25bfb2b7cf7473a5847e35f", ["t1"], None, ["d1", "d2"]),
+    ("lp", "exit", "0x40d0efd1a53d60ecbf40971b9daf7dc90178c3aadc7aab1765632738fa8b8f01", ["t1"], "d0", ["d1", "d2"]),
+    ("lending", "park", "0x2b627736bca15cd5381dcf80b0bf11fd197d01a037c52b927a881a10fb73ba61", ["t1", "t2"], None, ["d1"]),
+    ("lending", "exit", "0x3115d1449a7b732c986cba18244e897a450f61e1bb8d589cd2e69e6c8924f9f7", ["t1", "t2"], "t3", ["d0"]),
+    ("vault", "park", "0xdcbc1c05240f31ff3ad067ef1ee35ce4997762752e3a095284754544f4c709d7", ["t2"], None, ["d0"]),
+    ("vault", "exit", "0xfbde797d201c681b91056529119e0b02407c7bb96a4a2c75c01fc9667232c8db", ["t3"], "t2", ["d0"]),
+]
+
+
+def position_events(logs: DataFrame, managers: list[str]) -> DataFrame:
+    """chain, contract, block, tx, log, kind, role, position, recipient, amount0, amount1 of the logs
+    (chain, contract, block, tx, log, topics, data) that park value or take it out.
+
+    Liquidity positions count only at the managers' contracts, whose numbers are theirs alone.
+    Other logs, and those without the words that name a position, are left out.
+    """
+    data = F.concat(F.lit("0x" + "0" * 8), F.regexp_replace(F.lower("data"), "^0x", ""))  # as a call, which has a selector
+    topic = lambda i: F.lower(F.get("topics", F.lit(i)))
+    place = {f"t{i}": F.nullif(F.regexp_extract(topic(i), "^0x([0-9a-f]{64})$", 1), F.lit("")) for i in (1, 2, 3)} | {f"d{i}": word(data, i) for i in range(3)}
+
+    def read(kind: str, role: str, code: str, position: list[str], recipient: str | None, amounts: list[str]) -> Column:
+        to = as_address(place[recipient]) if recipient else F.lit(None).cast("string")
+        other = as_number(place[amounts[1]]) if len(amounts) > 1 else F.lit(None).cast(NUMBER)
+        fields = [F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.concat(*(place[p] for p in position)).alias("position"), to.alias("recipient"), as_number(place[amounts[0]]).alias("amount0"), other.alias("amount1")]
+        return F.when(topic(0) == code, F.struct(*fields))
+
+    found = logs.select("chain", F.lower("contract").alias("contract"), "block", "tx", "log", F.coalesce(*(read(*e) for e in POSITION_EVENTS)).alias("e"))
+    return found.select("chain", "contract", "block", "tx", "log", "e.*").where(F.col("position").isNotNull() & ((F.col("kind") != "lp") | F.col("contract").isin(managers)))

@@ -109,6 +109,21 @@ def next_spend(outputs: DataFrame, spends: DataFrame) -> DataFrame:
     return placed.join(months, ["account", "month"], "left").select(*outputs.columns, F.coalesce("soon", "later").alias("next"))
 
 
+def position_leads(events: DataFrame, parkers: DataFrame) -> DataFrame:
+    """Where value that parkers (chain, tx, parker) put into a position left it: every exit of the
+    same position at the same contract, in the block of the deposit or later.
+
+    That it is the same position is certain (high); who took it is sure only if the receiver is
+    the parker (high), for positions change hands (medium).  events: see position_events.
+    """
+    one = ["chain", "contract", "kind", "position"]
+    parks = events.where("role = 'park'").join(parkers, ["chain", "tx"]).groupBy(*one, "parker", F.col("tx").alias("park_tx")).agg(F.min("block").alias("park_block"))
+    exits = events.where("role = 'exit'").select(*one, F.col("tx").alias("exit_tx"), F.col("log").alias("exit_log"), F.col("block").alias("exit_block"), "recipient", "amount0", "amount1")
+    same = F.coalesce(F.col("recipient") == F.col("parker"), F.lit(False))
+    pairs = parks.join(exits, one).where("exit_block >= park_block").withColumn("recipient_is_parker", same)
+    return pairs.withColumn("link", F.lit("high")).withColumn("actor", F.when(same, "high").otherwise("medium"))
+
+
 LEG = ["time", "tx", "log", "token", "dst"]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.functions import calldata as C
 from ledgertide.functions import expressions as X
+from ledgertide.operators.joins import position_leads
 from ledgertide.plans.domain import load
 from ledgertide.plans.registry import query
 
@@ -174,3 +175,30 @@ def p12(spark, sf):
     raw = by_turn("turn", [F.lit("0"), F.lit(" 0x000 "), F.lit("-0.00"), F.lit(""), F.lit(None).cast("string"), F.lit("zero"), F.concat(F.lit("0x0"), F.hex("o_orderkey"))])
     rows = load(spark, sf, "orders").withColumn("turn", F.col("o_orderkey") % 7)
     return rows.groupBy(X.amount_is_zero(raw).alias("pruned")).agg(F.count(F.lit(1)).alias("n"))
+
+
+POSITION_MANAGER = "0xc36442b4a4522e871399cd717abdd847ab11fe88"
+
+
+@query("f16_position_leads", f"""SELECT CASE o_orderkey % 3 WHEN 0 THEN 'lp' WHEN 1 THEN 'lending' ELSE 'vault' END AS kind, o_orderkey AS park_tx, o_orderkey * 10 + l_linenumber AS exit_tx, '0x' || {HEX40.format('o_custkey + 1')} AS parker,
+  '0x' || {HEX40.format('CASE WHEN l_linenumber % 2 = 1 THEN o_custkey ELSE l_suppkey END + 1')} AS recipient, CAST(l_partkey AS DOUBLE) AS amount0, CASE WHEN o_orderkey % 3 = 0 THEN CAST(l_linenumber AS DOUBLE) END AS amount1,
+  l_linenumber % 2 = 1 OR l_suppkey = o_custkey AS recipient_is_parker, 'high' AS link, CASE WHEN l_linenumber % 2 = 1 OR l_suppkey = o_custkey THEN 'high' ELSE 'medium' END AS actor
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber >= 2 AND l_suppkey % 5 <> 0""")
+def f16(spark, sf):
+    """An order parks value in block 2, its lines take some out in the block of their number; every
+    fifth supplier's lines are logs of another contract."""
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("turn"))
+    topic = lambda code, *parts: F.array(F.lit(code), *(F.concat(F.lit("0x"), p) for p in parts))
+    codes = [e[2] for e in C.POSITION_EVENTS]
+    nothing, order, owner = word(F.lit(0)), word(F.col("o_orderkey")), word(F.col("o_custkey") + 1)
+    logs = lambda contract, block, tx, log, topics, data: [F.lit("ethereum").alias("chain"), contract.alias("contract"), block.alias("block"), tx.alias("tx"), log.alias("log"), by_turn("turn", topics).alias("topics"), F.concat(F.lit("0x"), by_turn("turn", data)).alias("data")]
+    value = word(F.lit(7))
+    parks = orders.select(*logs(F.lit(POSITION_MANAGER), F.lit(2), F.col("o_orderkey"), F.lit(0), [topic(codes[0], order), topic(codes[2], order, owner, nothing), topic(codes[4], owner, order)], [F.concat(value, value, value), F.concat(owner, value), F.concat(value, value)]))
+    lines = orders.join(load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    to = word(F.when(F.col("l_linenumber") % 2 == 1, F.col("o_custkey")).otherwise(F.col("l_suppkey")) + 1)
+    part, number = word(F.col("l_partkey")), word(F.col("l_linenumber"))
+    contract = F.when(F.col("l_suppkey") % 5 == 0, "0x" + "ab" * 20).otherwise(POSITION_MANAGER)
+    exits = lines.select(*logs(contract, F.col("l_linenumber"), F.col("o_orderkey") * 10 + F.col("l_linenumber"), F.lit(1), [topic(codes[1], order), topic(codes[3], order, owner, to), topic(codes[5], order, to, order)], [F.concat(to, part, number), part, F.concat(part, part)]))
+    parker = F.concat(F.lit("0x"), F.right(owner, F.lit(40)))
+    found = position_leads(C.position_events(parks.unionByName(exits), [POSITION_MANAGER]), orders.select(F.lit("ethereum").alias("chain"), F.col("o_orderkey").alias("tx"), parker.alias("parker")))
+    return found.select("kind", "park_tx", "exit_tx", "parker", "recipient", F.col("amount0").cast("double").alias("amount0"), F.col("amount1").cast("double").alias("amount1"), "recipient_is_parker", "link", "actor")
