@@ -166,3 +166,12 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         total += words[k : k + count] * _U(pow(0xE7037ED1A0B428DB, k + 1, 1 << 64))
     return mix(total)
+
+
+def span_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans' bytes as strings; spans must not cut a character."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.string())

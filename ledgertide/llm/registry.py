@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import decontaminate, host_rules, licenses, line_dedup, mixing, ngram_jaccard, quality_model, repeats, token_output, url_filter
+from ledgertide.llm import decontaminate, divergence, host_rules, licenses, line_dedup, mixing, ngram_jaccard, phrases, quality_model, repeats, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_dedup": repeats.op10_suffix_dedup,
+        "op11_phrase_collocations": phrases.op11_phrase_collocations,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": host_rules.OP5_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
+        "op11_phrase_collocations": phrases.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
