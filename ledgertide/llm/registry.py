@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.llm import decontaminate, divergence, host_rules, licenses, line_dedup, mixing, ngram_jaccard, phrases, quality_model, repeats, token_output, url_filter
+from ledgertide.llm import decontaminate, divergence, host_rules, licenses, line_dedup, mixing, ngram_jaccard, phrases, quality_model, repeats, token_output, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_dedup": repeats.op10_suffix_dedup,
         "op11_phrase_collocations": phrases.op11_phrase_collocations,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
