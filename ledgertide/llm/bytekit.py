@@ -144,19 +144,28 @@ def runs(piece: Slice, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, piece.offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Tabulation hashes of the bytes of each span (in order, apart from each other): the sum of
-    a pseudo-random number for each byte at its place.  Two different spans differ in a number
-    that is independent of the others, so they collide with a chance of 2**-64, whatever
-    their structure."""
-    lengths = ends - starts
+def word_sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """n + 1 prefix sums of a pseudo-random number for each byte at its place in its word."""
     place = np.arange(len(data))
     if len(starts):
         place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
     sums = np.empty(len(data) + 1, _U)
     sums[0] = 0
     np.cumsum(mix((place.astype(_U) << _U(8) | data) + _U(0xA0761D6478BD642F)), out=sums[1:])
-    return mix(sums[ends] - sums[starts] + lengths.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
+    return sums
+
+
+def summed_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, or of their first bytes, from ``word_sums``."""
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Tabulation hashes of the bytes of each span (in order, apart from each other): the sum of
+    a pseudo-random number for each byte at its place.  Two different spans differ in a number
+    that is independent of the others, so they collide with a chance of 2**-64, whatever
+    their structure."""
+    return summed_hashes(word_sums(data, starts), starts, ends)
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

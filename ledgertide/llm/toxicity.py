@@ -5,13 +5,13 @@ clauses, sentences and lines).  Small transducers rewrite them: one marks what s
 negation, one what is reported or quoted, one insults with a target before them, one makes a
 threat of a threatening verb and its target.  They are composed into one table, which is run
 over the lines that hold an insult or such a verb.  Each clause counts by its strongest pattern,
-and a document's score is the logistic of the patterns' weights by the logarithm of their
+and a document's score is the logistic of the patterns' weights by the logarithms of their
 counts.
 
 The grammar and its words are written here, for four languages.  A bounded sample of labelled
-rows (``max_train``, those with the smallest hash of doc_id) adds insults, words that stand in
-toxic documents of their own kind far more often than not, and fits the weights about the
-grammar's own.  Every document is scored in one pass without a shuffle of texts.
+rows (``max_train``, those with the smallest hash of doc_id) adds stems of insults, beginnings
+of words that stand in toxic documents far more often than not, and fits the weights about
+the grammar's own.  Every document is scored in one pass without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -24,16 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm.bytekit import FOLD, Slice, byte_class, mix, ngram_hashes, slices, word_hashes
+from ledgertide.llm.bytekit import FOLD, Slice, byte_class, mix, ngram_hashes, slices, summed_hashes, word_hashes, word_sums
 from ledgertide.llm.quality_model import sigmoid
-from ledgertide.llm.shared import table
+from ledgertide.llm.shared import Scratch, table
 
 MAX_TRAIN = 8_000
 THRESHOLD = 0.7
-#: A learnt insult: the lower bound (so many deviations) of its share of toxic documents is at least LEARNT_SHARE.
-DEVIATIONS, LEARNT_SHARE = 3.0, 0.5
+#: A learnt stem: its share of toxic documents is at least LEARNT_SHARE, and surely (by so many deviations) BOUND.
+DEVIATIONS, LEARNT_SHARE, BOUND = 2.5, 0.9, 0.5
+#: A stem gives way to a longer one that has so much of its toxic documents and fewer others.
+HEIR = 0.9
+#: Bytes of a stem.
+STEM = range(4, 13)
 SKETCHES = 4
-PULL = 1.0
+PULL = 0.2
 
 OTHER, INSULT, VERB, TARGET, NOT, SAID, QUOTE, CLAUSE, SENTENCE, LINE, THREAT = range(11)
 NEGATED, REPORTED, AIMED = 1, 2, 4
@@ -147,11 +151,31 @@ def hash_of(word: str) -> np.uint64:
     return word_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
 
 
-def vocabulary(learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes and their tags; a word of the grammar keeps its own tag."""
-    tags = {int(k): INSULT for k in learnt} | {int(hash_of(w)): tag for tag, words in LEXICON.items() for w in words.split()}
-    keys = np.array(sorted(tags), np.uint64)
-    return keys, np.array([tags[int(k)] for k in keys], np.int8)
+class Vocabulary:
+    """Tags by hash: the grammar's words, and stems, which tag the words that begin with them (unless the
+    grammar has the word)."""
+
+    def __init__(self, stems: list[str]):
+        tags = {int(hash_of(w)): tag for tag, words in LEXICON.items() for w in words.split()}
+        self.keys = np.array(sorted(tags), np.uint64)
+        self.tags = np.array([tags[int(k)] for k in self.keys], np.int8)
+        self.stems = {n: np.sort(np.array([hash_of(x) for x in stems if len(x.encode()) == n], np.uint64)) for n in sorted({len(x.encode()) for x in stems})}
+
+    def of(self, tokens: "Tokens") -> np.ndarray:
+        spot = np.searchsorted(self.keys, tokens.keys)
+        spot[spot == len(self.keys)] = 0
+        own = np.where(self.keys[spot] == tokens.keys, self.tags[spot], OTHER)
+        for length, stems in self.stems.items():
+            at, keys = tokens.stems(length)
+            at = at[_among(keys, stems)]
+            own[at[own[at] == OTHER]] = INSULT
+        return own
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    spot = np.searchsorted(known, keys)
+    spot[spot == len(known)] = 0
+    return known[spot] == keys if len(known) else np.zeros(len(keys), bool)
 
 
 class Tokens:
@@ -170,24 +194,27 @@ class Tokens:
         cut[piece.offsets] = True
         self.starts = np.flatnonzero((edge | cut)[:-1] & inside[1:-1]) if len(data) else np.zeros(0, np.int64)
         self.ends = np.flatnonzero((edge | cut)[1:] & inside[1:-1]) + 1 if len(data) else np.zeros(0, np.int64)
-        self.keys = word_hashes(data, self.starts, self.ends)
+        self.data = data
+        self.sums = word_sums(data, self.starts)
+        self.keys = summed_hashes(self.sums, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, piece.offsets)
         self.signs = np.flatnonzero(kind > 0)
         self.sign_tags = kind[self.signs]
 
-    def tags(self, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        spot = np.searchsorted(keys, self.keys)
-        spot[spot == len(keys)] = 0
-        return np.where(keys[spot] == self.keys, tags[spot], OTHER)
+    def stems(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have so many bytes, and the hashes of their first ones."""
+        at = np.flatnonzero(self.ends - self.starts >= length)
+        return at, summed_hashes(self.sums, self.starts[at], self.starts[at] + length)
 
 
-Match = tuple[int, int, int]
+Match = tuple[int, int, int, int]
 
 
-def matches(piece: Slice, keys: np.ndarray, tags: np.ndarray) -> Iterator[list[Match]]:
-    """Each text's matched clauses: start, end (bytes) and the strongest pattern's number."""
+def matches(piece: Slice, known: Vocabulary) -> Iterator[list[Match]]:
+    """Each text's matched clauses: start, end (bytes), the strongest pattern's number and how many the
+    clause has of it."""
     tokens = Tokens(piece)
-    of_word = tokens.tags(keys, tags)
+    of_word = known.of(tokens)
     hot = (of_word == INSULT) | (of_word == VERB)
     hits = np.concatenate([[0], np.cumsum(hot)])
     after, wrote = machine()
@@ -207,28 +234,29 @@ def matches(piece: Slice, keys: np.ndarray, tags: np.ndarray) -> Iterator[list[M
         line = np.cumsum(kind == LINE)
         some = np.isin(line, line[(kind == INSULT) | (kind == VERB)])
         found: list[Match] = []
-        state, best, clause = 0, -1, None
+        state, best, many, clause = 0, -1, 0, None
         for tag, start, past in zip(kind[some].tolist(), at[some].tolist(), stop[some].tolist(), strict=True):
             pattern = wrote[state][tag]
             state = after[state][tag]
             if tag == CLAUSE or tag == SENTENCE or tag == LINE:
                 if best >= 0:
-                    found.append((clause - base, last - base, best))
-                best, clause = -1, None
+                    found.append((clause - base, last - base, best, many))
+                best, many, clause = -1, 0, None
                 continue
             if clause is None:
                 clause = start
             last = past
             if pattern >= 0 and (best < 0 or PRIOR[pattern] > PRIOR[best]):
-                best = pattern
+                best, many = pattern, 0
+            many += pattern == best >= 0
         if best >= 0:
-            found.append((clause - base, last - base, best))
+            found.append((clause - base, last - base, best, many))
         yield found
 
 
 def evidence(found: list[Match]) -> np.ndarray:
-    """For each pattern the logarithm (to base 2) of one more than its clauses."""
-    return np.log2(1 + np.bincount([m[2] for m in found], minlength=len(PATTERNS)))
+    """For each pattern the logarithm (to base 2) of one more than its places in clauses."""
+    return np.log2(1 + np.bincount([m[2] for m in found], weights=[m[3] for m in found], minlength=len(PATTERNS)))
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -259,73 +287,136 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     return rows.groupBy("turn", "labelled", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("turn", "text", "toxic")
 
 
-def learnt_insults(rows: DataFrame) -> np.ndarray:
-    """Hashes of words that toxic rows hold far more often than others; of rows that are near
-    copies of each other one counts, so that a copied text's words aren't taken for insults."""
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """The rows (turn, text, toxic), of near copies of each other the first alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 tokens = Tokens(piece)
-                own, sketch = [], []
+                sketch = []
                 for i in range(len(piece)):
                     keys = tokens.keys[tokens.first[i] : tokens.first[i + 1]]
                     grams = ngram_hashes(keys, min(5, len(keys))) if len(keys) else keys
                     sketch.append([int(mix(grams ^ np.uint64(s)).view(np.int64).min()) for s in range(1, SKETCHES + 1)] if len(grams) else [])
-                    own.append(np.unique(keys).view(np.int64))
-                part = batch.slice(piece.rows.start, len(piece))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["turn", "toxic", "words", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.rows.start, len(piece)), pa.array(sketch, pa.list_(pa.int64()))], ["turn", "sketch"])
+
+    least = rows.select("turn", "text").mapInArrow(run, "turn long, sketch array<long>").select("turn", F.posexplode("sketch").alias("place", "least"))
+    copies = least.join(least.groupBy("place", "least").agg(F.min("turn").alias("one")), ["place", "least"]).where("one <> turn").select("turn")
+    return rows.join(copies, "turn", "left_anti")
+
+
+def _sure(k: Column, n: Column) -> Column:
+    """Whether k of n is a learnt share, and surely (Wilson's lower bound) above ``BOUND``."""
+    z, share = DEVIATIONS**2, k / n
+    low = (share + z / (2 * n) - DEVIATIONS * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+    return (k > 0) & (share >= LEARNT_SHARE) & (low >= BOUND)
+
+
+def learnt_stems(rows: DataFrame) -> list[str]:
+    """Beginnings of words that toxic rows hold far more often than others.
 
-    seen = rows.select("turn", "text", "toxic").mapInArrow(run, "turn long, toxic int, words array<long>, sketch array<long>")
-    places = seen.select("turn", F.posexplode("sketch").alias("place", "least"))
-    copies = places.join(places.groupBy("place", "least").agg(F.min("turn").alias("one")), ["place", "least"]).where("one <> turn").select("turn")
-    words = seen.join(copies, "turn", "left_anti").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n"))
-    z, share = DEVIATIONS**2, F.col("k") / F.col("n")
-    bound = (share + z / (2 * F.col("n")) - DEVIATIONS * F.sqrt(share * (1 - share) / F.col("n") + z / (4 * F.col("n") * F.col("n")))) / (1 + z / F.col("n"))
-    return np.array([r.word for r in words.where(bound >= LEARNT_SHARE).select("word").collect()], np.int64).view(np.uint64)
+    A stem's counts are of rows (near copies of each other count once), and in toxic rows also of
+    the pairs of neighbours that its words have there, for a copied passage brings the same
+    ones along; the less counts.
+    """
+
+    def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(2).to_numpy()
+            for piece in slices(batch.column(1)):
+                tokens = Tokens(piece)
+                row = np.repeat(np.arange(len(piece)), np.diff(tokens.first))
+                for length in STEM:
+                    at, keys = tokens.stems(length)
+                    each = np.unique(np.stack([keys, row[at].astype(np.uint64)], axis=1), axis=0)
+                    stems, spot, n = np.unique(each[:, 0], return_inverse=True, return_counts=True)
+                    bad = np.bincount(spot, weights=toxic[piece.rows][each[:, 1].astype(np.int64)], minlength=len(stems)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(stems.view(np.int64)), pa.array(bad), pa.array(n)], ["stem", "bad", "n"])
+
+    counts = rows.select("turn", "text", "toxic").mapInArrow(per_row, "stem long, bad long, n long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    likely = counts.where(_sure(F.col("bad"), F.col("n"))).collect()  # a stem has some rows of the bounded sample
+    known = np.sort(np.array([r.stem for r in likely], np.int64).view(np.uint64))
+
+    def per_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch.column(1)):
+                tokens = Tokens(piece)
+                row = np.repeat(np.arange(len(piece)), np.diff(tokens.first))
+                padded = np.concatenate([[np.uint64(0)], tokens.keys, [np.uint64(0)]])
+                places = mix(padded[:-2] ^ mix(padded[2:])).view(np.int64)
+                for length in STEM:
+                    at, keys = tokens.stems(length)
+                    at = at[_among(keys, known)]
+                    toxic = batch.column(2).slice(piece.rows.start, len(piece)).take(pa.array(row[at]))
+                    stems = [tokens.data[a : a + length].tobytes() for a in tokens.starts[at].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(stems, pa.binary()), toxic, pa.array(places[at])], ["stem", "toxic", "place"])
+
+    seen = rows.select("turn", "text", "toxic").mapInArrow(per_place, "stem binary, toxic int, place long").where("toxic = 1")
+    places = {bytes(r.stem): r.n for r in seen.groupBy("stem").agg(F.count_distinct("place").alias("n")).collect()}
+    by_key = {r.stem: (r.bad, r.n) for r in likely}
+    found = {}
+    for stem, n in places.items():
+        bad, all_ = by_key[int(word_hashes(np.frombuffer(stem, np.uint8), np.array([0]), np.array([len(stem)])).view(np.int64)[0])]
+        k = min(bad, n)
+        if k >= DEVIATIONS**2 * BOUND / (1 - BOUND):
+            found[stem] = (k, all_ - bad)
+    return chosen(found)
+
+
+def chosen(found: dict[bytes, tuple[int, int]]) -> list[str]:
+    """Of stems with their toxic and other rows: the shortest, but one with others gives way to a longer
+    one that has nearly all its toxic rows and fewer others.  Cut characters are left out."""
+    out: list[bytes] = []
+    for stem in sorted(found, key=lambda x: (len(x), x)):
+        k, m = found[stem]
+        if any(stem.startswith(x) for x in out) or any(q.startswith(stem) and q != stem and found[q][0] >= HEIR * k and found[q][1] < m for q in found):
+            continue
+        out.append(stem)
+    return [x.decode() for x in out if x.decode("utf-8", "ignore").encode() == x]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Learnt insults (hashes) and weights, from labelled rows that aren't held out.
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
+    """Learnt stems and weights, from labelled rows that aren't held out.
 
     Rows without a label or doc_id are skipped; of labels that say the same of a doc_id, and of
     documents that share one, one counts (the text with the smallest hash).  Without any
     label the grammar's own words and weights hold.  Other columns are ignored.
     """
-    rows = sample(docs, labels, max_train)
-    learnt = learnt_insults(rows)
-    keys, tags = vocabulary(learnt)
+    rows = Scratch(docs.sparkSession, "toxic").save(sample(docs, labels, max_train), "sample")
+    stems = learnt_stems(distinct_rows(rows))
+    known = Vocabulary(stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column(1)):
                 part = batch.slice(piece.rows.start, len(piece))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([evidence(m).tolist() for m in matches(piece, keys, tags)], pa.list_(pa.float64()))], ["turn", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([evidence(m).tolist() for m in matches(piece, known)], pa.list_(pa.float64()))], ["turn", "toxic", "x"])
 
     # at most max_train rows of a few numbers
     examples = rows.select("turn", "text", "toxic").mapInArrow(run, "turn long, toxic int, x array<double>").collect()
     examples.sort(key=lambda r: (r.turn, r.toxic, r.x))
     if not examples:
-        return learnt, np.append(PRIOR, PRIOR_BIAS)
-    return learnt, fitted(np.array([r.x for r in examples]), np.array([r.toxic for r in examples]))
+        return stems, np.append(PRIOR, PRIOR_BIAS)
+    return stems, fitted(np.array([r.x for r in examples]), np.array([r.toxic for r in examples]))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(doc_id, text) -> doc_id, score (0 to 1), clauses (array of start and end in bytes, pattern,
     weight), a row for each row.  Null and empty texts, and any without a match, get the
     bias's score.  Other columns are ignored; an empty table gives one."""
-    learnt, weights = model
+    stems, weights = model
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    keys, tags = vocabulary(learnt)
+    known = Vocabulary(stems)
     names = ["-".join([{INSULT: "insult", THREAT: "threat"}[t], *(n for bit, n in ((NEGATED, "negated"), (REPORTED, "reported"), (AIMED, "aimed")) if m & bit)]) for t, m in PATTERNS]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch.column(1)):
-                found = list(matches(piece, keys, tags))
+                found = list(matches(piece, known))
                 margins = np.array([weights[:-1] @ evidence(m) + weights[-1] if m else weights[-1] for m in found])
-                clauses = [[{"start": a, "end": b, "pattern": names[k], "weight": float(weights[k])} for a, b, k in m] for m in found]
+                clauses = [[{"start": a, "end": b, "pattern": names[k], "weight": float(weights[k])} for a, b, k, _ in m] for m in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.rows.start, len(piece)), pa.array(sigmoid(margins), pa.float64()), pa.array(clauses, kind)], ["doc_id", "score", "clauses"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, score double, clauses array<struct<start: bigint, end: bigint, pattern: string, weight: double>>")
