@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgertide.functions import abi
+
 NUMBER = "decimal(38,0)"
 
 
@@ -37,11 +39,6 @@ def word(data: Column, slot: int | Column) -> Column:
     return F.when(F.length(at) == 64, at)
 
 
-def words(data: Column) -> Column:
-    """How many whole words follow the selector."""
-    return F.floor((F.length(data) - 10) / 64)
-
-
 def as_address(digits: Column) -> Column:
     return F.when(digits.rlike("^0{24}[0-9a-f]{40}$") & ~digits.rlike("^0{64}$"), F.concat(F.lit("0x"), F.right(digits, F.lit(40))))
 
@@ -64,116 +61,6 @@ def significant(digits: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(digits, "^0+", ""), F.lit("")), F.when(digits.isNotNull(), F.lit("0")))
 
 
-def bytes_at(data: Column, slot: int | Column) -> Column:
-    """The digits of the dynamic bytes that a slot points to (from the first word); null if broken."""
-
-    def read(at: Column) -> Column:
-        start, digits = at["start"], 2 * at["length"]
-        body = F.substring(data, start + 64, digits.cast("int"))
-        return F.when((start + 64 <= F.length(data) + 1) & (F.length(body) == digits), body)
-
-    def sized(start: Column) -> Column:
-        return let(F.struct(start.alias("start"), as_small(F.substring(data, start.cast("int"), F.lit(64))).alias("length")), read)
-
-    return let(11 + 2 * as_small(word(data, slot)), sized)
-
-
-# ---- fixed values: public identifiers of chains and of bridge functions
-
-EVM_CHAINS = {1: "ethereum", 10: "optimism", 137: "polygon", 42161: "arbitrum", 8453: "base", 324: "zksync", 56: "bsc", 43114: "avalanche"}
-CCTP_DOMAINS = {0: "ethereum", 1: "avalanche", 2: "optimism", 3: "arbitrum", 5: "solana", 6: "base", 7: "polygon"}
-LAYERZERO_CHAINS = {101: "ethereum", 102: "bsc", 106: "avalanche", 109: "polygon", 110: "arbitrum", 111: "optimism", 112: "fantom", 184: "base", 195: "linea"}
-WORMHOLE_CHAINS = {
-    1: "solana", 2: "ethereum", 4: "bsc", 5: "polygon", 6: "avalanche", 7: "oasis", 10: "fantom", 11: "karura", 12: "acala", 13: "klaytn", 14: "celo",
-    16: "moonbeam", 18: "terra2", 19: "injective", 21: "sui", 22: "aptos", 23: "arbitrum", 24: "optimism", 25: "gnosis", 30: "base",
-}
-CONNEXT_DOMAINS = {6648936: "ethereum", 1869640809: "optimism", 1886350457: "polygon", 1634886255: "arbitrum", 6450786: "bsc", 6778479: "gnosis", 1650553709: "base", 1818848877: "linea"}
-NUMBERINGS = {"evm": EVM_CHAINS, "cctp": CCTP_DOMAINS, "layerzero": LAYERZERO_CHAINS, "wormhole": WORMHOLE_CHAINS, "connext": CONNEXT_DOMAINS}
-
-#: protocol, selector, method, words at least, numbering and slot of the chain (or its name), slot of the
-#: recipient (None: the sender himself).
-STATIC_CALLS = [
-    ("across", "0x7b939232", "depositV3", 7, ("evm", 6), 1),
-    ("across", "0xf0826b7d", "deposit", 4, ("evm", 3), 0),
-    ("cctp", "0x6fd3504e", "depositForBurn", 4, ("cctp", 1), 2),
-    ("cctp", "0xf856ddb6", "depositForBurnWithCaller", 4, ("cctp", 1), 2),
-    ("connext", "0x8aac16ba", "xcall", 7, ("connext", 0), 1),
-    ("hop", "0xdeace8f5", "sendToL2", 7, ("evm", 0), 1),
-    ("hop", "0xa6df7b8c", "sendToL2", 7, ("evm", 0), 1),
-    ("celer", "0xa5977fbb", "send", 5, ("evm", 3), 0),
-    ("celer", "0x3f2e5fc3", "sendNative", 5, ("evm", 2), 0),
-    ("synapse", "0xfa9d8e22", "bridge", 2, ("evm", 1), 0),
-    ("synapse", "0xf1a64348", "swapAndRedeem", 2, ("evm", 1), 0),
-    ("multichain", "0xedbdf5e2", "anySwapOutUnderlying", 4, ("evm", 3), 1),
-    ("multichain", "0x241dc2df", "anySwapOut", 4, ("evm", 3), 1),
-    ("wormhole", "0x0f5287b0", "transferTokens", 6, ("wormhole", 2), 3),
-    ("wormhole", "0xc5a5ebda", "transferTokensWithPayload", 6, ("wormhole", 2), 3),
-    ("polygon_pos", "0xe3dec8fb", "depositFor", 0, ("is", "polygon"), 0),
-    ("polygon_pos", "0x4faa8a26", "depositEtherFor", 0, ("is", "polygon"), 0),
-    ("optimism_l1", "0x838b2520", "depositERC20To", 0, ("is", "optimism"), 2),
-    ("optimism_l1", "0x9a2ac6d5", "depositETHTo", 0, ("is", "optimism"), 0),
-    ("optimism_l1", "0x58a997f6", "depositERC20", 0, ("is", "optimism"), None),
-    ("optimism_l1", "0xb1a1a882", "depositETH", 0, ("is", "optimism"), None),
-    ("optimism_l1", "0xa3a79548", "withdrawTo", 0, ("is", "ethereum"), 1),
-    ("base_l1", "0x838b2520", "depositERC20To", 0, ("is", "base"), 2),
-    ("base_l1", "0x9a2ac6d5", "depositETHTo", 0, ("is", "base"), 0),
-    ("base_l1", "0x58a997f6", "depositERC20", 0, ("is", "base"), None),
-    ("base_l1", "0xb1a1a882", "depositETH", 0, ("is", "base"), None),
-    ("base_l1", "0xa3a79548", "withdrawTo", 0, ("is", "ethereum"), 1),
-    ("arbitrum_l1", "0xd2ce7d65", "outboundTransfer", 0, ("is", "arbitrum"), 1),
-    ("arbitrum_l1", "0x4fb1a07b", "outboundTransferCustomRefund", 0, ("is", "arbitrum"), 2),
-    ("arbitrum_l1", "0x439370b1", "depositEth", 0, ("is", "arbitrum"), None),
-    ("zksync_l1", "0xe8b99b1b", "deposit", 0, ("is", "zksync"), 0),
-]
-#: protocol, selector, method, words at least, chain, slot that points to the recipient's bytes.
-POINTED_CALLS = [
-    ("stargate", "0x9fbf10fc", "swap", 9, ("layerzero", 0), 7),
-    ("stargate", "0x1114cd2a", "swapETH", 5, ("layerzero", 0), 2),
-]
-#: protocol, selector, method: recognised, with a destination that these words don't say.
-KNOWN_CALLS = [
-    ("debridge", "0xfb96b66e", "createSaleOrder"),
-    ("debridge", "0xfaee513f", "createOrder"),
-    ("debridge", "0xb9303701", "createSaltedOrder"),
-    ("debridge", "0xb3c10b67", "send"),
-    ("1inch", "0x12aa3caf", "swap"),
-    ("1inch", "0x0502b1c5", "unoswap"),
-    ("1inch", "0xe449022e", "uniswapV3Swap"),
-    ("axelar", "0xb5417084", "callContractWithToken"),
-    ("axelar", "0x26ef699d", "sendToken"),
-    ("squid", "0x84d2bb4d", "bridgeCall"),
-    ("squid", "0x32fb1360", "callBridgeCall"),
-    ("symbiosis", "0xa11b1198", "metaRoute"),
-    ("ccip", "0x96f4e9f9", "ccipSend"),
-]
-
-
-def bridge_destinations(calls: DataFrame) -> DataFrame:
-    """calls (protocol, calldata, any others) -> the others, method, chain, address, confidence and to_sender of
-    each call, all null for calls that aren't known.
-
-    A call says what the sender asked for, not that it arrived, so the confidence is medium with
-    a chain or an address, else low.  The table of calls has a row each, and is broadcast.
-    """
-    spark = calls.sparkSession
-    known = [(p, c, m, n, kind, None if kind == "is" else where, where if kind == "is" else None, slot, slot is None, False) for p, c, m, n, (kind, where), slot in STATIC_CALLS]
-    known += [(p, c, m, n, kind, where, None, slot, False, True) for p, c, m, n, (kind, where), slot in POINTED_CALLS]
-    known += [(p, c, m, 0, None, None, None, None, False, False) for p, c, m in KNOWN_CALLS]
-    table = spark.createDataFrame(known, "protocol string, code string, method string, least int, numbering string, chain_slot int, chain_is string, slot int, to_sender boolean, pointed boolean")
-    chains = spark.createDataFrame([(kind, number, name) for kind, names in NUMBERINGS.items() for number, name in names.items()], "numbering string, number long, chain_name string")
-    others = [c for c in calls.columns if c not in ("protocol", "calldata")]
-    rows = calls.select(*others, "protocol", clean(F.col("calldata")).alias("data")).withColumn("code", selector(F.col("data")))
-    rows = rows.join(F.broadcast(table), ["protocol", "code"], "left")
-    data, slot = F.col("data"), F.col("slot")
-    enough = words(data) >= F.when(F.col("pointed"), 1).otherwise(F.col("least"))
-    raw = F.when(F.col("pointed") & (words(data) >= F.col("least")), bytes_at(data, slot))
-    pointed = F.when(raw.rlike("^[0-9a-f]{40}$") & ~raw.rlike("^0{40}$"), F.concat(F.lit("0x"), raw))
-    rows = rows.select(*others, "method", "numbering", "chain_is", "to_sender", F.when(enough, as_small(word(data, F.col("chain_slot")))).alias("number"), F.when(enough, F.when(F.col("pointed"), pointed).otherwise(as_address(word(data, slot)))).alias("address"))
-    rows = rows.join(F.broadcast(chains), ["numbering", "number"], "left").withColumn("chain", F.coalesce("chain_is", "chain_name"))
-    confidence = F.when(F.col("method").isNotNull(), F.when(F.col("chain").isNotNull() | F.col("address").isNotNull(), "medium").otherwise("low"))
-    return rows.select(*others, "method", "chain", "address", confidence.alias("confidence"), "to_sender")
-
-
 #: Functions that change a Safe's owners; the slots of the previous, old and new owner, and of
 #: the threshold.
 SAFE_CALLS = {
@@ -215,72 +102,6 @@ def wrap_event(calldata: Column, value: Column) -> Column:
     return let(clean(calldata), read)
 
 
-#: Entry points and selectors of bundled operations.
-ENTRY_POINTS = ("0x5ff137d4b0fdcd49dca30c7cf57e578a026d2789", "0x0000000071727de22e5e9d8baf0edac6f37da032")
-HANDLE_OPS, EXECUTE, EXECUTE_OP, TRANSFER, TRANSFER_FROM = "0x1fad948c", "0xb61d27f6", "0x51945447", "a9059cbb", "23b872dd"
-MOST_OPS = 1024
-
-
-def _word_at(data: Column, byte: Column) -> Column:
-    """The word that begins so many bytes after the selector; data: the digits as bytes, of which a part is
-    found without walking over all before it."""
-    at = F.substring(data, (11 + 2 * byte).cast("int"), F.lit(64)).cast("string")
-    return F.when(F.length(at) == 64, at)
-
-
-def user_operations(to: Column, calldata: Column) -> Column:
-    """array<struct(index, sender, call)> of handleOps(ops[], beneficiary) sent to an entry point; call: the
-    operation's own calldata, or null where it is cut off.  Empty for anything else."""
-    kind = "array<struct<index: int, sender: string, call: string>>"
-
-    def of(x: Column) -> Column:
-        data, begin = x["data"], x["begin"]
-
-        def one(i: Column) -> Column:
-            def body(at: Column) -> Column:
-                size = as_small(_word_at(data, at["inner"]))
-                return let(F.struct(at["base"].alias("base"), F.substring(data, (75 + 2 * at["inner"]).cast("int"), (2 * size).cast("int")).cast("string").alias("body"), size.alias("size")), lambda y: F.struct(
-                    i.cast("int").alias("index"), as_address(_word_at(data, y["base"])).alias("sender"), F.when(F.length(y["body"]) == 2 * y["size"], F.concat(F.lit("0x"), y["body"])).alias("call")))
-
-            base = begin + 32 + as_small(_word_at(data, begin + 32 + 32 * i))
-            return let(base, lambda b: let(F.struct(b.alias("base"), (b + as_small(_word_at(data, b + 96))).alias("inner")), body))
-
-        return let(as_small(_word_at(data, begin)), lambda n: F.when(n.between(1, MOST_OPS), F.filter(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one), lambda o: o["sender"].isNotNull())))
-
-    def checked(data: Column) -> Column:
-        valid = F.lower(F.trim(to)).isin(*ENTRY_POINTS) & (selector(data) == HANDLE_OPS)
-        return F.when(valid, let(F.struct(data.cast("binary").alias("data"), as_small(word(data, 0)).alias("begin")), of))
-
-    return F.coalesce(let(clean(calldata), checked), F.array().cast(kind))
-
-
-def inner_transfer(sender: Column, call: Column) -> Column:
-    """struct(src, dst, token, amount) that an operation's call makes: a token transfer inside execute,
-    execute's own value, or a bare token transfer (token ''); null for anything else."""
-
-    def made(src: Column, dst: Column, which: Column, amount: Column) -> Column:
-        return F.struct(src.alias("src"), dst.alias("dst"), which.alias("token"), amount.alias("amount"))
-
-    def read(x: Column) -> Column:
-        body, code = x["body"], F.substring(x["body"], 3, 8)
-        return (
-            F.when(code == TRANSFER, made(sender, as_address(word(body, 0)), x["token"], as_number(word(body, 1))))
-            .when(code == TRANSFER_FROM, made(as_address(word(body, 0)), as_address(word(body, 1)), x["token"], as_number(word(body, 2))))
-            .when(x["value"] > 0, made(sender, x["target"], F.lit(""), x["value"]))
-        )
-
-    def opened(data: Column) -> Column:
-        wrapped = selector(data).isin(EXECUTE, EXECUTE_OP)
-        target = as_address(word(data, 0))
-        return let(
-            F.struct(
-                F.when(wrapped, F.concat(F.lit("0x"), bytes_at(data, 2))).otherwise(data).alias("body"), F.when(wrapped, target).otherwise(F.lit("")).alias("token"),
-                target.alias("target"), F.when(wrapped, as_number(word(data, 1))).alias("value"),
-            ), read)
-
-    return let(clean(call), opened)
-
-
 #: The numbers by which a maker's bridge names its chains, and the chain of ours, if any.
 MAKER_CHAINS = {1: "ethereum", 2: "arbitrum", 3: "zksync", 5: "ethereum", 6: "polygon", 7: "optimism", 10: "metis", 14: "zksync", 15: "bsc", 17: "polygon_zkevm", 19: "scroll", 21: "base", 23: "linea", 31: "manta"}
 #: Chains whose amounts have a bounded number of bits.
@@ -345,27 +166,33 @@ POSITION_EVENTS = [
     ("lp", "exit", "0x40d0efd1a53d60ecbf40971b9daf7dc90178c3aadc7aab1765632738fa8b8f01", ["t1"], "d0", ["d1", "d2"]),
     ("lending", "park", "0x2b627736bca15cd5381dcf80b0bf11fd197d01a037c52b927a881a10fb73ba61", ["t1", "t2"], None, ["d1"]),
     ("lending", "exit", "0x3115d1449a7b732c986cba18244e897a450f61e1bb8d589cd2e69e6c8924f9f7", ["t1", "t2"], "t3", ["d0"]),
+    ("market", "exit", "0x9b1bfa7fa9ee420a16e124f794c35ac9f90472acc99140eb2f6447c714cad8eb", ["t1"], "t2", ["d0"]),
     ("vault", "park", "0xdcbc1c05240f31ff3ad067ef1ee35ce4997762752e3a095284754544f4c709d7", ["t2"], None, ["d0"]),
     ("vault", "exit", "0xfbde797d201c681b91056529119e0b02407c7bb96a4a2c75c01fc9667232c8db", ["t3"], "t2", ["d0"]),
 ]
 
 
-def position_events(logs: DataFrame, managers: list[str]) -> DataFrame:
-    """chain, contract, block, tx, log, kind, role, position, recipient, amount0, amount1 of the logs
-    (chain, contract, block, tx, log, topics, data) that park value or take it out.
+def position_events(logs: DataFrame, managers: list[str], markets: list[str] | None = None) -> DataFrame:
+    """chain, contract, block, tx, log, kind, role, position, recipient, amount0, amount1 (decimal digits) of the
+    logs (chain, contract, block, tx, log, topics, data) that park value or take it out.
 
-    Liquidity positions count only at the managers' contracts, whose numbers are theirs alone.
-    Other logs, and those without the words that name a position, are left out.
+    Logs are kept by their topic before anything is read; each is then read by its own kind.
+    Liquidity positions count only at the managers' contracts, whose numbers are theirs
+    alone, and withdrawals from a market (whose event many contracts share) only at the
+    markets'.  Other logs, and those without the words that name a position, are left out.
     """
-    data = F.concat(F.lit("0x" + "0" * 8), F.regexp_replace(F.lower("data"), "^0x", ""))  # as a call, which has a selector
-    topic = lambda i: F.lower(F.get("topics", F.lit(i)))
-    place = {f"t{i}": F.nullif(F.regexp_extract(topic(i), "^0x([0-9a-f]{64})$", 1), F.lit("")) for i in (1, 2, 3)} | {f"d{i}": word(data, i) for i in range(3)}
-
-    def read(kind: str, role: str, code: str, position: list[str], recipient: str | None, amounts: list[str]) -> Column:
-        to = as_address(place[recipient]) if recipient else F.lit(None).cast("string")
-        other = as_number(place[amounts[1]]) if len(amounts) > 1 else F.lit(None).cast(NUMBER)
-        fields = [F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.concat(*(place[p] for p in position)).alias("position"), to.alias("recipient"), as_number(place[amounts[0]]).alias("amount0"), other.alias("amount1")]
-        return F.when(topic(0) == code, F.struct(*fields))
-
-    found = logs.select("chain", F.lower("contract").alias("contract"), "block", "tx", "log", F.coalesce(*(read(*e) for e in POSITION_EVENTS)).alias("e"))
-    return found.select("chain", "contract", "block", "tx", "log", "e.*").where(F.col("position").isNotNull() & ((F.col("kind") != "lp") | F.col("contract").isin(managers)))
+    code, contract = F.lower(F.get("topics", F.lit(0))), F.lower("contract")
+    by_code = {e[2]: e for e in POSITION_EVENTS}
+    kept = logs.where(code.isin(list(by_code))).select("chain", contract.alias("contract"), "block", "tx", "log", code.alias("code"), *(abi.whole(abi.raw(F.get("topics", F.lit(i)))).alias(f"t{i}") for i in (1, 2, 3)), abi.raw(F.col("data")).alias("data"))
+    kept = kept.select("chain", "contract", "block", "tx", "log", "code", "t1", "t2", "t3", *(abi.whole(abi.word(F.col("data"), abi.WORD * i)).alias(f"d{i}") for i in range(3)))
+
+    def chosen(of: Callable[[tuple], Column | None]) -> Column:
+        cases = [(k, of(e)) for k, e in by_code.items()]
+        return reduce(lambda c, x: c.when(F.col("code") == x[0], x[1]), [x for x in cases if x[1] is not None], F.when(F.lit(False), F.lit(None)))
+
+    kind, role = chosen(lambda e: F.lit(e[0])), chosen(lambda e: F.lit(e[1]))
+    position = chosen(lambda e: F.lower(F.hex(F.concat(*(F.col(p) for p in e[3])))))
+    words = [chosen(lambda e, i=i: F.col(e[5][i]) if len(e[5]) > i else None) for i in range(2)]
+    read = kept.select("chain", "contract", "block", "tx", "log", kind.alias("kind"), role.alias("role"), position.alias("position"), chosen(lambda e: F.col(e[4]) if e[4] else None).alias("to"), words[0].alias("w0"), words[1].alias("w1"))
+    read = read.where(F.col("position").isNotNull() & ((F.col("kind") != "lp") | F.col("contract").isin(managers)) & ((F.col("kind") != "market") | F.col("contract").isin(markets or [])))
+    return read.select("chain", "contract", "block", "tx", "log", "kind", "role", "position", abi.address(F.col("to")).alias("recipient"), abi.number(F.col("w0")).alias("amount0"), abi.number(F.col("w1")).alias("amount1"))

@@ -1,5 +1,6 @@
-"""Column expressions of the fund-flow domain.  All are built-in functions, so they stay
-inside whole-stage code generation."""
+"""Column expressions of the fund-flow domain.  All are built-in functions.  Those with lambdas
+(``transform``, ``filter``, ``aggregate``, ``exists``) are interpreted, the others stay inside
+whole-stage code generation."""
 
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ def chain_by_shape(address: Column) -> Column:
     return (
         F.when(a.rlike(EVM_ADDRESS), "evm")
         .when(a.rlike(r"^0x[0-9a-fA-F]{64}$"), "move")
-        .when(a.rlike(r"^(bc1[02-9ac-hj-np-z]{11,71}|[13][1-9A-HJ-NP-Za-km-z]{25,34})$"), "bitcoin")
+        .when(a.rlike(r"^(bc1[02-9ac-hj-np-z]{11,87}|BC1[02-9AC-HJ-NP-Z]{11,87}|[13][1-9A-HJ-NP-Za-km-z]{25,34})$"), "bitcoin")
         .when(a.rlike(r"^T[1-9A-HJ-NP-Za-km-z]{33}$"), "tron")
         .when(a.rlike(r"^(cosmos|osmo|juno|stars|axelar|noble)1[02-9ac-hj-np-z]{38,58}$"), "cosmos")
         .when(a.rlike(r"^G[A-Z2-7]{55}$"), "stellar")
@@ -279,9 +280,13 @@ def freshness(updated: Column, sla: Column, now: Column) -> Column:
 
 
 def exhibit_letter(place: Column) -> Column:
-    """0, 1, ... as A, B, ... Z, AA, ... ZZ."""
-    letter = lambda n: F.char(n + 65)
-    return F.concat(F.when(place >= 26, letter(F.floor(place / 26) - 1)).otherwise(F.lit("")), letter(place % 26))
+    """0, 1, ... as A, B, ... Z, AA, ... ZZ, AAA and so on (up to nine letters)."""
+    letters = []
+    for k in range(9):
+        before = sum(26**i for i in range(1, k + 1))  # places with fewer letters
+        letter = F.char((F.floor((place - before) / 26**k) % 26 + 65).cast("int"))
+        letters.append(F.when(place >= before, letter).otherwise(F.lit("")) if k else letter)
+    return F.concat(*reversed(letters))
 
 
 def is_burn(address: Column) -> Column:

@@ -111,19 +111,31 @@ def next_spend(outputs: DataFrame, spends: DataFrame) -> DataFrame:
 
 def position_leads(events: DataFrame, parkers: DataFrame) -> DataFrame:
     """Where value that parkers (chain, tx, parker) put into a position left it: every exit of the
-    same position at the same contract, in the block of the deposit or later.
+    same position at the same contract, in the block of the parker's first deposit or later,
+    one row for each exit and parker.
 
     That it is the same position is certain (high); who took it is sure only if the receiver is
     the parker (high), for positions change hands (medium).  events: see position_events.
     """
     one = ["chain", "contract", "kind", "position"]
-    parks = events.where("role = 'park'").join(parkers, ["chain", "tx"]).groupBy(*one, "parker", F.col("tx").alias("park_tx")).agg(F.min("block").alias("park_block"))
+    deposits = events.where("role = 'park'").join(parkers, ["chain", "tx"])
+    parks = deposits.groupBy(*one, "parker").agg(F.min(F.struct("block", "tx")).alias("first")).select(*one, "parker", F.col("first.tx").alias("park_tx"), F.col("first.block").alias("park_block"))
     exits = events.where("role = 'exit'").select(*one, F.col("tx").alias("exit_tx"), F.col("log").alias("exit_log"), F.col("block").alias("exit_block"), "recipient", "amount0", "amount1")
     same = F.coalesce(F.col("recipient") == F.col("parker"), F.lit(False))
     pairs = parks.join(exits, one).where("exit_block >= park_block").withColumn("recipient_is_parker", same)
     return pairs.withColumn("link", F.lit("high")).withColumn("actor", F.when(same, "high").otherwise("medium"))
 
 
+def withdrawals_elsewhere(events: DataFrame, wallets: DataFrame) -> DataFrame:
+    """Withdrawals from lending pools and markets that traced wallets (chain, wallet) made to another
+    address: exits that the wallets' own outflows don't show.  The wallet is the last word of
+    the position; the event names both ends, so the confidence is high."""
+    wallet = F.concat(F.lit("0x"), F.right("position", F.lit(40)))
+    exits = events.where("role = 'exit' AND kind IN ('lending', 'market')").withColumn("wallet", wallet)
+    found = exits.join(wallets.select("chain", "wallet").distinct(), ["chain", "wallet"]).where("recipient <> wallet")
+    return found.select("chain", "wallet", "kind", "contract", "tx", "log", "block", "recipient", F.col("amount0").alias("amount"), F.lit("high").alias("confidence"))
+
+
 LEG = ["time", "tx", "log", "token", "dst"]
 
 

@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgertide.functions import abi
 from ledgertide.functions import calldata as C
 from ledgertide.functions import expressions as X
-from ledgertide.operators.joins import position_leads
+from ledgertide.operators.bridge_calls import bridge_destinations
+from ledgertide.operators.bundles import ENTRY_POINTS, inner_transfers, user_operations
+from ledgertide.operators.joins import position_leads, withdrawals_elsewhere
+from ledgertide.plans import encode as E
 from ledgertide.plans.domain import load
 from ledgertide.plans.registry import query
 
@@ -62,34 +66,123 @@ def f11(spark, sf):
         call("0x838b2520", five, five, to), call("0xb1a1a882", five), call("0xd2ce7d65", five, to), call("0x1114cd2a", pointed), call("0x26ef699d", five), call("0x7b939232", to, to), call("0xffffffff", to),
     ]
     protocol = by_turn("turn", [F.lit(x) for x in BRIDGES])
-    return C.bridge_destinations(rows.select("o_orderkey", protocol.alias("protocol"), F.upper(by_turn("turn", made)).alias("calldata")))
+    return bridge_destinations(rows.select("o_orderkey", protocol.alias("protocol"), F.upper(by_turn("turn", made)).alias("calldata")))
+
+
+# Public transactions, as they stand on chain: a swap to bitcoin by memo, and an order to ethereum.
+ON_CHAIN_SWAP = (
+    "0x44bc937b00000000000000000000000082a5cf67f3e6970c0529122178075c0a94878bda0000000000000000000000000000000000000000000000000000000000000000000000000000"
+    "000000000000000000000000000000000000009a977ac75ce80000000000000000000000000000000000000000000000000000000000000000a00000000000000000000000000000000000"
+    "00000000000000000000006a064cc1000000000000000000000000000000000000000000000000000000000000003b3d3a4254432e4254433a626331713877327970716778333967756378"
+    "6379707176326d3930777a397276686d6d72636e70646a733a3131373736300000000000"
+)
+ON_CHAIN_ORDER = (
+    "0xb930370100000000000000000000000000000000000000000000000000000000000000c000000000000000000000000000000000000000000000000000000199c733ef01000000000000"
+    "000000000000000000000000000000000000000000000000036000000000000000000000000000000000000000000000000000000000000012f20000000000000000000000000000000000"
+    "00000000000000000000000000038000000000000000000000000000000000000000000000000000000000000003a0000000000000000000000000af88d065e77c8cc2239327c5edb3a432"
+    "268e5831000000000000000000000000000000000000000000000000000002a8ece3d6c7000000000000000000000000000000000000000000000000000000000000016000000000000000"
+    "0000000000000000000000000000026a4e6c4b96d83604e8000000000000000000000000000000000000000000000000000000000000000001000000000000000000000000000000000000"
+    "00000000000000000000000001a0000000000000000000000000f4be227b268e191b79097daad0acccd9a7a7fad20000000000000000000000000000000000000000000000000000000000"
+    "0001e0000000000000000000000000000000000000000000000000000000000000022000000000000000000000000000000000000000000000000000000000000002600000000000000000"
+    "00000000000000000000000000000000000000000000028000000000000000000000000000000000000000000000000000000000000000146b175474e89094c44da98b954eedeac495271d"
+    "0f0000000000000000000000000000000000000000000000000000000000000000000000000000000000000014c1ee32fac1d9a0ce63021467e34164df3078289b00000000000000000000"
+    "00000000000000000000000000000000000000000000000000000000000000000014f4be227b268e191b79097daad0acccd9a7a7fad2000000000000000000000000000000000000000000"
+    "0000000000000000000000000000000000000000000014555ce236c0220695b68341bc48c68d52210cc35b0000000000000000000000000000000000000000000000000000000000000000"
+    "000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000"
+    "00000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000420101010000493f5c0000"
+    "00000000000000000000000000000000e80436d8964b6c4e6a0200000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000000"
+    "0000000000000000000000"
+)
+#: Accounts in Base58 and their bytes: a token program, wrapped SOL, a dollar token.
+BASE58_ACCOUNTS = {
+    "TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA": "06ddf6e1d765a193d9cbe146ceeb79ac1cb485ed5f5b37913a8cf5857eff00a9",
+    "So11111111111111111111111111111111111111112": "069b8857feab8184fb687f634618c035dac439dc1aeb3b5598a0f00000000001",
+    "EPjFWdd5AufqSSqeM2qN1xzybapC8G4wEGGkZwyTDt1v": "c6fa7af3bedbad3a3d65f36aabc97431b1bbe4c2d2f6e0e47ca60203452f5d61",
+}
+
+
+@query("f11_dynamic_calls", f"""WITH o AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 15 AS turn, o_orderkey // 15 % 3 AS c FROM orders),
+  d AS (SELECT *, '0x' || {HEX40.format('k + 1')} AS evm, ['ethereum', 'optimism', 'base'][c + 1] AS chain3 FROM o)
+  SELECT o_orderkey, ['depositWithExpiry', 'deposit', 'depositWithExpiry', 'startBridgeTokensViaStargate', 'send_v1', 'send_v2', 'sendToken_v2', 'createSaltedOrder', 'sendToken', 'bridgeCall', 'metaRoute', 'ccipSend', 'transferTokens', 'depositWithExpiry', 'createSaltedOrder'][turn + 1] AS method,
+    CASE turn WHEN 0 THEN 'bitcoin' WHEN 1 THEN 'doge' WHEN 2 THEN NULL WHEN 4 THEN ['ethereum', 'bsc', 'linea'][c + 1] WHEN 5 THEN ['scroll', 'bsc', 'zksync'][c + 1] WHEN 6 THEN ['linea', 'bsc', 'fantom'][c + 1] WHEN 8 THEN ['bsc', 'cosmos', 'secret'][c + 1] WHEN 9 THEN 'polygon'
+      WHEN 11 THEN ['base', 'arbitrum', NULL][c + 1] WHEN 12 THEN 'solana' WHEN 13 THEN 'bitcoin' WHEN 14 THEN 'ethereum' ELSE chain3 END AS chain,
+    CASE turn WHEN 0 THEN 'bc1q' || lpad(CAST(k AS VARCHAR), 38, '0') WHEN 1 THEN 'D' || lpad(CAST(k AS VARCHAR), 33, 'x') WHEN 2 THEN NULL WHEN 9 THEN 'osmo1' || lpad(CAST(k AS VARCHAR), 38, 'q') WHEN 12 THEN ['TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA', 'So11111111111111111111111111111111111111112', 'EPjFWdd5AufqSSqeM2qN1xzybapC8G4wEGGkZwyTDt1v'][c + 1]
+      WHEN 13 THEN 'bc1q8w2ypqgx39gucxcypqv2m90wz9rvhmmrcnpdjs' WHEN 14 THEN '0xc1ee32fac1d9a0ce63021467e34164df3078289b' ELSE evm END AS address,
+    CASE WHEN turn = 2 THEN 'low' ELSE 'medium' END AS confidence, false AS to_sender FROM d""")
+def f11_dynamic(spark, sf):
+    """Calls whose recipients stand in strings, byte arrays and tuples, written for each order in
+    their real layout; the last two kinds are public transactions as they are."""
+    rows = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 15).alias("turn"), (F.floor(F.col("o_orderkey") / 15) % 3).alias("c"))
+    key = F.col("k").cast("string")
+    to, five = E.word(F.col("k") + 1), E.static(E.word(5))
+    twenty = F.right(to, F.lit(40))
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("c") + 1).cast("int"))
+    number = lambda *ids: E.static(F.lpad(pick(*(f"{i:x}" for i in ids)), 64, "0"))
+    evm, nothing = number(1, 10, 8453), E.data(F.lit(""), 0)
+    memo = lambda text, size: E.words_of(text, size)
+    swap = memo(F.concat(F.lit("=:BTC.BTC:bc1q"), F.lpad(key, 38, "0"), F.lit(":0/1/0")), 58)
+    made = [
+        E.call("0x44bc937b", five, five, five, swap, five),
+        E.call("0x1fece7b4", five, five, five, memo(F.concat(F.lit("SWAP:DOGE.DOGE:D"), F.lpad(key, 33, "x")), 49)),
+        E.call("0x44bc937b", five, five, five, memo(F.lit("a memo without a grammar"), 24), five),
+        E.call("0xed178619", E.several(five, memo(F.lit("stargate"), 8), memo(F.lit("someone"), 7), five, five, E.static(to), five, evm, five, five), E.several(five, five, nothing)),
+        E.call("0xc5803100", number(101, 102, 195), E.data(F.concat(twenty, F.lit("ab" * 20)), 40), E.data(F.lit("cd" * 70), 70), five, five, nothing),
+        E.call("0x2637a450", E.several(number(30214, 30102, 30253), E.static(to), E.data(F.lit("ef" * 3), 3), nothing, five), five),
+        E.call("0xcbef2aa9", E.several(number(30183, 30102, 112), E.static(to), five, five, nothing, nothing, nothing), five, five, five),
+        E.call("0xb9303701", E.several(five, five, E.data(F.lit("6b" * 20), 20), five, evm, E.data(twenty, 20), five, E.data(twenty, 20), nothing, nothing, nothing), five, nothing, five, nothing, nothing),
+        E.call("0x26ef699d", E.words_of(pick("binance", "Osmosis", "secret "), 7), E.words_of(F.concat(F.lit("0x"), twenty), 42), memo(F.lit("aUSDC"), 5), five),
+        E.call("0x84d2bb4d", E.words_of(F.lit("Polygon"), 7), E.words_of(F.concat(F.lit("osmo1"), F.lpad(key, 38, "q")), 43), nothing, five),
+        E.call("0xa11b1198", E.several(nothing, nothing, E.array(five), five, five, five, five, E.static(to), E.data(F.concat(F.lit("ce654c17"), E.word(5), E.word(6), evm[1], E.word(7)), 132))),
+        E.call("0x96f4e9f9", number(15971525489660198786, 4949039107694359620, 77), E.several(E.data(to, 32), nothing, E.array(), five, nothing)),
+        E.call("0x0f5287b0", five, five, number(1, 1, 1), E.static(pick(*BASE58_ACCOUNTS.values())), five, five),
+        (F.lit(ON_CHAIN_SWAP), 0),
+        (F.lit(ON_CHAIN_ORDER), 0),
+    ]
+    names = ["THORChain Router", "thorchain", "thorchain", "LI.FI Diamond", "LayerZero Endpoint", "layerzero", "Stargate", "deBridge DLN Source", "Axelar Gateway", "Squid Router", "symbiosis", "Chainlink CCIP", "Wormhole Token Bridge", "THORChain Router", "deBridge DLN Source"]
+    return bridge_destinations(rows.select("o_orderkey", by_turn("turn", [F.lit(n) for n in names]).alias("protocol"), by_turn("turn", [c for c, _ in made]).alias("calldata")))
 
 
-@query("f12_user_operations", f"""WITH o AS (SELECT o_orderkey AS tx, o_custkey AS k, unnest([0, 1, 2]) AS index FROM orders WHERE o_orderkey % 5 <> 0)
-  SELECT tx, CAST(index AS INTEGER) AS index, '0x' || {HEX40.format('k + 1')} AS src, CASE index WHEN 2 THEN '0x' || {HEX40.format('k + 4')} ELSE '0x' || {HEX40.format('k + 3')} END AS dst,
-    CASE index WHEN 0 THEN '0x' || {HEX40.format('k + 2')} ELSE '' END AS token, CAST(CASE index WHEN 1 THEN 77 ELSE k * 1000 END AS DECIMAL(38,0)) AS amount FROM o""")
-def f12(spark, sf):
-    """A bundle of three operations to an entry point: a token transfer inside execute, execute's own value, and
-    a bare transfer; every fifth transaction goes elsewhere."""
+MOST = 2**256 - 1
+
+
+def bundles(spark, sf):
+    """tx, to, calldata of a bundle of six operations in each order: a token transfer inside execute, execute's own
+    value, a bare transfer of the largest amount, both forms of executeBatch, and one whose calldata is cut
+    off.  Every fifth goes elsewhere; every seventh claims more operations than it has."""
     k = F.col("o_custkey")
-    transfer = lambda to: F.concat(F.lit("a9059cbb"), word(to), word(k * 1000))  # noqa: E731  68 bytes
-    pad = F.lit("0" * 56)
-    token = F.concat(F.lit("b61d27f6"), word(k + 2), word(F.lit(0)), word(F.lit(96)), word(F.lit(68)), transfer(k + 3), pad)  # 228 bytes
-    value = F.concat(F.lit("b61d27f6"), word(k + 3), word(F.lit(77)), word(F.lit(96)), word(F.lit(0)))  # 132 bytes
-    bare = transfer(k + 4)
-
-    def operation(body: Column, size: int) -> Column:
-        return F.concat(word(k + 1), word(F.lit(0)), word(F.lit(352)), *(word(F.lit(n)) for n in (352, 1, 1, 1, 1, 1, 352, 352)), word(F.lit(size)), body, F.lit("0" * (2 * (-size % 32))))
-
-    ops = [operation(token, 228), operation(value, 132), operation(bare, 68)]
-    sizes = [12 * 32 + s + -s % 32 for s in (228, 132, 68)]
-    at = [96, 96 + sizes[0], 96 + sizes[0] + sizes[1]]
-    bundle = F.concat(F.lit("0x1fad948c"), word(F.lit(64)), word(F.lit(9)), word(F.lit(3)), *(word(F.lit(a)) for a in at), *ops)
-    to = F.when(F.col("o_orderkey") % 5 == 0, F.lit("0x" + "12" * 20)).otherwise(F.lit(C.ENTRY_POINTS[0]))
-    calls = load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), to.alias("to"), bundle.alias("calldata"))
-    found = calls.select("tx", F.explode(C.user_operations(F.col("to"), F.col("calldata"))).alias("op"))
-    moved = found.select("tx", "op.index", F.explode(F.array(C.inner_transfer(F.col("op.sender"), F.col("op.call")))).alias("t"))
-    return moved.where("t IS NOT NULL").select("tx", "index", "t.*")
+    address = lambda n: E.static(E.word(k + n))
+    transfer = lambda to, amount: E.call("a9059cbb", address(to), E.static(amount))
+    taken = E.call("23b872dd", address(20), address(21), E.static(E.word(k)))
+    amount, none = E.word(k * 1000), E.static(E.word(0))
+    calls = [
+        E.call("b61d27f6", address(2), none, E.data(*transfer(3, amount))),
+        E.call("b61d27f6", address(3), E.static(E.word(77)), E.data(F.lit(""), 0)),
+        transfer(4, F.lit("f" * 64)),
+        E.call("18dfb3c7", E.array(address(5), address(6)), E.array(E.data(*transfer(7, amount)), E.data(*transfer(8, amount)))),
+        E.call("47e1da2a", E.array(address(9), address(10), address(11)), E.array(none, E.static(E.word(78)), none), E.array(E.data(*taken), E.data(F.lit(""), 0), E.data(F.lit(""), 0))),
+    ]
+    head = lambda body: E.several(address(1), none, E.data(F.lit(""), 0), body, *[none] * 5, E.data(F.lit(""), 0), E.data(F.lit(""), 0))
+    broken = E.several(address(1), none, E.data(F.lit(""), 0), E.static(E.word(10**6)), *[none] * 5, E.data(F.lit(""), 0), E.data(F.lit(""), 0))
+    bundle, _ = E.call("0x1fad948c", E.array(*(head(E.data(*c)) for c in calls), broken), address(30))
+    bundle = F.when(F.col("o_orderkey") % 7 == 3, F.overlay(bundle, E.word(3000), 10 + 128 + 1)).otherwise(bundle)
+    to = F.when(F.col("o_orderkey") % 5 == 0, F.lit("0x" + "12" * 20)).otherwise(F.lit(ENTRY_POINTS[0]))
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), to.alias("to"), bundle.alias("calldata"))
+
+
+@query("f12_user_operations", f"""WITH o AS (SELECT o_orderkey AS tx, o_custkey AS k FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 3),
+  moved AS (SELECT *, unnest([[0, 0, 1, 3, 2], [1, 0, 1, 3, -1], [2, 0, 1, 4, -1], [3, 0, 1, 7, 5], [3, 1, 1, 8, 6], [4, 0, 20, 21, 9], [4, 1, 1, 10, -1]]) AS m FROM o)
+  SELECT tx, CAST(m[1] AS INTEGER) AS index, CAST(m[2] AS INTEGER) AS place, '0x' || {HEX40.format('k + m[3]')} AS src, '0x' || {HEX40.format('k + m[4]')} AS dst, CASE WHEN m[5] > 0 THEN '0x' || {HEX40.format('k + m[5]')} ELSE '' END AS token,
+    CASE WHEN m[1] = 1 THEN '77' WHEN m[1] = 2 THEN '{MOST}' WHEN m[3] = 20 THEN CAST(k AS VARCHAR) WHEN m[1] = 4 THEN '78' ELSE CAST(k * 1000 AS VARCHAR) END AS amount FROM moved""")
+def f12(spark, sf):
+    found = user_operations(bundles(spark, sf)).where("problem IS NULL")
+    return inner_transfers(found.select("tx", "index", "sender", "call"))
+
+
+@query("f12_bundle_problems", """SELECT o_orderkey AS tx, CASE WHEN o_orderkey % 7 <> 3 THEN 5 END AS index, CASE WHEN o_orderkey % 7 = 3 THEN 3000 ELSE 6 END::BIGINT AS n_declared, CASE WHEN o_orderkey % 7 = 3 THEN 'count' ELSE 'operation' END AS problem
+  FROM orders WHERE o_orderkey % 5 <> 0""")
+def f12_problems(spark, sf):
+    """What a bundle holds and couldn't be read."""
+    return user_operations(bundles(spark, sf)).where("problem IS NOT NULL").select("tx", "index", "n_declared", "problem")
 
 
 @query("f13_safe_owner_changes", f"""SELECT o_orderkey, ['swapOwner', 'addOwnerWithThreshold', 'removeOwner', 'changeThreshold'][o_orderkey % 5 + 1] AS method, CASE WHEN o_orderkey % 5 IN (0, 2) THEN '0x' || {HEX40.format('o_custkey + 1')} END AS prev_owner,
@@ -189,7 +282,7 @@ def f16(spark, sf):
     fifth supplier's lines are logs of another contract."""
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("turn"))
     topic = lambda code, *parts: F.array(F.lit(code), *(F.concat(F.lit("0x"), p) for p in parts))
-    codes = [e[2] for e in C.POSITION_EVENTS]
+    codes = [e[2] for e in C.POSITION_EVENTS if e[0] != "market"]
     nothing, order, owner = word(F.lit(0)), word(F.col("o_orderkey")), word(F.col("o_custkey") + 1)
     logs = lambda contract, block, tx, log, topics, data: [F.lit("ethereum").alias("chain"), contract.alias("contract"), block.alias("block"), tx.alias("tx"), log.alias("log"), by_turn("turn", topics).alias("topics"), F.concat(F.lit("0x"), by_turn("turn", data)).alias("data")]
     value = word(F.lit(7))
@@ -202,3 +295,36 @@ def f16(spark, sf):
     parker = F.concat(F.lit("0x"), F.right(owner, F.lit(40)))
     found = position_leads(C.position_events(parks.unionByName(exits), [POSITION_MANAGER]), orders.select(F.lit("ethereum").alias("chain"), F.col("o_orderkey").alias("tx"), parker.alias("parker")))
     return found.select("kind", "park_tx", "exit_tx", "parker", "recipient", F.col("amount0").cast("double").alias("amount0"), F.col("amount1").cast("double").alias("amount1"), "recipient_is_parker", "link", "actor")
+
+
+MARKET = "0xc3d688b66703497daa19211eedff47f25384cdc3"
+LENDING_EXIT, MARKET_EXIT = (e[2] for e in C.POSITION_EVENTS if e[0] in ("lending", "market") and e[1] == "exit")
+
+
+@query("f16_withdrawals_elsewhere", f"""SELECT l_orderkey AS tx, l_linenumber AS log, CASE WHEN l_linenumber % 2 = 0 THEN 'lending' ELSE 'market' END AS kind, '0x' || {HEX40.format('o_custkey + 1')} AS wallet, '0x' || {HEX40.format('l_suppkey + 1')} AS recipient,
+    CASE WHEN l_linenumber = 4 THEN '{MOST}' ELSE CAST(l_partkey AS VARCHAR) END AS amount, 'high' AS confidence
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey AND o_custkey % 4 <> 0 AND (l_linenumber % 2 = 0 OR l_suppkey % 5 <> 0)""")
+def f16_elsewhere(spark, sf):
+    """Each line is a withdrawal by its order's customer to its supplier, from a pool or a market; every fifth
+    supplier's come from a contract that only shares the market's event; every fourth wallet isn't traced."""
+    rows = load(spark, sf, "orders").join(load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    owner, to, zero = (F.concat(F.lit("0x"), w) for w in (E.word(F.col("o_custkey") + 1), E.word(F.col("l_suppkey") + 1), E.word(9)))
+    pool = F.col("l_linenumber") % 2 == 0
+    topics = F.when(pool, F.array(F.lit(LENDING_EXIT), zero, owner, to)).otherwise(F.array(F.lit(MARKET_EXIT), owner, to))
+    contract = F.when(pool | (F.col("l_suppkey") % 5 != 0), F.lit(MARKET)).otherwise(F.lit("0x" + "ab" * 20))
+    data = F.concat(F.lit("0x"), F.when(F.col("l_linenumber") == 4, F.lit("f" * 64)).otherwise(E.word(F.col("l_partkey"))))
+    logs = rows.select(F.lit("ethereum").alias("chain"), contract.alias("contract"), F.lit(1).alias("block"), F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("log"), topics.alias("topics"), data.alias("data"))
+    wallets = load(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.lit("ethereum").alias("chain"), F.concat(F.lit("0x"), F.right(E.word(F.col("c_custkey") + 1), F.lit(40))).alias("wallet"))
+    found = withdrawals_elsewhere(C.position_events(logs, [], [MARKET]), wallets)
+    return found.select("tx", "log", "kind", "wallet", "recipient", "amount", "confidence")
+
+
+@query("f10_wide_sums", f"""SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) FILTER (WHERE o_orderkey % 3 = 0) = 0 THEN '' ELSE CAST(count(*) FILTER (WHERE o_orderkey % 3 = 0) * 1000000007::HUGEINT AS VARCHAR) || repeat('0', 60) END AS total
+  FROM orders GROUP BY o_custkey""")
+def f10_wide(spark, sf):
+    """Exact sums of words far beyond 128 bits: a third of a customer's calls move 1000000007 * 10**60, the others nothing."""
+    unit = f"{1000000007 * 10**60:064x}"
+    data = abi.raw(F.concat(F.lit("0xa9059cbb"), E.word(F.col("o_custkey")), F.when(F.col("o_orderkey") % 3 == 0, F.lit(unit)).otherwise(F.lit("0" * 64))))
+    rows = load(spark, sf, "orders").select("o_custkey", data.alias("data")).select("o_custkey", abi.limbs(abi.slot(F.col("data"), abi.ARGUMENTS, 1)).alias("amount"))
+    sums = rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), *abi.limb_sums(F.col("amount")))
+    return sums.select("o_custkey", "n", F.when(abi.summed() == "0", "").otherwise(abi.summed()).alias("total"))

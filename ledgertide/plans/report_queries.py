@@ -281,12 +281,12 @@ def x13(spark, sf):
     return rows.groupBy("subject", "risk_category").agg(F.min("block_time").alias("date_from"), F.max("block_time").alias("date_to"), money(F.sum("usd")).alias("usd"))
 
 
-@query("x14_exhibits", """WITH a AS (SELECT c_name AS file, c_nationkey AS case_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS i FROM customer) SELECT case_id, file, 'Exhibit ' || CASE WHEN i >= 26 THEN chr(CAST(64 + i // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + i % 26 AS INTEGER)) AS label, sha256(file) AS sha256 FROM a WHERE i < 702""")
+@query("x14_exhibits", """WITH a AS (SELECT c_name AS file, c_nationkey AS case_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS i FROM customer) SELECT case_id, file, 'Exhibit ' || CASE WHEN i >= 18278 THEN chr(CAST(65 + (i - 18278) // 17576 AS INTEGER)) ELSE '' END || CASE WHEN i >= 702 THEN chr(CAST(65 + (i - 702) // 676 % 26 AS INTEGER)) ELSE '' END || CASE WHEN i >= 26 THEN chr(CAST(65 + (i - 26) // 26 % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + i % 26 AS INTEGER)) AS label, sha256(file) AS sha256 FROM a""")
 def x14(spark, sf):
     """Files of each case in order, lettered as spreadsheets letter columns."""
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("file")) - 1
     rows = load(spark, sf, "customer").select(F.col("c_nationkey").alias("case_id"), F.col("c_name").alias("file"))
-    return rows.withColumn("i", place).where("i < 702").select("case_id", "file", F.concat(F.lit("Exhibit "), X.exhibit_letter(F.col("i"))).alias("label"), F.sha2(F.col("file").cast("binary"), 256).alias("sha256"))
+    return rows.withColumn("i", place).select("case_id", "file", F.concat(F.lit("Exhibit "), X.exhibit_letter(F.col("i"))).alias("label"), F.sha2(F.col("file").cast("binary"), 256).alias("sha256"))
 
 
 @query("x16_sum_coherence", f"""WITH {O}, p AS (SELECT letter_id, sum(coalesce(frozen_usd, 0) + coalesce(returned_usd, 0)) AS parts FROM outcomes GROUP BY letter_id) SELECT letter_id, CAST(requested_usd - parts AS DOUBLE) AS gap FROM letters JOIN p USING (letter_id) WHERE requested_usd > 0 AND parts > 0 AND abs(requested_usd - parts) > 100""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgertide.functions import checksums as K
 from ledgertide.functions import expressions as X
 from ledgertide.functions.checksums import chain_family
 from ledgertide.operators.aggregates import money
@@ -45,6 +46,26 @@ def p2(spark, sf):
     return rows.select("c_custkey", chain_family(address).alias("family"))
 
 
+#: Public test vectors of segwit addresses with their kinds (none: refused), and others with theirs.
+SEGWIT_VECTORS = [
+    ("BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4", "p2wpkh"), ("bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", "p2wpkh"), ("bc1qrp33g0q5c5txsp9arysrx4k6zdkfs4nce4xj0gdcccefvpysxf3qccfmv3", "p2wsh"),
+    ("bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", "p2tr"), ("bc1pw508d6qejxtdg4y5r3zarvary0c5xw7kw508d6qejxtdg4y5r3zarvary0c5xw7kt5nd6y", "witness_v1"), ("BC1SW50QGDZ25J", "witness_v16"), ("bc1zw508d6qejxtdg4y5r3zarvaryvaxxpcs", "witness_v2"),
+    ("bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", None), ("bc1qr508d6qejxtdg4y5r3zarvaryv98gj9p", None), ("BC130XLXVLHEMJA6C4DQV22UAPCTQUPFHLXM9H8Z3K2E72Q4K9HCZ7VQ7ZWS8R", None), ("bc130xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vq7zws8r", None),
+    ("bc1pw5dgrnzv", None), ("bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7v8n0nx0muaewav253zgeav", None), ("bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqh2y7hd", None), ("bc1q0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", None), ("bc1zw508d6qejxtdg4y5r3zarvaryvqyzf3du", None),
+    ("Bc1qW508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", None), ("tb1qw508d6qejxtdg4y5r3zarvary0c5xw7kxpjzsx", None), ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "p2pkh"), ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", None), ("3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "p2sh"), ("2N1SP7r92ZZJvYKG2oNtzPwYnzw62up7mTo", None),
+]
+
+
+@query("f17_address_codecs", f"""WITH v(i, raw, kind) AS (VALUES {", ".join(f"({i}, '{a}', " + (f"'{k}')" if k else "NULL)") for i, (a, k) in enumerate(SEGWIT_VECTORS))})
+  SELECT c_custkey, kind, CASE WHEN kind IS NOT NULL THEN CASE WHEN lower(raw[:3]) = 'bc1' THEN lower(raw) ELSE raw END END AS key, CASE WHEN kind IS NULL THEN 'unknown' ELSE 'bitcoin' END AS family,
+    CASE WHEN c_custkey % 2 = 0 THEN '0x891cdb91d149f23b1a45d9c5ca78a88d0cb44c18' END AS tron FROM customer JOIN v ON i = c_custkey % {len(SEGWIT_VECTORS)}""")
+def f17(spark, sf):
+    """Valid and invalid addresses of the published vectors, with blanks about them; a tron address, each other one broken."""
+    shown = F.concat(F.lit(" "), F.element_at(F.array(*(F.lit(a) for a, _ in SEGWIT_VECTORS)), (F.col("c_custkey") % len(SEGWIT_VECTORS) + 1).cast("int")))
+    tron = F.when(F.col("c_custkey") % 2 == 0, "TNUC9Qb1rRpS5CbWLmNMxXBjyFoydXjWFR").otherwise("TNUC9Qb1rRpS5CbWLmNMxXBjyFoydXjWFr")
+    return load(spark, sf, "customer").select("c_custkey", K.bitcoin_address_kind(shown).alias("kind"), K.bitcoin_key(shown).alias("key"), K.chain_family(shown).alias("family"), K.tron_as_hex(tron).alias("tron"))
+
+
 @query("p3_inclusion", f"WITH {T}, p AS (SELECT *, CASE WHEN token % 10 <> 0 THEN usd END AS price FROM t) SELECT chain, count(*) AS n FROM p WHERE NOT coalesce(price < 10000, false) AND NOT (price IS NULL AND amt < 5) GROUP BY chain")
 def p3(spark, sf):
     price = F.when(F.col("token") % 10 != 0, F.col("usd"))
