@@ -28,7 +28,7 @@ TERM = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 #: A task sums its counts whenever it holds so many rows of them.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 600_000
 #: A shard is worked on in runs of whole terms of about so many rows.
 RUN_ROWS = 200_000
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])

@@ -8,10 +8,12 @@ that hold the pivot, so each phrase is counted in one place and no other phrase
 
 "Rarer" may be any fixed order, so a table of fixed size says it: frequencies in quarter
 octaves, by hash of the word (of words that share an entry the highest; ties go by hash).
-What can't be frequent ends a fragment: a word that the exact counts don't keep, or a pair of
-words that a bitmap of pairs says is rare.  Both tables only prune; they never lose a
-phrase, also where a large corpus fills them.  A pivot with many occurrences is dealt over
-several partitions by a hash of its fragments, and its phrases' counts are summed after.
+What can't be frequent ends a fragment: a word that the exact counts don't keep, or a pair or
+three words of which a bitmap says that they are rare (so a fragment may be cut in two at
+its pivot; short ones repeat, and count as one row a task).  Both tables only prune; they
+never lose a phrase, also where a large corpus fills them.  Pivots are dealt over buckets; a task sends each
+bucket its fragments in one row.  A pivot with many occurrences is dealt over several
+buckets by a hash of its fragments, and its phrases' counts are summed after.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.llm.bytekit import FOLD, Slice, byte_class, mix, ngram_hashes, runs, slices, span_texts, word_hashes
 from ledgertide.llm.filters import frequency_filters, holds
-from ledgertide.llm.shared import Scratch, group_starts, grouped, table
+from ledgertide.llm.shared import Scratch, group_starts, table
 
 #: Words end at white space and at what ends a piece.
 WORD = byte_class((0x20, 0x20), (0x09, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"), inverse=True)
@@ -37,14 +39,14 @@ TOP = 2_000
 COVERED_PERCENT = 80
 SCORE = 2_000_000
 RANK_BITS = 22
-#: A pivot gets a partition key for about so many of its occurrences.
-PIVOT_ROWS = 1 << 13
+#: A pivot gets a bucket for about so many of its occurrences.
+PIVOT_ROWS = 1 << 17
 #: A task sums its fragments, or its words, whenever it holds so many.
-HELD = 1_500_000
+HELD = 600_000
 SIDE = MOST_WORDS - 1
 WINDOW = 2 * SIDE + 1
 _U = np.uint64
-_PAIR_SEED = _U(0x9FB21C651E98DF25)
+_SEEDS = {2: _U(0x9FB21C651E98DF25), 3: _U(0xC13FA9A902A6328F)}
 
 
 def language_seed(lang: str) -> np.uint64:
@@ -66,9 +68,13 @@ class Words:
         if len(self.starts):
             self.joined[:-1] = (self.doc[1:] == self.doc[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1]])
 
-    def pairs(self) -> np.ndarray:
-        """A key of each word with the next one (of use only where they are joined)."""
-        return mix(ngram_hashes(self.keys, 2) ^ _PAIR_SEED)
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key of each word with the n - 1 next ones, and whether these are joined."""
+        keys = mix(ngram_hashes(self.keys, n) ^ _SEEDS[n])
+        joined = np.ones(len(keys), bool)
+        for k in range(n - 1):
+            joined &= self.joined[k : k + len(keys)]
+        return keys, joined
 
 
 def each_slice(batch: pa.RecordBatch, seeds: dict[str, np.uint64]) -> Iterator[tuple[list[str], Words]]:
@@ -82,13 +88,15 @@ def each_slice(batch: pa.RecordBatch, seeds: dict[str, np.uint64]) -> Iterator[t
 
 
 def frequent_keys(docs: DataFrame, min_count: int) -> np.ndarray:
-    """A bitmap of the words and of the joined pairs that may occur min_count times."""
+    """A bitmap of the words, and of the joined pairs and threes, that may occur min_count times."""
     seeds: dict[str, np.uint64] = {}
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, words in each_slice(batch, seeds):
             yield words.keys
-            yield words.pairs()[words.joined[:-1]]
+            for n in _SEEDS:
+                keys, joined = words.grams(n)
+                yield keys[joined]
 
     return frequency_filters(docs, keys_of, (min_count - 1,))[0]
 
@@ -144,13 +152,21 @@ def rank_table(words: DataFrame, bits: int) -> np.ndarray:
 
 
 def fragments(docs: DataFrame, may: object, ranks: object, bits: int, pivot_rows: int) -> DataFrame:
-    """lang, pivot, salt, left (words before the pivot), words (keys of 8 bytes each), n."""
+    """bucket and, in lists of equal length, lang, salted, left (words before the pivot), words (keys of 8 bytes
+    each) and n of its fragments: a row for each task and bucket, or a few."""
+    # a bucket gets about as much as a quarter of one input partition gives
+    split = max(8, min(20, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
 
     def windows(words: Words) -> tuple[np.ndarray, ...]:
+        """Pivots with their words on the left and right, and the pivots' levels."""
         level = ranks.value[(words.keys >> _U(64 - bits)).astype(np.int64)].astype(np.int16)
         n = len(level)
-        joined = words.joined & (level > 0)
-        joined[:-1] &= (level[1:] > 0) & (holds(may.value, words.pairs()) > 0)
+        joined, threes = np.zeros(n, bool), np.zeros(n, bool)
+        for size, out in ((2, joined), (3, threes)):
+            keys, whole = words.grams(size)
+            out[: len(keys)] = whole & (holds(may.value, keys) > 0)
+        joined &= level > 0
+        joined[:-1] &= level[1:] > 0
         left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for side, reach in ((-1, left), (1, right)):
             open_ = np.arange(n)
@@ -159,79 +175,96 @@ def fragments(docs: DataFrame, may: object, ranks: object, bits: int, pivot_rows
                 inside = (at >= 0) & (at < n)
                 open_, at = open_[inside], at[inside]
                 link = joined[at] if side < 0 else joined[at - 1]
+                if step > 1:
+                    link = link & (threes[at] if side < 0 else threes[at - 2])
                 more = (level[at] > level[open_]) | ((level[at] == level[open_]) & (words.keys[at] > words.keys[open_]))
                 if side > 0:
                     more |= words.keys[at] == words.keys[open_]
                 open_ = open_[link & more]
                 reach[open_] = step
-        pivots = np.flatnonzero(left + right > 0)
-        return pivots, left[pivots], right[pivots], level[pivots]
+        center = np.concatenate([[False], threes[:-1]])
+        apart = (left > 0) & (right > 0) & ~center
+        one, two = np.flatnonzero((left + right > 0) & ~apart), np.flatnonzero(apart)
+        none = np.zeros(len(two), np.int64)
+        pivots = np.concatenate([one, two, two])
+        return pivots, np.concatenate([left[one], left[two], none]), np.concatenate([right[one], none, right[two]]), level[pivots]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: dict[str, np.uint64] = {}
         held: list[pa.Table] = []
         rows = 0
+        keys = ["bucket", "lang", "salted", "left", "words"]
 
         def summed() -> pa.Table:
-            return pa.concat_tables(held).group_by(["lang", "pivot", "salt", "left", "words"]).aggregate([("n", "sum")]).rename_columns(["lang", "pivot", "salt", "left", "words", "n"])
+            return pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"])
+
+        def packed(whole: pa.Table) -> pa.RecordBatch:
+            whole = whole.sort_by("bucket").combine_chunks()
+            buckets = whole["bucket"].to_numpy()
+            cuts = group_starts([buckets])
+            ends = pa.array(np.append(cuts, len(buckets)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, whole[c].combine_chunks()) for c in ("lang", "salted", "left", "words", "n_sum")]
+            return pa.RecordBatch.from_arrays([pa.array(buckets[cuts]), *lists], ["bucket", "lang", "salted", "left", "words", "n"])
 
         for batch in batches:
             for langs, words in each_slice(batch, seeds):
                 if not len(words.keys):
                     continue
                 pivots, left, right, level = windows(words)
+                if not len(pivots):
+                    continue
                 size = left + right + 1
                 lo = np.zeros(len(pivots) + 1, np.int64)
                 np.cumsum(size, out=lo[1:])
                 at = np.arange(lo[-1]) + np.repeat(pivots - left - lo[:-1], size)
-                keys = words.keys[at]
-                body = pa.Array.from_buffers(pa.large_binary(), len(pivots), [None, pa.py_buffer(lo * 8), pa.py_buffer(keys.view(np.uint8))]).cast(pa.binary())
+                own = words.keys[at]
+                body = pa.Array.from_buffers(pa.large_binary(), len(pivots), [None, pa.py_buffer(lo * 8), pa.py_buffer(own.view(np.uint8))]).cast(pa.binary())
                 # equal fragments meet under one salt
-                whole = mix(np.add.reduceat(keys * mix(np.arange(len(keys), dtype=_U) - np.repeat(lo[:-1].astype(_U), size) + _U(1)), lo[:-1])) if len(pivots) else np.zeros(0, _U)
+                place = np.arange(len(own), dtype=_U) - np.repeat(lo[:-1].astype(_U), size)
+                whole = mix(np.add.reduceat(own * mix(place + _U(1)), lo[:-1]))
                 parts = np.maximum(1, np.exp2(level / 4).astype(np.int64) // pivot_rows).astype(_U)
-                salt = (whole % parts).astype(np.int64)
-                salt[parts == 1] = -1
-                own = pa.array(langs, pa.string()).take(pa.array(words.doc[pivots]))
-                held.append(pa.table({"lang": own, "pivot": words.keys[pivots].view(np.int64), "salt": salt, "left": left, "words": body, "n": np.ones(len(pivots), np.int64)}))
+                bucket = mix(words.keys[pivots] + whole % parts * _U(0x9E3779B97F4A7C15)) >> _U(64 - split)
+                lang = pa.array(langs, pa.string()).take(pa.array(words.doc[pivots]))
+                held.append(pa.table({"bucket": bucket.astype(np.int32), "lang": lang, "salted": parts > 1, "left": left.astype(np.int8), "words": body, "n": np.ones(len(pivots), np.int64)}))
                 rows += len(pivots)
                 if rows >= HELD:
-                    held = [summed()]
+                    held = [summed().rename_columns([*keys, "n"])]
                     rows = held[0].num_rows
                     if rows > HELD // 2:
-                        yield from held[0].to_batches(max_chunksize=100_000)
+                        yield packed(held[0].rename_columns([*keys, "n_sum"]))
                         held, rows = [], 0
         if held:
-            yield from summed().to_batches(max_chunksize=100_000)
+            yield packed(summed())
 
-    return docs.mapInArrow(run, "lang string, pivot long, salt long, left long, words binary, n long")
+    return docs.mapInArrow(run, "bucket int, lang array<string>, salted array<boolean>, left array<tinyint>, words array<binary>, n array<long>")
 
 
 def mined(parts: DataFrame, min_count: int) -> DataFrame:
-    """lang, gram (big-endian keys of 8 bytes), n: the phrases that hold their fragment's pivot; of
-    pivots with one partition key only what is frequent, of others what one key holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(batches, ["lang", "pivot", "salt"], HELD // 4):
-            left, n, salted = (part[c].to_numpy() for c in ("left", "n", "salt"))
-            raw = part["words"].combine_chunks().cast(pa.large_binary())
-            ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-            keys = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_U).byteswap()
-            lo = (ends - ends[0]) // 8
-            size = np.diff(lo)
-            for length in range(2, MOST_WORDS + 1):
-                found = [(has, lo[has] + left[has] - before) for before in range(length) for has in [np.flatnonzero((left >= before) & (size - left >= length - before))]]
-                owner, begin = (np.concatenate(x) for x in zip(*found, strict=True))
-                if not len(owner):
-                    continue
-                grams = keys[begin[:, None] + np.arange(length)]
-                body = pa.Array.from_buffers(pa.binary(8 * length), len(owner), [None, pa.py_buffer(grams.view(np.uint8).reshape(-1))]).cast(pa.binary())
-                out = pa.table({"lang": part["lang"].take(pa.array(owner)), "gram": body, "n": n[owner], "salted": salted[owner] >= 0})
-                out = out.group_by(["lang", "gram", "salted"]).aggregate([("n", "sum")])
-                out = out.filter(pc.or_(out["salted"], pc.greater_equal(out["n_sum"], min_count)))
-                yield from out.select(["lang", "gram", "n_sum"]).rename_columns(["lang", "gram", "n"]).to_batches(max_chunksize=100_000)
-
-    dealt = parts.repartition("lang", "pivot", "salt").sortWithinPartitions("lang", "pivot", "salt")
-    return dealt.mapInArrow(run, "lang string, gram binary, n long")
+    """lang, gram (big-endian keys of 8 bytes), n: the phrases that hold their fragment's pivot; of pivots
+    with one bucket only what is frequent, of others what one bucket holds."""
+
+    def mine(group: pa.Table) -> pa.Table:
+        column = lambda c: group[c].combine_chunks().flatten()
+        lang, salted, n = column("lang"), column("salted"), column("n").to_numpy()
+        left = column("left").to_numpy().astype(np.int64)
+        raw = column("words").cast(pa.large_binary())
+        ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+        keys = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_U).byteswap()
+        lo = (ends - ends[0]) // 8
+        size = np.diff(lo)
+        out = []
+        for length in range(2, MOST_WORDS + 1):
+            found = [(has, lo[has] + left[has] - before) for before in range(length) for has in [np.flatnonzero((left >= before) & (size - left >= length - before))]]
+            owner, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+            grams = keys[begin[:, None] + np.arange(length)]
+            body = pa.Array.from_buffers(pa.binary(8 * length), len(owner), [None, pa.py_buffer(grams.view(np.uint8).reshape(-1))]).cast(pa.binary())
+            at = pa.array(owner)
+            counts = pa.table({"lang": lang.take(at), "gram": body, "salted": salted.take(at), "n": n[owner]}).group_by(["lang", "gram", "salted"]).aggregate([("n", "sum")])
+            counts = counts.filter(pc.or_(counts["salted"], pc.greater_equal(counts["n_sum"], min_count)))
+            out.append(counts.select(["lang", "gram", "n_sum"]).rename_columns(["lang", "gram", "n"]))
+        return pa.concat_tables(out)
+
+    return parts.groupBy("bucket").applyInArrow(mine, "lang string, gram binary, n long")
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int, rank_bits: int, pivot_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -297,7 +330,8 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 lists AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 places AS (
   SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
