@@ -9,21 +9,29 @@ import tempfile
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgertide.operators.joins import split_legs, value_matches
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, checkpointed under spark.checkpoint.dir.  Where that is unset, local mode takes a temporary
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Where that is unset, local mode takes a temporary
     folder; a cluster must name one that all machines share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ledgertide-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df, checkpointed under ``shared_root``."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local") or not root and context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="ledgertide-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -15,9 +15,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def landed(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files of a folder, with its schema; times become session-zone timestamps
-    (watermarks need these)."""
-    schema = spark.read.parquet(folder).schema
+    """A stream of the Parquet files of a folder (or of one file), with its schema; times become
+    session-zone timestamps (watermarks need these)."""
+    table = spark.read.parquet(folder)
+    schema = table.schema
+    if table.inputFiles() and table.inputFiles()[0].endswith(folder.rpartition("/")[2]):
+        folder = f"{folder[:-1]}[{folder[-1]}]"  # the file source takes one file only by a pattern
     reader = spark.readStream.schema(schema)
     stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
     return stream.select(*(F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema.fields))
