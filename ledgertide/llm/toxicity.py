@@ -317,8 +317,8 @@ def learnt_stems(rows: DataFrame) -> list[str]:
     """Beginnings of words that toxic rows hold far more often than others.
 
     A stem's counts are of rows (near copies of each other count once), and in toxic rows also of
-    the pairs of neighbours that its words have there, for a copied passage brings the same
-    ones along; the less counts.
+    the words that stand before its words, and after them, for a copied passage brings the
+    same ones along; the least counts.
     """
 
     def per_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,17 +343,17 @@ def learnt_stems(rows: DataFrame) -> list[str]:
             for piece in slices(batch.column(1)):
                 tokens = Tokens(piece)
                 row = np.repeat(np.arange(len(piece)), np.diff(tokens.first))
-                padded = np.concatenate([[np.uint64(0)], tokens.keys, [np.uint64(0)]])
-                places = mix(padded[:-2] ^ mix(padded[2:])).view(np.int64)
+                padded = np.concatenate([[np.uint64(0)], tokens.keys, [np.uint64(0)]]).view(np.int64)
                 for length in STEM:
                     at, keys = tokens.stems(length)
                     at = at[_among(keys, known)]
                     toxic = batch.column(2).slice(piece.rows.start, len(piece)).take(pa.array(row[at]))
                     stems = [tokens.data[a : a + length].tobytes() for a in tokens.starts[at].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(stems, pa.binary()), toxic, pa.array(places[at])], ["stem", "toxic", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(stems, pa.binary()), toxic, pa.array(padded[at]), pa.array(padded[at + 2])], ["stem", "toxic", "before", "after"])
 
-    seen = rows.select("turn", "text", "toxic").mapInArrow(per_place, "stem binary, toxic int, place long").where("toxic = 1")
-    places = {bytes(r.stem): r.n for r in seen.groupBy("stem").agg(F.count_distinct("place").alias("n")).collect()}
+    seen = rows.select("turn", "text", "toxic").mapInArrow(per_place, "stem binary, toxic int, before long, after long").where("toxic = 1")
+    sides = [seen.groupBy("stem").agg(F.count_distinct(c).alias(c)) for c in ("before", "after")]
+    places = {bytes(r.stem): min(r.before, r.after) for r in sides[0].join(sides[1], "stem").collect()}
     by_key = {r.stem: (r.bad, r.n) for r in likely}
     found = {}
     for stem, n in places.items():
