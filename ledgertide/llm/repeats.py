@@ -358,7 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
     spans = sort_suffixes(normal)
     if any_crowded:
         crowd = found.join(crowded, "gram", "left_semi")
-        for width in CELLS:
+        for width in (w for w in CELLS if w <= length):  # a cell's windows must share bytes
             alike, few, crowd = dealt_anew(crowd, width, length, most, scratch)
             spans = spans.union(alike).union(sort_suffixes(few))
             if crowd is None:

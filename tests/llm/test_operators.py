@@ -120,7 +120,7 @@ def test_keep_rows_goes_by_row(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, [*one, rows[0], *rows[3:7], *rows[9:]]))
 
 
-@pytest.mark.parametrize("length,most", [(400, 20_000), (40, 20_000), (40, 3), (100, 2)])
+@pytest.mark.parametrize("length,most", [(400, 20_000), (40, 20_000), (40, 3), (100, 2), (28, 3), (24, 3)])
 def test_repeats(odd, length, most):
     rows = odd_rows()
     want = sorted(repr((d, n, [tuple(s) for s in spans], kept)) for (d, _), (n, spans, kept) in zip(rows, repeats([t for _, t in rows], length), strict=True))
