@@ -54,6 +54,61 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, closed: DataF
     return reduce(DataFrame.unionByName, found)
 
 
+STOPS = ("burn", "placeholder", "service label", "contract")
+
+
+def policy_trace(transfers: DataFrame, seeds: DataFrame, labels: DataFrame, contracts: DataFrame, max_depth: int, dust: float = 10, unpriced_dust: float = 0.001, service_outflows: int = 200) -> DataFrame:
+    """node, depth, followed, stopped (why not, null where it is followed) of what the seeds (node) reach by transfers (src,
+    dst, address, block_time, usd, amt), under the rules of tracing.
+
+    A transfer counts from ``dust`` on, or without a price from unpriced_dust of the token on.  Its receiver is
+    followed unless the address is a burn or a placeholder, its label at that time is a
+    service's, it is a contract (column node), or max_depth is reached; a node with more outflows
+    than service_outflows is reached, not expanded, unless it is a seed.  A node that one transfer doesn't lead
+    into may be followed by another.  The rules are judged once a transfer, the loop walks
+    over two tables of edges.
+    """
+    from ledgertide.functions.expressions import is_burn, is_placeholder
+    from ledgertide.operators.joins import point_in_time_labels
+
+    kept = transfers.where((F.col("usd") >= dust) | (F.col("usd").isNull() & (F.col("amt").isNull() | (F.col("amt") >= unpriced_dust))))
+    known = point_in_time_labels(kept, labels).join(contracts.select(F.col("node").alias("dst"), F.lit(True).alias("contract")).distinct(), "dst", "left")
+    service = F.col("category").isin("exchange", "exchange_deposit", "exchange_hot_wallet", "mixer", "bridge")
+    stop = F.when(is_burn(F.col("address")), 0).when(is_placeholder(F.col("address")), 1).when(F.coalesce(service, F.lit(False)), 2).when(F.coalesce("contract", F.lit(False)), 3)
+    edges = settle(known.select("src", "dst", stop.alias("stop")).distinct())
+    busy = kept.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > service_outflows).select("node").join(seeds, "node", "left_anti")
+    walked = settle(bfs(edges.where("stop IS NULL").select("src", "dst").distinct(), seeds, max_depth - 1, closed=busy))
+    open_ = walked.join(busy, "node", "left_anti").where(F.col("depth") < max_depth)
+    reached = edges.join(open_.select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + 1).alias("reached"), F.min("stop").alias("stop"))
+    both = reached.join(walked, "node", "full").join(busy.withColumn("busy", F.lit(True)), "node", "left")
+    followed = F.col("depth").isNotNull() & F.col("busy").isNull()
+    why = F.when(~followed, F.when(F.col("depth").isNotNull(), "service wallet").when(F.col("stop").isNotNull(), F.element_at(F.array(*map(F.lit, STOPS)), F.col("stop") + 1)).otherwise("depth"))
+    return both.select("node", F.least("reached", "depth").alias("depth"), followed.alias("followed"), why.alias("stopped"))
+
+
+def grown_clusters(membership: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """membership (address, chain, cluster_id) and new groups (group_id, address, chain) of two members or more ->
+    the new membership, and the forwarding table (merged_id, cluster_id).
+
+    Only clusters that a group touches are looked at: groups that share a member, or a cluster
+    through one, become one cluster.  It takes the smallest id of those it touches, and the
+    others forward to it; one that touches none gets an id from its smallest member.
+    """
+    large = groups.groupBy("group_id").agg(F.count_distinct("chain", "address").alias("n")).where("n > 1").select("group_id")
+    members = settle(groups.join(large, "group_id", "left_semi").select("group_id", "address", "chain").distinct().join(membership, ["address", "chain"], "left"))
+    name = lambda kind, *c: F.concat_ws("|", F.lit(kind), *c)
+    group, member = name("g", F.col("group_id").cast("string")), name("m", "chain", "address")
+    links = members.select(group.alias("a"), member.alias("b")).unionByName(members.where("cluster_id IS NOT NULL").select(group.alias("a"), name("c", "cluster_id").alias("b")))
+    roots = settle(components(links))
+    placed = members.withColumn("node", member).join(roots, "node")
+    named = placed.groupBy("component").agg(F.min("cluster_id").alias("old"), F.min(F.concat_ws("|", "chain", "address")).alias("least"))
+    named = settle(named.select("component", F.coalesce("old", F.concat(F.lit("cluster_"), F.substring(F.sha2(F.col("least").cast("binary"), 256), 1, 12))).alias("canonical")))
+    forward = settle(placed.where("cluster_id IS NOT NULL").select(F.col("cluster_id").alias("merged_id"), "component").distinct().join(named, "component").where("merged_id <> canonical").select("merged_id", F.col("canonical").alias("cluster_id")))
+    fresh = placed.where("cluster_id IS NULL").select("address", "chain", "component").distinct().join(named, "component").select("address", "chain", F.col("canonical").alias("cluster_id"))
+    kept = membership.join(forward.select(F.col("merged_id").alias("cluster_id"), F.col("cluster_id").alias("to")), "cluster_id", "left").select("address", "chain", F.coalesce("to", "cluster_id").alias("cluster_id"))
+    return settle(kept.unionByName(fresh)), forward
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of an undirected edge table (a, b), by alternating large
     and small stars: every round is two aggregations, rounds grow with the logarithm of the size."""

@@ -39,6 +39,39 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, r
     return pairs.withColumn("days", F.datediff(right_time, left_time)).where(F.col("days").between(0, days)).drop("bucket", "band")
 
 
+def totals_within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, days: int, left_value: str, right_value: str, apart: tuple[str, str] | None = None) -> DataFrame:
+    """left with n, total and first: the count, sum of right_value and earliest right_time of the right rows
+    of equal keys with 0 <= right_time - left_time <= days and right_value <= left_value; rows
+    with none are left out.  But for keys the column names must differ.
+
+    apart: (left column, right column) that must differ.  No pair is made: a left row meets the
+    days (and values of apart) that the key has, and among a day's rows, sorted by value, the
+    running totals below it.  So the work is that of the rows times the days, also where a
+    key holds a third of them.
+    """
+    day = lambda c: F.to_date(F.col(c))
+    group = [*keys, "at", *([apart[1]] if apart else [])]
+    held = right.withColumn("at", day(right_time))
+    rows = left.withColumn("row", F.monotonically_increasing_id())
+    rows = settled_ids(rows)
+    spans = within(rows.select(*keys, "row", left_time, left_value, *([apart[0]] if apart else [])), held.select(*group).distinct().withColumn("at_time", F.col("at").cast("timestamp_ntz")), keys, left_time, "at_time", days)
+    if apart:
+        spans = spans.where(F.col(apart[0]) != F.col(apart[1]))
+    asked = spans.select(*group, F.col(left_value).alias("value"), F.lit(1).alias("kind"), "row")
+    given = held.select(*group, F.col(right_value).alias("value"), F.lit(0).alias("kind"), F.col(right_value).alias("part"), F.col(right_time).alias("seen"))
+    below = Window.partitionBy(*group).orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    running = given.unionByName(asked, allowMissingColumns=True).select("row", "kind", F.count("part").over(below).alias("n"), F.sum("part").over(below).alias("total"), F.min("seen").over(below).alias("first"))
+    sums = running.where("kind = 1 AND n > 0").groupBy("row").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("first").alias("first"))
+    return rows.join(sums, "row").drop("row")
+
+
+def settled_ids(rows: DataFrame) -> DataFrame:
+    """Rows whose ids are read twice: written once, so that both readings agree."""
+    from ledgertide.operators.graph import settle
+
+    return settle(rows)
+
+
 def parts_per_million(part: Column, whole: Column) -> Column:
     """|part| in millionths of whole, rounded down."""
     return F.floor(F.abs(part).cast("double") * 1_000_000 / whole.cast("double"))

@@ -1,33 +1,112 @@
-"""Which inputs of a transaction can make up an output (a search that SQL can't express)."""
+"""Which inputs of a transaction can make up an output: subsets whose sum lies in a range, the small ones
+first and in the order of their indexes.
+
+Sets of one to three inputs are listed and compared at once.  Larger ones meet in the middle: their
+last three members are one of the listed triples, sorted by sum, and a table of the
+greatest first index over runs of that order says at once whether any triple fits
+behind the other members.  So the work is that of the triples, whatever the number of
+subsets, and a search that finds nothing is as short as one that does.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: With more inputs than this triples are too many: sets of up to four (of pairs), or beyond the second
+#: bound of two, are searched, and the result says that it was cut.
+MOST_FOR_TRIPLES, MOST_FOR_PAIRS = 256, 4096
+
+
+def _combinations(n: int, k: int) -> np.ndarray:
+    """All index sets of size k in order, a row each."""
+    out = np.arange(n, dtype=np.int32)[:, None]
+    for _ in range(k - 1):
+        counts = n - 1 - out[:, -1]
+        owner = np.repeat(np.arange(len(out)), counts)
+        begin = np.cumsum(counts) - counts
+        last = np.arange(len(owner)) - begin[owner] + out[owner, -1] + 1
+        out = np.hstack([out[owner], last[:, None].astype(np.int32)])
+    return out
+
+
+class _Greatest:
+    """The greatest value over any run of an array, by doubling."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        step = 1
+        while 2 * step <= len(values):
+            last = self.levels[-1]
+            self.levels.append(np.maximum(last[:-step], last[step:]))
+            step *= 2
+
+    def over(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of lo..hi-1; -1 for empty runs."""
+        out = np.full(len(lo), -1, self.levels[0].dtype)
+        level = np.frompyfunc(lambda n: int(n).bit_length() - 1, 1, 1)(np.maximum(hi - lo, 1)).astype(np.int64)
+        for k in np.unique(level[hi > lo]):
+            at = np.flatnonzero((level == k) & (hi > lo))
+            out[at] = np.maximum(self.levels[k][lo[at]], self.levels[k][hi[at] - (1 << int(k))])
+        return out
+
 
-def subsets(inputs: list[int], target: int, tolerance: int, size: int, most: int) -> list[list[int]]:
-    """At most ``most`` index sets of up to ``size`` inputs whose sum exceeds the target by 0..tolerance,
-    small sets first."""
-    every = (c for n in range(1, min(size, len(inputs)) + 1) for c in combinations(range(len(inputs)), n) if 0 <= sum(inputs[i] for i in c) - target <= tolerance)
-    return [list(c) for c in islice(every, most)]
+def subsets(inputs: list[int], low: int, high: int, size: int, most: int) -> tuple[list[list[int]], bool]:
+    """At most ``most`` index sets of up to ``size`` inputs whose sum is from low to high; and whether more
+    were left out, by ``most`` or because there are too many inputs for larger sets."""
+    values = np.array(inputs, np.int64)
+    n = len(values)
+    tail = 3 if n <= MOST_FOR_TRIPLES else 2 if n <= MOST_FOR_PAIRS else 1
+    largest = min(size, n, 2 * tail)
+    cut = largest < min(size, n)
+    found: list[list[int]] = []
+    ends = sums = by_sum = sorted_sums = table = None
+    for k in range(1, largest + 1):
+        if k <= tail:
+            sets = _combinations(n, k)
+            total = values[sets].sum(axis=1)
+            hits = np.flatnonzero((total >= low) & (total <= high))
+            found += sets[hits[: most + 1]].tolist()
+        else:
+            if ends is None:
+                ends = _combinations(n, tail)
+                sums = values[ends].sum(axis=1)
+                by_sum = np.argsort(sums, kind="stable")
+                sorted_sums = sums[by_sum]
+                table = _Greatest(ends[by_sum, 0].astype(np.int16))
+            heads = _combinations(n, k - tail)
+            own = values[heads].sum(axis=1)
+            lo, hi = np.searchsorted(sorted_sums, low - own, "left"), np.searchsorted(sorted_sums, high - own, "right")
+            for h in np.flatnonzero(table.over(lo, hi) > heads[:, -1]):
+                at = by_sum[lo[h] : hi[h]]
+                at = np.sort(at[ends[at, 0] > heads[h, -1]])[: most + 1 - len(found)]
+                found += [[*heads[h].tolist(), *ends[a].tolist()] for a in at]
+                if len(found) > most:
+                    break
+        if len(found) > most:
+            return found[:most], True
+    return found, cut
 
 
 def input_subsets(rows: DataFrame, tolerance: int, size: int, most: int) -> DataFrame:
-    """(tx, inputs array<long>, target long) -> tx, subset (indexes, '|' between them), n_inputs, excess: a
-    row for each hypothesis.  ``most`` bounds the report of one transaction, as the method has it."""
+    """(tx, inputs array<long>, target long) -> tx, subset (indexes, '|' between them), n_inputs, excess, truncated: a row
+    for each hypothesis, whose sum exceeds the target by 0..tolerance.  ``most`` bounds the report of one
+    transaction, as the method has it, and truncated says where it did, or where a transaction has
+    too many inputs for sets of ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tx", "subset", "n_inputs", "excess", "truncated"]
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for tx, inputs, target in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if inputs and target is not None:
-                    for c in subsets(inputs, target, tolerance, size, most):
-                        for column, value in zip(out, (tx, "|".join(map(str, c)), len(c), sum(inputs[i] for i in c) - target), strict=True):
+                    found, cut = subsets(inputs, target, target + tolerance, size, most)
+                    for c in found:
+                        for column, value in zip(out, (tx, "|".join(map(str, c)), len(c), sum(inputs[i] for i in c) - target, cut), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["tx", "subset", "n_inputs", "excess"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names)
 
-    return rows.select("tx", "inputs", "target").mapInArrow(run, "tx long, subset string, n_inputs long, excess long")
+    return rows.select("tx", "inputs", "target").mapInArrow(run, "tx long, subset string, n_inputs long, excess long, truncated boolean")

@@ -274,12 +274,28 @@ def g24(spark, sf):
     return found.select("tx", "equal", "outputs", F.when(F.col("equal") >= 5, "large").when(F.col("outputs") == F.col("equal"), "even").otherwise("mixed").alias("pattern"))
 
 
-@query("g25_coinjoin_unwrap")
-def g25(spark, sf):
-    """Checked against brute force in the tests."""
+def _joint_inputs(spark, sf):
+    """tx, inputs (sorted), target: a line is an input, the order's price the round amount."""
     lines = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tx")).agg(F.sort_array(F.collect_list(F.col("l_quantity").cast("long"))).alias("inputs"))  # a transaction's own inputs
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), (F.floor(F.col("o_totalprice") / 2000)).cast("long").alias("target"))
-    return input_subsets(lines.join(orders, "tx"), 1, 6, 200)
+    return lines.join(orders, "tx")
+
+
+@query("g25_coinjoin_unwrap")
+def g25(spark, sf):
+    """Checked against brute force in the tests; g25_small_sets has SQL."""
+    return input_subsets(_joint_inputs(spark, sf), 1, 6, 200)
+
+
+@query("g25_small_sets", """WITH i AS (SELECT l_orderkey AS tx, CAST(l_quantity AS BIGINT) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity AS BIGINT)) - 1 AS i FROM lineitem),
+  o AS (SELECT o_orderkey AS tx, CAST(floor(o_totalprice / 2000) AS BIGINT) AS target FROM orders),
+  s AS (SELECT tx, CAST(i AS VARCHAR) AS subset, 1 AS n_inputs, v AS total FROM i
+    UNION ALL SELECT tx, a.i || '|' || b.i, 2, a.v + b.v FROM i a JOIN i b USING (tx) WHERE a.i < b.i
+    UNION ALL SELECT tx, a.i || '|' || b.i || '|' || c.i, 3, a.v + b.v + c.v FROM i a JOIN i b USING (tx) JOIN i c USING (tx) WHERE a.i < b.i AND b.i < c.i)
+  SELECT tx, subset, CAST(n_inputs AS BIGINT) AS n_inputs, CAST(total - target AS BIGINT) AS excess, false AS truncated FROM s JOIN o USING (tx) WHERE total - target BETWEEN 0 AND 3""")
+def g25_small(spark, sf):
+    """All sets of one to three inputs."""
+    return input_subsets(_joint_inputs(spark, sf), 3, 3, 10**9)
 
 
 @query("g26_merge_passes", f"WITH {T}, a AS (SELECT DISTINCT * FROM t WHERE usd > 40000 UNION SELECT DISTINCT * FROM t WHERE chain = 'A') SELECT src, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd FROM a GROUP BY src")
@@ -308,3 +324,39 @@ def g27(spark, sf):
     edges = transfers(spark, sf).where(f"usd > {FLOOR}").select(at("src").alias("src"), at("dst").alias("dst")).distinct()
     hub = load(spark, sf, "supplier").where("s_suppkey = 7").select(F.explode(F.array(F.lit("N"), F.lit("R"))).alias("chain"), F.col("s_suppkey").alias("a")).select(at("a").alias("node"))
     return G.bfs(edges, hub, 2).select("node.chain", F.col("node.address").alias("node"), "depth")
+
+
+@query("g1_policy_trace", f"""WITH RECURSIVE {T}, {L}, a AS (
+    SELECT t.*, CASE WHEN dst % 50 = 0 THEN 0 WHEN dst % 47 = 0 THEN 1 WHEN category IN ('exchange', 'mixer', 'bridge') THEN 2 WHEN dst % 9 = 0 THEN 3 END AS stop
+    FROM t LEFT JOIN labels ON dst = address AND added_at <= block_time AND (valid_from IS NULL OR valid_from <= block_time) AND (valid_until IS NULL OR valid_until >= block_time)
+    WHERE CASE WHEN token % 10 <> 0 THEN usd >= 10 ELSE amt >= 0.001 END),
+  e AS (SELECT DISTINCT src, dst, stop FROM a), busy AS (SELECT src AS node FROM a WHERE src NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 = 1) GROUP BY src HAVING count(*) > 30),
+  w AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey % 5 = 1 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = node WHERE stop IS NULL AND depth + 1 < 3 AND node NOT IN (SELECT node FROM busy)),
+  walked AS (SELECT node, min(depth) AS depth FROM w GROUP BY node), open AS (SELECT * FROM walked WHERE node NOT IN (SELECT node FROM busy)),
+  reached AS (SELECT e.dst AS node, min(depth + 1) AS reached, min(stop) AS stop FROM e JOIN open ON src = node GROUP BY e.dst)
+  SELECT node, least(reached, depth) AS depth, depth IS NOT NULL AND node NOT IN (SELECT node FROM busy) AS followed,
+    CASE WHEN depth IS NOT NULL AND node NOT IN (SELECT node FROM busy) THEN NULL WHEN depth IS NOT NULL THEN 'service wallet' WHEN stop IS NOT NULL THEN ['burn', 'placeholder', 'service label', 'contract'][stop + 1] ELSE 'depth' END AS stopped
+  FROM reached FULL JOIN walked USING (node)""")
+def g1_policy(spark, sf):
+    """A trace in which each rule stops some branch: burns, placeholders, labels as they were at the time, contracts,
+    busy wallets, depth; every tenth token has no price."""
+    rows = transfers(spark, sf).withColumn("usd", F.when(F.col("token") % 10 != 0, F.col("usd")))
+    address = F.when(F.col("dst") % 50 == 0, F.lit("0x" + "0" * 36 + "dEaD")).when(F.col("dst") % 47 == 0, F.concat(F.lit("exchange:"), F.col("dst"))).otherwise(F.concat(F.lit("0x"), F.lpad(F.hex("dst"), 40, "0")))
+    contracts = _seeds(spark, sf, "s_suppkey % 9 = 0")
+    return G.policy_trace(rows.withColumn("address", address), _seeds(spark, sf, "s_suppkey % 5 = 1"), labels(spark, sf), contracts, 3, service_outflows=30)
+
+
+@query("k8_cluster_membership", """WITH RECURSIVE g AS (SELECT DISTINCT c_nationkey AS nation, o_custkey AS a, o_orderdate AS day FROM orders JOIN customer ON o_custkey = c_custkey),
+  links AS (SELECT DISTINCT x.a, y.a AS b FROM g x JOIN g y ON x.nation = y.nation AND x.day = y.day AND x.a <> y.a),
+  r AS (SELECT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM r JOIN links l ON l.a = r.node WHERE r.root < l.b)
+  SELECT node, min(root) AS root FROM r GROUP BY node""")
+def k8(spark, sf):
+    """Customers of one nation that ordered on the same day, in three batches of years: each batch only touches the
+    clusters that its groups reach, and the last membership has the components of all."""
+    days = load(spark, sf, "orders").join(load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    days = days.select(F.concat_ws("|", "c_nationkey", F.to_date("o_orderdate")).alias("group_id"), F.col("o_custkey").cast("string").alias("address"), F.lit("x").alias("chain"), (F.year("o_orderdate") % 3).alias("batch"))
+    held = spark.createDataFrame([], "address string, chain string, cluster_id string")
+    for batch in range(3):
+        held, _ = G.grown_clusters(held, days.where(F.col("batch") == batch).select("group_id", "address", "chain"))
+    node = F.col("address").cast("long")
+    return held.select(node.alias("node"), "cluster_id").join(held.groupBy("cluster_id").agg(F.min(node).alias("root")), "cluster_id").select("node", "root")

@@ -121,15 +121,16 @@ def j9(spark, sf):
 @query("j10_lock_mint", f"""WITH {T}, {CROSSING} SELECT i_tx, i_dst, i_src, count(*) AS n, min(o_time) AS first_mint, CAST(sum(o_usd) AS DOUBLE) AS usd
   FROM i JOIN o ON i.i_src = o.o_src AND date_diff('day', i_time, o_time) BETWEEN 0 AND 20 AND i_chain <> o_chain AND o_usd <= i_usd GROUP BY ALL""")
 def j10(spark, sf):
+    """No pair of a party's legs is made: a leg meets running totals by day and chain."""
     i, o = _crossing(spark, sf)
-    pairs = J.within(i.drop("symbol").withColumn("party", F.col("i_src")), o.drop("symbol").withColumnRenamed("o_src", "party"), ["party"], "i_time", "o_time", 20)
-    return pairs.where("i_chain <> o_chain AND o_usd <= i_usd").groupBy("i_tx", "i_dst", "i_src").agg(F.count(F.lit(1)).alias("n"), F.min("o_time").alias("first_mint"), money(F.sum("o_usd")).alias("usd"))
+    found = J.totals_within(i.drop("symbol").withColumn("party", F.col("i_src")), o.drop("symbol").withColumnRenamed("o_src", "party"), ["party"], "i_time", "o_time", 20, "i_usd", "o_usd", ("i_chain", "o_chain"))
+    return found.groupBy("i_tx", "i_dst", "i_src").agg(F.sum("n").alias("n"), F.min("first").alias("first_mint"), money(F.sum("total")).alias("usd"))
 
 
 @query("j11_pool_disbursement", f"""WITH {T}, i AS ({legs_sql("i", "dst", "usd > 10 AND dst % 13 = 0")}), o AS ({legs_sql("o", "src", "src % 13 = 0")})
   SELECT node, i_tx, i_src, i_log, i_token, count(*) AS n, min(o_time) AS first_out FROM i JOIN o USING (node) WHERE date_diff('day', i_time, o_time) BETWEEN 0 AND 30 AND {PPM.format("usd")} <= 50000 GROUP BY ALL""")
 def j11(spark, sf):
-    pairs = J.within(_legs(spark, sf, "i", "dst", "usd > 10 AND dst % 13 = 0"), _legs(spark, sf, "o", "src", "src % 13 = 0"), ["node"], "i_time", "o_time", 30)
+    pairs = J.within(_legs(spark, sf, "i", "dst", "usd > 10 AND dst % 13 = 0"), _legs(spark, sf, "o", "src", "src % 13 = 0"), ["node"], "i_time", "o_time", 30, ("i_usd", "o_usd", 5.001))
     pairs = pairs.where(J.parts_per_million(F.col("o_usd") - F.col("i_usd"), F.col("i_usd")) <= 50000)
     return pairs.groupBy("node", "i_tx", "i_src", "i_log", "i_token").agg(F.count(F.lit(1)).alias("n"), F.min("o_time").alias("first_out"))
 

@@ -70,14 +70,37 @@ def merge_sanctions(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return merged.select(*keys, F.coalesce("new name", "sdn_entry_name").alias("sdn_entry_name"), F.coalesce("new date", "listing_date").alias("listing_date"), F.when(~F.coalesce("present", F.lit(False)), F.coalesce("removed_at_utc", now)).alias("removed_at_utc"))
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row a transfer of the case documents (JSON, one document a file)."""
-    token = "struct<chain: string, contract: string, symbol: string, decimals: int>"
-    schema = f"case_id string, seed_address string, chain string, transfers array<struct<transfer_id: string, chain: string, tx_hash: string, block_time: timestamp, from_address: string, to_address: string, token: {token}, amount_raw: string, usd_value_at_tx: decimal(28,4)>>"
-    cases = spark.read.schema(schema).option("multiLine", True).json(path)
+_TOKEN = "struct<chain: string, contract: string, symbol: string, decimals: int>"
+CASE_SCHEMA = f"case_id string, seed_address string, chain string, transfers array<struct<transfer_id: string, chain: string, tx_hash: string, block_time: timestamp, from_address: string, to_address: string, token: {_TOKEN}, amount_raw: string, usd_value_at_tx: decimal(28,4)>>"
+
+
+def read_cases(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row a transfer of the case documents (JSON, one document a file); none for no paths."""
+    cases = spark.read.schema(CASE_SCHEMA).option("multiLine", True).json(path) if path else spark.createDataFrame([], CASE_SCHEMA)
     return cases.select("case_id", "seed_address", F.explode_outer("transfers").alias("t")).select("case_id", "seed_address", "t.*")
 
 
+#: A bundle's file carries the moment of its generation; the stamps are of one width, so they sort by time.
+GENERATION = r"BRIEF-(\d{8}T\d{6})"
+
+
+def generations(files: DataFrame) -> DataFrame:
+    """files (path) -> path, case_folder, generation (null for files that belong to none), newest: whether it is of its
+    folder's newest generation, or of none."""
+    part = lambda n: F.element_at(F.split("path", "/"), n)
+    named = files.select("path", part(-2).alias("case_folder"), F.nullif(F.regexp_extract(part(-1), GENERATION, 1), F.lit("")).alias("generation"))
+    last = named.groupBy("case_folder").agg(F.max("generation").alias("last"))
+    return named.join(last, "case_folder").select("path", "case_folder", "generation", (F.col("generation").isNull() | (F.col("generation") == F.col("last"))).alias("newest"))
+
+
+def read_newest_cases(spark: SparkSession, root: str) -> DataFrame:
+    """Transfers of the newest generation of each case under ``root`` (root/case/...BRIEF-stamp....json).  Only names are
+    listed first, so older generations aren't read; files without a stamp aren't bundles."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(root).select("path")
+    newest = generations(listed).where("newest AND generation IS NOT NULL")
+    return read_cases(spark, [r.path for r in newest.select("path").toLocalIterator()])  # the reader's list of files
+
+
 def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Label seeds; later paths win over earlier ones where an address repeats."""
     tables = [spark.read.schema(LABEL_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", True).json(p) for p in reversed(paths)]

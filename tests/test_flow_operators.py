@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import statistics
 from itertools import combinations
 
@@ -15,7 +16,7 @@ from ledgertide.functions import expressions as X
 from ledgertide.operators import aggregates as A
 from ledgertide.operators import graph as G
 from ledgertide.operators import joins as J
-from ledgertide.operators.subsets import input_subsets, subsets
+from ledgertide.operators.subsets import MOST_FOR_TRIPLES, input_subsets, subsets
 from ledgertide.sources import landing
 from ledgertide.streaming import monitor
 
@@ -86,11 +87,97 @@ def test_label_bounds(spark, until, since, at, hit):
 
 
 def test_subsets_against_brute_force(spark):
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randrange(1, 11)
+        v, low, size, most = [r.randrange(1, 40) for _ in range(n)], r.randrange(1, 120), r.randrange(1, 7), r.choice([1, 3, 10, 1000])
+        high = low + r.randrange(8)
+        brute = [list(c) for k in range(1, min(size, n) + 1) for c in combinations(range(n), k) if low <= sum(v[i] for i in c) <= high]
+        assert subsets(v, low, high, size, most) == (brute[:most], len(brute) > most)
     inputs, target = [3, 5, 8, 13, 2], 13
-    brute = [list(c) for n in range(1, 6) for c in combinations(range(5), n) if 13 <= sum(inputs[i] for i in c) <= 14]
-    assert subsets(inputs, target, 1, 5, 1000) == brute
-    rows = spark.createDataFrame([(1, inputs, target), (2, None, 4), (3, [], 4)], "tx long, inputs array<long>, target long")
-    assert [r.subset for r in input_subsets(rows, 1, 5, 1000).collect()] == ["|".join(map(str, c)) for c in brute]
+    brute = [c for n in range(1, 6) for c in combinations(range(5), n) if 13 <= sum(inputs[i] for i in c) <= 14]
+    rows = spark.createDataFrame([(1, inputs, target), (2, None, 4), (3, [], 4), (4, [1, 1, 1], None)], "tx long, inputs array<long>, target long")
+    assert [(r.subset, r.truncated) for r in input_subsets(rows, 1, 5, 1000).collect()] == [("|".join(map(str, c)), False) for c in brute]
+    assert [r.truncated for r in input_subsets(rows, 1, 5, 2).collect()] == [True, True]
+
+
+def test_many_inputs_are_searched_and_cuts_are_told():
+    even = [2 * k for k in range(10**6, 10**6 + 200)]
+    assert subsets(even, 6 * 10**6 + 1, 6 * 10**6 + 1, 6, 200) == ([], False)
+    many = [10**6 + k for k in range(MOST_FOR_TRIPLES + 44)]
+    found, cut = subsets(many, 4 * 10**6 + 6, 4 * 10**6 + 6, 6, 200)
+    assert found == [[0, 1, 2, 3]] and cut  # sets of five and six weren't looked for
+
+
+def test_totals_without_pairs(spark):
+    r = random.Random(4)
+    left = [(k, r.choice("ab"), day(r.randrange(12)), r.randrange(10), r.choice("xyz")) for k in range(60)]
+    right = [(r.choice("abc"), day(r.randrange(14)) + datetime.timedelta(hours=r.randrange(24)), r.randrange(10), r.choice("xyz")) for _ in range(80)]
+    mine = spark.createDataFrame(left, "i int, k string, lt timestamp_ntz, lv long, lc string")
+    theirs = spark.createDataFrame(right, "k string, rt timestamp_ntz, rv long, rc string")
+    for apart in (None, ("lc", "rc")):
+        want = []
+        for i, k, t, v, c in left:
+            hits = [(rt, rv) for rk, rt, rv, rc in right if rk == k and 0 <= (rt.date() - t.date()).days <= 4 and rv <= v and (not apart or rc != c)]
+            if hits:
+                want.append((i, len(hits), sum(x for _, x in hits), min(x for x, _ in hits)))
+        found = J.totals_within(mine, theirs, ["k"], "lt", "rt", 4, "lv", "rv", apart)
+        assert got(found.select("i", "n", "total", "first")) == sorted(want)
+
+
+def test_policy_stops(spark):
+    rows = [
+        (1, 2, "0xa", 50.0, 1.0), (1, 3, "0x" + "0" * 40, 50.0, 1.0), (1, 4, "perp:unknown", 50.0, 1.0), (1, 5, "0xb", 9.0, 1.0), (1, 6, "0xc", None, 0.0001), (1, 7, "0xd", None, 5.0), (2, 8, "0xe", 50.0, 1.0), (2, 9, "0xf", 50.0, 1.0),
+        (7, 10, "0x1", 50.0, 1.0), (10, 11, "0x2", 50.0, 1.0), (8, 12, "0x3", 50.0, 1.0), (2, 13, "0x4", 50.0, 1.0), (13, 14, "0x5", 50.0, 1.0), (13, 15, "0x6", 50.0, 1.0), (13, 16, "0x7", 50.0, 1.0),
+    ]
+    transfers = spark.createDataFrame([(a, b, x, day(5), u, m) for a, b, x, u, m in rows], "src long, dst long, address string, block_time timestamp_ntz, usd double, amt double")
+    labels = spark.createDataFrame([(8, "ex", "exchange", "high", day(0), None, None), (9, "later", "mixer", "high", day(9), None, None)], "address long, name string, category string, confidence string, added_at timestamp_ntz, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    nodes = lambda *n: spark.createDataFrame([(x,) for x in n], "node long")
+    found = {r.node: (r.depth, r.followed, r.stopped) for r in G.policy_trace(transfers, nodes(1), labels, nodes(10), 3, service_outflows=2).collect()}
+    assert found == {
+        1: (0, True, None), 2: (1, False, "service wallet"), 3: (1, False, "burn"), 4: (1, False, "placeholder"), 7: (1, True, None), 10: (2, False, "contract"),
+    }
+    found = {r.node: (r.depth, r.followed, r.stopped) for r in G.policy_trace(transfers, nodes(1), labels, nodes(10), 3).collect()}
+    assert found[8] == (2, False, "service label") and found[9] == (2, True, None) and found[13] == (2, True, None) and found[14] == (3, False, "depth") and 11 not in found and 12 not in found and 5 not in found and 6 not in found
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_clusters_grow_to_the_components_of_all(spark, order):
+    batches = [
+        [("g1", "a"), ("g1", "b"), ("g2", "c"), ("g2", "d"), ("g9", "alone")],
+        [("g3", "e"), ("g3", "f"), ("g4", "f"), ("g4", "h"), ("g5", "a"), ("g5", "a")],
+        [("g6", "b"), ("g6", "c"), ("g7", "h"), ("g7", "i")],
+    ]
+    held = spark.createDataFrame([], "address string, chain string, cluster_id string")
+    forwards = []
+    for k in order:
+        groups = spark.createDataFrame([(f"{k}{g}", a, "eth") for g, a in batches[k]], "group_id string, address string, chain string")
+        held, forward = G.grown_clusters(held, groups)
+        forwards += [tuple(r) for r in forward.collect()]
+    clusters = {}
+    for r in held.collect():
+        clusters.setdefault(r.cluster_id, set()).add(r.address)
+    assert sorted(map(sorted, clusters.values())) == [["a", "b", "c", "d"], ["e", "f", "h", "i"]]
+    assert all(old > new for old, new in forwards) and not {old for old, _ in forwards} & set(clusters)
+
+
+def test_newest_generation_of_each_case(spark, tmp_path):
+    def put(case, name, address):
+        (tmp_path / case).mkdir(exist_ok=True)
+        (tmp_path / case / name).write_text(f'{{"case_id": "{case}", "transfers": [{{"transfer_id": "t", "to_address": "{address}"}}]}}')
+
+    put("c1", "x-BRIEF-20260101T000000-aa.json", "old")
+    put("c2", "BRIEF-20250101T000000.json", "only")
+    put("c1", "BRIEF-20260301T120000-bb.json", "new one")
+    put("c1", "BRIEF-20260301T120000-cc.json", "new two")
+    put("c1", "BRIEF-20260228T235959.json", "middle")
+    put("c1", "notes.json", "none")
+    found = landing.read_newest_cases(spark, str(tmp_path))
+    assert got(found.select("case_id", "to_address")) == [("c1", "new one"), ("c1", "new two"), ("c2", "only")]
+    stale = landing.generations(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path")).where("NOT newest")
+    assert sorted(r.path.rpartition("/")[2] for r in stale.collect()) == ["BRIEF-20260228T235959.json", "x-BRIEF-20260101T000000-aa.json"]
+    (tmp_path / "none").mkdir()
+    assert landing.read_cases(spark, []).collect() == []
 
 
 def test_sanctions_merge_sets_removal_once(spark):
