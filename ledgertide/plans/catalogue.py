@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgertide.plans import aggregate_queries, chain_queries, decoder_queries, graph_queries, join_queries, registry, report_queries, scalar_queries, tick_queries, window_queries  # noqa: F401
+from ledgertide.plans import aggregate_queries, chain_queries, decoder_queries, file_queries, graph_queries, join_queries, registry, report_queries, scalar_queries, tick_queries, window_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgertide.functions import expressions as X
 from ledgertide.operators import joins as J
 from ledgertide.operators.aggregates import money, strongest_outcome
 from ledgertide.plans.domain import STRENGTH, L, O, R, S, T, I, high_risk, issuers, labels, letters, load, outcomes, snapshots, transfers
@@ -145,6 +146,15 @@ def j12(spark, sf):
     return sent.join(got, "message").select("message", "sender", "receiver", "got", (F.col("got") <= F.col("sent")).alias("conserved"))
 
 
+@query("j13_value_conservation", """SELECT l_orderkey, l_linenumber, l_discount <= 0.05 OR l_quantity = 1 AS conserved, count(*) AS n FROM lineitem GROUP BY ALL""")
+def j13(spark, sf):
+    """What arrives is what was sent less at most a fee of 5 per cent; an unknown amount proves nothing."""
+    price = F.col("l_extendedprice").cast("decimal(20,2)")
+    arrived = F.when(F.col("l_quantity") != 1, price * (1 - F.col("l_discount").cast("decimal(4,2)")))
+    rows = load(spark, sf, "lineitem").withColumn("conserved", X.conserves_value(price, arrived, F.lit(0.05).cast("decimal(4,2)")))
+    return rows.groupBy("l_orderkey", "l_linenumber", "conserved").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("j14_handoff", f"""WITH {T}, b AS (SELECT s_suppkey AS bridge, s_name AS protocol FROM supplier WHERE s_suppkey % 7 = 0), h AS (SELECT DISTINCT src, dst, protocol, tx_hash FROM t JOIN b ON dst = bridge)
   SELECT h.src, h.dst AS bridge, protocol, h.tx_hash, n_nationkey AS target_chain, n_name AS chain_name FROM h JOIN nation ON n_nationkey = h.tx_hash % 25""")
 def j14(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgertide.functions import expressions as X
+from ledgertide.operators import integrity
 from ledgertide.operators.aggregates import money
 from ledgertide.plans.domain import I, L, O, R, S, T, high_risk, issuers, labels, letters, load, outcomes, snapshots, transfers
 from ledgertide.plans.registry import query
@@ -306,6 +307,40 @@ def x15(spark, sf):
     return asked.join(listed, ["issuer", "dst"], "left_anti").groupBy("issuer").agg(F.count(F.lit(1)).alias("n_missing"))
 
 
+_HEX40 = "'0x' || lower(lpad(printf('%x', {0}), 40, '0'))"
+
+
+@query("x15_violations", f"""WITH leads AS (SELECT o_orderkey, o_custkey AS case_id, {_HEX40.format('o_orderkey')} AS address, count(DISTINCT l_returnflag) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 2 WHERE o_orderpriority[:1] IN ('1', '2') GROUP BY ALL),
+  lines AS (SELECT o_custkey AS case_id, 'issuer' || l_partkey % 7 AS issuer, 'T' || l_partkey AS token, {_HEX40.format('l_suppkey')} AS address, CAST(l_extendedprice AS DECIMAL(20,2)) AS usd, l_returnflag AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  listed AS (SELECT case_id, issuer, token, address, max(usd) AS usd FROM lines WHERE flag <> 'A' GROUP BY ALL), k AS (SELECT a.*, l.usd AS listed FROM lines a LEFT JOIN listed l USING (case_id, issuer, token, address) WHERE a.flag <> 'N')
+  SELECT DISTINCT case_id, 'H' AS check_id, 'critical' AS severity, address AS subject FROM leads WHERE n < 2
+  UNION SELECT case_id, 'H', 'warning', 'recovery rate' FROM leads JOIN customer ON c_custkey = case_id WHERE c_nationkey % 10 < 5
+  UNION SELECT case_id, 'K', 'critical', issuer || ' ' || token || ' ' || address FROM k WHERE listed IS NULL OR abs(usd - listed) > 10
+  UNION SELECT o_custkey, 'L', 'critical', {_HEX40.format('o_orderkey')} FROM orders WHERE o_orderkey % 3 > 0
+  UNION SELECT o_orderkey, 'O', 'critical', {_HEX40.format('o_custkey')} FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey <> o_custkey
+  UNION SELECT o_orderkey, 'O', 'critical', CAST(CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR) FROM orders WHERE o_orderkey % 7 = 1
+  UNION SELECT o_orderkey, 'O', 'critical', 'solana' FROM orders WHERE o_orderkey % 11 = 0""")
+def x15_violations(spark, sf):
+    """Calibration, freeze asks, links and prose of all cases, checked at once."""
+    hex40 = lambda c: F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(c), 40, "0")))
+    orders, lines = load(spark, sf, "orders"), load(spark, sf, "lineitem")
+    kinds = lines.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_returnflag").alias("sources"))  # three flags at most
+    leads = orders.join(kinds, "o_orderkey", "left").select(F.col("o_custkey").alias("case_id"), hex40("o_orderkey").alias("address"), F.when(F.left("o_orderpriority", F.lit(1)).isin("1", "2"), "high").otherwise("low").alias("confidence"), "sources")
+    rates = load(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), ((F.col("c_nationkey") % 10) / 100.0).alias("wilson_lower"))
+    asked = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"), F.concat(F.lit("issuer"), F.col("l_partkey") % 7).alias("issuer"), F.concat(F.lit("t"), F.col("l_partkey")).alias("token"), hex40("l_suppkey").alias("address"), F.col("l_extendedprice").cast("decimal(20,2)").alias("usd"), "l_returnflag")
+    base = F.when(F.col("o_orderkey") % 3 == 0, "https://etherscan.io/address/").when(F.col("o_orderkey") % 3 == 1, "https://www.arbiscan.io/address/").otherwise("https://tronscan.org/#/address/")
+    links = orders.select(F.col("o_custkey").alias("case_id"), F.lit("brief.html").alias("file"), F.concat(base, hex40("o_orderkey")).alias("url"))
+    chains = orders.select(F.col("o_custkey").alias("case_id"), hex40("o_orderkey").alias("address"), F.lit("ethereum").alias("chain"))
+    case, price = F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").cast("decimal(20,2)")
+    text = F.concat(F.lit("They paid $"), F.format_number(price, 2), F.lit(" on Ethereum to "), hex40("o_orderkey"), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" and "), hex40("o_custkey"))).otherwise(""), F.when(F.col("o_orderkey") % 11 == 0, " over solana.").otherwise("."))
+    known = price.cast("double") * F.when(F.col("o_orderkey") % 7 == 1, 1.02).otherwise(1.0) + F.when(F.col("o_orderkey") % 7 == 1, 200.0).otherwise(50.0)
+    found = integrity.violations(
+        integrity.calibration(leads, rates), integrity.freeze_asks(asked.where("l_returnflag <> 'A'"), asked.where("l_returnflag <> 'N'")), integrity.explorer_links(links, chains),
+        integrity.grounding(orders.select(case, text.alias("text")), orders.select(case, hex40("o_orderkey").alias("address")), orders.select(case, known.alias("usd")), orders.select(case, F.lit("ethereum").alias("chain"))),
+    )
+    return found.select("case_id", "check_id", "severity", "subject").distinct()
+
+
 @query("x17_stale_labels", f"WITH {T}, {L} SELECT address, name, count(*) AS n FROM t JOIN labels ON dst = address WHERE valid_from > block_time GROUP BY ALL")
 def x17(spark, sf):
     """Labels that are cited for a time before they held."""

@@ -200,8 +200,8 @@ def u5(spark, sf):
 
 @query("u8_kept_and_dropped", f"WITH {T}, {L} SELECT dst IN (SELECT address FROM labels) AS kept, count(*) AS n, CAST(sum(usd) AS DOUBLE) AS usd FROM t GROUP BY ALL")
 def u8(spark, sf):
-    t, known = transfers(spark, sf), labels(spark, sf).select(F.col("address").alias("dst"))
-    split = t.join(known, "dst", "left_semi").withColumn("kept", F.lit(True)).unionByName(t.join(known, "dst", "left_anti").withColumn("kept", F.lit(False)))
+    known = labels(spark, sf).select(F.col("address").alias("dst"), F.lit(True).alias("known")).distinct()
+    split = transfers(spark, sf).join(known, "dst", "left").withColumn("kept", F.col("known").isNotNull())
     return split.groupBy("kept").agg(F.count(F.lit(1)).alias("n"), money(F.sum("usd")).alias("usd"))
 
 
@@ -223,8 +223,7 @@ def r11(spark, sf):
 
 @query("r6_mail_quota", """SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS n_24h FROM events""")
 def r6(spark, sf):
-    load(spark, sf, "events").createOrReplaceTempView("mail_events")
-    return spark.sql("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n_24h FROM mail_events")
+    return spark.sql("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS n_24h FROM {events}", events=load(spark, sf, "events"))
 
 
 @query("r18_retrace_backfill", f"""WITH {T}, {L}, c AS (SELECT case_id, max(block_time) - INTERVAL 900 DAY AS traced_at FROM t GROUP BY case_id)

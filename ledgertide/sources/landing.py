@@ -74,9 +74,10 @@ _TOKEN = "struct<chain: string, contract: string, symbol: string, decimals: int>
 CASE_SCHEMA = f"case_id string, seed_address string, chain string, transfers array<struct<transfer_id: string, chain: string, tx_hash: string, block_time: timestamp, from_address: string, to_address: string, token: {_TOKEN}, amount_raw: string, usd_value_at_tx: decimal(28,4)>>"
 
 
-def read_cases(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row a transfer of the case documents (JSON, one document a file); none for no paths."""
-    cases = spark.read.schema(CASE_SCHEMA).option("multiLine", True).json(path) if path else spark.createDataFrame([], CASE_SCHEMA)
+def read_cases(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """One row a transfer of the case documents (JSON, one document a file, or with ``lines`` one a line);
+    none for no paths."""
+    cases = spark.read.schema(CASE_SCHEMA).option("multiLine", not lines).json(path) if path else spark.createDataFrame([], CASE_SCHEMA)
     return cases.select("case_id", "seed_address", F.explode_outer("transfers").alias("t")).select("case_id", "seed_address", "t.*")
 
 
@@ -101,9 +102,10 @@ def read_newest_cases(spark: SparkSession, root: str) -> DataFrame:
     return read_cases(spark, [r.path for r in newest.select("path").toLocalIterator()])  # the reader's list of files
 
 
-def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Label seeds; later paths win over earlier ones where an address repeats."""
-    tables = [spark.read.schema(LABEL_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", True).json(p) for p in reversed(paths)]
+def read_labels(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Label seeds (JSON, a list a file, or with ``lines`` one label a line); later paths win over earlier ones
+    where an address repeats."""
+    tables = [spark.read.schema(LABEL_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", not lines).json(p) for p in reversed(paths)]
     return by_precedence(tables, "address")
 
 
@@ -149,7 +151,7 @@ def write_transfers_csv(transfers: DataFrame, path: str) -> None:
 
 
 def write_cases(transfers: DataFrame, path: str) -> None:
-    """A JSON document a case, with its transfers inside; ``read_cases`` reads it again."""
+    """A JSON document a case and line, with its transfers inside; ``read_cases`` with lines reads it again."""
     cases = transfers.groupBy("case_id", "seed_address").agg(F.collect_list(F.struct(*(c for c in transfers.columns if c not in ("case_id", "seed_address")))).alias("transfers"))  # a case's own
     cases.write.json(path)
 
@@ -160,6 +162,29 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.json(f"{path}/json")
 
 
+def write_aggregate(matched: DataFrame, path: str) -> None:
+    """What reached the perpetrators (matched: case_id, wallet, perpetrator, symbol, contract, amt, usd) as JSON: ``summary`` (one
+    document), ``by_asset``, ``by_victim_wallet`` and ``matched_transfers``, a line for each, and ``report``, the assets
+    as rows of a markdown table.  Amounts are text, so nothing is rounded."""
+    unpriced = F.bool_or(F.col("usd").isNull())
+    by_asset = matched.groupBy("symbol", "contract").agg(F.count(F.lit(1)).alias("transfer_count"), F.sum("amt").cast("string").alias("total_amount"), F.sum("usd").cast("string").alias("total_usd"), unpriced.alias("has_unpriced_transfers"))
+    matched.agg(F.count_distinct("case_id").alias("cases_examined"), F.count_distinct("perpetrator").alias("perpetrators"), F.sum("usd").cast("string").alias("total_usd"), F.count(F.lit(1)).alias("transfer_count")).write.json(f"{path}/summary")
+    by_asset.write.json(f"{path}/by_asset")
+    matched.groupBy("wallet").agg(F.sum("usd").cast("string").alias("total_usd")).write.json(f"{path}/by_victim_wallet")
+    matched.withColumn("amt", F.col("amt").cast("string")).withColumn("usd", F.col("usd").cast("string")).write.json(f"{path}/matched_transfers")
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\])", r"\\$1")
+    by_asset.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in ("symbol", "contract", "transfer_count", "total_amount", "total_usd"))), F.lit(" |")).alias("value")).write.text(f"{path}/report")
+
+
+def write_dormant(holdings: DataFrame, explorer_url: Column, path: str) -> None:
+    """A JSON document a dormant address (address, chain), with its total and its holdings inside (holdings: symbol,
+    decimal_amount, usd_value, pricing_error); amounts are text."""
+    rows = holdings.withColumn("explorer_url", explorer_url)
+    one = F.struct("symbol", F.col("decimal_amount").cast("string").alias("decimal_amount"), F.col("usd_value").cast("string").alias("usd_value"), "pricing_error")
+    found = rows.groupBy("address", "chain", "explorer_url").agg(F.sum("usd_value").cast("string").alias("total_usd"), F.sort_array(F.collect_list(one)).alias("holdings"))  # an address's own
+    found.write.json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Audit rows are only ever added."""
     rows.write.mode("append").parquet(path)
