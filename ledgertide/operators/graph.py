@@ -12,7 +12,8 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgertide.operators.joins import split_legs, value_matches
+from ledgertide.functions.expressions import is_burn, is_placeholder
+from ledgertide.operators.joins import point_in_time_labels, split_legs, value_matches
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -68,9 +69,6 @@ def policy_trace(transfers: DataFrame, seeds: DataFrame, labels: DataFrame, cont
     into may be followed by another.  The rules are judged once a transfer, the loop walks
     over two tables of edges.
     """
-    from ledgertide.functions.expressions import is_burn, is_placeholder
-    from ledgertide.operators.joins import point_in_time_labels
-
     kept = transfers.where((F.col("usd") >= dust) | (F.col("usd").isNull() & (F.col("amt").isNull() | (F.col("amt") >= unpriced_dust))))
     known = point_in_time_labels(kept, labels).join(contracts.select(F.col("node").alias("dst"), F.lit(True).alias("contract")).distinct(), "dst", "left")
     service = F.col("category").isin("exchange", "exchange_deposit", "exchange_hot_wallet", "mixer", "bridge")

@@ -12,7 +12,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgertide.functions.expressions import decayed_confidence
+from ledgertide.functions.expressions import decayed_confidence, is_placeholder
 
 DAY_ZERO = "1970-01-01"
 
@@ -159,6 +159,27 @@ def position_leads(events: DataFrame, parkers: DataFrame) -> DataFrame:
     return pairs.withColumn("link", F.lit("high")).withColumn("actor", F.when(same, "high").otherwise("medium"))
 
 
+SERVICES = ("exchange", "exchange_deposit", "exchange_hot_wallet", "mixer", "bridge", "dex")
+
+
+def dormant_holdings(transfers: DataFrame, balances: DataFrame, issued: DataFrame, prices: DataFrame, seeds: DataFrame, labels: DataFrame, least: float = 10_000) -> DataFrame:
+    """What addresses that received funds still hold: address, n_holdings, n_unpriced, total_usd, inflow_usd, inflow_count.
+
+    Candidates are receivers of transfers (dst, token, usd) that are no seed (address), no placeholder and
+    carry no service's label (address, category).  Of their balances (address, token, amount) count those in a
+    token that they received or that an issuer can freeze (issued: token), at today's price
+    (token, price); a token without one counts nothing and is told.  Addresses below ``least`` are left out.
+    """
+    into = transfers.select(F.col("dst").alias("address"), "token", "usd").join(seeds.select("address").distinct(), "address", "left_anti")
+    into = into.join(labels.where(F.col("category").isin(*SERVICES)).select("address").distinct(), "address", "left_anti").where(~is_placeholder(F.col("address").cast("string")))
+    flows = into.groupBy("address").agg(F.sum("usd").alias("inflow_usd"), F.count(F.lit(1)).alias("inflow_count"))
+    seen = into.select("address", "token", F.lit(True).alias("seen")).distinct()
+    held = balances.where("amount > 0").join(seen, ["address", "token"], "left").join(issued.select("token", F.lit(True).alias("issued")).distinct(), "token", "left").where("seen OR issued")
+    valued = held.join(prices.groupBy("token").agg(F.max("price").alias("price")), "token", "left")
+    total = valued.groupBy("address").agg(F.count(F.lit(1)).alias("n_holdings"), F.count_if(F.col("price").isNull()).alias("n_unpriced"), F.sum(F.col("amount") * F.col("price")).alias("total_usd"))
+    return total.where(F.col("total_usd") >= least).join(flows, "address").select("address", "n_holdings", "n_unpriced", "total_usd", "inflow_usd", "inflow_count")
+
+
 def withdrawals_elsewhere(events: DataFrame, wallets: DataFrame) -> DataFrame:
     """Withdrawals from lending pools and markets that traced wallets (chain, wallet) made to another
     address: exits that the wallets' own outflows don't show.  The wallet is the last word of

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.functions import expressions as X
 from ledgertide.operators import integrity
+from ledgertide.operators import joins as J
 from ledgertide.operators.aggregates import money
 from ledgertide.plans.domain import I, L, O, R, S, T, high_risk, issuers, labels, letters, load, outcomes, snapshots, transfers
 from ledgertide.plans.registry import query
@@ -298,6 +299,22 @@ def x16(spark, sf):
     return rows.where("requested_usd > 0 AND parts > 0 AND abs(gap) > 100").select("letter_id", money(F.col("gap")).alias("gap"))
 
 
+@query("x8_dormant_holdings", f"""WITH {T}, {L}, {I}, c AS (SELECT dst AS address, token, usd FROM t WHERE dst % 10 <> 1 AND dst NOT IN (SELECT address FROM labels WHERE category IN ('exchange', 'mixer', 'bridge'))),
+  f AS (SELECT address, sum(usd) AS inflow, count(*) AS n FROM c GROUP BY address),
+  b AS (SELECT l_suppkey AS address, l_partkey AS token, sum(CAST(l_quantity AS DECIMAL(12,2))) AS amount FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL),
+  h AS (SELECT b.*, CASE WHEN token % 4 <> 0 THEN CAST(p_retailprice AS DECIMAL(12,2)) END AS price FROM b JOIN part ON p_partkey = token WHERE (address, token) IN (SELECT (address, token) FROM c) OR token IN (SELECT token FROM issuers WHERE freeze_capability = 'yes'))
+  SELECT address, count(*) AS n_holdings, count(*) FILTER (WHERE price IS NULL) AS n_unpriced, CAST(sum(amount * price) AS DOUBLE) AS total_usd, CAST(any_value(inflow) AS DOUBLE) AS inflow_usd, any_value(f.n) AS inflow_count
+  FROM h JOIN f USING (address) GROUP BY address HAVING sum(amount * price) >= 10000""")
+def x8_holdings(spark, sf):
+    """Open lines are balances; a token is looked at if the address got it or an issuer can freeze it; every fourth
+    has no price."""
+    lines = load(spark, sf, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_suppkey").alias("address"), F.col("l_partkey").alias("token")).agg(F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("amount"))
+    prices = load(spark, sf, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("token"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    seeds = load(spark, sf, "supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("address"))
+    found = J.dormant_holdings(transfers(spark, sf), lines, issuers(spark, sf).where("freeze_capability = 'yes'"), prices, seeds, labels(spark, sf))
+    return found.select("address", "n_holdings", "n_unpriced", money(F.col("total_usd")).alias("total_usd"), money(F.col("inflow_usd")).alias("inflow_usd"), "inflow_count")
+
+
 @query("x15_set_consistency", f"""WITH {T}, {I}, asked AS (SELECT DISTINCT issuer, dst FROM t JOIN issuers USING (token) WHERE freeze_capability = 'yes'), held AS (SELECT DISTINCT issuer, dst FROM t JOIN issuers USING (token) WHERE freeze_capability = 'yes' AND usd > 20000)
   SELECT issuer, count(*) AS n_missing FROM asked WHERE (issuer, dst) NOT IN (SELECT (issuer, dst) FROM held) GROUP BY issuer""")
 def x15(spark, sf):

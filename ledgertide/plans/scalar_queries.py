@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import checksums as K
 from ledgertide.functions import expressions as X
 from ledgertide.functions.checksums import chain_family
+from ledgertide.operators import tokens
 from ledgertide.operators.aggregates import money
 from ledgertide.plans.domain import L, T, labels, load, transfers
 from ledgertide.plans.registry import query
@@ -222,3 +223,39 @@ def k7(spark, sf):
 def k9(spark, sf):
     events = load(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 10).alias("dedup_key"))
     return landing.absent(events, events.where("dedup_key < 4"), ["dedup_key"]).select("event_id", "user_id")
+
+
+@query("p13_airdrop_spam", """WITH l AS (SELECT l_suppkey AS src, l_partkey AS k, CASE WHEN l_partkey % 17 <> 0 THEN 'c' || l_partkey % 40 END AS contract, CASE WHEN l_partkey % 40 = 7 THEN 'Visit claim' || l_partkey || '.XYZ' ELSE 'T' END AS symbol, CASE WHEN l_partkey % 40 % 3 <> 1 THEN 'id' END AS price_id FROM lineitem),
+  s AS (SELECT src, contract FROM l WHERE contract IS NOT NULL AND price_id IS NULL GROUP BY ALL HAVING count(*) >= 25 OR bool_or(symbol <> 'T'))
+  SELECT src, contract, (src, contract) IN (SELECT (src, contract) FROM s) AND contract IS NOT NULL AS dropped, count(*) AS n FROM l GROUP BY ALL""")
+def p13_spam(spark, sf):
+    """Each sender's transfers, without tokens that have no price and are sent round, or whose symbol is a lure."""
+    kind = F.col("l_partkey") % 40
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.when(F.col("l_partkey") % 17 != 0, F.concat(F.lit("c"), kind)).alias("contract"), F.when(kind == 7, F.concat(F.lit("Visit claim"), F.col("l_partkey"), F.lit(".XYZ"))).otherwise("T").alias("symbol"), F.when(kind % 3 != 1, "id").alias("price_id"))
+    return tokens.without_spam(rows, ["src"]).groupBy("src", "contract", "dropped").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p14_case_index", """WITH c AS (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN c_name WHEN 1 THEN c_name || ' TEST' WHEN 2 THEN 'Validation of ' || c_name WHEN 3 THEN 'contest ' || c_name WHEN 4 THEN ' Phase 2 run' WHEN 5 THEN '  ' WHEN 7 THEN 'a sample  case' END AS name, c_custkey % 9 <> 8 AS has_record FROM customer)
+  SELECT c_custkey, CASE WHEN NOT has_record THEN 'no victim record' WHEN c_custkey % 9 IN (5, 6) THEN 'empty victim name' WHEN c_custkey % 9 IN (1, 2, 4, 7) THEN 'marked as a test' END AS reason FROM c""")
+def p14_index(spark, sf):
+    key = F.col("c_custkey") % 9
+    name = F.when(key == 0, F.col("c_name")).when(key == 1, F.concat("c_name", F.lit(" TEST"))).when(key == 2, F.concat(F.lit("Validation of "), "c_name")).when(key == 3, F.concat(F.lit("contest "), "c_name")).when(key == 4, " Phase 2 run").when(key == 5, "  ").when(key == 7, "a sample  case")
+    return load(spark, sf, "customer").select("c_custkey", tokens.case_is_test(name, key != 8).alias("reason"))
+
+
+@query("a20_token_verdicts", """WITH s AS (SELECT l_partkey AS p_partkey, count(*) FILTER (WHERE l_returnflag = 'N') AS buys, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber = 4) AS sells FROM lineitem GROUP BY ALL),
+  t AS (SELECT p_partkey, coalesce(buys, 0) AS buys, coalesce(sells, 0) AS sells, p_partkey % 2 + p_partkey // 2 % 2 AS traps, p_size = 50 AS pulled, p_partkey % 31 = 0 AS honeypot, p_partkey % 7 = 0 AS unsellable, p_partkey % 5 = 0 AS hidden, p_partkey % 3 = 0 AS proxy FROM part LEFT JOIN s USING (p_partkey)),
+  g AS (SELECT *, CASE WHEN sells > 0 THEN 0 WHEN buys >= 20 THEN 4 WHEN buys >= 5 THEN 3 WHEN buys >= 1 THEN 2 ELSE 0 END AS unsold FROM t),
+  k AS (SELECT *, CAST(unsellable AS INT) + CAST(hidden AS INT) + CASE WHEN unsold = 3 THEN 1 ELSE 0 END AS serious FROM g)
+  SELECT p_partkey, CAST(traps + CASE WHEN unsold > 0 THEN 1 ELSE 0 END + CAST(pulled AS INT) + CAST(honeypot AS INT) + CAST(unsellable AS INT) + CAST(hidden AS INT) + CAST(proxy AS INT) AS INTEGER) AS n_signals,
+    CASE WHEN unsold = 4 OR honeypot THEN 10 WHEN pulled THEN 9 WHEN serious >= 2 THEN 7 WHEN serious = 1 THEN 5 WHEN traps > 0 OR unsold = 2 THEN 3 WHEN proxy THEN 1 ELSE 0 END AS score,
+    CASE WHEN unsold = 4 OR honeypot THEN 'honeypot' WHEN pulled OR serious >= 2 THEN 'high_risk_rug' WHEN serious = 1 THEN 'medium_risk' WHEN traps > 0 OR unsold = 2 OR proxy THEN 'low_risk' ELSE 'clean' END AS verdict FROM k""")
+def a20_verdicts(spark, sf):
+    """Every signal of a token's code, trades, pool and service flags, and the ladder of verdicts."""
+    trades = load(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_if(F.col("l_returnflag") == "N").alias("buys"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 4)).alias("sells"))
+    key = F.col("p_partkey")
+    code = F.concat(F.lit("0x6080"), F.when(key % 2 == 1, "DC1052E2").otherwise(""), F.lit("00"), F.when(F.floor(key / 2) % 2 == 1, "44337ea1").otherwise(""))
+    flag = lambda n: F.when(key % n == 0, "1").otherwise("0")
+    rows = load(spark, sf, "part").join(trades, "p_partkey", "left")
+    rows = rows.select("p_partkey", tokens.token_signals(code, F.col("buys"), F.col("sells"), F.col("p_size") == 50, {"is_honeypot": flag(31), "cannot_sell_all": flag(7), "hidden_owner": flag(5), "is_proxy": flag(3)}).alias("signals"))
+    return rows.select("p_partkey", F.size("signals").alias("n_signals"), tokens.token_verdict(F.col("signals")).alias("v")).select("p_partkey", "n_signals", "v.*")
