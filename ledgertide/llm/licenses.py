@@ -153,7 +153,8 @@ def scan(docs: DataFrame) -> DataFrame:
     places where a base phrase's words stand one after another; first_word and last_word
     are the smallest and largest of them, null without any.  labels joins base labels and
     detections', distinct and sorted; score is the greatest confidence of all (0: none).
-    Null and empty texts have no words.  Other columns are ignored.
+    Null and empty texts have no words.  Other columns are ignored, whatever their names; an empty
+    table gives one.
     """
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int32())]))

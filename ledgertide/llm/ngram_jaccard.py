@@ -204,7 +204,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     blank texts have no shingle and link with nothing: their own doc_id is their
     component.  Rows are judged one by one, also where doc_ids repeat; a null doc_id is
     never the smallest unless a component has no other.  Shingles are compared as 64-bit
-    hashes, whole sets as 128-bit digests.  Other columns are ignored.
+    hashes, whole sets as 128-bit digests.  Other columns are ignored, whatever their names; an
+    empty table gives one.
     """
     return judged_rows(docs, size, percent, hot, filter_bits, block_shingles).select("doc_id", "n_shingles", "component_id", "n_links")
 

@@ -274,7 +274,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, filt
     A byte goes if some ``length``-byte string that covers it starts anywhere else too, in
     the same text or another; strings never cross texts and are judged on the input.  All
     occurrences go.  Null and empty texts have no bytes; equal texts repeat as a whole.  Rows are judged one by one, also
-    where doc_ids repeat or are null.  Other columns are ignored.
+    where doc_ids repeat or are null.  Other columns are ignored, whatever their names; an empty
+    table gives one.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession

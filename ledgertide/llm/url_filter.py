@@ -171,7 +171,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
 
     A rule fits its host and all subdomains where the path starts with the rule's; the
     longest decides.  Elsewhere the verdict is allow if the ratio is at or over the
-    calibrated bound.  A url without a host (also null) that no rule fits is blocked.
+    calibrated bound.  A url without a host (also null) that no rule fits is blocked.  Repeated
+    rows each count and are each judged; other columns are ignored, whatever their names; an
+    empty table gives one.
     """
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("url"), F.lit(10)).alias("fold"))
