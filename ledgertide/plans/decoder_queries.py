@@ -145,6 +145,11 @@ def f11_dynamic(spark, sf):
 MOST = 2**256 - 1
 
 
+def spread(rows):
+    """Narrow rows dealt over all cores, before each becomes kilobytes of calls or logs."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "o_orderkey")
+
+
 def bundles(spark, sf):
     """tx, to, calldata of a bundle of six operations in each order: a token transfer inside execute, execute's own
     value, a bare transfer of the largest amount, both forms of executeBatch, and one whose calldata is cut
@@ -166,7 +171,7 @@ def bundles(spark, sf):
     bundle, _ = E.call("0x1fad948c", E.array(*(head(E.data(*c)) for c in calls), broken), address(30))
     bundle = F.when(F.col("o_orderkey") % 7 == 3, F.overlay(bundle, E.word(3000), 10 + 128 + 1)).otherwise(bundle)
     to = F.when(F.col("o_orderkey") % 5 == 0, F.lit("0x" + "12" * 20)).otherwise(F.lit(ENTRY_POINTS[0]))
-    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), to.alias("to"), bundle.alias("calldata"))
+    return spread(load(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(F.col("o_orderkey").alias("tx"), to.alias("to"), bundle.alias("calldata"))
 
 
 @query("f12_user_operations", f"""WITH o AS (SELECT o_orderkey AS tx, o_custkey AS k FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 3),
@@ -280,14 +285,14 @@ POSITION_MANAGER = "0xc36442b4a4522e871399cd717abdd847ab11fe88"
 def f16(spark, sf):
     """An order parks value in block 2, its lines take some out in the block of their number; every
     fifth supplier's lines are logs of another contract."""
-    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("turn"))
+    orders = spread(load(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 3).alias("turn")))
     topic = lambda code, *parts: F.array(F.lit(code), *(F.concat(F.lit("0x"), p) for p in parts))
     codes = [e[2] for e in C.POSITION_EVENTS if e[0] != "market"]
     nothing, order, owner = word(F.lit(0)), word(F.col("o_orderkey")), word(F.col("o_custkey") + 1)
     logs = lambda contract, block, tx, log, topics, data: [F.lit("ethereum").alias("chain"), contract.alias("contract"), block.alias("block"), tx.alias("tx"), log.alias("log"), by_turn("turn", topics).alias("topics"), F.concat(F.lit("0x"), by_turn("turn", data)).alias("data")]
     value = word(F.lit(7))
     parks = orders.select(*logs(F.lit(POSITION_MANAGER), F.lit(2), F.col("o_orderkey"), F.lit(0), [topic(codes[0], order), topic(codes[2], order, owner, nothing), topic(codes[4], owner, order)], [F.concat(value, value, value), F.concat(owner, value), F.concat(value, value)]))
-    lines = orders.join(load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = spread(orders.join(load(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "turn", "l_linenumber", "l_suppkey", "l_partkey"))
     to = word(F.when(F.col("l_linenumber") % 2 == 1, F.col("o_custkey")).otherwise(F.col("l_suppkey")) + 1)
     part, number = word(F.col("l_partkey")), word(F.col("l_linenumber"))
     contract = F.when(F.col("l_suppkey") % 5 == 0, "0x" + "ab" * 20).otherwise(POSITION_MANAGER)
