@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ARGUMENTS = 4
@@ -62,6 +62,21 @@ def small(word_: Column) -> Column:
     return F.conv(_found(F.hex(word_), "^0{56}([0-7].{7})$"), 16, 10).cast("long")
 
 
+def below(data: Column, at: Column) -> Column:
+    """``small`` of the word at ``at``, without a pattern: both are named several times, so each is best a
+    column of its own."""
+    begin = F.least(at + 1, F.lit(2**31 - 64)).cast("int")
+    low = F.substring(data, begin + (WORD - 4), F.lit(4))
+    fits = (F.substring(data, begin, F.lit(WORD - 4)) == F.lit(bytes(WORD - 4))) & (F.length(low) == 4) & (low < F.lit(b"\x80\0\0\0"))
+    return F.when(fits, F.conv(F.hex(low), 16, 10).cast("long"))
+
+
+def address_of(word_: Column) -> Column:
+    """``address`` of a word that is a column of its own."""
+    twenty = F.substring(word_, 13, 20)
+    return F.when((F.length(word_) == WORD) & (F.substring(word_, 1, 12) == F.lit(bytes(12))) & (twenty != F.lit(bytes(20))), as_address(twenty))
+
+
 def address(word_: Column) -> Column:
     """A word whose first twelve bytes are zero and whose others aren't all, so that a misread word
     never makes an address up."""
@@ -126,6 +141,32 @@ def number(word_: Column) -> Column:
     return digits(limbs(word_))
 
 
+def step(value: Column) -> Column:
+    """value (a struct, or one column) behind a generator: filters on it stay above, and what names it several
+    times reads a column, where the optimizer would compute it again."""
+    return F.explode_outer(F.array(value))
+
+
+def numbered(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with the words of the named columns as ``number`` writes them, by steps of plain columns: limbs are no
+    arrays, and a number of 64 bits needs none."""
+    for name in names:
+        w, parts, total = F.col(name), f"{name} parts", f"{name} sums"
+        short = F.substring(w, 1, WORD - 8) == F.lit(bytes(WORD - 8))
+        part = lambda i: F.conv(F.hex(F.substring(w, WORD - 3 - 4 * i, 4)), 16, 10).cast("long")  # noqa: B023, E731
+        rows = rows.withColumn(parts, step(F.when((F.length(w) == WORD) & ~short, F.struct(*(part(i).alias(f"p{i}") for i in range(8))))))
+        scales = [[2 ** (32 * i) // LIMB**j % LIMB for i in range(8)] for j in range(LIMBS)]
+        sums = [reduce(lambda a, b: a + b, [F.col(f"{parts}.p{i}") * F.lit(s).cast("long") for i, s in enumerate(row) if s], F.lit(0).cast("long")) for row in scales]
+        rows = rows.withColumn(total, step(F.when(F.col(parts).isNotNull(), F.struct(*(s.alias(f"s{j}") for j, s in enumerate(sums))))))
+        carries = [F.col(f"{total}.s0")]
+        for j in range(1, LIMBS):
+            carries.append(F.col(f"{total}.s{j}") + _div(carries[-1]))
+        wide = F.concat(*(F.lpad((c % LIMB).cast("string"), 8, "0") for c in reversed(carries)))
+        narrow = F.when((F.length(w) == WORD) & short, F.conv(F.hex(F.substring(w, WORD - 7, 8)), 16, 10))
+        rows = rows.withColumn(name, F.coalesce(narrow, F.ltrim(wide, F.lit("0")))).drop(parts, total)
+    return rows
+
+
 def limbs_of_digits(text_: Column) -> Column:
     """Decimal digits (at most 80) as limbs; null for anything else."""
     padded = F.lpad(_found(F.trim(text_), r"^(\d{1,80})$"), LIMBS * 8, "0")

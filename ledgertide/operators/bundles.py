@@ -1,8 +1,7 @@
 """Bundled operations of smart accounts: the operations of a bundle, and the transfers that each makes.
 
 A bundle is opened in steps, one row a bundle, an operation, and a call inside it, so what is
-read at each step are plain projections over bytes; only the two cuts into elements walk an
-array.  Arrays are as long as their calldata lets them be; a count that it can't hold is
+read at each step are plain projections over bytes; only the bodies of a batch walk an array.  Arrays are as long as their calldata lets them be; a count that it can't hold is
 reported, not cut.
 """
 
@@ -23,11 +22,10 @@ TRANSFER, TRANSFER_FROM = "0xa9059cbb", "0x23b872dd"
 HEAD_WORDS, CALL_SLOT = 11, 3
 
 
-def elements(data: Column, begin: Column, n: Column, one) -> Column:
-    """array of one(i) for the n elements of an array that begins at ``begin``; null where its words
-    aren't all there, or there is none."""
+def places(data: Column, begin: Column, n: Column) -> Column:
+    """0..n-1 for an array that begins at ``begin``; null where its words aren't all there, or there is none."""
     fits = (n > 0) & (begin + abi.WORD * (n + 1) <= F.length(data))
-    return F.when(fits, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one))
+    return F.when(fits, F.sequence(F.lit(0).cast("long"), n - 1))
 
 
 def user_operations(calls: DataFrame) -> DataFrame:
@@ -39,20 +37,21 @@ def user_operations(calls: DataFrame) -> DataFrame:
     ``count`` and a null index.  Calls that aren't bundles give no row.
     """
     others = [c for c in calls.columns if c not in ("to", "calldata")]
-    rows = calls.where(F.lower(F.trim("to")).isin(*ENTRY_POINTS)).select(*others, abi.raw(F.col("calldata")).alias("data"))
+    rows = calls.where(F.lower(F.trim("to")).isin(*ENTRY_POINTS)).select(*others, abi.step(abi.raw(F.col("calldata"))).alias("data"))
     data = F.col("data")
-    rows = rows.where(abi.selector(data) == HANDLE_OPS).select(*others, "data", abi.follow(data, abi.ARGUMENTS, 0).alias("begin"))
-    rows = rows.select(*others, "data", "begin", abi.small(abi.word(data, F.col("begin"))).alias("n_declared"))
-    first = F.col("begin") + abi.WORD
-
-    def one(i: Column) -> Column:
-        base = first + abi.small(abi.word(data, first + abi.WORD * i))
-        return F.struct(i.cast("int").alias("index"), abi.slot(data, base, 0).alias("sender"), F.when(base + abi.WORD * HEAD_WORDS <= F.length(data), abi.blob(data, abi.follow(data, base, CALL_SLOT))).alias("call"))
-
-    opened = elements(data, F.col("begin"), F.col("n_declared"), one)
-    rows = rows.select(*others, "n_declared", F.explode_outer(opened).alias("op")).where("op IS NOT NULL OR n_declared IS NULL OR n_declared > 0")
-    problem = F.when(F.col("op").isNull(), "count").when(F.col("op.sender").isNull() | F.col("op.call").isNull(), "operation")
-    return rows.select(*others, F.col("op.index").alias("index"), abi.address(F.col("op.sender")).alias("sender"), F.col("op.call").alias("call"), "n_declared", problem.alias("problem"))
+    rows = rows.where(abi.selector(data) == HANDLE_OPS).select(*others, "data", (abi.ARGUMENTS + abi.below(data, F.lit(abi.ARGUMENTS))).alias("begin"))
+    rows = rows.select(*others, "data", "begin", abi.below(data, F.col("begin")).alias("n_declared"))
+    rows = rows.select(*others, "data", "n_declared", (F.col("begin") + abi.WORD).alias("first"), F.explode_outer(places(data, F.col("begin"), F.col("n_declared"))).alias("i"))
+    rows = rows.where("i IS NOT NULL OR n_declared IS NULL OR n_declared > 0")
+    rows = rows.select(*others, "data", "n_declared", "i", (F.col("first") + abi.below(data, F.col("first") + abi.WORD * F.col("i"))).alias("base"))
+    rows = rows.select(*others, "data", "n_declared", "i", "base", (F.col("base") + abi.below(data, F.col("base") + abi.WORD * CALL_SLOT)).alias("at"))
+    rows = rows.select(*others, "data", "n_declared", "i", "base", "at", abi.below(data, F.col("at")).alias("size"))
+    held = (F.col("base") + abi.WORD * HEAD_WORDS <= F.length(data)) & (F.col("at") + abi.WORD + F.col("size") <= F.length(data))
+    call = F.when(held, F.substring(data, (F.col("at") + abi.WORD + 1).cast("int"), F.col("size").cast("int")))
+    opened = abi.step(F.struct(abi.slot(data, F.col("base"), 0).alias("sender"), call.alias("call"))).alias("op")
+    rows = rows.select(*others, "n_declared", F.col("i").cast("int").alias("index"), opened)
+    problem = F.when(F.col("index").isNull(), "count").when(F.col("op.call").isNull(), "operation")
+    return rows.select(*others, "index", abi.address_of(F.col("op.sender")).alias("sender"), F.col("op.call").alias("call"), "n_declared", problem.alias("problem"))
 
 
 def inner_transfers(operations: DataFrame) -> DataFrame:
@@ -65,24 +64,25 @@ def inner_transfers(operations: DataFrame) -> DataFrame:
     batch, valued = code.isin(EXECUTE_BATCH, EXECUTE_BATCH_VALUE), code == EXECUTE_BATCH_VALUE
     kept = [*others, "sender", "call"]
     rows = operations.where(code.isin(EXECUTE, EXECUTE_OP, EXECUTE_BATCH, EXECUTE_BATCH_VALUE, TRANSFER, TRANSFER_FROM))
-    offset = lambda n: abi.follow(call, abi.ARGUMENTS, n)
-    rows = rows.select(*kept, F.when(batch, offset(0)).alias("targets"), F.when(valued, offset(1)).alias("values"), F.when(valued, offset(2)).when(batch, offset(1)).alias("bodies"))
-    count = lambda c: abi.small(abi.word(call, F.col(c)))
-    rows = rows.select(*kept, "targets", "values", "bodies", count("targets").alias("n"), F.coalesce(count("values"), F.lit(0)).alias("n_values"), count("bodies").alias("n_bodies"))
-
-    def one(i: Column) -> Column:
-        first = F.col("bodies") + abi.WORD
-        body = F.when(i < F.col("n_bodies"), abi.blob(call, first + abi.small(abi.word(call, first + abi.WORD * i)))).otherwise(F.lit(b""))
-        return F.struct(abi.slot(call, F.col("targets"), i + 1).alias("target"), F.when(i < F.col("n_values"), abi.slot(call, F.col("values"), i + 1)).alias("value"), body.alias("body"))
-
-    parts = elements(call, F.col("targets"), F.col("n"), one)
-    whole = lambda a: F.when(F.forall(a, lambda x: x["body"].isNotNull()), a)
-    single = F.array(F.struct(abi.slot(call, abi.ARGUMENTS, 0).alias("target"), abi.slot(call, abi.ARGUMENTS, 1).alias("value"), abi.blob(call, offset(2)).alias("body")))
-    bare = F.array(F.struct(F.lit(None).cast("binary").alias("target"), F.lit(None).cast("binary").alias("value"), call.alias("body")))
-    opened = F.when(batch, whole(parts)).when(code.isin(EXECUTE, EXECUTE_OP), whole(single)).otherwise(bare)
-    rows = rows.select(*others, "sender", F.posexplode(opened).alias("place", "c")).select(*others, "place", "sender", "c.*")
-
-    body, inner, target = F.col("body"), abi.selector(F.col("body")), abi.address(F.col("target"))
+    offset = lambda n: abi.ARGUMENTS + abi.below(call, F.lit(abi.ARGUMENTS + abi.WORD * n))
+    single = code.isin(EXECUTE, EXECUTE_OP)
+    rows = rows.select(*kept, F.when(batch, offset(0)).alias("targets"), F.when(valued, offset(1)).alias("values"), F.when(valued, offset(2)).when(batch, offset(1)).alias("bodies"), F.when(single, offset(2)).alias("at"))
+    count = lambda c: abi.below(call, F.col(c))
+    rows = rows.select(*kept, "targets", "values", "bodies", "at", count("targets").alias("n"), F.coalesce(count("values"), F.lit(0)).alias("n_values"), count("bodies").alias("n_bodies"))
+    first = F.col("bodies") + abi.WORD
+    # where the body of each call begins; -1 for one without
+    begins = F.transform(places(call, F.col("targets"), F.col("n")), lambda i: F.when(i < F.col("n_bodies"), first + abi.below(call, first + abi.WORD * i)).otherwise(F.lit(-1).cast("long")))
+    rows = rows.select(*kept, "targets", "values", "n_values", F.when(batch, begins).when(single, F.array("at")).alias("begins"))
+    rows = rows.select(*kept, "targets", "values", "n_values", "begins", F.transform("begins", lambda p: F.when(p < 0, F.lit(0).cast("long")).otherwise(abi.below(call, p))).alias("sizes"))
+    read = lambda p, n: F.when(p < 0, F.lit(b"")).when(p + abi.WORD + n <= F.length(call), F.substring(call, (p + abi.WORD + 1).cast("int"), n.cast("int")))
+    rows = rows.select(*kept, "targets", "values", "n_values", abi.step(F.when(batch | single, F.zip_with("begins", "sizes", read)).otherwise(F.array(call))).alias("parts"))
+    rows = rows.where(F.forall("parts", lambda x: x.isNotNull())).select(*kept, "targets", "values", "n_values", F.posexplode("parts").alias("place", "body"))
+    nth = abi.WORD * (F.col("place") + 1)
+    target = F.when(batch, abi.word(call, F.col("targets") + nth)).when(single, abi.word(call, abi.ARGUMENTS))
+    value = F.when(F.col("place") < F.col("n_values"), abi.word(call, F.col("values") + nth)).when(single, abi.word(call, abi.ARGUMENTS + abi.WORD))
+    rows = rows.select(*others, "place", "sender", target.alias("target"), value.alias("value"), "body")
+
+    body, inner, target = F.col("body"), abi.selector(F.col("body")), abi.address_of(F.col("target"))
     argument = lambda n: abi.slot(body, abi.ARGUMENTS, n)
     plain, taken = (inner == TRANSFER) & (F.length(body) >= abi.ARGUMENTS + 2 * abi.WORD), (inner == TRANSFER_FROM) & (F.length(body) >= abi.ARGUMENTS + 3 * abi.WORD)
     paid = F.col("value").isNotNull() & (F.col("value") != F.lit(bytes(32)))
@@ -90,7 +90,7 @@ def inner_transfers(operations: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
     pick = lambda a, b, c: F.when(F.col("kind") == "transfer", a).when(F.col("kind") == "transferFrom", b).otherwise(c)
     made = rows.select(
-        *others, "place", pick(F.col("sender"), abi.address(argument(0)), F.col("sender")).alias("src"), pick(abi.address(argument(0)), abi.address(argument(1)), target).alias("dst"),
+        *others, "place", pick(F.col("sender"), abi.address_of(argument(0)), F.col("sender")).alias("src"), pick(abi.address_of(argument(0)), abi.address_of(argument(1)), target).alias("dst"),
         F.when(F.col("kind") == "value", "").otherwise(F.coalesce(target, F.lit(""))).alias("token"), pick(argument(1), argument(2), F.col("value")).alias("amount"),
     )
-    return made.withColumn("amount", abi.number(F.col("amount")))
+    return abi.numbered(made, "amount")

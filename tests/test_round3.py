@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import duckdb
 
+from ledgertide.functions import abi
+from ledgertide.operators.bundles import inner_transfers, user_operations
 from ledgertide.plans import catalogue
 from tests.test_queries import rows_of
 
@@ -38,3 +40,20 @@ def test_no_account_number_is_a_burn_of_its_own(spark, tmp_path):
     con = tables(tmp_path, [(1, 6), (2, 57005)], lines, [6, 57005, 57015])
     rows = same(spark, con, tmp_path, "g1_policy_trace")
     assert any("57015" in r for r in rows)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_operations_and_numbers_are_read_without_walking_arrays(spark):
+    calls = spark.createDataFrame([(1, "0x", "0x")], "tx int, to string, calldata string")
+    operations = user_operations(calls)
+    assert plan_of(operations).count("lambdafunction") <= 1  # the text of the calldata alone
+    assert "aggregate(" not in plan_of(inner_transfers(operations.select("tx", "index", "sender", "call")))
+
+
+def test_numbered_words(spark):
+    values = [0, 1, 10**8, 2**63, 2**64 - 1, 2**64, 10**40, 2**128 + 5, 2**255, 2**256 - 1]
+    rows = spark.createDataFrame([(str(v), bytearray(v.to_bytes(32, "big"))) for v in values] + [(None, bytearray(b"x")), (None, None)], "t string, w binary")
+    assert all(r.t == r.w for r in abi.numbered(rows, "w").collect())
