@@ -195,4 +195,5 @@ def position_events(logs: DataFrame, managers: list[str], markets: list[str] | N
     words = [chosen(lambda e, i=i: F.col(e[5][i]) if len(e[5]) > i else None) for i in range(2)]
     read = kept.select("chain", "contract", "block", "tx", "log", kind.alias("kind"), role.alias("role"), position.alias("position"), chosen(lambda e: F.col(e[4]) if e[4] else None).alias("to"), words[0].alias("w0"), words[1].alias("w1"))
     read = read.where(F.col("position").isNotNull() & ((F.col("kind") != "lp") | F.col("contract").isin(managers)) & ((F.col("kind") != "market") | F.col("contract").isin(markets or [])))
-    return read.select("chain", "contract", "block", "tx", "log", "kind", "role", "position", abi.address(F.col("to")).alias("recipient"), abi.number(F.col("w0")).alias("amount0"), abi.number(F.col("w1")).alias("amount1"))
+    read = read.select("chain", "contract", "block", "tx", "log", "kind", "role", "position", abi.address_of(F.col("to")).alias("recipient"), F.col("w0").alias("amount0"), F.col("w1").alias("amount1"))
+    return abi.numbered(read, "amount0", "amount1")
