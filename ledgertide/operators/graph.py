@@ -228,19 +228,32 @@ def value_frontier(legs: DataFrame, seeds: DataFrame, service: DataFrame, rounds
 
 def label_exposure(edges: DataFrame, victims: DataFrame, risky: DataFrame, hop_weights: list[float]) -> DataFrame:
     """victim, exposure: over the steps from each victim (node), the hop's weight times the value of
-    edges into risky nodes, of the victim's own outflow.  A node is visited once a hop."""
+    edges into risky nodes, of the victim's own outflow.  A node is visited once a hop.
+
+    A victim is a bit, and a node's row holds 64 of them, so the victims that have come to a node
+    are joined and merged as sets and no victim's edges are listed; what a node sends to risky
+    ones is summed once.  A step goes only to nodes from which the rest of the hops can
+    meet a risky one.
+    """
     outflow = edges.join(victims.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("victim")).agg(F.sum("usd").alias("drained"))
-    frontier = settle(victims.select(F.col("node").alias("victim"), "node").distinct())
-    parts = None
-    for weight in hop_weights:
-        step = settle(frontier.withColumnRenamed("node", "src").join(edges, "src").select("victim", "dst", "usd"))
-        if step.isEmpty():
-            break
-        hit = step.join(risky.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("victim").agg(F.sum("usd").alias("value"))
-        hit = hit.select("victim", (F.col("value").cast("double") * weight).alias("value"))
-        parts = hit if parts is None else parts.unionByName(hit)
-        frontier = settle(step.select("victim", F.col("dst").alias("node")).distinct())
-    total = parts.groupBy("victim").agg(F.sum("value").alias("value"))
+    numbered = settle(settle(victims.select("node").distinct()).withColumn("id", F.monotonically_increasing_id()))
+    risk = settle(edges.join(risky.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.sum("usd").alias("risk")))
+    ahead = [risk.select("node")]  # whence a risky node is met in so many steps and one
+    for _ in hop_weights[2:]:
+        before = edges.join(ahead[-1].withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+        ahead.append(settle(before.unionByName(ahead[0]).distinct()))
+    front = numbered.select("node", F.shiftright("id", 6).alias("word"), F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bits"))
+    parts = []
+    for k, weight in enumerate(hop_weights):
+        if k:
+            step = edges.join(ahead[len(hop_weights) - 1 - k].withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"), "dst")
+            front = settle(front.join(step, "node").groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits")))
+            if front.isEmpty():
+                break
+        held = front.join(risk, "node").select("word", "bits", "risk", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).where("(shiftright(bits, i) & 1) = 1")
+        value = held.groupBy((F.shiftleft("word", 6) + F.col("i")).alias("id")).agg(F.sum("risk").alias("value"))
+        parts.append(value.select("id", (F.col("value").cast("double") * weight).alias("value")))
+    total = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("value").alias("value")).join(numbered.withColumnRenamed("node", "victim"), "id")
     return total.join(outflow, "victim").select("victim", F.round(F.col("value") / F.col("drained").cast("double"), 6).alias("exposure"))
 
 
