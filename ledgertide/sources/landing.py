@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgertide.functions.expressions import csv_guard
+from ledgertide.operators.graph import settle
 
 LABEL_SCHEMA = "address string, name string, category string, exchange string, source string, confidence string, notes string, added_at timestamp, valid_from timestamp, valid_until timestamp"
 SANCTION_SCHEMA = "address string, chain string, sdn_entry_name string, sdn_entry_id string, listing_date string, removed_at_utc string"
@@ -150,9 +151,17 @@ def write_transfers_csv(transfers: DataFrame, path: str) -> None:
     transfers.select(*(csv_guard(F.col(c)).alias(c) if c in text else F.col(c) for c in transfers.columns)).write.option("header", True).csv(path)
 
 
-def write_cases(transfers: DataFrame, path: str) -> None:
-    """A JSON document a case and line, with its transfers inside; ``read_cases`` with lines reads it again."""
-    cases = transfers.groupBy("case_id", "seed_address").agg(F.collect_list(F.struct(*(c for c in transfers.columns if c not in ("case_id", "seed_address")))).alias("transfers"))  # a case's own
+def write_cases(transfers: DataFrame, path: str, most: int = 1000) -> None:
+    """A JSON document a case and line, with its transfers inside; ``read_cases`` with lines reads it again.
+    A case of more than ``most`` transfers takes several documents of about that many, so that none holds a
+    whole busy case."""
+    key, rest = ["case_id", "seed_address"], [c for c in transfers.columns if c not in ("case_id", "seed_address")]
+    # a small table of busy cases, counted before it is broadcast, so that no case is a task of the join
+    busy = settle(transfers.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).alias("n_parts")).where("n_parts > 1").toDF("of_case", "of_seed", "n_parts"))
+    busy = F.broadcast(busy) if busy.count() <= 50_000 else busy
+    sized = transfers.join(busy, F.col("case_id").eqNullSafe(F.col("of_case")) & F.col("seed_address").eqNullSafe(F.col("of_seed")), "left")
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64(*rest), "n_parts"))
+    cases = dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*rest)).alias("transfers")).drop("part")  # a document's own
     cases.write.json(path)
 
 

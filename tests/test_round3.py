@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from ledgertide.functions import abi
 from ledgertide.operators.bundles import inner_transfers, user_operations
+from ledgertide.operators.graph import label_exposure
 from ledgertide.plans import catalogue
+from ledgertide.sources import landing
 from tests.test_queries import rows_of
 
 LINE = "CAST({0} AS BIGINT) AS l_orderkey, CAST({1} AS BIGINT) AS l_partkey, CAST({2} AS BIGINT) AS l_suppkey, CAST({3} AS INTEGER) AS l_linenumber, CAST({4} AS DOUBLE) AS l_quantity, CAST({5} AS DOUBLE) AS l_extendedprice, CAST(0 AS DOUBLE) AS l_discount, '{6}' AS l_returnflag, TIMESTAMP '{7}' AS l_shipdate"
@@ -57,3 +62,36 @@ def test_numbered_words(spark):
     values = [0, 1, 10**8, 2**63, 2**64 - 1, 2**64, 10**40, 2**128 + 5, 2**255, 2**256 - 1]
     rows = spark.createDataFrame([(str(v), bytearray(v.to_bytes(32, "big"))) for v in values] + [(None, bytearray(b"x")), (None, None)], "t string, w binary")
     assert all(r.t == r.w for r in abi.numbered(rows, "w").collect())
+
+
+def test_a_busy_case_takes_several_documents(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("if(id < 4990, 'busy', if(id < 4995, 'calm', null)) AS case_id", "'s' AS seed_address", "CAST(id AS STRING) AS transfer_id", "'eth' AS chain")
+    landing.write_cases(rows, f"{tmp_path}/cases", most=100)
+    documents = spark.read.json(f"{tmp_path}/cases").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("transfers")).alias("most")).collect()
+    assert {r.case_id: r.n for r in documents if r.case_id != "busy"} == {"calm": 1, None: 1}
+    assert max(r.most for r in documents) < 200
+    back = landing.read_cases(spark, f"{tmp_path}/cases", lines=True)
+    assert back.count() == back.select("transfer_id").distinct().count() == 5000
+
+
+def test_exposure_keeps_victims_as_bits(spark):
+    """More victims than a word has bits, against plain sets; and none that pays anyone."""
+    rng = random.Random(4)
+    edges = list({(rng.randrange(150), rng.randrange(150)): rng.randrange(1, 99) for _ in range(500)}.items())
+    risky, victims, weights = set(range(0, 150, 13)), list(range(100)), [1.0, 0.5, 0.25, 0.125]
+    want = {}
+    for v in victims:
+        drained, nodes, value = sum(u for (a, _), u in edges if a == v), {v}, 0.0
+        hit = False
+        for w in weights:
+            step = [(b, u) for (a, b), u in edges if a in nodes]
+            risk = [u for b, u in step if b in risky]
+            value, nodes, hit = value + w * sum(risk), {b for b, _ in step}, hit or bool(risk)
+        if hit:
+            want[v] = round(value / drained, 6)
+    table = lambda xs, t: spark.createDataFrame(xs, t)
+    rows = table([(a, b, u) for (a, b), u in edges], "src long, dst long, usd long").selectExpr("src", "dst", "CAST(usd AS DECIMAL(12,2)) AS usd")
+    node = lambda xs: table([(x,) for x in xs], "node long")
+    found = {r.victim: r.exposure for r in label_exposure(rows, node(victims), node(sorted(risky)), weights).collect()}
+    assert found.keys() == want.keys() and all(abs(found[v] - want[v]) < 2e-6 for v in want)
+    assert label_exposure(rows, node([999]), node([0]), weights).count() == 0
