@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import expressions as X
 from ledgertide.operators import joins as J
 from ledgertide.operators.aggregates import money, strongest_outcome
-from ledgertide.plans.domain import STRENGTH, L, O, R, S, T, I, high_risk, issuers, labels, letters, load, outcomes, snapshots, transfers
+from ledgertide.plans.domain import I, L, O, R, S, STRENGTH, T, dealt, high_risk, issuers, labels, letters, load, outcomes, snapshots, transfers
 from ledgertide.plans.registry import query
 
 NOW = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -167,7 +167,9 @@ SWAPS = "legs AS (SELECT DISTINCT l_orderkey AS tx, l_linenumber AS log, l_partk
 
 
 def _swap_legs(spark, sf):
-    lines = load(spark, sf, "lineitem").join(load(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = load(spark, sf, "lineitem")
+    n = lines.count()
+    lines = dealt(lines, "l_orderkey", n).join(dealt(load(spark, sf, "orders"), "o_orderkey", n), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.selectExpr("l_orderkey AS tx", "l_linenumber AS log", "l_partkey % 50 AS token", "o_custkey % 20 AS src", "l_suppkey % 20 AS dst", "CAST(l_extendedprice AS DECIMAL(12,2)) AS usd").distinct()
 
 

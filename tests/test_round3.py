@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import abi
 from ledgertide.operators.bundles import inner_transfers, user_operations
 from ledgertide.operators.graph import label_exposure
-from ledgertide.plans import catalogue
+from ledgertide.plans import catalogue, domain
 from ledgertide.sources import landing
 from tests.test_queries import rows_of
 
@@ -95,3 +95,13 @@ def test_exposure_keeps_victims_as_bits(spark):
     found = {r.victim: r.exposure for r in label_exposure(rows, node(victims), node(sorted(risky)), weights).collect()}
     assert found.keys() == want.keys() and all(abs(found[v] - want[v]) < 2e-6 for v in want)
     assert label_exposure(rows, node([999]), node([0]), weights).count() == 0
+
+
+def test_swaps_take_more_tasks_as_tables_grow(spark, monkeypatch):
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 500)
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    for name in ("j15_swap_pairing", "j16_swap_outputs"):
+        assert "RepartitionByExpression" in plan_of(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert same(spark, con, "/root/testdata/sf0.001", name)
