@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ledgertide.functions import abi
@@ -105,3 +106,20 @@ def test_swaps_take_more_tasks_as_tables_grow(spark, monkeypatch):
     for name in ("j15_swap_pairing", "j16_swap_outputs"):
         assert "RepartitionByExpression" in plan_of(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
         assert same(spark, con, "/root/testdata/sf0.001", name)
+
+
+def small(folder="/root/testdata/sf0.001", names=("orders", "lineitem", "supplier")):
+    con = duckdb.connect()
+    for name in names:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["a17_direct_risk", "a42_nft_batches", "g7_swap_continuation", "g25_small_sets", "j6_two_sided_exposure", "j32_bridge_self_audit", "s14_utxo_normaliser"])
+def test_transactions_take_more_tasks_as_tables_grow(spark, monkeypatch, name):
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 500)
+    seen = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "repartition", lambda rows, n, *by, whole=frame.repartition: seen.append(n) or whole(rows, n, *by))
+    assert same(spark, small(), "/root/testdata/sf0.001", name)
+    assert seen and min(seen) == 6000 // 500
