@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgertide.operators import aggregates as A
-from ledgertide.plans.domain import STRENGTH, STRENGTH_SQL, WINS, L, O, R, S, T, high_risk, labels, letters, load, outcomes, snapshots, transfers
+from ledgertide.plans.domain import STRENGTH, STRENGTH_SQL, WINS, L, O, R, S, T, dealt, high_risk, labels, letters, load, outcomes, snapshots, transfers
 from ledgertide.plans.registry import query
 
 WON = "outcome_type IN ('full_freeze', 'partial_freeze', 'returned')"
@@ -321,7 +321,9 @@ def a41(spark, sf):
 @query("a42_nft_batches", """WITH b AS (SELECT l_orderkey AS tx, l_suppkey AS dst, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY ALL),
   e AS (SELECT DISTINCT tx, dst, unnest(ids) AS token_id FROM b) SELECT dst, count(*) AS n, count(DISTINCT token_id) AS n_tokens FROM e GROUP BY dst""")
 def a42(spark, sf):
-    batches = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tx"), F.col("l_suppkey").alias("dst")).agg(F.collect_list("l_partkey").alias("ids"))
+    lines = load(spark, sf, "lineitem")
+    lines = dealt(lines, "l_orderkey", lines.count())
+    batches = lines.groupBy(F.col("l_orderkey").alias("tx"), F.col("l_suppkey").alias("dst")).agg(F.collect_list("l_partkey").alias("ids"))
     return batches.select("tx", "dst", F.explode("ids").alias("token_id")).dropDuplicates().groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token_id").alias("n_tokens"))
 
 
