@@ -9,7 +9,7 @@ from ledgertide.functions import expressions as X
 from ledgertide.functions.checksums import chain_family
 from ledgertide.operators import tokens
 from ledgertide.operators.aggregates import money
-from ledgertide.plans.domain import L, T, labels, load, transfers
+from ledgertide.plans.domain import L, T, dealt, labels, load, transfers
 from ledgertide.plans.registry import query
 from ledgertide.sources import landing
 
@@ -185,8 +185,10 @@ def s7(spark, sf):
 
 @query("s14_utxo_normaliser", """WITH x AS (SELECT l_orderkey AS tx, l_linenumber AS output_index, l_suppkey AS dst, CAST(l_extendedprice AS DECIMAL(12,2)) AS amount FROM lineitem) SELECT tx, o_custkey AS src, dst, output_index, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM x JOIN orders ON tx = o_orderkey GROUP BY ALL""")
 def s14(spark, sf):
-    outputs = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tx")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("output_index"), F.col("l_suppkey").alias("address"), F.col("l_extendedprice").cast("decimal(12,2)").alias("value"))).alias("outputs"))  # a transaction's own outputs
-    inputs = load(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), F.array(F.struct(F.col("o_custkey").alias("address"))).alias("inputs"))
+    lines = load(spark, sf, "lineitem")
+    n = lines.count()
+    outputs = dealt(lines, "l_orderkey", n).groupBy(F.col("l_orderkey").alias("tx")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("output_index"), F.col("l_suppkey").alias("address"), F.col("l_extendedprice").cast("decimal(12,2)").alias("value"))).alias("outputs"))  # a transaction's own outputs
+    inputs = dealt(load(spark, sf, "orders"), "o_orderkey", n).select(F.col("o_orderkey").alias("tx"), F.array(F.struct(F.col("o_custkey").alias("address"))).alias("inputs"))
     rows = landing.utxo_transfers(outputs.join(inputs, "tx"))
     return rows.groupBy("tx", "src", "dst", "output_index").agg(F.count(F.lit(1)).alias("n"), money(F.sum("amount")).alias("amount"))
 
