@@ -230,17 +230,51 @@ def split_matches(inbound: DataFrame, outbound: DataFrame, days: int, percent: i
     return found.select("node", "i_tx", "i_log", "i_token", "i_src", "legs", F.col("total").cast("double").alias("usd"))
 
 
-def bridge_matches(deposits: DataFrame, withdrawals: DataFrame, days: int, percent: int, near_ppm: int = 1000) -> DataFrame:
+def bridge_matches(deposits: DataFrame, withdrawals: DataFrame, days: int, percent: int, near_ppm: int = 1000, tasks: int | None = None) -> DataFrame:
     """The withdrawal of the same symbol on another chain that fits a deposit best, by difference and
-    delay; medium if it's clean (half of the tolerance) and no other is within near_ppm, else low."""
-    pairs = within(deposits, withdrawals, ["symbol"], "i_time", "o_time", days, ("i_usd", "o_usd", percent)).where("i_chain <> o_chain")
-    pairs = pairs.withColumn("ppm", parts_per_million(F.col("o_usd") - F.col("i_usd"), F.col("i_usd"))).where(F.col("ppm") <= percent * 10_000)
-    each = ["i_tx", "i_log", "i_token", "i_src", "i_dst"]
-    pairs = pairs.withColumn("least", F.min("ppm").over(Window.partitionBy(*each)))
-    pairs = pairs.withColumn("rivals", F.count_if(F.col("ppm") <= F.col("least") + near_ppm).over(Window.partitionBy(*each)))
-    best = first_by(pairs, each, ["ppm", "days", "o_tx", "o_log", "o_token", "o_dst", "o_src"])
+    delay; medium if it's clean (half of the tolerance) and no other is within near_ppm, else low.
+
+    A symbol's withdrawals of one day and chain are sorted by value: the two next to a deposit on either side
+    tell its least difference and whether it has a rival.  Only what may lie at that very difference,
+    a millionth of the value wide, is joined then, so the work grows as the rows do and not as
+    their pairs.  tasks: over how many the rows are dealt (None: the session's number).
+    """
+    each, group = ["i_tx", "i_log", "i_token", "i_src", "i_dst"], ["symbol", "at", "o_chain"]
+    deal = lambda rows, *by: rows.repartition(tasks, *by) if tasks else rows
+    most = percent * 10_000
+    held = withdrawals.where("o_usd > 0").withColumn("at", F.to_date("o_time"))
+    chains = held.select("o_chain").distinct()  # as many as there are chains
+    asked = deposits.where("i_usd > 0").withColumn("days", F.explode(F.sequence(F.lit(0), F.lit(days)))).withColumn("at", F.date_add(F.to_date("i_time"), F.col("days")))
+    asked = asked.crossJoin(F.broadcast(chains)).where("i_chain <> o_chain").select(*group, *each, "days", "i_usd", F.col("i_usd").alias("value"), F.lit(1).alias("kind"))
+    both = deal(asked.unionByName(held.select(*group, F.col("o_usd").alias("value"), F.lit(0).alias("kind")), allowMissingColumns=True), *group)
+    ppm = lambda c: parts_per_million(c - F.col("i_usd"), F.col("i_usd"))
+    sides = {"below": ["value", "kind"], "above": [F.desc("value"), F.desc("kind")]}
+    for side, order in sides.items():
+        past = Window.partitionBy(*group).orderBy(*order)
+        before = F.last(F.when(F.col("kind") == 0, F.col("value")), ignorenulls=True).over(past.rowsBetween(Window.unboundedPreceding, -1))
+        both = both.withColumn("before", before).withColumn("two", F.when(F.col("kind") == 0, F.struct("value", "before")))
+        both = both.withColumn(side, F.last("two", ignorenulls=True).over(past.rowsBetween(Window.unboundedPreceding, 0))).drop("before", "two")
+    met = both.where("kind = 1").select(*group, *each, "days", "i_usd", *(ppm(F.col(s)[c]).alias(f"{s}_{c}") for s in sides for c in ("value", "before")))
+    ppms = ["below_value", "below_before", "above_value", "above_before"]
+    met = deal(met.withColumn("own", F.least("below_value", "above_value")).where(F.col("own") <= most), *each)
+    met = met.withColumn("ppm", F.min("own").over(Window.partitionBy(*each)))
+    close = sum((F.coalesce((F.col(c) <= F.least(F.col("ppm") + near_ppm, F.lit(most))).cast("int"), F.lit(0)) for c in ppms), F.lit(0))
+    met = met.withColumn("rivals", F.sum(close).over(Window.partitionBy(*each))).where("own = ppm")
+
+    width = 1.05e-6 / (1 - percent / 100)  # of a band: no narrower than what has one ppm on one side
+    band = lambda value, slack: F.floor((F.ln(value) + slack) / width)
+    value, part = F.col("i_usd").cast("double"), F.col("ppm") / 1e6
+    ends = lambda low, high: F.array(band(value * low, -1e-9), band(value * high, 1e-9))
+    under = F.when(F.col("below_value") == F.col("ppm"), ends(1 - part - 1e-6, 1 - part))
+    over = F.when(F.col("above_value") == F.col("ppm"), ends(1 + part, 1 + part + 1e-6))
+    bands = F.array_distinct(F.concat(F.coalesce(under, F.array().cast("array<long>")), F.coalesce(over, F.array().cast("array<long>"))))
+    met = deal(met.select(*group, *each, "days", "i_usd", "ppm", "rivals", F.explode(bands).alias("band")), *group)
+    rest = ["o_tx", "o_log", "o_token", "o_dst", "o_src"]
+    given = deal(held.select(*group, "o_usd", *rest), *group).groupBy(*group, "o_usd").agg(F.min(F.struct(*rest)).alias("o")).withColumn("band", band(F.col("o_usd").cast("double"), 0.0))
+    found = met.join(given, [*group, "band"]).where(ppm(F.col("o_usd")) == F.col("ppm"))
+    best = found.groupBy(*each).agg(F.min(F.struct("days", "o")).alias("best"), F.min("ppm").alias("ppm"), F.min("rivals").alias("rivals"))
     clean = (F.col("rivals") == 1) & (F.col("ppm") <= percent * 5_000)
-    return best.select(*each, "o_tx", "o_log", "o_token", "o_dst", F.col("ppm").cast("long").alias("ppm"), F.col("days").cast("long").alias("days"), F.when(clean, "medium").otherwise("low").alias("confidence"))
+    return best.select(*each, *(F.col(f"best.o.{c}").alias(c) for c in rest[:-1]), F.col("ppm").cast("long").alias("ppm"), F.col("best.days").cast("long").alias("days"), F.when(clean, "medium").otherwise("low").alias("confidence"))
 
 
 def swap_pairs(legs: DataFrame) -> DataFrame:
@@ -287,9 +321,8 @@ def continuity(deposits: DataFrame, withdrawals: DataFrame, tiers: list[tuple[in
 def drainer_legs(incoming: DataFrame, outgoing: DataFrame, days: int, percent: int) -> DataFrame:
     """Contracts that pass on at least percent of what a victim sent, in the same symbol and within days
     either way, unless something comes back to the victim by then."""
-    before = within(incoming, outgoing, ["node", "symbol"], "i_time", "o_time", days)
-    after = within(outgoing, incoming, ["node", "symbol"], "o_time", "i_time", days).where("days > 0")
-    near = before.unionByName(after.select(*before.columns))
+    begun = incoming.withColumn("begin", F.date_sub(F.to_date("i_time"), days))
+    near = within(begun, outgoing.select("node", "symbol", "o_time", "o_dst", "o_usd"), ["node", "symbol"], "begin", "o_time", 2 * days)
     each = ["node", "symbol", "i_src", "i_tx", "i_log", "i_token", "i_time", "i_usd"]
     legs = near.groupBy(*each).agg(F.bool_or(F.col("o_dst") == F.col("i_src")).alias("returned"), F.count_if((F.col("o_usd") * 100 >= F.col("i_usd") * percent) & (F.col("o_dst") != F.col("i_src"))).alias("n_forwards"))
     return legs.where("NOT returned AND n_forwards > 0").select("node", "symbol", "i_src", "i_tx", "i_log", "i_token", "n_forwards")

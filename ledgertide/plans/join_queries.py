@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import expressions as X
 from ledgertide.operators import joins as J
 from ledgertide.operators.aggregates import money, strongest_outcome
-from ledgertide.plans.domain import I, L, O, R, S, STRENGTH, T, dealt, high_risk, issuers, labels, letters, load, outcomes, snapshots, transfers
+from ledgertide.plans.domain import I, L, O, R, S, STRENGTH, T, dealt, high_risk, issuers, labels, letters, load, outcomes, snapshots, tasks_for, transfers
 from ledgertide.plans.registry import query
 
 NOW = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -116,7 +116,7 @@ CROSSING = """i AS (SELECT DISTINCT token % 5 AS symbol, tx_hash AS i_tx, log_in
         row_number() OVER (PARTITION BY i_tx, i_log, i_token, i_src, i_dst ORDER BY ppm, days, o_tx, o_log, o_token, o_dst, o_src) AS place FROM f)
   SELECT i_tx, i_log, i_token, i_src, i_dst, o_tx, o_log, o_token, o_dst, ppm, days, CASE WHEN rivals = 1 AND ppm <= 10000 THEN 'medium' ELSE 'low' END AS confidence FROM g WHERE place = 1""")
 def j9(spark, sf):
-    return J.bridge_matches(*_crossing(spark, sf), 2, 2)
+    return J.bridge_matches(*_crossing(spark, sf), 2, 2, tasks=tasks_for(spark, load(spark, sf, "lineitem").count()))
 
 
 @query("j10_lock_mint", f"""WITH {T}, {CROSSING} SELECT i_tx, i_dst, i_src, count(*) AS n, min(o_time) AS first_mint, CAST(sum(o_usd) AS DOUBLE) AS usd

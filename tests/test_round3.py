@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import abi
 from ledgertide.operators.bundles import inner_transfers, user_operations
 from ledgertide.operators.graph import label_exposure
+from ledgertide.operators.joins import bridge_matches
 from ledgertide.plans import catalogue, domain
 from ledgertide.sources import landing
 from tests.test_queries import rows_of
@@ -123,3 +124,32 @@ def test_transactions_take_more_tasks_as_tables_grow(spark, monkeypatch, name):
     monkeypatch.setattr(frame, "repartition", lambda rows, n, *by, whole=frame.repartition: seen.append(n) or whole(rows, n, *by))
     assert same(spark, small(), "/root/testdata/sf0.001", name)
     assert seen and min(seen) == 6000 // 500
+
+
+def crossings(rng, n, side, other):
+    day = lambda: f"1997-01-0{rng.randrange(1, 7)} 00:00:00"
+    kept = {(rng.randrange(2), rng.randrange(n), 1, rng.randrange(5), 7 * rng.randrange(3), rng.randrange(9), day(), rng.choice([1000, 2000]) + rng.randrange(400) * rng.choice([0, 1, 100]) / 10_000, rng.choice("ANR")) for _ in range(n)}
+    names = f"symbol long, {side}_tx long, {side}_log int, {side}_token long, {side}_dst long, {side}_src long, day string, usd double, {side}_chain string"
+    return names, [(*r[:4], *r[4:]) for r in kept]
+
+
+def test_best_bridge_match_without_all_pairs(spark):
+    """Many equal values and equal differences, against all pairs in SQL; with and without tasks of its own."""
+    rng, con, made = random.Random(9), duckdb.connect(), {}
+    for side in "io":
+        names, rows = crossings(rng, 300, side, "")
+        frame = spark.createDataFrame(rows, names)
+        made[side] = frame.selectExpr(*(c for c in frame.columns if c not in ("day", "usd")), f"CAST(day AS TIMESTAMP_NTZ) AS {side}_time", f"CAST(usd AS DECIMAL(17,4)) AS {side}_usd").distinct()
+        columns = ", ".join(made[side].columns)
+        con.execute(f"CREATE TABLE {side} AS SELECT * FROM (VALUES {', '.join(str(tuple(str(v) for v in r)) for r in made[side].collect())}) v({columns})")
+        types = {"usd": "DECIMAL(17,4)", "time": "TIMESTAMP", "chain": "VARCHAR"}
+        con.execute(f"CREATE TABLE {side}2 AS SELECT {', '.join(f'CAST({c} AS {types.get(c.split("_")[-1], "BIGINT")}) AS {c}' for c in made[side].columns)} FROM {side}")
+        con.execute(f"DROP TABLE {side}; ALTER TABLE {side}2 RENAME TO {side}")
+    sql = catalogue.oracle_sql()["j9_bridge_matching"]
+    wanted = con.execute("WITH p AS" + sql.split("p AS", 1)[1])
+    names = [d[0] for d in wanted.description]
+    wanted = rows_of(names, wanted.fetchall())
+    for tasks in (None, 7):
+        found = bridge_matches(made["i"], made["o"], 2, 2, tasks=tasks)
+        assert rows_of(found.columns, found.collect()) == wanted
+    assert len(wanted) > 100
