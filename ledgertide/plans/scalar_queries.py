@@ -27,6 +27,11 @@ def p1(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", X.canonical_key(raw).alias("key"))
 
 
+def every_core(rows):
+    """Narrow rows that meet Python or wide expressions: dealt over all cores, for a file may be one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 #: Public examples of each family.
 EXAMPLES = [
     ("bitcoin", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"), ("bitcoin", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy"), ("bitcoin", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"), ("bitcoin", "bc1p5cyxnuxmeuwuvkwfem96lqzszd02n6xdcjrs20cac6yqjjwudpxqkedrcr"),
@@ -41,7 +46,7 @@ def p2(spark, sf):
     shown = F.element_at(F.array(*(F.lit(a) for _, a in EXAMPLES)), (F.col("i") + 1).cast("int"))
     middle = F.floor(F.length("shown") / 2).cast("int")
     other = F.when(F.col("i") == 7, F.substring("shown", F.lit(1), F.length("shown") - 1)).otherwise(F.concat(F.substring("shown", F.lit(1), middle), F.when(F.substring("shown", middle + 1, F.lit(1)).isin("q", "Q", "7"), F.when(F.col("i") == 5, "A").otherwise("z")).otherwise(F.when(F.col("i") == 5, "7").otherwise("q")), F.substring("shown", middle + 2, F.length("shown"))))
-    rows = load(spark, sf, "customer").select("c_custkey", (F.floor(F.col("c_custkey") / 2) % 10).alias("i"))
+    rows = every_core(load(spark, sf, "customer").select("c_custkey")).select("c_custkey", (F.floor(F.col("c_custkey") / 2) % 10).alias("i"))
     rows = rows.withColumn("shown", F.when(F.col("i") == 8, evm("c_custkey")).when(F.col("i") == 9, X.move_address(evm("c_custkey"))).otherwise(F.when(F.col("i") < 8, shown)))
     address = F.when((F.col("c_custkey") % 2 == 1) & (F.col("i") < 8), other).otherwise(F.col("shown"))
     return rows.select("c_custkey", chain_family(address).alias("family"))
@@ -64,7 +69,7 @@ def f17(spark, sf):
     """Valid and invalid addresses of the published vectors, with blanks about them; a tron address, each other one broken."""
     shown = F.concat(F.lit(" "), F.element_at(F.array(*(F.lit(a) for a, _ in SEGWIT_VECTORS)), (F.col("c_custkey") % len(SEGWIT_VECTORS) + 1).cast("int")))
     tron = F.when(F.col("c_custkey") % 2 == 0, "TNUC9Qb1rRpS5CbWLmNMxXBjyFoydXjWFR").otherwise("TNUC9Qb1rRpS5CbWLmNMxXBjyFoydXjWFr")
-    return load(spark, sf, "customer").select("c_custkey", K.bitcoin_address_kind(shown).alias("kind"), K.bitcoin_key(shown).alias("key"), K.chain_family(shown).alias("family"), K.tron_as_hex(tron).alias("tron"))
+    return every_core(load(spark, sf, "customer").select("c_custkey")).select("c_custkey", K.bitcoin_address_kind(shown).alias("kind"), K.bitcoin_key(shown).alias("key"), K.chain_family(shown).alias("family"), K.tron_as_hex(tron).alias("tron"))
 
 
 @query("p3_inclusion", f"WITH {T}, p AS (SELECT *, CASE WHEN token % 10 <> 0 THEN usd END AS price FROM t) SELECT chain, count(*) AS n FROM p WHERE NOT coalesce(price < 10000, false) AND NOT (price IS NULL AND amt < 5) GROUP BY chain")
