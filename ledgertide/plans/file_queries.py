@@ -14,6 +14,10 @@ from ledgertide.plans.registry import query
 from ledgertide.sources import landing
 
 
+#: A file of XML is read by one task.
+ENTRIES_A_FILE = 50_000
+
+
 def folder(spark, name):
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -41,7 +45,7 @@ def s29(spark, sf):
     ids = F.array(one(F.lit("Passport"), F.concat(F.lit("P"), key)), F.when(key % 3 > 0, wallet), F.when(key % 5 == 0, one(F.lit("Digital Currency Address - USDT"), F.concat(F.lit("other"), key))))
     entries = load(spark, sf, "customer").select(key.cast("string").alias("uid"), F.col("c_name").alias("lastName"), F.struct(F.filter(ids, lambda x: x.isNotNull()).alias("id")).alias("idList"))
     at = folder(spark, "sdn")
-    entries.write.format("xml").option("rowTag", "sdnEntry").option("rootTag", "sdnList").save(at)
+    entries.write.format("xml").option("rowTag", "sdnEntry").option("rootTag", "sdnList").option("maxRecordsPerFile", ENTRIES_A_FILE).save(at)
     return landing.read_sanctions_xml(spark, at)
 
 
