@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 
 import duckdb
@@ -12,7 +13,8 @@ from ledgertide.functions import abi
 from ledgertide.operators.bundles import inner_transfers, user_operations
 from ledgertide.operators.graph import label_exposure
 from ledgertide.operators.joins import bridge_matches
-from ledgertide.plans import catalogue, domain
+from ledgertide.operators.subsets import few_inputs, subsets
+from ledgertide.plans import catalogue, domain, file_queries
 from ledgertide.sources import landing
 from tests.test_queries import rows_of
 
@@ -153,3 +155,31 @@ def test_best_bridge_match_without_all_pairs(spark):
         found = bridge_matches(made["i"], made["o"], 2, 2, tasks=tasks)
         assert rows_of(found.columns, found.collect()) == wanted
     assert len(wanted) > 100
+
+
+def test_few_inputs_are_searched_together(spark):
+    """The same sets in the same order, one transaction at a time or many at once, cut or not."""
+    rng = random.Random(3)
+    for n in (1, 2, 5, 8):
+        inputs = [sorted(rng.randrange(1, 12) for _ in range(n)) for _ in range(40)]
+        targets = [rng.randrange(5, 30) for _ in inputs]
+        for most in (2, 200):
+            found = list(few_inputs(list(range(40)), inputs, targets, 1, 6, most))
+            want = []
+            for tx, (values, target) in enumerate(zip(inputs, targets, strict=True)):
+                sets, cut = subsets(values, target, target + 1, 6, most)
+                want += [(tx, "|".join(map(str, s)), len(s), sum(values[i] for i in s) - target, cut) for s in sets]
+            assert found == want
+
+
+def test_one_file_of_customers_takes_every_core(spark):
+    found = catalogue.queries()["f17_address_codecs"](spark, "/root/testdata/sf0.001")
+    assert "Repartition" in plan_of(found)
+
+
+def test_sanctions_are_written_in_files_of_bounded_length(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(file_queries, "ENTRIES_A_FILE", 40)
+    monkeypatch.setattr(file_queries, "folder", lambda session, name, whole=file_queries.folder: made.append(whole(session, name)) or made[-1])
+    assert same(spark, small(names=("customer",)), "/root/testdata/sf0.001", "s29_sanctions_xml")
+    assert len(list(pathlib.Path(made[0].removeprefix("file://").removeprefix("file:")).glob("part-*"))) >= 3
