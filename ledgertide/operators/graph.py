@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgertide.functions.expressions import is_burn, is_placeholder
+from ledgertide.llm.shared import join_small
 from ledgertide.operators.joins import point_in_time_labels, split_legs, value_matches
 
 
@@ -38,7 +39,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None, closed: DataFrame | None = None) -> DataFrame:
     """node, depth (int) of what the seeds (column node) reach over edges (src, dst) in max_depth steps
-    (None: in any number, until a step reaches nothing new).
+    (None: in any number, until a step reaches nothing new).  Every step reads edges and closed, which should be settled.
     Nodes in closed (node) are reached but not followed."""
     frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     found = [frontier]  # each step is written once; many are joined to one now and then
@@ -74,8 +75,8 @@ def policy_trace(transfers: DataFrame, seeds: DataFrame, labels: DataFrame, cont
     service = F.col("category").isin("exchange", "exchange_deposit", "exchange_hot_wallet", "mixer", "bridge")
     stop = F.when(is_burn(F.col("address")), 0).when(is_placeholder(F.col("address")), 1).when(F.coalesce(service, F.lit(False)), 2).when(F.coalesce("contract", F.lit(False)), 3)
     edges = settle(known.select("src", "dst", stop.alias("stop")).distinct())
-    busy = kept.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > service_outflows).select("node").join(seeds, "node", "left_anti")
-    walked = settle(bfs(edges.where("stop IS NULL").select("src", "dst").distinct(), seeds, max_depth - 1, closed=busy))
+    busy = settle(kept.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > service_outflows).select("node").join(seeds, "node", "left_anti"))
+    walked = settle(bfs(settle(edges.where("stop IS NULL").select("src", "dst").distinct()), seeds, max_depth - 1, closed=busy))
     open_ = walked.join(busy, "node", "left_anti").where(F.col("depth") < max_depth)
     reached = edges.join(open_.select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + 1).alias("reached"), F.min("stop").alias("stop"))
     both = reached.join(walked, "node", "full").join(busy.withColumn("busy", F.lit(True)), "node", "left")
@@ -202,27 +203,28 @@ def value_frontier(legs: DataFrame, seeds: DataFrame, service: DataFrame, rounds
     Seeds, and nodes that aren't in service (node), pass on all their outflows.  From a
     service node only the outflows go on that match an inflow by which it was reached, and
     where none does, the legs of that inflow's split.  A node is entered once, by all legs
-    of its round; way is seed, or the first of all, match and split that led to it.
+    of its round; way is seed, or the first of all, match and split that led to it.  Nodes and legs of a
+    round are counted, and while they are few the legs of all aren't shuffled to meet them.
     """
     keys, onward = ["node", "i_tx", "i_log", "i_token", "i_src"], ["node", "o_tx", "o_log", "o_token", "o_dst"]
     found = settle(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit("seed").alias("way")))
     open_nodes, arrived = found.select("node"), None
     for depth in range(1, rounds + 1):
-        going = legs.join(open_nodes.select(F.col("node").alias("src")), "src", "left_semi").withColumn("way", F.lit("all"))
+        going = join_small(legs, open_nodes.select(F.col("node").alias("src")), "src", "left_semi").withColumn("way", F.lit("all"))
         if arrived is not None:
             inbound = settle(_side(arrived.drop("way").distinct(), "i", "dst", "src").join(service.select("node"), "node", "left_semi"))
-            outbound = _side(legs, "o", "src", "dst").join(inbound.select("node"), "node", "left_semi")
+            outbound = join_small(_side(legs, "o", "src", "dst"), settle(inbound.select("node").distinct()), "node", "left_semi")
             matches = settle(value_matches(inbound, outbound, days, percent))
             splits = split_legs(inbound.join(matches, keys, "left_anti"), outbound, days, split_percent, most)
             chosen = matches.select(*onward, F.lit("match").alias("way")).unionByName(splits.select(*onward, F.lit("split").alias("way"))).distinct()
-            chosen = chosen.toDF("src", "tx", "log", "token", "dst", "way")
-            going = going.unionByName(legs.join(chosen, ["src", "tx", "log", "token", "dst"]).select(*going.columns))
+            chosen = settle(chosen.toDF("src", "tx", "log", "token", "dst", "way"))
+            going = going.unionByName(join_small(legs, chosen, ["src", "tx", "log", "token", "dst"], "inner").select(*going.columns))
         arrived = settle(going.join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select(*going.columns))
         if arrived.isEmpty():
             break
         reached = arrived.groupBy(F.col("dst").alias("node")).agg(F.lit(depth).alias("depth"), F.min("way").alias("way"))
         found = settle(found.unionByName(reached.select("node", "depth", "way")))
-        open_nodes = arrived.select(F.col("dst").alias("node")).distinct().join(service.select("node"), "node", "left_anti")
+        open_nodes = settle(arrived.select(F.col("dst").alias("node")).distinct().join(service.select("node"), "node", "left_anti"))
     return found
 
 

@@ -183,3 +183,36 @@ def test_sanctions_are_written_in_files_of_bounded_length(spark, monkeypatch):
     monkeypatch.setattr(file_queries, "folder", lambda session, name, whole=file_queries.folder: made.append(whole(session, name)) or made[-1])
     assert same(spark, small(names=("customer",)), "/root/testdata/sf0.001", "s29_sanctions_xml")
     assert len(list(pathlib.Path(made[0].removeprefix("file://").removeprefix("file:")).glob("part-*"))) >= 3
+
+
+def scans_of(spark, run) -> list[int]:
+    """How often lineitem is read by each plan that run checkpoints or returns."""
+    seen, frame = [], type(spark.range(0))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(frame, "checkpoint", lambda rows, whole=frame.checkpoint: seen.append(rows._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey#")) or whole(rows))
+        run()
+    return [n for n in seen if n]
+
+
+def test_walks_read_the_transfers_once(spark):
+    """Edges and service wallets are made once, not in each of four steps."""
+    assert len(scans_of(spark, lambda: catalogue.queries()["g3_service_cut"](spark, "/root/testdata/sf0.001"))) == 2
+
+
+def test_few_nodes_meet_all_legs_without_a_shuffle(spark):
+    plans, frame = [], type(spark.range(0))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(frame, "checkpoint", lambda rows, whole=frame.checkpoint: plans.append(plan_of(rows)) or whole(rows))
+        catalogue.queries()["g5_value_frontier"](spark, "/root/testdata/sf0.001").count()
+    assert sum("strategy=broadcast" in p for p in plans) >= 3
+
+
+def test_report_of_assets_is_made_of_what_was_written(spark, tmp_path):
+    rows = spark.createDataFrame([("c", "w", "p", "A|B", "x", 1, 2), ("c", "w", "p", "A|B", "x", 3, None), ("d", "v", "p", "Z", None, 5, None)], "case_id string, wallet string, perpetrator string, symbol string, contract string, amt int, usd int")
+    read, reader = [], type(spark.read)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(reader, "json", lambda r, path, whole=reader.json: read.append(path) or whole(r, path))
+        landing.write_aggregate(rows, f"{tmp_path}/a")
+    assert read == [f"{tmp_path}/a/by_asset"]
+    text = sorted(r.value for r in spark.read.text(f"{tmp_path}/a/report").collect())
+    assert text == ["| A\\|B | x | 2 | 4 | 2 |", "| Z |  | 1 | 5 |  |"]
