@@ -227,3 +227,15 @@ def test_pair_counts_in_bounded_batches(monkeypatch, at_once):
                     want[s, r] = want.get((s, r), 0) + n * m
         found = [row for part in joins.pair_counts(*(np.array(c) for side in sides for c in zip(*side, strict=True)), 6) for row in zip(*(x.tolist() for x in part), strict=True)]
         assert len(found) == len(want) and {(s, r): n for s, r, n in found} == want
+
+
+def test_tasks_are_bounded_whatever_number_the_session_has(spark, monkeypatch):
+    """The session's partitions are merged by their bytes, so a larger number of them is no bound."""
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 500)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert domain.tasks_for(spark, 6000) == 12 and domain.tasks_for(spark, 999) is None
+        assert "RepartitionByExpression" in plan_of(catalogue.queries()["j16_swap_outputs"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
