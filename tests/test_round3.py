@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import abi
 from ledgertide.operators.bundles import inner_transfers, user_operations
 from ledgertide.operators.graph import label_exposure
-from ledgertide.operators import joins
+from ledgertide.operators import integrity, joins
 from ledgertide.operators.joins import bridge_matches
 from ledgertide.operators.subsets import few_inputs, subsets
 from ledgertide.plans import catalogue, domain, file_queries
@@ -239,3 +239,11 @@ def test_tasks_are_bounded_whatever_number_the_session_has(spark, monkeypatch):
         assert "RepartitionByExpression" in plan_of(catalogue.queries()["j16_swap_outputs"](spark, "/root/testdata/sf0.001"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_asks_meet_the_listed_once(spark):
+    kind = "case_id int, issuer string, token string, address string, usd double"
+    listed, asks = spark.createDataFrame([(1, "a", "T", "x", 100.0)], kind), spark.createDataFrame([(1, "a", "T", "x", 120.0), (1, "a", "T", "y", 120.0), (1, "a", "T", "x", 105.0)], kind)
+    found = integrity.freeze_asks(listed, asks)
+    assert plan_of(found).count("Join ") == 1
+    assert sorted((r.subject, r.detail) for r in found.collect()) == [("a T x", "20.0"), ("a T y", "not listed")]
