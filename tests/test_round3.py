@@ -213,6 +213,17 @@ def test_round_trips_add_pairs_up_where_blocks_meet(spark, monkeypatch):
     assert same(spark, small(), "/root/testdata/sf0.001", "j34_bridge_round_trip")
 
 
+def test_round_trips_write_a_leg_once_however_many_blocks(spark):
+    """Blocks are read again by each task that pairs them, not copied for it."""
+    out = spark.range(400).selectExpr("if(id % 2 = 0, 'A', 'R') AS chain", "id % 50 AS sender", "DATE'1997-01-01' + CAST(id % 9 AS INT) AS out_time")
+    back = spark.range(300).selectExpr("if(id % 3 = 0, 'A', 'N') AS chain", "id % 70 AS recipient", "DATE'1997-01-01' + CAST(id % 11 AS INT) AS in_time")
+    found = joins.party_pairs(out, back, 6, 7)
+    assert "Generate" not in plan_of(found) and found.rdd.getNumPartitions() == 49
+    pairs = out.join(back, "chain").where("datediff(in_time, out_time) BETWEEN 1 AND 6 AND sender <> recipient").groupBy("chain", "sender", "recipient").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+    assert joins.party_pairs(out.where("sender < 0"), back, 6, 7).count() == 0
+
+
 @pytest.mark.parametrize("at_once", [3, 40, 10**6])
 def test_pair_counts_in_bounded_batches(monkeypatch, at_once):
     """Dense and sparse sums, against plain pairs; a party that is on both sides doesn't meet itself."""
