@@ -6,10 +6,14 @@ file reader.  A merge gives the new table: write it beside the old and swap.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ledgertide.functions.expressions import csv_guard
 from ledgertide.operators.graph import settle
@@ -151,18 +155,64 @@ def write_transfers_csv(transfers: DataFrame, path: str) -> None:
     transfers.select(*(csv_guard(F.col(c)).alias(c) if c in text else F.col(c) for c in transfers.columns)).write.option("header", True).csv(path)
 
 
+#: A case with at least this part of all transfers is cut into documents where its rows lie.
+LARGE_PART = 100
+
+
+def documents(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(case_id, seed_address, t) of one task -> case_id, seed_address, transfers: each case's rows in lists of ``most``, but
+    for its last.  No more than that many rows of a case, and a batch, are held."""
+    held: dict = {}
+    columns = ["case_id", "seed_address", "transfers"]
+
+    def full(of: tuple, rows: pa.Array, size: int) -> pa.RecordBatch:
+        ends = pa.array([*range(0, len(rows), size), len(rows)], pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.repeat(k, len(ends) - 1) for k in of), pa.ListArray.from_arrays(ends, rows)], columns)
+
+    for batch in batches:
+        codes = [batch.column(c).dictionary_encode(null_encoding="encode") for c in range(2)]
+        place = np.int64(len(codes[1].dictionary)) * codes[0].indices.to_numpy() + codes[1].indices.to_numpy()
+        order = np.argsort(place, kind="stable")
+        firsts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0)) if len(order) else order
+        for rows in np.split(order, firsts[1:]) if len(order) else ():
+            of = tuple(batch.column(c)[int(rows[0])] for c in range(2))
+            name = tuple(k.as_py() for k in of)
+            parts = held.setdefault(name, (of, []))[1]
+            parts.append(batch.column(2).take(pa.array(rows)))
+            n = sum(map(len, parts))
+            if n >= most:
+                whole = pa.concat_arrays(parts)
+                yield full(of, whole.slice(0, n - n % most), most)
+                held[name] = (of, [whole.slice(n - n % most)] if n % most else [])
+    for of, parts in held.values():
+        if parts:
+            yield full(of, pa.concat_arrays(parts), most)
+
+
 def write_cases(transfers: DataFrame, path: str, most: int = 1000) -> None:
-    """A JSON document a case and line, with its transfers inside; ``read_cases`` with lines reads it again.
+    """A packed JSON document a case and line, with its transfers inside; ``read_cases`` with lines reads it again.
     A case of more than ``most`` transfers takes several documents of about that many, so that none holds a
-    whole busy case."""
+    whole busy case; those of the largest cases are cut where their rows lie, so that these aren't shuffled."""
     key, rest = ["case_id", "seed_address"], [c for c in transfers.columns if c not in ("case_id", "seed_address")]
-    # a small table of busy cases, counted before it is broadcast, so that no case is a task of the join
-    busy = settle(transfers.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / most).alias("n_parts")).where("n_parts > 1").toDF("of_case", "of_seed", "n_parts"))
-    busy = F.broadcast(busy) if busy.count() <= 50_000 else busy
-    sized = transfers.join(busy, F.col("case_id").eqNullSafe(F.col("of_case")) & F.col("seed_address").eqNullSafe(F.col("of_seed")), "left")
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64(*rest), "n_parts"))
-    cases = dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*rest)).alias("transfers")).drop("part")  # a document's own
-    cases.write.json(path)
+    sizes = settle(transfers.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).toDF("of_case", "of_seed", "n"))  # a row a case
+    own = F.col("case_id").eqNullSafe(F.col("of_case")) & F.col("seed_address").eqNullSafe(F.col("of_seed"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    is_large = (F.col("n") > most) & (F.col("n") * LARGE_PART >= total)  # LARGE_PART cases at most
+    large = F.broadcast(sizes.where(is_large))
+    inside = large.agg(F.sum("n")).first()[0] or 0
+    made = []
+    if inside:
+        rows = (transfers if inside == total else transfers.join(large, own, "left_semi")).select(*key, F.struct(*rest).alias("t"))
+        kinds = StructType([*(StructField(k, rows.schema[k].dataType) for k in key), StructField("transfers", ArrayType(rows.schema["t"].dataType))])
+        made.append(rows.mapInArrow(lambda batches: documents(batches, most), kinds))
+    if inside < total or not total:
+        # a small table of busy cases, counted before it is broadcast, so that no case is a task of the join
+        busy = sizes.where((F.col("n") > most) & ~is_large).select("of_case", "of_seed", F.ceil(F.col("n") / most).alias("n_parts"))
+        busy = F.broadcast(busy) if busy.count() <= 50_000 else busy
+        sized = (transfers.join(large, own, "left_anti") if inside else transfers).join(busy, own, "left")
+        dealt = sized.withColumn("part", F.pmod(F.xxhash64(*rest), "n_parts"))
+        made.append(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*rest)).alias("transfers")).drop("part"))  # a document's own
+    reduce(DataFrame.unionByName, made).write.option("compression", "gzip").json(path)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

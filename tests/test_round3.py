@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,32 @@ def test_a_busy_case_takes_several_documents(spark, tmp_path):
     assert back.count() == back.select("transfer_id").distinct().count() == 5000
 
 
+def test_large_cases_are_cut_where_they_lie_and_packed(spark, tmp_path, monkeypatch):
+    """Rows of the largest cases (here one without a name) aren't shuffled; a busy one below and calm ones are gathered as before."""
+    monkeypatch.setattr(landing, "LARGE_PART", 2)
+    rows = spark.range(0, 5000, 1, 3).selectExpr("CASE WHEN id % 5 > 0 THEN NULL WHEN id < 4900 THEN 'busy' ELSE 'calm' END AS case_id", "'s' AS seed_address", "CAST(id AS STRING) AS transfer_id", "named_struct('chain', 'eth') AS token", "CAST(id AS DECIMAL(28,4)) AS usd_value_at_tx", "TIMESTAMP'1997-01-01' + make_dt_interval(CAST(id AS INT)) AS block_time")
+    plans, writer = [], type(rows.write)
+    monkeypatch.setattr(writer, "json", lambda w, path, whole=writer.json: plans.append(plan_of(w._df)) or whole(w, path))
+    for name, part in (("all", rows), ("large", rows.where("case_id IS NULL")), ("none", rows.where("usd_value_at_tx < 0"))):
+        landing.write_cases(part, f"{tmp_path}/{name}", most=100)
+        assert {p.suffix for p in (tmp_path / name).glob("part-*")} == {".gz"}
+        back = landing.read_cases(spark, f"{tmp_path}/{name}", lines=True)
+        want, names = part.select("case_id", "transfer_id", F.col("token.chain"), "usd_value_at_tx", "block_time"), ["case_id", "transfer_id", "token.chain", "usd_value_at_tx", "block_time"]
+        assert sorted(map(str, back.select(*names).collect())) == sorted(map(str, want.collect()))
+    assert "MapInArrow" in plans[0] and "collect_list" in plans[0] and "MapInArrow" in plans[1] and "Aggregate" not in plans[1]
+    sizes = spark.read.json(f"{tmp_path}/all").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("transfers")).alias("most")).collect()
+    found = {r.case_id: (r.n, r.most) for r in sizes}
+    assert 40 <= found[None][0] <= 43 and found[None][1] == 100  # one short document a task at most
+    assert found["busy"][0] == 10 and found["busy"][1] < 200 and found["calm"] == (1, 20)
+
+
+def test_documents_hold_no_more_than_asked():
+    batch = lambda keys: pa.RecordBatch.from_pydict({"case_id": pa.array(keys, pa.string()), "seed_address": pa.array(["s"] * len(keys), pa.string()), "t": pa.array([{"id": str(i)} for i in range(len(keys))], pa.struct([("id", pa.string())]))})
+    made = [r for b in landing.documents(iter([batch(["a", None] * 7), batch([]), batch(["a"] * 3 + [None])]), 4) for r in b.to_pylist()]
+    assert sorted((str(r["case_id"]), len(r["transfers"])) for r in made) == [("None", 4), ("None", 4), ("a", 2), ("a", 4), ("a", 4)]
+    assert [t["id"] for r in made if r["case_id"] == "a" for t in r["transfers"]] == ["0", "2", "4", "6", "8", "10", "12", "0", "1", "2"]
+
+
 def test_exposure_keeps_victims_as_bits(spark):
     """More victims than a word has bits, against plain sets; and none that pays anyone."""
     rng = random.Random(4)
